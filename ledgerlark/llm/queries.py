@@ -8,9 +8,11 @@ from pyspark.sql import DataFrame, SparkSession
 
 from ledgerlark.llm import (
     jaccard_join,
+    url_reputation,
 )
 
 MODULES = (
+    url_reputation,
     jaccard_join,
 )
 
