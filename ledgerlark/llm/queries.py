@@ -8,12 +8,14 @@ from pyspark.sql import DataFrame, SparkSession
 
 from ledgerlark.llm import (
     jaccard_join,
+    sharding,
     url_reputation,
 )
 
 MODULES = (
     url_reputation,
     jaccard_join,
+    sharding,
 )
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {k: v for m in MODULES for k, v in m.QUERIES.items()}
