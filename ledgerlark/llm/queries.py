@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from ledgerlark.llm import (
     jaccard_join,
+    mixing,
     sharding,
     url_reputation,
 )
@@ -16,6 +17,7 @@ MODULES = (
     url_reputation,
     jaccard_join,
     sharding,
+    mixing,
 )
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {k: v for m in MODULES for k, v in m.QUERIES.items()}
