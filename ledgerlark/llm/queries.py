@@ -7,15 +7,19 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from ledgerlark.llm import (
+    decontamination,
     jaccard_join,
     mixing,
+    quality_rules,
     sharding,
     url_reputation,
 )
 
 MODULES = (
     url_reputation,
+    quality_rules,
     jaccard_join,
+    decontamination,
     sharding,
     mixing,
 )
