@@ -89,7 +89,7 @@ def references(docs: DataFrame, common: int = 32) -> DataFrame:
     return both.select("lang", "chars", F.transform("top", lambda x: x["word"]).alias("words"), shares(F.concat("n", rest), F.col("n_words").cast("double")).alias("word_shares"))
 
 
-def judge(docs: DataFrame, reference: DataFrame | None = None, least_words: int = 60, most_chars: float = 0.35, most_words: float = 0.42) -> DataFrame:
+def judge(docs: DataFrame, reference: DataFrame | None = None, least_words: int = 80, most_chars: float = 0.28, most_words: float = 0.37) -> DataFrame:
     """One row per row of docs (doc_id, text, lang): doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
     base_failed, kept.
 
