@@ -165,7 +165,9 @@ def jaccard_join(docs: DataFrame, k: int = 3, percent: int = 90, id_col: str = "
     sizes = cells.groupBy("cell").agg(F.count("*").alias("held"))
     dealt = cells.join(sizes, "cell").select("row", "cell", F.expr(f"pmod(xxhash64(row), cast(ceil(held / {GROUP}) as bigint))").alias("chunk"))
     dealt = materialize(dealt.join(reps, "row"), "dealt")
-    held = base.join(dealt, "row").dropDuplicates(["row"]) if _repeats(classed) else base.join(dealt, "row")
+    # Merged at every size: whether the few ids could be broadcast must not decide how much is moved.
+    held = base.join(dealt.hint("merge"), "row")
+    held = held.dropDuplicates(["row"]) if _repeats(classed) else held
     held = materialize(held.mapInArrow(lambda it: _sets(it, k), "row long, weight long, cell long, chunk long, tokens binary"), "sets")
 
     placed = live.join(dealt.select("row", "cell", "chunk"), "row").select("row", "sig", "cell", "chunk")
