@@ -9,7 +9,9 @@ from pyspark.sql import DataFrame, SparkSession
 from ledgerlark.llm import (
     decontamination,
     jaccard_join,
+    language_id,
     mixing,
+    quality_classifier,
     quality_rules,
     sharding,
     url_reputation,
@@ -19,8 +21,10 @@ MODULES = (
     url_reputation,
     quality_rules,
     jaccard_join,
+    quality_classifier,
     decontamination,
     sharding,
+    language_id,
     mixing,
 )
 
