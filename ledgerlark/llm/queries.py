@@ -15,6 +15,7 @@ from ledgerlark.llm import (
     quality_rules,
     sharding,
     url_reputation,
+    warc,
 )
 
 MODULES = (
@@ -26,6 +27,7 @@ MODULES = (
     sharding,
     language_id,
     mixing,
+    warc,
 )
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {k: v for m in MODULES for k, v in m.QUERIES.items()}
