@@ -13,6 +13,7 @@ from ledgerlark.llm import (
     mixing,
     quality_classifier,
     quality_rules,
+    repeated_spans,
     sharding,
     url_reputation,
     warc,
@@ -28,6 +29,7 @@ MODULES = (
     language_id,
     mixing,
     warc,
+    repeated_spans,
 )
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {k: v for m in MODULES for k, v in m.QUERIES.items()}
