@@ -98,31 +98,31 @@ def votes(model: Model, vectors: np.ndarray) -> np.ndarray:
     return np.clip(out, 0.0, 1.0)
 
 
-def _scored(batches: Iterator[pa.RecordBatch], model) -> Iterator[pa.RecordBatch]:  # noqa: ANN001
+def _scored(batches: Iterator[pa.RecordBatch], model, text: str, kept: list[str]) -> Iterator[pa.RecordBatch]:  # noqa: ANN001
     m: Model = model.value
     for batch in batches:
-        for lo, hi, buf, offs in buffers(batch.column(batch.num_columns - 1), 1 << 20):
+        for lo, hi, buf, offs in buffers(batch.column(text), 1 << 20):
             x = np.log1p(hashed_counts(buf, offs, len(m.idf))) * m.idf
             score = votes(m, unit(unit(x) @ m.axes))
-            kept = [batch.column(i).slice(lo, hi - lo) for i in range(batch.num_columns - 1)]
-            yield pa.RecordBatch.from_arrays([*kept, pa.array(score)], names=[*batch.schema.names[:-1], "score"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(n).slice(lo, hi - lo) for n in kept), pa.array(score)], names=[*kept, "_score"])
 
 
-def score(docs: DataFrame, model: Model, carry: tuple[str, ...] = ("doc_id",), text_col: str = "text") -> DataFrame:
-    """One row per row of docs: the carried columns and score, how likely label 1 is, from the text alone.
+def score(docs: DataFrame, model: Model, carry: list[str], text_col: str = "text", out: str = "score") -> DataFrame:
+    """One row per row of docs: the carried columns and out, how likely label 1 is, from the text alone.
 
     An empty or null text scores the sample's base rate; without any labelled row everything scores 0.5. Repeated rows
     score alike; an empty table gives an empty result.
     """
-    rows = docs.select(*carry, F.col(text_col).alias("_scored_text"))
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[:-1]) + ", score double"
+    rows = docs.select(*dict.fromkeys([*carry, text_col]))
+    kinds = dict(rows.dtypes)
+    schema = ", ".join(f"`{c}` {kinds[c]}" for c in carry) + ", `_score` double"
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    return rows.mapInArrow(lambda it: _scored(it, shared), schema)
+    return rows.mapInArrow(lambda it: _scored(it, shared, text_col, carry), schema).withColumnRenamed("_score", out)
 
 
 def op4_neighbour_votes(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    scored = score(docs, fit(docs, table(spark, sf_dir, "labels")))
+    scored = score(docs, fit(docs, table(spark, sf_dir, "labels")), ["doc_id"])
     return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
 
 
