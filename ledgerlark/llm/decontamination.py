@@ -73,9 +73,10 @@ def contained_items(docs: DataFrame, items: DataFrame, percent: int = 80) -> Dat
         return docs.select("doc_id", F.lit(0).cast("bigint").alias("item_id"), F.lit(0).cast("bigint").alias("n_item"), F.lit(0).cast("bigint").alias("n_common"), F.lit(0.0).alias("containment")).where("false")
 
     rows = docs.where("doc_id is not null and text is not null").select("doc_id", "text")
-    # No filter on h: it would be pushed below the steps that make h, and so repeat them.
+    # No condition on h itself: it would be pushed below the steps that make h, and so repeat them.
     hashed = with_shingle_hashes(rows.select("doc_id", plain_words(F.col("text")).alias("words")), "words", "h")
-    low = hashed.select("doc_id", F.size("h").alias("held"), F.explode(F.filter("h", lambda x: x <= bounds[0])).alias("h"))
+    low = F.transform(F.filter("h", lambda x: x <= bounds[0]), lambda x: F.struct(x.alias("h"), F.size("h").alias("held")))
+    low = hashed.select("doc_id", F.explode(low).alias("low")).select("doc_id", "low.h", "low.held")
     near = low.join(sketches, "h").where("held >= least").select("doc_id").distinct()
     near = materialize(near, "near")
 
