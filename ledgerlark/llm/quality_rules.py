@@ -132,3 +132,44 @@ def op2_language_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"op2_language_divergence": op2_language_divergence}
+
+_CLASS_SQL = [r"\p{Ll}", r"[\x20\x09-\x0D]", r"\p{Lu}", r"[#*$%&|<>]", r"\p{Nd}", r"[\p{Lt}\p{Lm}\p{Lo}]"]
+_COUNTS_SQL = ", ".join(f"length(text) - length(regexp_replace(text, '{c}', '', 'g')) AS c{i}" for i, c in enumerate(_CLASS_SQL))
+_REST_SQL = "length(text) - " + " - ".join(f"c{i}" for i in range(len(_CLASS_SQL)))
+
+
+def _part_sql(p: str, q: str) -> str:
+    return f"CASE WHEN {p} > 0 THEN {p} * log2(2 * {p} / ({p} + {q})) ELSE 0 END + CASE WHEN {q} > 0 THEN {q} * log2(2 * {q} / ({p} + {q})) ELSE 0 END"
+
+
+ORACLE_SQL = {
+    "op2_language_divergence": rf"""
+        WITH d AS MATERIALIZED (
+            SELECT doc_id, coalesce(lang, '') AS lang, coalesce(text, '') AS text, text IS NOT NULL AS there, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents
+        ), c0 AS MATERIALIZED (SELECT doc_id, lang, text, there, len(ws) AS n_words, {_COUNTS_SQL} FROM d
+        ), c AS MATERIALIZED (SELECT *, {_REST_SQL} AS c6, length(text) AS n_chars FROM c0
+        ), lines AS (
+            SELECT doc_id, list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS l FROM d
+        ), win AS (SELECT doc_id, i, array_to_string(ws[i : i + 7], ' ') AS s FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 6)) AS i FROM d WHERE len(ws) >= 8)
+        ), rep AS (SELECT doc_id, i FROM win QUALIFY count(*) OVER (PARTITION BY doc_id, s) > 1
+        ), cov AS (SELECT doc_id, count(DISTINCT i + j) AS n FROM rep, range(8) t(j) GROUP BY 1
+        ), chars AS (SELECT lang, CAST(sum(n_chars) AS DOUBLE) AS total, sum(n_words) AS words, {", ".join(f"sum(c{i}) AS r{i}" for i in range(7))} FROM c WHERE there GROUP BY 1
+        ), far_c AS (
+            SELECT doc_id, sqrt(greatest(0, ({" + ".join("(" + _part_sql(f"(c{i} / greatest(n_chars, 1))", f"(r{i} / greatest(total, 1))") + ")" for i in range(7))}) / 2)) AS far_chars FROM c JOIN chars USING (lang)
+        ), low AS MATERIALIZED (SELECT doc_id, lang, unnest(regexp_extract_all(lower(text), '[^\x20\x09-\x0D]+')) AS word FROM d
+        ), top AS (SELECT lang, word, count(*) AS n FROM low GROUP BY 1, 2 QUALIFY row_number() OVER (PARTITION BY lang ORDER BY count(*) DESC, word) <= 32
+        ), got AS (SELECT doc_id, word, count(*) AS k FROM low GROUP BY 1, 2
+        ), pq AS (
+            SELECT c.doc_id, coalesce(k, 0) / greatest(n_words, 1) AS p, top.n / words AS q FROM c JOIN chars USING (lang) JOIN top USING (lang) LEFT JOIN got ON got.doc_id = c.doc_id AND got.word = top.word
+            UNION ALL
+            SELECT c.doc_id, (any_value(n_words) - coalesce(sum(k), 0)) / greatest(any_value(n_words), 1), (any_value(words) - sum(top.n)) / any_value(words)
+            FROM c JOIN chars USING (lang) JOIN top USING (lang) LEFT JOIN got ON got.doc_id = c.doc_id AND got.word = top.word GROUP BY c.doc_id
+        ), far_w AS (SELECT doc_id, sqrt(greatest(0, sum({_part_sql("p", "q")}) / 2)) AS far_words FROM pq GROUP BY 1
+        ), base AS (
+            SELECT c.doc_id, CAST(n_words AS BIGINT) AS n_words, CAST(n_chars - c1 AS BIGINT) AS word_chars, CAST(c3 AS BIGINT) AS n_symbols, CAST(len(l) - len(list_distinct(l)) AS BIGINT) AS n_dup_lines,
+                   CAST(coalesce(cov.n, 0) AS BIGINT) AS n_repeat_words, n_words < 20 OR 100 * coalesce(cov.n, 0) > 30 * n_words AS base_failed
+            FROM c JOIN lines USING (doc_id) LEFT JOIN cov USING (doc_id)
+        )
+        SELECT base.*, NOT base_failed AND NOT coalesce(n_words >= 80 AND (far_chars > 0.28 OR far_words > 0.37), false) AS kept FROM base LEFT JOIN far_c USING (doc_id) LEFT JOIN far_w USING (doc_id)
+    """,
+}
