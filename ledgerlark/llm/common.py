@@ -17,12 +17,15 @@ SPACES = r"[\x20\x09-\x0D]+"
 SLICE_BYTES = 2 << 20
 
 
+_own: dict[str, str] = {}
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share. A temporary one is set only where the session names none (tests)."""
+    """The folder that driver and executors share. A temporary one is taken only where the session names none (tests)."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not found:
-        found = f"file://{tempfile.mkdtemp(prefix='ledgerlark-')}"
-        spark.conf.set("spark.checkpoint.dir", found)
+        app = spark.sparkContext.applicationId
+        found = _own[app] = _own.get(app) or f"file://{tempfile.mkdtemp(prefix='ledgerlark-')}"
     return found.rstrip("/")
 
 
