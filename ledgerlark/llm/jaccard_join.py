@@ -2,8 +2,8 @@
 
 Documents with equal shingle sets become one representative. Candidates come from a partition of each set: two sets
 that reach the threshold differ in few shingles, so of a few more parts than that, cut by hash range, at least one part
-holds the same shingles in both. Documents that share a part are put into groups of bounded size under the smallest
-document they share one with. A group's token union bounds a query's overlap with all its members; only a group whose
+holds the same shingles in both. Documents that share enough parts are put into groups of bounded size under the
+smallest document that they share most with. A group's token union bounds a query's overlap with all its members; only a group whose
 bound reaches the threshold is opened, and then its token matrix gives every overlap at once.
 """
 
@@ -27,28 +27,31 @@ GROUP, QUERIES_A_TASK = 256, 4096
 
 @functools.lru_cache
 def size_classes(percent: int, most: int = 1 << 24) -> np.ndarray:
-    """Smallest set size of each class. A class is wide enough that partners lie in the same or a neighbouring class."""
+    """Smallest set size of each class. A class is wide enough that partners lie in the same or a neighbouring class;
+    wide classes save signatures, but leave fewer shingles to a part, so low thresholds have narrow ones."""
     lows = [1]
     while lows[-1] <= most:
-        lows.append(int(lows[-1] * (100 / percent) ** 3) + 1)
+        lows.append(int(lows[-1] * (100 / percent) ** (3 if percent >= 90 else 1)) + 1)
     return np.array(lows)
 
 
 def parts_of(lows: np.ndarray, c: int, percent: int) -> tuple[int, int]:
-    """Parts for class c, and how many more there are than needed, so that as many may be empty."""
+    """Parts for class c, and how many more there are than differences: partners agree in more than that many, of which
+    some may be empty in both."""
     largest = int(lows[c + 1]) - 1
     differ = (100 - percent) * 2 * largest // (100 + percent)
-    spare = 1 + -(-differ // 16)
+    spare = 1 + -(-differ // 8)
     return differ + 1 + spare, spare
 
 
-def signatures(tokens: np.ndarray, percent: int) -> np.ndarray:
-    """One hash for each part of a sorted set, in its own size class and in the next where a larger partner may be."""
+def signatures(tokens: np.ndarray, percent: int) -> tuple[np.ndarray, int]:
+    """One hash for each part of a sorted set, in its own size class and in the next where a larger partner may be, and
+    the number of them that it shares with every partner at least. Empty parts are left out as long as others suffice."""
     n = len(tokens)
     lows = size_classes(percent)
     own = int(np.searchsorted(lows, n, "right")) - 1
     sums = np.concatenate([np.zeros(1, dtype=np.uint64), np.cumsum(mix(tokens ^ _ODD[5]))])
-    out = []
+    out, need = [], n
     for c in (own, own + 1):
         if c > own and 100 * n < percent * int(lows[c]):
             break
@@ -57,8 +60,10 @@ def signatures(tokens: np.ndarray, percent: int) -> np.ndarray:
         cuts = np.searchsorted(part, np.arange(k + 1, dtype=np.uint64))
         filled = np.diff(cuts) > 0
         sig = mix((sums[cuts[1:]] - sums[cuts[:-1]]) * _ODD[0] + np.arange(k, dtype=np.uint64) * _ODD[1] + _U((c + 1) * int(_ODD[2]) & 0xFFFFFFFFFFFFFFFF))
-        out.append(sig[filled] if k - int(filled.sum()) <= spare else sig)
-    return np.concatenate(out)
+        empty = k - int(filled.sum())
+        out.append(sig[filled] if empty <= spare else sig)
+        need = min(need, max(1, spare + 1 - empty))
+    return np.concatenate(out), need
 
 
 def _signed(batches: Iterator[pa.RecordBatch], k: int, percent: int) -> Iterator[pa.RecordBatch]:
@@ -67,7 +72,9 @@ def _signed(batches: Iterator[pa.RecordBatch], k: int, percent: int) -> Iterator
             sets = list(shingle_sets(lowered(buf), offs, k))
             print_ = [mix(np.array([s.sum(dtype=np.uint64), mix(s + _U(1)).sum(dtype=np.uint64)], dtype=np.uint64) + _U(len(s))) if len(s) else np.zeros(2, dtype=np.uint64) for s in sets]
             prints = np.array(print_, dtype=np.uint64).reshape(-1, 2).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array([len(s) for s in sets], pa.int64()), pa.array(prints[:, 0]), pa.array(prints[:, 1]), long_list([signatures(s, percent) if len(s) else s for s in sets])], names=["row", "n", "p0", "p1", "sigs"])
+            signed = [signatures(s, percent) if len(s) else (s, 0) for s in sets]
+            columns = [batch.column(0).slice(lo, hi - lo), pa.array([len(s) for s in sets], pa.int64()), pa.array(prints[:, 0]), pa.array(prints[:, 1]), long_list([s for s, _ in signed]), pa.array([n for _, n in signed], pa.int32())]
+            yield pa.RecordBatch.from_arrays(columns, names=["row", "n", "p0", "p1", "sigs", "need"])
 
 
 def _sets(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
@@ -149,31 +156,37 @@ def jaccard_join(docs: DataFrame, k: int = 3, percent: int = 90, id_col: str = "
     """
     spark = docs.sparkSession
     base = docs.select(F.col(id_col).cast("bigint").alias("row"), F.col(text_col).alias("text"))
-    signed = materialize(base.mapInArrow(lambda it: _signed(it, k, percent), "row long, n long, p0 long, p1 long, sigs array<long>"), "signed")
+    signed = materialize(base.mapInArrow(lambda it: _signed(it, k, percent), "row long, n long, p0 long, p1 long, sigs array<long>, need int"), "signed")
     sets = signed.where("n > 0 and row is not null")
     # Grouped by both prints and joined on these and the size: the join deals rows anew, so that a hot group is split.
     classes = sets.groupBy("p0", "p1").agg(F.min("row").alias("rep"), F.count("*").alias("weight"), F.max("n").alias("n"))
     classed = materialize(sets.select("row", "n", "p0", "p1").join(classes, ["p0", "p1", "n"]).select("row", "n", "rep", "weight"), "classed")
     reps = classed.where("row = rep").groupBy("row").agg(F.max("weight").alias("weight"))
 
-    parts = sets.join(reps.select("row"), "row", "left_semi").select("row", F.explode("sigs").alias("sig")).distinct()
+    parts = sets.join(reps.select("row"), "row", "left_semi").select("row", F.explode("sigs").alias("sig"))
     bucket = Window.partitionBy("sig").orderBy("row")
     lead = parts.select("row", "sig", F.first("row").over(bucket).alias("leader"), F.lead("row").over(bucket).alias("next"))
     live = materialize(lead.where("leader < row or next is not null").select("row", "sig", "leader"), "live")
-
-    cells = live.groupBy("row").agg(F.min("leader").alias("cell"))
+    # A partner shares at least `need` parts. Documents with fewer shared parts have none; the others join the group of
+    # the smallest document with which they share most parts, or start one.
+    needs = sets.groupBy("row").agg(F.min("need").alias("need"))
+    shared = live.groupBy("row", "leader").agg(F.count("*").alias("n")).join(needs, "row")
+    close = F.when((F.col("leader") < F.col("row")) & (F.col("n") >= F.col("need")), F.struct("n", -F.col("leader")))
+    cells = shared.groupBy("row", "need").agg(F.sum("n").alias("n"), F.coalesce(F.max_by("leader", close), F.col("row")).alias("cell")).where("n >= need").drop("n")
     sizes = cells.groupBy("cell").agg(F.count("*").alias("held"))
-    dealt = cells.join(sizes, "cell").select("row", "cell", F.expr(f"pmod(xxhash64(row), cast(ceil(held / {GROUP}) as bigint))").alias("chunk"))
+    dealt = cells.join(sizes, "cell").select("row", "cell", "need", F.expr(f"pmod(xxhash64(row), cast(ceil(held / {GROUP}) as bigint))").alias("chunk"))
     dealt = materialize(dealt.join(reps, "row"), "dealt")
     # Merged at every size: whether the few ids could be broadcast must not decide how much is moved.
-    held = base.join(dealt.hint("merge"), "row")
+    held = base.join(dealt.drop("need").hint("merge"), "row")
     held = held.dropDuplicates(["row"]) if _repeats(classed) else held
     held = materialize(held.mapInArrow(lambda it: _sets(it, k), "row long, weight long, cell long, chunk long, tokens binary"), "sets")
 
-    placed = live.join(dealt.select("row", "cell", "chunk"), "row").select("row", "sig", "cell", "chunk")
-    groups = placed.select("sig", F.col("cell").alias("to_cell"), F.col("chunk").alias("to_chunk")).distinct()
-    asks = placed.join(groups, "sig").where("struct(to_cell, to_chunk) < struct(cell, chunk)").select("row", "to_cell", "to_chunk").distinct()
-    asks = materialize(asks, "asks")
+    # Groups that share enough parts for one member to have a partner in the other; the later group asks the earlier.
+    placed = live.join(dealt.select("row", "cell", "chunk", "need"), "row").groupBy("sig", "cell", "chunk").agg(F.min("need").alias("need"))
+    others = placed.select("sig", F.col("cell").alias("to_cell"), F.col("chunk").alias("to_chunk"))
+    pairs = placed.join(others, "sig").where("struct(to_cell, to_chunk) < struct(cell, chunk)")
+    pairs = pairs.groupBy("cell", "chunk", "to_cell", "to_chunk").agg(F.count("*").alias("shared"), F.min("need").alias("need")).where("shared >= need")
+    asks = materialize(pairs.join(dealt.select("row", "cell", "chunk"), ["cell", "chunk"]).select("row", "to_cell", "to_chunk"), "asks")
     slots = asks.groupBy("to_cell", "to_chunk").agg(F.expr(f"cast(ceil(count(*) / {QUERIES_A_TASK}) as bigint)").alias("slots"))
     queries = asks.join(slots, ["to_cell", "to_chunk"]).join(held.select("row", "weight", "tokens"), "row")
     queries = queries.select(F.col("to_cell").alias("cell"), F.col("to_chunk").alias("chunk"), F.expr("pmod(xxhash64(row, 7), slots)").alias("slot"), "row", "weight", F.lit(1).alias("role"), "tokens")
