@@ -6,7 +6,8 @@ the other anchors are dealt by gram; in each gram's bucket the texts to the righ
 backwards, are mergesorted. Two suffixes are compared by binary search for their common extension over prefix
 polynomial hashes, and neighbours are verified byte by byte. A window around an anchor repeats when another context
 shares its bytes on both sides. Whole copies of a document are settled beforehand, and contexts that agree are combined
-before they are dealt, so that a hot passage costs little.
+before they are dealt, so that a hot passage costs little. A hot gram's contexts never meet in one task: their windows
+are counted by digest over all tasks, in ranges of offsets.
 """
 
 from __future__ import annotations
@@ -22,8 +23,10 @@ from pyspark.sql import functions as F
 from ledgerlark.llm.common import _BYTE, _ODD, _U, buffers, materialize, mix, powers, prefix_hash
 from ledgerlark.session import table
 
-#: Contexts that a task sorts together, and of one gram before it goes to the plainer way; occurrences of a gram for each share of a hot one.
+#: Contexts that a task sorts together; occurrences of a gram above which it is hot and counted over all tasks; owners that a task holds.
 BLOCK, MOST, SHARE = 4096, 8192, 50_000
+#: Parts into which each step of the count of hot windows cuts a range of offsets.
+PARTS = 6
 
 
 def _sliding(x: np.ndarray, width: int, best: np.ufunc) -> np.ndarray:
@@ -65,37 +68,35 @@ def _anchored(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.Rec
             yield pa.RecordBatch.from_arrays([pa.array(rk), pa.array((at - offs[doc]).astype(np.int32)), pa.array(h.view(np.int64)), pa.array((mix(h + _ODD[3]) >> _U(33)).astype(np.int32))], names=["rk", "pos", "gram", "more"])
 
 
-def _contexts(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
-    """The bytes around live anchors; those that agree in a slice of rows are one with several owners."""
+def _contexts(batches: Iterator[pa.RecordBatch], length: int, hot: int) -> Iterator[pa.RecordBatch]:
+    """The bytes around live anchors of hot grams or of the others; those that agree in a slice of rows are one with several owners."""
     gram = length // 2
     for batch in batches:
         marks = batch.column("marks").to_pylist()
         rks, docs = batch.column("rk").to_pylist(), batch.column("doc").to_pylist()
         for lo, hi, buf, offs in buffers(batch.column("text"), 1 << 20):
-            found: dict[tuple[int, int, int, bytes], list] = {}
+            found: dict[tuple[int, int, bytes], list] = {}
             for i in range(lo, hi):
                 kinds = {m["kind"] for m in marks[i] or ()}
                 if not kinds or 1 in kinds:  # no repeat, or a copy that another row stands for
                     continue
                 text = buf[offs[i - lo] : offs[i - lo + 1]].tobytes()
                 for m in marks[i]:
-                    if m["kind"] == 0:
+                    if m["kind"] == 0 and m["hot"] == hot:
                         a = max(0, m["pos"] - length + gram)
-                        entry = found.setdefault((m["gram"], m["shares"], m["pos"] - a, text[a : m["pos"] + length]), [0, []])
+                        entry = found.setdefault((m["gram"], m["pos"] - a, text[a : m["pos"] + length]), [0, []])
                         entry[0] += 2 if 2 in kinds else 1
                         if 2 not in kinds:
                             entry[1].append((rks[i], docs[i], m["pos"]))
             if found:
-                rows = [(k, s, v) for k, v in found.items() for s in range(k[1])]
-                owners = [o for _, _, v in rows for o in v[1]]
+                owners = [o for v in found.values() for o in v[1]]
                 lists = pa.ListArray.from_arrays(
-                    np.cumsum([0, *(len(v[1]) for _, _, v in rows)]).astype(np.int32),
+                    np.cumsum([0, *(len(v[1]) for v in found.values())]).astype(np.int32),
                     pa.StructArray.from_arrays([pa.array([o[0] for o in owners], pa.int64()), pa.array([o[1] for o in owners], pa.int64()), pa.array([o[2] for o in owners], pa.int32())], names=["rk", "doc", "pos"]),
                 )
                 yield pa.RecordBatch.from_arrays([
-                    pa.array([k[0] for k, _, _ in rows], pa.int64()), pa.array([s for _, s, _ in rows], pa.int32()), pa.array([k[1] for k, _, _ in rows], pa.int32()), pa.array([k[2] for k, _, _ in rows], pa.int32()),
-                    pa.array([k[3] for k, _, _ in rows], pa.binary()), pa.array([v[0] for _, _, v in rows], pa.int64()), lists,
-                ], names=["gram", "share", "shares", "left", "context", "held", "owners"])
+                    pa.array([k[0] for k in found], pa.int64()), pa.array([k[1] for k in found], pa.int32()), pa.array([k[2] for k in found], pa.binary()), pa.array([v[0] for v in found.values()], pa.int64()), lists,
+                ], names=["gram", "left", "context", "held", "owners"])
 
 
 class Suffixes:
@@ -192,33 +193,73 @@ def repeated_windows(group: np.ndarray, contexts: list[bytes], left: np.ndarray,
     return out
 
 
-def _many_windows(contexts: list[bytes], left: np.ndarray, held: np.ndarray, length: int, share: int, shares: int) -> np.ndarray:
-    """The same for one gram with more contexts than are sorted together: windows are gathered by their bytes."""
+def _parts(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
+    """Each context's range of offsets in PARTS, with digests of the bytes that all of a part's windows share (c) and of
+    all bytes that the part's possible windows cover (u). a and b bound the offsets that the context has bytes for."""
+    names = ["ctx", "left", "context", "held", "lo", "hi", "a", "b", "c1", "c2", "u1", "u2"]
+    kinds = [pa.binary(), pa.int32(), pa.binary(), pa.int64(), *[pa.int32()] * 4, *[pa.int64()] * 4]
+    for batch in batches:
+        cols = [batch.column(x).to_pylist() for x in names[:6]]
+        rows = []
+        for ctx, left, context, held, lo, hi in zip(*cols, strict=True):
+            step = -(-(hi - lo + 1) // PARTS)
+            for low in range(lo, hi + 1, step):
+                high = min(low + step - 1, hi)
+                a, b = max(low, length - (len(context) - left)), min(high, left)
+                if a <= b:
+                    core = hashlib.blake2b(b"%d %d " % (low, high) + context[left - low : left + length - high], digest_size=16).digest()
+                    cover = hashlib.blake2b(b"%d %d %d %d " % (low, high, a, b) + context[left - b : left + length - a], digest_size=16).digest()
+                    rows.append((ctx, left, context, held, low, high, a, b, *np.frombuffer(core + cover, dtype=np.int64).tolist()))
+                    if len(rows) >= BLOCK:
+                        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
+                        rows = []
+        if rows:
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
+
+
+def _hot_spans(hot: DataFrame, length: int) -> DataFrame:
+    """Repeated intervals of each owner of hot grams' contexts.
+
+    A part whose shared bytes occur once is dropped; one whose covered bytes occur twice is repeated as a whole, and
+    goes on only as one representative that others may still share windows with; the rest is cut again, down to single windows.
+    """
     reach = length - length // 2
-    out = np.zeros((len(contexts), reach + 1), dtype=bool)
-    for j in range(share, reach + 1, shares):
-        seen: dict[bytes, list[int]] = {}
-        for i, (c, x) in enumerate(zip(contexts, left.tolist(), strict=True)):
-            if x >= j and len(c) - x >= length - j:
-                seen.setdefault(hashlib.blake2b(c[x - j : x - j + length], digest_size=16).digest(), []).append(i)
-        for rows in seen.values():
-            if held[rows].sum() >= 2:
-                out[rows, j] = True
-    return out
+    hot = materialize(hot.select(F.unhex(F.md5(F.concat("context", F.encode(F.concat(F.lit(" "), F.col("left").cast("string")), "utf-8")))).alias("ctx"), "left", "context", "held", "owners"), "hot")
+    # Joins below have a column more than the groups, so that both sides are dealt anew and a hot key is split.
+    left = hot.groupBy("ctx").agg(F.first("left").alias("left"), F.first("context").alias("context"), F.sum("held").alias("held"))
+    left = left.select("ctx", "left", "context", "held", F.lit(0).alias("lo"), F.lit(reach).alias("hi"))
+    settled, width = [], reach + 1
+    while True:
+        parts = left.mapInArrow(lambda it: _parts(it, length), "ctx binary, left int, context binary, held long, lo int, hi int, a int, b int, c1 long, c2 long, u1 long, u2 long")
+        parts = materialize(parts, "parts")
+        covers = materialize(parts.groupBy("u1", "u2").agg(F.sum("held").alias("total"), F.max("c1").alias("c1"), F.max("c2").alias("c2"), F.max("a").alias("ua"), F.first(F.struct("left", "context", "lo", "hi")).alias("one")), "covers")
+        cores = covers.groupBy("c1", "c2").agg(F.count("*").alias("kinds"), F.max(F.expr("c1 ^ c2")).alias("c3"), F.sum("total").alias("all")).where("all > 1")
+        covers = materialize(covers.withColumn("c3", F.expr("c1 ^ c2")).join(cores, ["c1", "c2", "c3"]).select("u1", "u2", F.col("ua").alias("a"), "total", "kinds", "one"), "live")
+        done = materialize(parts.join(covers.select("u1", "u2", "a", "total"), ["u1", "u2", "a"]), "counted")
+        settled.append(done.where("ctx is not null and total > 1").select("ctx", "a", "b"))
+        width = -(-width // PARTS)
+        if width == 1:
+            break
+        open_ = done.where("total = 1").select("ctx", "left", "context", "held", "lo", "hi")
+        left = open_.unionByName(covers.where("total > 1 and kinds > 1").select(F.lit(None).cast("binary").alias("ctx"), "one.left", "one.context", F.lit(2).cast("bigint").alias("held"), "one.lo", "one.hi"))
+    ranges = settled[0]
+    for x in settled[1:]:
+        ranges = ranges.unionByName(x)
+    # All windows of an anchor hold its gram, so those that repeat cover one interval.
+    ranges = ranges.groupBy("ctx").agg(F.min("a").alias("a"), F.max("b").alias("b")).withColumn("more", F.xxhash64("ctx"))
+    held = hot.select("ctx", F.xxhash64("ctx").alias("more"), F.explode("owners").alias("o")).join(ranges, ["ctx", "more"])
+    return held.select("o.rk", "o.doc", (F.col("o.pos") - F.col("b")).cast("bigint").alias("begin"), (F.col("o.pos") - F.col("a") + length).cast("bigint").alias("stop"))
 
 
 def _resolved(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
-    """Repeated intervals of each owner, from contexts that come sorted by gram and share."""
+    """Repeated intervals of each owner, from contexts that come sorted by gram."""
 
     def settle(rows: dict) -> pa.RecordBatch:
         keys = list(rows)
         held = np.array([rows[k][0] for k in keys], dtype=np.int64)
-        left = np.array([k[3] for k in keys], dtype=np.int64)
-        if len(keys) > MOST and keys[0][:2] == keys[-1][:2]:
-            hit = _many_windows([k[4] for k in keys], left, held, length, keys[0][1], keys[0][2])
-        else:
-            group = np.cumsum([0, *(a[:2] != b[:2] for a, b in zip(keys, keys[1:], strict=False))])
-            hit = repeated_windows(group, [k[4] for k in keys], left, held, length)
+        left = np.array([k[1] for k in keys], dtype=np.int64)
+        group = np.cumsum([0, *(a[0] != b[0] for a, b in zip(keys, keys[1:], strict=False))])
+        hit = repeated_windows(group, [k[2] for k in keys], left, held, length)
         edge = np.diff(np.pad(hit, ((0, 0), (1, 1))).astype(np.int8), axis=1)
         row, begin = np.nonzero(edge == 1)
         _, stop = np.nonzero(edge == -1)
@@ -229,18 +270,19 @@ def _resolved(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.Rec
         return pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.int64()), pa.array(cols[3], pa.int64())], names=["rk", "doc", "begin", "stop"])
 
     rows: dict[tuple, list] = {}
-    last = None
+    last, owned = None, 0
     for batch in batches:
-        cols = [batch.column(x).to_pylist() for x in ("gram", "share", "shares", "left", "context", "held", "owners")]
-        for gram, share, shares, left, context, held, owners in zip(*cols, strict=True):
-            if (gram, share) != last:
-                if len(rows) >= BLOCK or (rows and last and len(rows) > 64 and held > MOST):
+        cols = [batch.column(x).to_pylist() for x in ("gram", "left", "context", "held", "owners")]
+        for gram, left, context, held, owners in zip(*cols, strict=True):
+            if gram != last:
+                if len(rows) >= BLOCK or owned >= SHARE:
                     yield settle(rows)
-                    rows = {}
-                last = (gram, share)
-            entry = rows.setdefault((gram, share, shares, left, context), [0, []])
+                    rows, owned = {}, 0
+                last = gram
+            entry = rows.setdefault((gram, left, context), [0, []])
             entry[0] += held
             entry[1] += [(o["rk"], o["doc"], o["pos"]) for o in owners]
+            owned += len(owners)
     if rows:
         yield settle(rows)
 
@@ -286,19 +328,23 @@ def remove_repeats(docs: DataFrame, length: int = 400, id_col: str = "doc_id", t
     found = materialize(found, "anchors")
     # Grouped by the gram and joined on more bits too: the join deals rows anew, so that a hot gram is split.
     often = found.groupBy("gram").agg(F.count("*").alias("n"), F.max("more").alias("more")).where("n > 1")
-    live = found.join(often, ["gram", "more"]).select("rk", F.lit(0).alias("kind"), "pos", "gram", F.expr(f"cast(least({length // 2}, n div {SHARE} + 1) as int)").alias("shares"))
+    live = found.join(often, ["gram", "more"]).select("rk", F.lit(0).alias("kind"), "pos", "gram", F.expr(f"cast(n > {MOST} as int)").alias("hot"))
     prints = materialize(long_.select("rk", "doc", F.xxhash64("text").alias("p"), F.crc32("text").alias("q"), F.octet_length("text").cast("bigint").alias("n")), "prints")
     classes = prints.groupBy("p", "q").agg(F.count("*").alias("held"), F.min("rk").alias("first"), F.max("n").alias("n")).where("held > 1")
     copies = materialize(prints.join(classes, ["p", "q", "n"]).select("rk", "doc", "n", F.when(F.col("rk") == F.col("first"), 2).otherwise(1).alias("kind")), "copies")
-    marks = live.unionByName(copies.select("rk", "kind", F.lit(0).alias("pos"), F.lit(0).cast("bigint").alias("gram"), F.lit(1).alias("shares")))
-    marks = materialize(marks.groupBy("rk").agg(F.collect_set(F.struct("kind", "pos", "gram", "shares")).alias("marks")), "marks")
+    marks = live.unionByName(copies.select("rk", "kind", F.lit(0).alias("pos"), F.lit(0).cast("bigint").alias("gram"), F.lit(0).alias("hot")))
+    marks = materialize(marks.groupBy("rk").agg(F.collect_set(F.struct("kind", "pos", "gram", "hot")).alias("marks")), "marks")
 
     # Both joins with the texts use the same exchange of them.
     dealt = base.repartition("rk")
     around = dealt.join(marks.hint("shuffle_merge"), "rk", "left").select("doc_id", "rk", "doc", "text", "marks")
-    contexts = around.mapInArrow(lambda it: _contexts(it, length), "gram long, share int, shares int, left int, context binary, held long, owners array<struct<rk: long, doc: long, pos: int>>")
-    contexts = contexts.repartition("gram", "share").sortWithinPartitions("gram", "share")
+    schema = "gram long, left int, context binary, held long, owners array<struct<rk: long, doc: long, pos: int>>"
+    contexts = around.mapInArrow(lambda it: _contexts(it, length, 0), schema).repartition("gram").sortWithinPartitions("gram")
     spans = contexts.mapInArrow(lambda it: _resolved(it, length), "rk long, doc long, begin long, stop long")
+    heated = marks.where(F.exists("marks", lambda m: m["hot"] == 1))
+    if not heated.isEmpty():
+        around = base.join(heated.hint("shuffle_merge"), "rk").select("rk", "doc", "text", "marks")
+        spans = spans.unionByName(_hot_spans(around.mapInArrow(lambda it: _contexts(it, length, 1), schema), length))
     spans = spans.unionByName(copies.select("rk", "doc", F.lit(0).cast("bigint").alias("begin"), F.col("n").alias("stop")))
     spans = spans.groupBy("rk").agg(F.collect_set(F.struct("doc", "begin", "stop")).alias("spans"))
     cleaned = dealt.join(spans.hint("shuffle_merge"), "rk", "left").select("doc_id", "rk", "doc", "text", "spans")

@@ -10,6 +10,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -112,6 +113,34 @@ def test_repeats_of_hot_grams_equal_brute_force(spark, monkeypatch):
     assert got == repeats([(i, t.encode()) for i, t in rows], 16)
 
 
+def test_hot_grams_are_counted_over_all_tasks(spark, monkeypatch):
+    for name, value in (("MOST", 4), ("SHARE", 3)):
+        monkeypatch.setattr(repeated_spans, name, value)
+    grams = []
+    inner = repeated_spans._hot_spans
+    monkeypatch.setattr(repeated_spans, "_hot_spans", lambda hot, length: grams.extend(hot.groupBy("gram").count().collect()) or inner(hot, length))
+    r = random.Random(2)
+    cut = lambda: "".join(r.choice("abc") for _ in range(r.randrange(30)))
+    hot = "the hot passage that all of them share, whole or in part"
+    rows = [(i, cut() + hot[r.choice([0, 0, 7, 20]) : r.choice([60, 60, 45, 33])] + cut()) for i in range(80)] + [(100 + i, hot[8:31] + cut() * 2) for i in range(20)] + [(200 + i, rows) for i, rows in enumerate(["small gram one " * 2, "small gram one " * 2, hot])]
+    for length in (16, 24):
+        grams.clear()
+        got = {x.doc_id: [(x.n_bytes, x.n_removed, x.n_spans, x.kept_sha256)] for x in repeated_spans.remove_repeats(frame(spark, rows), length).collect()}
+        assert got == repeats([(i, t.encode()) for i, t in rows], length)
+        assert grams
+
+
+def test_a_task_holds_a_bounded_number_of_owners(monkeypatch):
+    monkeypatch.setattr(repeated_spans, "SHARE", 3)
+    sizes, inner = [], repeated_spans.repeated_windows
+    monkeypatch.setattr(repeated_spans, "repeated_windows", lambda group, *a: sizes.append(len(group)) or inner(group, *a))
+    owner = [{"rk": i, "doc": i, "pos": 8} for i in range(5)]
+    rows = [{"gram": g, "left": 8, "context": b"%08d" % g + b"x" * 16, "held": 5, "owners": owner} for g in range(6)]
+    out = list(repeated_spans._resolved(iter([pa.RecordBatch.from_pylist(rows)]), 16))
+    assert sizes == [1] * 6
+    assert sum(len(b) for b in out) == 30
+
+
 def test_suffixes_survive_hash_collisions(monkeypatch):
     texts = np.frombuffer(b"abcdabceabcdzzzz", dtype=np.uint8).reshape(4, 4)
     s = repeated_spans.Suffixes(np.zeros(4, dtype=np.int64), texts, np.full(4, 4))
