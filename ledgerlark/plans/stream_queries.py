@@ -21,7 +21,13 @@ def _folder(spark) -> str:  # noqa: ANN001
 
 
 def _stream(s, d, name):  # noqa: ANN001, ANN202
-    return s.readStream.schema(table(s, d, name).schema).option("pathGlobFilter", f"{name}.parquet").option("recursiveFileLookup", "true").parquet(d)
+    """The table as a stream: a folder of part files by its own path, a single file by its name in the folder."""
+    path = f"{d}/{name}.parquet"
+    at = s._jvm.org.apache.hadoop.fs.Path(path)
+    reader = s.readStream.schema(table(s, d, name).schema)
+    if at.getFileSystem(s._jsc.hadoopConfiguration()).getFileStatus(at).isDirectory():
+        return reader.parquet(path)
+    return reader.option("pathGlobFilter", f"{name}.parquet").option("recursiveFileLookup", "true").parquet(d)
 
 
 def patrol_stream(s, d):  # noqa: ANN001, ANN202

@@ -222,3 +222,15 @@ def test_guard_of_the_optional_part():
 
     assert not __spark_entry__._present("ledgerlark.nothing.queries")
     assert not __spark_entry__._present("nothing_at_all")
+
+
+def test_streams_read_tables_of_several_files(spark, sf, tmp_path):
+    from ledgerlark.plans import stream_queries
+
+    for name in ("documents", "labels", "events"):
+        spark.read.parquet(f"{sf}/{name}.parquet").repartition(3).write.parquet(f"{tmp_path}/{name}.parquet")
+    for name in ("t01_patrol_stream", "t10_daily_window"):
+        query = stream_queries.QUERIES[name]
+        want = sorted(map(tuple, query(spark, sf).collect()))
+        assert want
+        assert sorted(map(tuple, query(spark, str(tmp_path)).collect())) == want
