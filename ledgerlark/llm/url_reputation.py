@@ -54,12 +54,9 @@ def _strength(counts: DataFrame, parent_rate: str, group: list[str]) -> float:
     return min(MOST_STRENGTH, max(LEAST_STRENGTH, (1 - rho) / rho)) if rho > 0 else MOST_STRENGTH
 
 
-def host_reputation(outcomes: DataFrame) -> DataFrame:
-    """(host, good 0/1) -> host, domain, rate, bound_a, bound_b: the posterior Beta(a, b) of each labelled host's good rate.
-
-    The registered domain is the last two labels, the suffix the last. Null hosts or outcomes are left out; an empty
-    table gives no row.
-    """
+def _levels(outcomes: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, float, float]:
+    """Hosts with their posteriors (host, domain, a, b), domain rates, suffix rates, the overall rate, and the strength
+    with which a host's prior counts."""
     counted = outcomes.where("host is not null and good is not null").groupBy("host").agg(F.count("*").cast("double").alias("n"), F.sum("good").cast("double").alias("k"))
     hosts = materialize(counted.select("host", F.regexp_extract("host", r"([^.]*\.)?[^.]*$", 0).alias("domain"), F.regexp_extract("host", r"[^.]*$", 0).alias("suffix"), "n", "k"), "hosts")
     domains = hosts.groupBy("domain", "suffix").agg(F.sum("n").alias("n"), F.sum("k").alias("k"))
@@ -74,22 +71,37 @@ def host_reputation(outcomes: DataFrame) -> DataFrame:
     hosts = hosts.join(domains, ["domain", "suffix"])
     s = _strength(hosts, "domain_rate", ["domain"])
     a, b = F.col("k") + s * F.col("domain_rate"), F.col("n") - F.col("k") + s * (1 - F.col("domain_rate"))
-    return hosts.select("host", "domain", a.alias("a"), b.alias("b"))
+    return hosts.select("host", "domain", a.alias("a"), b.alias("b")), domains, suffixes, overall, s
+
+
+def host_reputation(outcomes: DataFrame) -> DataFrame:
+    """(host, good 0/1) -> host, domain, a, b: the posterior Beta(a, b) of each labelled host's good rate.
+
+    The registered domain is the last two labels, the suffix the last. Null hosts or outcomes are left out; an empty
+    table gives no row.
+    """
+    return _levels(outcomes)[0]
 
 
 def judge_urls(pages: DataFrame, outcomes: DataFrame, rules: Sequence[tuple[str, str]] = RULES, floor: float = 0.5, z: float = 1.645, id_col: str = "page_id", url_col: str = "url") -> DataFrame:
     """One row per row of pages: id_col, host, path, rule, verdict.
 
     A page is blocked by the method when mean + z * deviation of its host's posterior good rate lies under floor; a host
-    without outcomes is allowed. A null url, or one without ://, has an empty host and path. Repeated rows and ids are
+    without outcomes has the prior of its domain, else of its suffix, else the overall one. A null url, or one without ://,
+    has an empty host and path; without outcomes of its own an empty host is allowed. Repeated rows and ids are
     judged each by itself; an empty table gives an empty result; extra columns are ignored.
     """
     host, path = host_and_path(F.col(url_col))
     parsed = pages.select(F.col(id_col), host.alias("host"), path.alias("path"))
     parsed = parsed.withColumn("domain", F.regexp_extract("host", r"([^.]*\.)?[^.]*$", 0))
+    hosts, domains, suffixes, overall, s = _levels(outcomes)
+    asked = parsed.select("host", "domain", F.regexp_extract("host", r"[^.]*$", 0).alias("suffix")).distinct()
+    known = asked.join(hosts, ["host", "domain"], "left").join(domains, ["domain", "suffix"], "left").join(suffixes, "suffix", "left")
+    prior = F.coalesce("domain_rate", "suffix_rate", F.lit(overall))
+    known = known.select("host", "domain", (F.col("a").isNotNull() | (F.col("host") != "")).alias("judged"), F.coalesce("a", s * prior).alias("a"), F.coalesce("b", s * (1 - prior)).alias("b"))
     mean = F.col("a") / (F.col("a") + F.col("b"))
     upper = mean + z * F.sqrt(mean * (1 - mean) / (F.col("a") + F.col("b") + 1))
-    reputation = host_reputation(outcomes).select("host", "domain", (upper < floor).alias("bad"))
+    reputation = known.select("host", "domain", (F.col("judged") & (upper < floor)).alias("bad"))
     rule, verdict = matching_rule(F.col("host"), F.col("path"), rules)
     # Joined on the domain too, so that both sides are dealt anew and a hot host is split.
     judged = parsed.join(reputation, ["host", "domain"], "left")

@@ -47,6 +47,14 @@ def test_bad_hosts_are_blocked_and_sparse_ones_shrink(spark):
     assert rates["bad.a.com"] < rates["few.a.com"] < rates["good.a.com"]
 
 
+def test_unseen_hosts_have_the_prior_of_domain_or_suffix(spark):
+    outcomes = [(f"h{i}.spam.bad", 0) for i in range(40)] * 5 + [(f"h{i}.junk.bad", 0) for i in range(40)] * 5 + [(f"h{i}.fine.good", 1) for i in range(80)] * 5
+    df = spark.createDataFrame(outcomes, "host string, good int")
+    urls = pages(spark, [(1, "http://new.spam.bad/", ""), (2, "http://new.other.bad/", ""), (3, "http://new.fine.good/", ""), (4, "http://new.other.good/", ""), (5, "http://new.else/", ""), (6, None, "")])
+    got = {r.page_id: r.verdict for r in url_reputation.judge_urls(urls, df, rules=()).collect()}
+    assert got == {1: "block", 2: "block", 3: "allow", 4: "allow", 5: "allow", 6: "allow"}
+
+
 @pytest.mark.parametrize("least", [0, 5])
 def test_archive_round_trip(spark, tmp_path, least):
     rows = [(i, f"http://h/{i}", "payload é" * (i % 7)) for i in range(60)] + [(100, None, None), (101, "", ""), (None, "u\r\nInjected: yes", "payload é" * 2), (3, "http://h/3", "payload é" * 3), (200, "x", "\r\n\r\nWARC/1.1\r\n" * 9), (201, "x", "long " * 60000)]
