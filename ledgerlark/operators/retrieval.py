@@ -101,12 +101,13 @@ def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda t, x: t + x)
 
 
-def dense_search(queries: DataFrame, vectors: DataFrame, k: int, vector: str = "vector") -> DataFrame:
-    """Exact cosine top-k of a stated query set against all vectors, the queries as one broadcast array. Vectors with a
-    zero or missing norm are left out."""
+def dense_search(queries: DataFrame, vectors: DataFrame, k: int, vector: str = "vector", block: int = 256) -> DataFrame:
+    """Exact cosine top-k of queries against all vectors. Queries are gathered in rows of about block of them, and every
+    vector meets each row. Vectors with a zero or missing norm are left out."""
     unit = lambda df: df.withColumn("_n", F.sqrt(dot(F.col(vector), F.col(vector)))).where("_n > 0 and not isnan(_n)")
-    asked = unit(queries).agg(F.collect_list(F.struct("query_id", F.col(vector).alias("v"), F.col("_n").alias("n"))).alias("asked"))
-    rows = unit(vectors).crossJoin(F.broadcast(asked)).select("id", F.explode(F.transform("asked", lambda q: F.struct(q["query_id"].alias("query_id"), F.round(dot(F.col(vector), q["v"]) / (F.col("_n") * q["n"]), 6).alias("score")))).alias("x"))
+    parts = queries.count() // block + 1
+    asked = unit(queries).groupBy(F.pmod(F.xxhash64("query_id"), F.lit(parts)).alias("_block")).agg(F.collect_list(F.struct("query_id", F.col(vector).alias("v"), F.col("_n").alias("n"))).alias("asked"))
+    rows = unit(vectors).crossJoin(asked).select("id", F.explode(F.transform("asked", lambda q: F.struct(q["query_id"].alias("query_id"), F.round(dot(F.col(vector), q["v"]) / (F.col("_n") * q["n"]), 6).alias("score")))).alias("x"))
     return ranked(rows.select("x.query_id", "id", "x.score"), k)
 
 

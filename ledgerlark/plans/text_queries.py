@@ -112,6 +112,7 @@ QUERIES = {
     "r11_char_tfidf": lambda s, d: R.ranked(R.char_tfidf(_items(s, d), table(s, d, "benchmark").select(F.col("item_id").alias("id"), "text")), 3),
     "r12_hash_embed": lambda s, d: R.ranked(R.hash_search(_items(s, d), _docs(s, d)), 5),
     "r13_dense_topk": lambda s, d: R.dense_search(_vectors(s, d).where("id < 10").select(F.col("id").alias("query_id"), "vector"), _vectors(s, d), 5),
+    "r13_dense_corpus": lambda s, d: R.dense_search(_vectors(s, d).where("id % 50 = 0").select(F.col("id").alias("query_id"), "vector"), _vectors(s, d), 5),
     "r14_rrf": lambda s, d: R.reciprocal_rank_fusion(_bm(s, d, 10), R.ranked(R.hash_search(_items(s, d), _docs(s, d)), 10), 5),
     "r15_weighted_hybrid": lambda s, d: R.weighted_hybrid(_bm(s, d, 10), R.ranked(R.hash_search(_items(s, d), _docs(s, d)), 10), _bm(s, d, 10).select("query_id", "id", F.when(F.col("id") % 2 == 0, 0.45).otherwise(0.0).alias("meta")), 5),
     "r16_rule_rerank": lambda s, d: analyses(s, d).select("id", R.rule_rerank(F.size(S.hits(F.col("text"), POSITIVE)) / 4.0, F.col("rating") == 1, F.coalesce(F.col("label") == "negative", F.lit(False)), F.col("lang") == "en", F.size(S.hits(F.col("text"), NEGATIVE)), F.col("id") % 5 == 0).alias("score")),
@@ -169,6 +170,7 @@ ORACLE_SQL = {
     "r10_bm25_filtered": f"WITH {BM25}, f AS (SELECT * FROM bm WHERE id % 2 = 0) {_top('f', 3)}",
     "r12_hash_embed": f"WITH {HASHED} {_top('he', 5)}",
     "r13_dense_topk": f"""WITH v AS (SELECT vec_id AS id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings), k AS (SELECT q.id AS query_id, v.id, round(list_dot_product(q.e, v.e) / (sqrt(list_dot_product(v.e, v.e)) * sqrt(list_dot_product(q.e, q.e))), 6) AS score FROM v q, v WHERE q.id < 10) {_top('k', 5)}""",
+    "r13_dense_corpus": f"""WITH v AS (SELECT vec_id AS id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings), k AS (SELECT q.id AS query_id, v.id, round(list_dot_product(q.e, v.e) / (sqrt(list_dot_product(v.e, v.e)) * sqrt(list_dot_product(q.e, q.e))), 6) AS score FROM v q, v WHERE q.id % 50 = 0) {_top('k', 5)}""",
     "r14_rrf": f"""WITH {BM25}, {HASHED.removeprefix(POST + ', ')}, a AS ({_top('bm', 10)}), b AS ({_top('he', 10)}),
         k AS (SELECT coalesce(a.query_id, b.query_id) AS query_id, coalesce(a.id, b.id) AS id, round(coalesce(1 / (60 + a.rank), 0) + coalesce(1 / (60 + b.rank), 0), 8) AS score,
             CASE WHEN a.rank IS NULL THEN 'dense' WHEN b.rank IS NULL THEN 'sparse' ELSE 'both' END AS source FROM a FULL JOIN b ON a.query_id = b.query_id AND a.id = b.id) {_top('k', 5, ', source')}""",

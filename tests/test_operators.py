@@ -234,3 +234,19 @@ def test_streams_read_tables_of_several_files(spark, sf, tmp_path):
         want = sorted(map(tuple, query(spark, sf).collect()))
         assert want
         assert sorted(map(tuple, query(spark, str(tmp_path)).collect())) == want
+
+
+def test_dense_search_cuts_queries_into_blocks(spark):
+    rows = [(i, [float((i * 7 + j * j) % 11) for j in range(4)]) for i in range(60)] + [(60, [0.0] * 4)]
+    vectors = spark.createDataFrame(rows, "id long, vector array<double>")
+    norm = lambda v: sum(x * x for x in v) ** 0.5
+    got = {(r.query_id, r.rank): r.score for r in V.dense_search(vectors.withColumnRenamed("id", "query_id"), vectors, 3, block=8).collect()}
+    want = {(i, n + 1): x for i, a in rows[:60] for n, x in enumerate(sorted((sum(x * y for x, y in zip(a, b, strict=True)) / norm(a) / norm(b) for _, b in rows[:60]), reverse=True)[:3])}
+    assert got == pytest.approx(want, abs=1e-6)
+
+
+def test_dense_corpus_asks_every_fiftieth_vector(spark, sf):
+    from ledgerlark.plans import registry
+
+    asked = {r.query_id for r in registry.QUERIES["r13_dense_corpus"](spark, sf).collect()}
+    assert asked == {r.vec_id for r in spark.read.parquet(f"{sf}/embeddings.parquet").where("vec_id % 50 = 0").collect()}
