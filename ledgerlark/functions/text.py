@@ -55,8 +55,12 @@ def chunk_tokens(text: Column) -> Column:
 def char_grams(text: Column, sizes: tuple[int, ...] = (1, 2, 3)) -> Column:
     """Character n-grams of the lower-cased text with runs of spaces made one."""
     t = F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), r"\s+", " ")
-    each = [F.when(F.length(t) >= n, F.transform(F.sequence(F.lit(1), F.greatest(F.length(t) - n + 1, F.lit(1))), lambda i, n=n: F.substring(t, i, F.lit(n)))).otherwise(F.array().cast("array<string>")) for n in sizes]
-    return F.flatten(F.array(*each))
+    chars = F.array_remove(F.split(t, ""), "")
+    longer = lambda grams, n: F.zip_with(grams, F.slice(chars, n, F.greatest(F.size(chars), F.lit(1))), lambda a, c: F.concat(a, c))  # noqa: E731  null past the end
+    each = [chars]
+    for n in range(2, max(sizes) + 1):
+        each.append(longer(each[-1], n))
+    return F.filter(F.flatten(F.array(*(each[n - 1] for n in sizes))), lambda g: g.isNotNull())
 
 
 def redact(text: Column, marker: str = "[REDACTED]") -> tuple[Column, Column]:

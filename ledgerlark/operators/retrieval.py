@@ -79,7 +79,8 @@ def char_tfidf(queries: DataFrame, docs: DataFrame) -> DataFrame:
     norms = d.groupBy("id").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
     q = weigh(postings(queries.select(F.col("query_id").alias("id"), "text"), char_grams)).select(F.col("id").alias("query_id"), "term", F.col("w").alias("wq"))
     q_norms = q.groupBy("query_id").agg(F.sqrt(F.sum(F.col("wq") * F.col("wq"))).alias("norm_q"))
-    dots = q.join(d.select("id", "term", "w"), "term").groupBy("query_id", "id").agg(F.sum(F.col("w") * F.col("wq")).alias("dot"))
+    wanted = q.select("term").distinct()
+    dots = q.join(weigh(post.join(wanted, "term", "left_semi")).select("id", "term", "w"), "term").groupBy("query_id", "id").agg(F.sum(F.col("w") * F.col("wq")).alias("dot"))
     return dots.join(norms, "id").join(q_norms, "query_id").select("query_id", "id", F.round(F.col("dot") / (F.col("norm") * F.col("norm_q")), 6).alias("score"))
 
 

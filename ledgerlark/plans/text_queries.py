@@ -109,7 +109,7 @@ QUERIES = {
     "r09_charset_sim": lambda s, d: R.char_set_similarity(_items(s, d), _docs(s, d)),
     "r10_bm25": lambda s, d: _bm(s, d, 5),
     "r10_bm25_filtered": lambda s, d: R.ranked(R.bm25(_items(s, d), _docs(s, d), where=F.col("id") % 2 == 0), 3),
-    "r11_char_tfidf": lambda s, d: R.ranked(R.char_tfidf(_items(s, d), table(s, d, "benchmark").select(F.col("item_id").alias("id"), "text")), 3),
+    "r11_char_tfidf": lambda s, d: R.ranked(R.char_tfidf(_items(s, d), _docs(s, d)), 3),
     "r12_hash_embed": lambda s, d: R.ranked(R.hash_search(_items(s, d), _docs(s, d)), 5),
     "r13_dense_topk": lambda s, d: R.dense_search(_vectors(s, d).where("id < 10").select(F.col("id").alias("query_id"), "vector"), _vectors(s, d), 5),
     "r13_dense_corpus": lambda s, d: R.dense_search(_vectors(s, d).where("id % 50 = 0").select(F.col("id").alias("query_id"), "vector"), _vectors(s, d), 5),

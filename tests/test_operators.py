@@ -250,3 +250,34 @@ def test_dense_corpus_asks_every_fiftieth_vector(spark, sf):
 
     asked = {r.query_id for r in registry.QUERIES["r13_dense_corpus"](spark, sf).collect()}
     assert asked == {r.vec_id for r in spark.read.parquet(f"{sf}/embeddings.parquet").where("vec_id % 50 = 0").collect()}
+
+
+def test_char_tfidf_equals_brute_force(spark, tmp_path):
+    from math import log, sqrt
+
+    from ledgerlark.plans import registry
+
+    docs = {100: "Red lamp", 101: "green  lamp", 102: "a blue door", 103: "xyz"}
+    items = {1: "red lamps", 2: "blue"}
+    spark.createDataFrame([(i, t, "s", "en") for i, t in docs.items()], "doc_id long, text string, source string, lang string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame(list(items.items()), "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+
+    def grams(t):
+        t = " ".join(t.lower().split())
+        out: dict = {}
+        for n in (1, 2, 3):
+            for i in range(len(t) - n + 1):
+                out[t[i : i + n]] = out.get(t[i : i + n], 0) + 1
+        return out
+
+    held = {i: grams(t) for i, t in docs.items()}
+    idf = {g: log((1 + len(docs)) / (1 + sum(g in h for h in held.values()))) + 1 for h in held.values() for g in h}
+    weigh = lambda h: {g: (1 + log(n)) * idf[g] for g, n in h.items() if g in idf}
+    norm = lambda w: sqrt(sum(x * x for x in w.values()))
+    want = {}
+    for k, t in items.items():
+        q = weigh(grams(t))
+        scores = {i: sum(x * w.get(g, 0) for g, x in q.items()) / norm(q) / norm(w) for i, w in ((i, weigh(h)) for i, h in held.items())}
+        want |= {(k, i): x for i, x in sorted(((i, x) for i, x in scores.items() if x), key=lambda y: (-y[1], y[0]))[:3]}
+    got = {(r.query_id, r.id): r.score for r in registry.QUERIES["r11_char_tfidf"](spark, str(tmp_path)).collect()}
+    assert got == pytest.approx(want, abs=1e-6)
