@@ -21,19 +21,42 @@ _own: dict[str, str] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share. A temporary one is taken only where the session names none (tests)."""
+    """The folder that driver and executors share, as spark.checkpoint.dir names it. Only a session with a local master
+    may do without and gets a temporary one: its tasks run in the driver, so that any folder is shared."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not found:
+        if spark.sparkContext.master.split("[")[0] != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         app = spark.sparkContext.applicationId
         found = _own[app] = _own.get(app) or f"file://{tempfile.mkdtemp(prefix='ledgerlark-')}"
     return found.rstrip("/")
 
 
+#: Removes an execution's shuffle files when it has ended, so that disk holds one step's shuffles and not all of them.
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Cuts the lineage: writes df as Parquet to the shared folder and reads it back, so lost executors cost no recomputation."""
-    path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    before = spark.conf.get(_CLEANUP, None)
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.unset(_CLEANUP) if before is None else spark.conf.set(_CLEANUP, before)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._written_at = path
+    return out
+
+
+def discard(*written: DataFrame) -> None:
+    """Deletes tables that materialize() wrote, once nothing that is still to run reads them."""
+    for df in written:
+        spark = df.sparkSession
+        path = spark._jvm.org.apache.hadoop.fs.Path(df._written_at)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def words_of(text: Column) -> Column:
@@ -147,11 +170,5 @@ def shingle_sets(buf: np.ndarray, offs: np.ndarray, k: int) -> Iterator[np.ndarr
             yield np.zeros(0, dtype=np.uint64)
 
 
-def long_list(values: list[np.ndarray]) -> pa.Array:
-    """Unsigned arrays as a column of arrays of longs."""
-    flat = np.concatenate(values).view(np.int64) if values else np.zeros(0, dtype=np.int64)
-    return pa.ListArray.from_arrays(np.cumsum([0, *map(len, values)]).astype(np.int32), pa.array(flat, type=pa.int64()))
-
-
 def blobs(values: list[bytes]) -> pa.Array:
     return pa.array(values, type=pa.binary())

@@ -3,8 +3,11 @@
 Documents with equal shingle sets become one representative. Candidates come from a partition of each set: two sets
 that reach the threshold differ in few shingles, so of a few more parts than that, cut by hash range, at least one part
 holds the same shingles in both. Documents that share enough parts are put into groups of bounded size under the
-smallest document that they share most with. A group's token union bounds a query's overlap with all its members; only a group whose
-bound reaches the threshold is opened, and then its token matrix gives every overlap at once.
+smallest document that they share most with. A group's token union bounds a query's overlap with all its members; only a
+group whose bound reaches the threshold is opened, and then its token matrix gives every overlap at once.
+
+Where components are all that is asked for, groups are first linked inside and with their leaders, which joins a family
+of near copies at once. Then only groups that hold different components still ask each other.
 """
 
 from __future__ import annotations
@@ -14,10 +17,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerlark.llm.common import _ODD, _U, buffers, long_list, lowered, materialize, mix, shingle_sets, word_spans
+from ledgerlark.llm.common import _ODD, _U, buffers, discard, lowered, materialize, mix, shingle_sets
 from ledgerlark.llm.components import connected_components
 from ledgerlark.session import table
 
@@ -26,8 +29,8 @@ GROUP, QUERIES_A_TASK = 256, 4096
 
 
 @functools.lru_cache
-def size_classes(percent: int, most: int = 1 << 24) -> np.ndarray:
-    """Smallest set size of each class. A class is wide enough that partners lie in the same or a neighbouring class;
+def size_classes(percent: int, most: int) -> np.ndarray:
+    """Smallest set size of each class up to the first one over most. A class is wide enough that partners lie in the same or a neighbouring class;
     wide classes save signatures, but leave fewer shingles to a part, so low thresholds have narrow ones."""
     lows = [1]
     while lows[-1] <= most:
@@ -48,7 +51,7 @@ def signatures(tokens: np.ndarray, percent: int) -> tuple[np.ndarray, int]:
     """One hash for each part of a sorted set, in its own size class and in the next where a larger partner may be, and
     the number of them that it shares with every partner at least. Empty parts are left out as long as others suffice."""
     n = len(tokens)
-    lows = size_classes(percent)
+    lows = size_classes(percent, 1 << max(24, 2 * n.bit_length()))  # the two classes above a set's own are in it
     own = int(np.searchsorted(lows, n, "right")) - 1
     sums = np.concatenate([np.zeros(1, dtype=np.uint64), np.cumsum(mix(tokens ^ _ODD[5]))])
     out, need = [], n
@@ -66,22 +69,33 @@ def signatures(tokens: np.ndarray, percent: int) -> tuple[np.ndarray, int]:
     return np.concatenate(out), need
 
 
-def _signed(batches: Iterator[pa.RecordBatch], k: int, percent: int) -> Iterator[pa.RecordBatch]:
+def _printed(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
+    """Each row's set size and two hashes of its set."""
     for batch in batches:
-        for lo, hi, buf, offs in buffers(batch.column(1)):
+        for lo, hi, buf, offs in buffers(batch.column("text")):
             sets = list(shingle_sets(lowered(buf), offs, k))
-            print_ = [mix(np.array([s.sum(dtype=np.uint64), mix(s + _U(1)).sum(dtype=np.uint64)], dtype=np.uint64) + _U(len(s))) if len(s) else np.zeros(2, dtype=np.uint64) for s in sets]
-            prints = np.array(print_, dtype=np.uint64).reshape(-1, 2).view(np.int64)
-            signed = [signatures(s, percent) if len(s) else (s, 0) for s in sets]
-            columns = [batch.column(0).slice(lo, hi - lo), pa.array([len(s) for s in sets], pa.int64()), pa.array(prints[:, 0]), pa.array(prints[:, 1]), long_list([s for s, _ in signed]), pa.array([n for _, n in signed], pa.int32())]
-            yield pa.RecordBatch.from_arrays(columns, names=["row", "n", "p0", "p1", "sigs", "need"])
+            prints = [mix(np.array([s.sum(dtype=np.uint64), mix(s + _U(1)).sum(dtype=np.uint64)], dtype=np.uint64) + _U(len(s))) if len(s) else np.zeros(2, dtype=np.uint64) for s in sets]
+            prints = np.array(prints, dtype=np.uint64).reshape(-1, 2).view(np.int64)
+            columns = [batch.column(x).slice(lo, hi - lo) for x in ("row", "t")]
+            yield pa.RecordBatch.from_arrays([*columns, pa.array([len(s) for s in sets], pa.int64()), pa.array(prints[:, 0]), pa.array(prints[:, 1])], names=["row", "t", "n", "p0", "p1"])
+
+
+def _parted(batches: Iterator[pa.RecordBatch], k: int, percent: int) -> Iterator[pa.RecordBatch]:
+    """A row for each part of each row's set."""
+    for batch in batches:
+        for lo, hi, buf, offs in buffers(batch.column("text"), 1 << 19):
+            rows = batch.column("row").to_numpy()[lo:hi]
+            signed = [signatures(s, percent) for s in shingle_sets(lowered(buf), offs, k)]
+            lens = [len(s) for s, _ in signed]
+            needs = np.array([n for _, n in signed], dtype=np.int32)
+            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(rows, lens)), pa.array(np.repeat(needs, lens)), pa.array(np.concatenate([s for s, _ in signed]).view(np.int64))], names=["row", "need", "sig"])
 
 
 def _sets(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for lo, hi, buf, offs in buffers(batch.column("text")):
-            rest = [batch.column(x).slice(lo, hi - lo) for x in ("row", "weight", "cell", "chunk")]
-            yield pa.RecordBatch.from_arrays([*rest, pa.array([s.tobytes() for s in shingle_sets(lowered(buf), offs, k)], pa.binary())], names=["row", "weight", "cell", "chunk", "tokens"])
+            rest = [batch.column(x).slice(lo, hi - lo) for x in ("row", "weight")]
+            yield pa.RecordBatch.from_arrays([*rest, pa.array([s.tobytes() for s in shingle_sets(lowered(buf), offs, k)], pa.binary())], names=["row", "weight", "tokens"])
 
 
 def open_group(members: list[np.ndarray], queries: list[np.ndarray], percent: int) -> Iterator[tuple[int, np.ndarray]]:
@@ -103,9 +117,9 @@ def open_group(members: list[np.ndarray], queries: list[np.ndarray], percent: in
             yield i, linked
 
 
-def _group_links(table_: pa.Table, percent: int) -> pa.Table:
-    """Links of one group with the queries dealt to this task: (a, b, weight of b) for the smallest member of each
-    linked subset, and for each document the weight of all that it links with."""
+def _group_links(table_: pa.Table, percent: int, degrees: bool) -> pa.Table:
+    """Links of one group with the queries dealt to this task: (a, b) with the smallest member of each linked subset, and
+    where degrees are asked for (a, null, the weight of all that a links with). Roles: 0 member, 1 query, 2 both."""
     row, weight, role = (table_.column(x).to_numpy() for x in ("row", "weight", "role"))
     sets = [np.frombuffer(x.as_py(), dtype=np.uint64) for x in table_.column("tokens")]
     mine, asked = np.flatnonzero(role != 1), np.flatnonzero(role != 0)
@@ -128,9 +142,10 @@ def _group_links(table_: pa.Table, percent: int) -> pa.Table:
             q = int(row[asked[i]])
             own = place.get(q)
             others = linked[ids[linked] != q]
-            degree[q] = degree.get(q, 0) + int(heavy[others].sum())
+            if degrees:
+                degree[q] = degree.get(q, 0) + int(heavy[others].sum())
             if own is None:
-                for j in others.tolist():
+                for j in others.tolist() if degrees else ():
                     degree[int(ids[j])] = degree.get(int(ids[j]), 0) + int(weight[asked[i]])
                 later.append((q, others))
             else:
@@ -145,68 +160,133 @@ def _group_links(table_: pa.Table, percent: int) -> pa.Table:
     return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64()), "degree": pa.array([0] * len(links) + list(degree.values()), pa.int64())})
 
 
-def jaccard_join(docs: DataFrame, k: int = 3, percent: int = 90, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per row of docs: id_col, n_shingles, component_id, n_links.
+def jaccard_join(docs: DataFrame, k: int = 3, percent: int = 90, id_col: str = "doc_id", text_col: str = "text", links: bool = True) -> DataFrame:
+    """One row per row of docs: id_col, n_shingles, component_id, and n_links where links are asked for.
 
     Shingles are of k words of the text in which A-Z is lower-cased; with fewer words the whole sequence is one. Two
     rows link when 100 * |intersection| >= percent * |union|; component_id is the smallest id reachable by links,
-    n_links the number of rows linked with. A null or wordless text is linked with nothing. A null id stays a row of its
-    own with a null component; rows that repeat an id are rows of one document with the shingles of one of them linked
-    each. Extra columns are ignored, an empty table gives an empty result.
+    n_links the number of rows linked with. Counting links opens every pair of similar groups; components alone need
+    none of a family that is linked already. A null or wordless text is linked with nothing. A null id stays a row of
+    its own with a null component; rows that repeat an id are rows of one document, of whose texts that of the smallest
+    hash is linked with others. Extra columns are ignored, an empty table gives an empty result.
     """
-    spark = docs.sparkSession
-    base = docs.select(F.col(id_col).cast("bigint").alias("row"), F.col(text_col).alias("text"))
-    signed = materialize(base.mapInArrow(lambda it: _signed(it, k, percent), "row long, n long, p0 long, p1 long, sigs array<long>, need int"), "signed")
-    sets = signed.where("n > 0 and row is not null")
+    base = docs.select(F.col(id_col).cast("bigint").alias("row"), F.xxhash64(text_col).alias("t"), F.col(text_col).alias("text"))
+    prints = materialize(base.mapInArrow(lambda it: _printed(it, k), "row long, t long, n long, p0 long, p1 long"), "prints")
+    sets = prints.where("n > 0 and row is not null")
     # Grouped by both prints and joined on these and the size: the join deals rows anew, so that a hot group is split.
     classes = sets.groupBy("p0", "p1").agg(F.min("row").alias("rep"), F.count("*").alias("weight"), F.max("n").alias("n"))
-    classed = materialize(sets.select("row", "n", "p0", "p1").join(classes, ["p0", "p1", "n"]).select("row", "n", "rep", "weight"), "classed")
-    reps = classed.where("row = rep").groupBy("row").agg(F.max("weight").alias("weight"))
-
-    parts = sets.join(reps.select("row"), "row", "left_semi").select("row", F.explode("sigs").alias("sig"))
-    bucket = Window.partitionBy("sig").orderBy("row")
-    lead = parts.select("row", "sig", F.first("row").over(bucket).alias("leader"), F.lead("row").over(bucket).alias("next"))
-    live = materialize(lead.where("leader < row or next is not null").select("row", "sig", "leader"), "live")
-    # A partner shares at least `need` parts. Documents with fewer shared parts have none; the others join the group of
-    # the smallest document with which they share most parts, or start one.
-    needs = sets.groupBy("row").agg(F.min("need").alias("need"))
-    shared = live.groupBy("row", "leader").agg(F.count("*").alias("n")).join(needs, "row")
+    classed = sets.join(classes, ["p0", "p1", "n"]).select("row", "t", "n", "rep", "weight")
+    alone = prints.where("n = 0 or row is null").select("row", "t", "n", F.col("row").alias("rep"), F.lit(0).cast("bigint").alias("weight"))
+    classed = materialize(classed.unionByName(alone), "classed")
+    discard(prints)
+    reps = classed.where("row = rep and weight > 0").groupBy("row").agg(F.min("t").alias("t"), F.max("weight").alias("weight"))
+
+    # Merged at every size: whether the few ids could be broadcast must not decide how much is moved.
+    mine = base.join(reps.select("row", "t").hint("merge"), ["row", "t"]).dropDuplicates(["row", "t"])
+    parts = materialize(mine.mapInArrow(lambda it: _parted(it, k, percent), "row long, need int, sig long"), "parts")
+    # Counted first, so that a part that many hold is summed before it is moved, and joined back, which can be split.
+    often = parts.groupBy("sig").agg(F.min("row").alias("leader"), F.count("*").alias("n")).where("n > 1").drop("n")
+    often = materialize(often, "often")
+    live = materialize(parts.join(often, "sig"), "live")
+    discard(parts, often)
+    dealt = materialize(_cells(live).join(reps, "row"), "dealt")
+    held = base.join(dealt.select("row", "t", "weight").hint("merge"), ["row", "t"]).dropDuplicates(["row", "t"])
+    held = materialize(held.mapInArrow(lambda it: _sets(it, k), "row long, weight long, tokens binary"), "sets")
+
+    degrees = None
+    if links:
+        found = _opened(held, dealt.select("row", "cell", "chunk"), _all_asks(live, dealt), percent, True)
+        degrees = found.where("b is null").groupBy(F.col("a").alias("rep")).agg(F.sum("degree").alias("degree"))
+        comps = connected_components(found.where("b is not null").select("a", "b"))
+    else:
+        own = dealt.select("row", "cell", "chunk")
+        leaders = dealt.groupBy("leader", "cell", "chunk").count().select(F.col("leader").alias("row"), F.col("cell").alias("to_cell"), F.col("chunk").alias("to_chunk"))
+        leaders = materialize(leaders.join(own, "row").where("cell <> to_cell or chunk <> to_chunk").select("row", "to_cell", "to_chunk"), "asks")
+        first = _opened(held, own, leaders, percent, False)
+        comps = materialize(connected_components(first.select("a", "b")), "comps")
+        own, asks = _left_asks(live, dealt, comps)
+        second = _opened(held, own, asks, percent, False, F.expr("chunk % 2 = 1"))
+        comps = connected_components(comps.select(F.col("id").alias("a"), F.col("component").alias("b")).unionByName(second.select("a", "b")))
+    out = classed.join(comps.withColumnRenamed("id", "rep"), "rep", "left")
+    columns = [F.col("row").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("component", "rep").alias("component_id")]
+    if degrees is not None:
+        out = out.join(degrees, "rep", "left")
+        columns.append(F.greatest(F.lit(0), F.col("weight") - 1 + F.coalesce("degree", F.lit(0))).cast("bigint").alias("n_links"))
+    return out.select(columns)
+
+
+def _cells(live: DataFrame) -> DataFrame:
+    """(row, need, sig, leader) -> row, need, leader, cell, chunk of the rows that may have partners.
+
+    A partner shares at least `need` parts. Documents with fewer shared parts have none; the others follow the smallest
+    document with which they share most parts, or start a cell. Cells whose leaders follow each other become one, so a
+    family of near copies fills few groups.
+    """
+    shared = live.groupBy("row", "need", "leader").agg(F.count("*").alias("n"))
     close = F.when((F.col("leader") < F.col("row")) & (F.col("n") >= F.col("need")), F.struct("n", -F.col("leader")))
-    cells = shared.groupBy("row", "need").agg(F.sum("n").alias("n"), F.coalesce(F.max_by("leader", close), F.col("row")).alias("cell")).where("n >= need").drop("n")
+    cells = shared.groupBy("row", "need").agg(F.sum("n").alias("n"), F.coalesce(F.max_by("leader", close), F.col("row")).alias("leader")).where("n >= need").drop("n")
+    cells = materialize(cells, "cells")
+    up = cells.select(F.col("leader").alias("head")).distinct().join(cells.select(F.col("row").alias("head"), F.col("leader").alias("up")), "head", "left").select("head", F.coalesce("up", "head").alias("up"))
+    for _ in range(2):  # each step doubles how far up a head looks
+        up = materialize(up, "heads")
+        up = up.join(up.select(F.col("head").alias("up"), F.col("up").alias("upper")), "up", "left").select("head", F.coalesce("upper", "up").alias("up"))
+    cells = cells.join(up.select(F.col("head").alias("leader"), F.col("up").alias("cell")), "leader")
     sizes = cells.groupBy("cell").agg(F.count("*").alias("held"))
-    dealt = cells.join(sizes, "cell").select("row", "cell", "need", F.expr(f"pmod(xxhash64(row), cast(ceil(held / {GROUP}) as bigint))").alias("chunk"))
-    dealt = materialize(dealt.join(reps, "row"), "dealt")
-    # Merged at every size: whether the few ids could be broadcast must not decide how much is moved.
-    held = base.join(dealt.drop("need").hint("merge"), "row")
-    held = held.dropDuplicates(["row"]) if _repeats(classed) else held
-    held = materialize(held.mapInArrow(lambda it: _sets(it, k), "row long, weight long, cell long, chunk long, tokens binary"), "sets")
+    return cells.join(sizes, "cell").select("row", "need", "leader", "cell", F.expr(f"pmod(xxhash64(row), cast(ceil(held / {GROUP}) as bigint))").alias("chunk"))
 
-    # Groups that share enough parts for one member to have a partner in the other; the later group asks the earlier.
-    placed = live.join(dealt.select("row", "cell", "chunk", "need"), "row").groupBy("sig", "cell", "chunk").agg(F.min("need").alias("need"))
+
+def _all_asks(live: DataFrame, dealt: DataFrame) -> DataFrame:
+    """Rows and the earlier groups to ask: groups that share enough parts for one member to have a partner in the other."""
+    placed = live.select("row", "sig").join(dealt.select("row", "cell", "chunk", "need"), "row").groupBy("sig", "cell", "chunk").agg(F.min("need").alias("need"))
     others = placed.select("sig", F.col("cell").alias("to_cell"), F.col("chunk").alias("to_chunk"))
     pairs = placed.join(others, "sig").where("struct(to_cell, to_chunk) < struct(cell, chunk)")
     pairs = pairs.groupBy("cell", "chunk", "to_cell", "to_chunk").agg(F.count("*").alias("shared"), F.min("need").alias("need")).where("shared >= need")
-    asks = materialize(pairs.join(dealt.select("row", "cell", "chunk"), ["cell", "chunk"]).select("row", "to_cell", "to_chunk"), "asks")
+    return materialize(pairs.join(dealt.select("row", "cell", "chunk"), ["cell", "chunk"]).select("row", "to_cell", "to_chunk"), "asks")
+
+
+def _left_asks(live: DataFrame, dealt: DataFrame, comps: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """New groups of the cells, and the rows and groups to ask, for links between different components.
+
+    In a cell, the rows of its most frequent component and the others (in groups of odd numbers, which are opened for
+    their own members again) are dealt into groups apart. In each part's bucket
+    the component of the largest group is left out of the asking side, so a linked family never meets itself.
+    """
+    known = dealt.join(comps.select(F.col("id").alias("row"), "component"), "row", "left").withColumn("component", F.coalesce("component", "row"))
+    main = known.groupBy("cell", "component").agg(F.count("*").alias("n")).groupBy("cell").agg(F.max_by("component", F.struct("n", "component")).alias("main"))
+    known = known.join(main, "cell").withColumn("odd", (F.col("component") != F.col("main")).cast("int"))
+    sizes = known.groupBy("cell", "odd").agg(F.count("*").alias("held"))
+    known = known.join(sizes, ["cell", "odd"]).select("row", "need", "component", "cell", F.expr(f"pmod(xxhash64(row), cast(ceil(held / {GROUP}) as bigint)) * 2 + odd").alias("chunk"))
+    known = materialize(known, "known")
+    placed = live.select("row", "sig").join(known, "row").groupBy("sig", "cell", "chunk")
+    placed = placed.agg(F.min("need").alias("need"), F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("rows"))
+    placed = materialize(placed, "placed")
+    mixed = placed.groupBy("sig").agg(F.min("low").alias("least"), F.max("high").alias("most"), F.max_by("low", F.struct(F.when(F.col("low") == F.col("high"), F.col("rows")).otherwise(0), "low")).alias("top"))
+    placed = materialize(placed.join(mixed.where("least < most").select("sig", "top"), "sig").withColumn("is_top", F.expr("low = top and high = top")), "mixed")
+    to = placed.select("sig", *(F.col(x).alias(f"to_{x}") for x in ("cell", "chunk", "low", "high", "is_top")))
+    pairs = placed.where("not is_top").join(to, "sig").where("(to_is_top or struct(to_cell, to_chunk) < struct(cell, chunk)) and not (low = high and to_low = low and to_high = low)")
+    pairs = pairs.groupBy("cell", "chunk", "to_cell", "to_chunk").agg(F.count("*").alias("shared"), F.min("need").alias("need"))
+    # A pair may have met in both directions, by bucket: asked once, by the later group.
+    turned = F.expr("struct(cell, chunk) < struct(to_cell, to_chunk)")
+    pairs = pairs.select(*(F.when(turned, F.col(a)).otherwise(F.col(b)).alias(b) for a, b in (("to_cell", "cell"), ("to_chunk", "chunk"), ("cell", "to_cell"), ("chunk", "to_chunk"))), "shared", "need")
+    pairs = pairs.groupBy("cell", "chunk", "to_cell", "to_chunk").agg(F.sum("shared").alias("shared"), F.min("need").alias("need")).where("shared >= need")
+    asks = materialize(pairs.join(known.select("row", "cell", "chunk"), ["cell", "chunk"]).select("row", "to_cell", "to_chunk"), "asks")
+    return known.select("row", "cell", "chunk"), asks
+
+
+def _opened(held: DataFrame, own: DataFrame, asks: DataFrame, percent: int, degrees: bool, inside: Column | None = None) -> DataFrame:
+    """Links (a, b) of groups with what asks them, and between the members of a group where inside holds (always, if not
+    given): held (row, weight, tokens), own (row, cell, chunk), asks (row, to_cell, to_chunk)."""
     slots = asks.groupBy("to_cell", "to_chunk").agg(F.expr(f"cast(ceil(count(*) / {QUERIES_A_TASK}) as bigint)").alias("slots"))
-    queries = asks.join(slots, ["to_cell", "to_chunk"]).join(held.select("row", "weight", "tokens"), "row")
-    queries = queries.select(F.col("to_cell").alias("cell"), F.col("to_chunk").alias("chunk"), F.expr("pmod(xxhash64(row, 7), slots)").alias("slot"), "row", "weight", F.lit(1).alias("role"), "tokens")
-    spread = held.join(slots.withColumnsRenamed({"to_cell": "cell", "to_chunk": "chunk"}), ["cell", "chunk"], "left")
-    spread = spread.withColumn("slot", F.explode(F.expr("sequence(0L, coalesce(slots, 1L) - 1)")))
-    members = spread.select("cell", "chunk", "slot", "row", "weight", F.when(F.col("slot") == 0, 2).otherwise(0).alias("role"), "tokens")
-    found = members.unionByName(queries).groupBy("cell", "chunk", "slot").applyInArrow(lambda t: _group_links(t, percent), "a long, b long, degree long")
-    found = materialize(found, "found")
-
-    degrees = found.where("b is null").groupBy(F.col("a").alias("rep")).agg(F.sum("degree").alias("degree"))
-    comps = connected_components(found.where("b is not null").select("a", "b"))
-    known = degrees.join(comps.withColumnRenamed("id", "rep"), "rep", "full")
-    linked = classed.join(known, "rep", "left").select("row", "n", F.coalesce("component", "rep").alias("component_id"), (F.col("weight") - 1 + F.coalesce("degree", F.lit(0))).alias("n_links"))
-    alone = signed.where("n = 0 or row is null").select("row", "n", F.col("row").alias("component_id"), F.lit(0).cast("bigint").alias("n_links"))
-    return linked.unionByName(alone).select(F.col("row").alias(id_col), F.col("n").alias("n_shingles"), "component_id", "n_links")
-
-
-def _repeats(classed: DataFrame) -> bool:
-    """Whether an id stands on more than one row, so that one of its texts must be chosen."""
-    return classed.groupBy("row").count().where("count > 1").limit(1).count() > 0
+    slots = materialize(slots.select(F.col("to_cell").alias("cell"), F.col("to_chunk").alias("chunk"), "slots"), "slots")
+    queries = asks.select("row", F.col("to_cell").alias("cell"), F.col("to_chunk").alias("chunk")).join(slots, ["cell", "chunk"])
+    queries = queries.select("row", "cell", "chunk", F.expr("pmod(xxhash64(row, 7), slots)").alias("slot"), F.lit(1).alias("role"))
+    inside = F.lit(True) if inside is None else inside
+    spread = own.join(slots, ["cell", "chunk"], "left").where(F.col("slots").isNotNull() | inside).withColumn("slot", F.explode(F.expr("sequence(0L, coalesce(slots, 1L) - 1)")))
+    spread = spread.select("row", "cell", "chunk", "slot", F.when((F.col("slot") == 0) & inside, 2).otherwise(0).alias("role"))
+    # One join brings the tokens to members and queries alike.
+    rows = spread.unionByName(queries).join(held, "row").select("cell", "chunk", "slot", "row", "weight", "role", "tokens")
+    found = rows.groupBy("cell", "chunk", "slot").applyInArrow(lambda t: _group_links(t, percent, degrees), "a long, b long, degree long")
+    return materialize(found, "found")
 
 
 def op3_token_group_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:

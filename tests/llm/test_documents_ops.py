@@ -61,6 +61,8 @@ def test_jaccard_join_equals_brute_force(spark, k, percent):
             if x not in comp:
                 comp[x] = comp.get(i, i)
                 todo += near[x]
+    alone = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard_join.jaccard_join(frame(spark, rows), k, percent, links=False).collect()}
+    assert alone == {i: (len(sets[i]), comp[i]) for i in sets}
     got = {r.doc_id: r for r in jaccard_join.jaccard_join(frame(spark, rows), k, percent).collect()}
     assert {i: (r.n_shingles, r.component_id, r.n_links) for i, r in got.items()} == {i: (len(sets[i]), comp[i], len(near[i])) for i in sets}
 
@@ -82,6 +84,51 @@ def test_large_groups_are_split_without_losing_links(spark, monkeypatch):
     assert all(r.n_links == 39 for r in got)
 
 
+def test_components_of_similar_families_are_exact(spark, monkeypatch):
+    """Two families near the threshold to each other, chains of edits and strays, in groups much smaller than they are."""
+    monkeypatch.setattr(jaccard_join, "GROUP", 5)
+    monkeypatch.setattr(jaccard_join, "QUERIES_A_TASK", 7)
+    r = random.Random(11)
+    base = [f"w{j}" for j in range(90)]
+    rows = []
+    for i in range(150):
+        w = list(base)
+        for _ in range(r.choice([1, 2, 3, 4, 5, 9])):
+            w[r.randrange(len(w))] = f"x{r.randrange(60)}"
+        if i % 3 == 0:
+            w[40:52] = [f"y{j}" for j in range(12)]
+        rows.append((i, " ".join(w)))
+    r.shuffle(rows)
+    sets = {i: shingles(t, 5) for i, t in rows}
+    comp = {}
+    for i in sorted(sets):
+        todo = [i]
+        while todo:
+            x = todo.pop()
+            if x not in comp:
+                comp[x] = comp.get(i, i)
+                todo += [j for j in sets if 100 * len(sets[x] & sets[j]) >= 80 * len(sets[x] | sets[j])]
+    assert len(set(comp.values())) > 5
+    got = jaccard_join.jaccard_join(frame(spark, rows), 5, 80, links=False).collect()
+    assert {x.doc_id: x.component_id for x in got} == comp
+
+
+def test_a_family_of_thousands_is_linked_without_all_pairs(spark, monkeypatch):
+    opened = []
+    inner = jaccard_join._opened
+    monkeypatch.setattr(jaccard_join, "_opened", lambda held, own, asks, *a: opened.append(asks.count()) or inner(held, own, asks, *a))
+    rows = [(i, " ".join(f"w{j}" if j != i % 150 else f"x{i}" for j in range(150))) for i in range(5000)]
+    got = jaccard_join.jaccard_join(frame(spark, rows), 5, 80, links=False).collect()
+    assert {x.component_id for x in got} == {0}
+    assert sum(opened) < 5000
+
+
+def test_a_set_of_any_size_has_parts():
+    for n in (1, 7, 1 << 20, (1 << 24) + 5):
+        classes = jaccard_join.size_classes(80, 1 << max(24, 2 * n.bit_length()))
+        assert int(np.searchsorted(classes, n, "right")) + 1 < len(classes)
+
+
 def repeats(docs, length):
     seen = Counter(d[i : i + length] for _, d in docs for i in range(len(d) - length + 1))
     out = {}
