@@ -49,20 +49,21 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = 3)
     return named.select("source", "source_size", F.least("limit", F.coalesce(F.col("level") * F.col("weight"), F.col("limit"))).alias("target"))
 
 
-def mix(docs: DataFrame, quality: DataFrame | None = None, weights: tuple[int, ...] = WEIGHTS, most: int = 3, seed: str = "mix", id_col: str = "doc_id", source_col: str = "source", text_col: str = "text") -> DataFrame:
-    """One row per row of docs: id_col, size, source_size, target, copies, taken.
+def mix(docs: DataFrame, quality: DataFrame | None = None, weights: tuple[int, ...] = WEIGHTS, most: int = 3, seed: str = "mix", id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
+    """One row per row of docs: id_col, size, source_size, target, copies, taken, and the columns to carry.
 
     size counts words. A source takes target div source_size whole epochs of all its documents, then more documents by
     ascending key -ln(u) / weight, each as long as the middle of its words lies within what is left; taken = copies *
-    size. u is a hash of seed and id, so reruns agree; quality (id_col, weight > 0) scales the keys, 1 where it has none.
+    size. u is a hash of seed and id, so reruns agree; quality (id_col, weight > 0) scales the keys, by the
+    largest weight of an id, 1 where it has none.
     A null source is a source, last in order; a null text has size 0 and copies of whole epochs only. Rows that repeat an
     id draw the same key and are told apart by size alone; an empty table gives an empty result.
     """
     draw = (F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col(id_col).cast("string"), F.lit("")))), 1, 12), 16, 10).cast("bigint") + 1) / float((1 << 48) + 1)
-    rows = docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size"), draw.alias("u"))
+    rows = docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size"), draw.alias("u"), F.struct(F.lit(0).alias("none"), *carry).alias("carried"))
     rows = materialize(rows, "words")
     if quality is not None:
-        rows = rows.join(quality.select(F.col(id_col).alias("id"), F.col("weight").cast("double").alias("quality")).where("quality > 0").dropDuplicates(["id"]), "id", "left")
+        rows = rows.join(quality.select(F.col(id_col).alias("id"), F.col("weight").cast("double").alias("quality")).where("quality > 0").groupBy("id").agg(F.max("quality").alias("quality")), "id", "left")
     else:
         rows = rows.withColumn("quality", F.lit(1.0))
     rows = rows.withColumn("key", -F.ln("u") / F.coalesce("quality", F.lit(1.0))).drop("u", "quality")
@@ -72,7 +73,7 @@ def mix(docs: DataFrame, quality: DataFrame | None = None, weights: tuple[int, .
     goals = goals.withColumns({"epochs": F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0), "slices": F.expr(f"n div {SLICE} + 1")})
     goals = materialize(goals.withColumn("rest", F.col("target") - F.col("epochs") * F.col("source_size")), "goals")
     # Keys are exponential, so their distribution function cuts them into slices of about equal numbers, in key order.
-    sliced = rows.join(F.broadcast(goals) if _few(goals) else goals, rows["source"].eqNullSafe(goals["source"])).drop(goals["source"])
+    sliced = rows.join(goals, rows["source"].eqNullSafe(goals["source"])).drop(goals["source"])
     sliced = materialize(sliced.withColumn("slice", F.floor((1 - F.exp(-F.col("key"))) * F.col("slices")).cast("bigint")), "sliced")
     sums = sliced.groupBy("source", "slice").agg(F.sum("size").alias("held"))
     sums = sums.select("source", "slice", F.coalesce(F.sum("held").over(Window.partitionBy("source").orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("ahead"))
@@ -83,12 +84,7 @@ def mix(docs: DataFrame, quality: DataFrame | None = None, weights: tuple[int, .
     middle = F.col("ahead") + F.col("run") + F.col("size") / 2
     more = ((middle <= F.col("rest")) & (F.col("size") > 0) & (F.col("epochs") < most)).cast("bigint")
     copies = (F.col("epochs") + more).cast("bigint")
-    return within.select(F.col("id").alias(id_col), "size", "source_size", "target", copies.alias("copies"), (copies * F.col("size")).alias("taken"))
-
-
-def _few(goals: DataFrame, most: int = 10_000) -> bool:
-    """Whether there are so few sources that a row for each can be broadcast."""
-    return goals.limit(most + 1).count() <= most
+    return within.select(F.col("id").alias(id_col), "size", "source_size", "target", copies.alias("copies"), (copies * F.col("size")).alias("taken"), *(F.col(f"carried.{c}").alias(c) for c in carry))
 
 
 def label_weights(labels: DataFrame) -> DataFrame:

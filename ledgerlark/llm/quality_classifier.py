@@ -12,13 +12,17 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ledgerlark.llm.common import buffers, held_out, materialize
 from ledgerlark.session import table
 
 
+#: Scores from here on are accepted.
+ACCEPTED = 0.7
+
+
 @dataclass(frozen=True)
 class Model:
     """Bounded by the sample: idf (buckets), axes (buckets x rank), vectors (sample x rank), labels (sample)."""
@@ -57,21 +61,21 @@ def _counted(batches: Iterator[pa.RecordBatch], buckets: int) -> Iterator[pa.Rec
     for batch in batches:
         for lo, hi, buf, offs in buffers(batch.column("text")):
             rows = hashed_counts(buf, offs, buckets)
-            yield pa.RecordBatch.from_arrays([batch.column("quality").slice(lo, hi - lo), pa.array([r.tobytes() for r in rows], pa.binary())], names=["quality", "counts"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(x).slice(lo, hi - lo) for x in ("place", "quality")), pa.array([r.tobytes() for r in rows], pa.binary())], names=["place", "quality", "counts"])
 
 
 def fit(docs: DataFrame, labels: DataFrame, sample: int = 4096, buckets: int = 2048, rank: int = 64, neighbours: int = 15, sharpness: float = 4.0) -> Model:
     """Learns from at most sample labelled documents, those of the smallest id hashes outside the held-out fold. Of
-    several labels for an id the lowest counts; null labels and texts don't count."""
+    several labels for an id the lowest counts, of several texts for an id that of the smallest hash; null labels and
+    texts don't count. The sample is put in the order of id hash and id, so that partitions and arrival change nothing."""
     marks = labels.where(F.col("doc_id").isNotNull() & F.col("quality").isin(0, 1) & ~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.min("quality").cast("int").alias("quality"))
-    there = docs.where("doc_id is not null and text is not null").select("doc_id")
-    chosen = materialize(marks.join(there, "doc_id", "left_semi").orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample), "sample")
-    texts = docs.select("doc_id", "text").where("text is not null").join(F.broadcast(chosen), "doc_id").select("quality", "text")
-    rows = texts.mapInArrow(lambda it: _counted(it, buckets), "quality int, counts binary").limit(sample).collect()  # bounded by the sample
-    y = np.array([r[0] for r in rows], dtype=np.float32)
-    x = np.array([np.frombuffer(r[1], dtype=np.float32) for r in rows], dtype=np.float32).reshape(-1, buckets)
-    order = np.lexsort((*x[:, :8].T, y)) if len(y) else []  # the order of arrival must not matter
-    x, y = np.log1p(x[order]), y[order]
+    there = docs.where("doc_id is not null and text is not null").groupBy("doc_id").agg(F.min(F.xxhash64("text")).alias("t"))
+    chosen = marks.join(there, "doc_id").select(F.xxhash64("doc_id").alias("h"), "doc_id", "t", "quality").orderBy("h", "doc_id").limit(sample)
+    chosen = materialize(chosen.withColumn("place", F.row_number().over(Window.orderBy("h", "doc_id"))), "sample")
+    texts = docs.select("doc_id", F.xxhash64("text").alias("t"), "text").where("text is not null").join(F.broadcast(chosen), ["doc_id", "t"]).dropDuplicates(["place"]).select("place", "quality", "text")
+    rows = sorted(texts.mapInArrow(lambda it: _counted(it, buckets), "place int, quality int, counts binary").collect())  # at most sample rows
+    y = np.array([r[1] for r in rows], dtype=np.float32)
+    x = np.log1p(np.array([np.frombuffer(r[2], dtype=np.float32) for r in rows], dtype=np.float32).reshape(-1, buckets))
     idf = (np.log((1 + len(x)) / (1 + (x > 0).sum(axis=0))) + 1).astype(np.float32)
     x = unit(x * idf)
     draws = np.random.Generator(np.random.PCG64(7)).standard_normal((buckets, rank + 16), dtype=np.float32)
@@ -84,13 +88,20 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = 4096, buckets: int = 2
 
 
 def votes(model: Model, vectors: np.ndarray) -> np.ndarray:
-    """Similarity-weighted share of label 1 among the nearest; the base rate for a zero vector."""
+    """Similarity-weighted share of label 1 among the nearest; the base rate for a zero vector. Of equally near labelled
+    vectors at the last place the first in the sample's order count."""
     out = np.full(len(vectors), model.base)
     if not len(model.labels):
         return out
     near = vectors @ model.vectors.T
     k = min(model.neighbours, near.shape[1])
-    at = np.argpartition(near, near.shape[1] - k, axis=1)[:, near.shape[1] - k :] if k < near.shape[1] else np.tile(np.arange(k), (len(near), 1))
+    at = np.tile(np.arange(k), (len(near), 1))
+    if k < near.shape[1]:
+        last = np.partition(near, near.shape[1] - k, axis=1)[:, near.shape[1] - k, None]
+        above = near > last
+        level = near == last
+        taken = above | (level & (np.cumsum(level, axis=1) <= k - above.sum(axis=1, keepdims=True)))
+        at = np.nonzero(taken)[1].reshape(len(near), k)
     weight = np.clip(np.take_along_axis(near, at, axis=1), 0, 1).astype(np.float64) ** model.sharpness
     total = weight.sum(axis=1)
     voted = total > 1e-9
@@ -98,13 +109,13 @@ def votes(model: Model, vectors: np.ndarray) -> np.ndarray:
     return np.clip(out, 0.0, 1.0)
 
 
-def _scored(batches: Iterator[pa.RecordBatch], model, text: str, kept: list[str]) -> Iterator[pa.RecordBatch]:  # noqa: ANN001
+def _scored(batches: Iterator[pa.RecordBatch], model, text: str, kept: list[str], out: str) -> Iterator[pa.RecordBatch]:  # noqa: ANN001
     m: Model = model.value
     for batch in batches:
         for lo, hi, buf, offs in buffers(batch.column(text), 1 << 20):
             x = np.log1p(hashed_counts(buf, offs, len(m.idf))) * m.idf
             score = votes(m, unit(unit(x) @ m.axes))
-            yield pa.RecordBatch.from_arrays([*(batch.column(n).slice(lo, hi - lo) for n in kept), pa.array(score)], names=[*kept, "_score"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(n).slice(lo, hi - lo) for n in kept), pa.array(score)], names=[*kept, out])
 
 
 def score(docs: DataFrame, model: Model, carry: list[str], text_col: str = "text", out: str = "score") -> DataFrame:
@@ -115,15 +126,15 @@ def score(docs: DataFrame, model: Model, carry: list[str], text_col: str = "text
     """
     rows = docs.select(*dict.fromkeys([*carry, text_col]))
     kinds = dict(rows.dtypes)
-    schema = ", ".join(f"`{c}` {kinds[c]}" for c in carry) + ", `_score` double"
+    schema = ", ".join(f"`{c}` {kinds[c]}" for c in carry) + f", `{out}` double"
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    return rows.mapInArrow(lambda it: _scored(it, shared, text_col, carry), schema).withColumnRenamed("_score", out)
+    return rows.mapInArrow(lambda it: _scored(it, shared, text_col, carry, out), schema)
 
 
 def op4_neighbour_votes(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     scored = score(docs, fit(docs, table(spark, sf_dir, "labels")), ["doc_id"])
-    return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
+    return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= ACCEPTED).cast("int").alias("predicted"))
 
 
 QUERIES = {"op4_neighbour_votes": op4_neighbour_votes}

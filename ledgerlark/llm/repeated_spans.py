@@ -2,12 +2,13 @@
 
 Wherever a string of LENGTH bytes repeats, both places have the same content-defined anchors: positions whose gram of
 half that length has the smallest hash of some stretch of grams. Grams that occur once are dropped. The bytes around
-the other anchors are dealt by gram; in each gram's bucket the texts to the right of the anchor, and to the left read
-backwards, are mergesorted. Two suffixes are compared by binary search for their common extension over prefix
-polynomial hashes, and neighbours are verified byte by byte. A window around an anchor repeats when another context
-shares its bytes on both sides. Whole copies of a document are settled beforehand, and contexts that agree are combined
-before they are dealt, so that a hot passage costs little. A hot gram's contexts never meet in one task: their windows
-are counted by digest over all tasks, in ranges of offsets.
+the other anchors are its contexts; equal ones are counted as one before anything is dealt, and their owners are joined
+back at the end. In each gram's group the texts to the right of the anchor, and to the left read backwards, are
+mergesorted. Two suffixes are compared by binary search for their common extension over prefix polynomial hashes, and
+neighbours are verified byte by byte. A window around an anchor repeats when another context shares its bytes on both
+sides. A group with more different contexts than a task sorts is divided by offsets: all windows of a range of offsets
+share their middle, so contexts cut to that range fall into smaller groups by those bytes, which are sorted alike. Whole
+copies of a document are settled beforehand.
 """
 
 from __future__ import annotations
@@ -20,13 +21,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerlark.llm.common import _BYTE, _ODD, _U, buffers, materialize, mix, powers, prefix_hash
+from ledgerlark.llm.common import _BYTE, _ODD, _U, buffers, discard, materialize, mix, powers, prefix_hash
 from ledgerlark.session import table
 
-#: Contexts that a task sorts together; occurrences of a gram above which it is hot and counted over all tasks; owners that a task holds.
-BLOCK, MOST, SHARE = 4096, 8192, 50_000
-#: Parts into which each step of the count of hot windows cuts a range of offsets.
-PARTS = 6
+#: Contexts that a task gathers before it sorts; different contexts of a group above which it is divided; parts of a division.
+BLOCK, MOST, PARTS = 4096, 8192, 6
 
 
 def _sliding(x: np.ndarray, width: int, best: np.ufunc) -> np.ndarray:
@@ -68,8 +67,13 @@ def _anchored(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.Rec
             yield pa.RecordBatch.from_arrays([pa.array(rk), pa.array((at - offs[doc]).astype(np.int32)), pa.array(h.view(np.int64)), pa.array((mix(h + _ODD[3]) >> _U(33)).astype(np.int32))], names=["rk", "pos", "gram", "more"])
 
 
-def _contexts(batches: Iterator[pa.RecordBatch], length: int, hot: int) -> Iterator[pa.RecordBatch]:
-    """The bytes around live anchors of hot grams or of the others; those that agree in a slice of rows are one with several owners."""
+def _named(left: int, context: bytes) -> bytes:
+    """What a context is known by."""
+    return hashlib.blake2b(b"%d " % left + context, digest_size=16).digest()
+
+
+def _contexts(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
+    """The bytes around live anchors; those that agree in a slice of rows are one with several owners."""
     gram = length // 2
     for batch in batches:
         marks = batch.column("marks").to_pylist()
@@ -82,7 +86,7 @@ def _contexts(batches: Iterator[pa.RecordBatch], length: int, hot: int) -> Itera
                     continue
                 text = buf[offs[i - lo] : offs[i - lo + 1]].tobytes()
                 for m in marks[i]:
-                    if m["kind"] == 0 and m["hot"] == hot:
+                    if m["kind"] == 0:
                         a = max(0, m["pos"] - length + gram)
                         entry = found.setdefault((m["gram"], m["pos"] - a, text[a : m["pos"] + length]), [0, []])
                         entry[0] += 2 if 2 in kinds else 1
@@ -95,8 +99,9 @@ def _contexts(batches: Iterator[pa.RecordBatch], length: int, hot: int) -> Itera
                     pa.StructArray.from_arrays([pa.array([o[0] for o in owners], pa.int64()), pa.array([o[1] for o in owners], pa.int64()), pa.array([o[2] for o in owners], pa.int32())], names=["rk", "doc", "pos"]),
                 )
                 yield pa.RecordBatch.from_arrays([
-                    pa.array([k[0] for k in found], pa.int64()), pa.array([k[1] for k in found], pa.int32()), pa.array([k[2] for k in found], pa.binary()), pa.array([v[0] for v in found.values()], pa.int64()), lists,
-                ], names=["gram", "left", "context", "held", "owners"])
+                    pa.array([k[0] for k in found], pa.int64()), pa.array([_named(k[1], k[2]) for k in found], pa.binary()), pa.array([k[1] for k in found], pa.int32()),
+                    pa.array([k[2] for k in found], pa.binary()), pa.array([v[0] for v in found.values()], pa.int64()), lists,
+                ], names=["gram", "ctx", "left", "context", "held", "owners"])
 
 
 class Suffixes:
@@ -194,97 +199,94 @@ def repeated_windows(group: np.ndarray, contexts: list[bytes], left: np.ndarray,
 
 
 def _parts(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
-    """Each context's range of offsets in PARTS, with digests of the bytes that all of a part's windows share (c) and of
-    all bytes that the part's possible windows cover (u). a and b bound the offsets that the context has bytes for."""
-    names = ["ctx", "left", "context", "held", "lo", "hi", "a", "b", "c1", "c2", "u1", "u2"]
-    kinds = [pa.binary(), pa.int32(), pa.binary(), pa.int64(), *[pa.int32()] * 4, *[pa.int64()] * 4]
+    """Contexts cut to each of PARTS ranges of their group's offsets lo to hi, in groups by the bytes that all windows of
+    such a range share."""
+    names = ["ctx", "left", "context", "held", "lo", "hi"]
+    out_names = ["parent", "gram", "ctx", "left", "context", "held", "lo", "hi"]
+    kinds = [pa.binary(), pa.int64(), pa.binary(), pa.int32(), pa.binary(), pa.int64(), pa.int32(), pa.int32()]
+
+    def packed(rows: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=out_names)
+
     for batch in batches:
-        cols = [batch.column(x).to_pylist() for x in names[:6]]
         rows = []
-        for ctx, left, context, held, lo, hi in zip(*cols, strict=True):
+        for ctx, left, context, held, lo, hi in zip(*(batch.column(x).to_pylist() for x in names), strict=True):
             step = -(-(hi - lo + 1) // PARTS)
             for low in range(lo, hi + 1, step):
                 high = min(low + step - 1, hi)
-                a, b = max(low, length - (len(context) - left)), min(high, left)
+                a, b = max(low, length - (len(context) - left)), min(high, left)  # the offsets that it has bytes for
                 if a <= b:
-                    core = hashlib.blake2b(b"%d %d " % (low, high) + context[left - low : left + length - high], digest_size=16).digest()
-                    cover = hashlib.blake2b(b"%d %d %d %d " % (low, high, a, b) + context[left - b : left + length - a], digest_size=16).digest()
-                    rows.append((ctx, left, context, held, low, high, a, b, *np.frombuffer(core + cover, dtype=np.int64).tolist()))
+                    core = hashlib.blake2b(b"%d %d " % (low, high) + context[left - low : left + length - high], digest_size=8).digest()
+                    cut = context[left - b : left + length - a]
+                    rows.append((ctx, int.from_bytes(core, "little", signed=True), _named(b, cut), b, cut, held, low, high))
                     if len(rows) >= BLOCK:
-                        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
+                        yield packed(rows)
                         rows = []
         if rows:
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
-
-
-def _hot_spans(hot: DataFrame, length: int) -> DataFrame:
-    """Repeated intervals of each owner of hot grams' contexts.
-
-    A part whose shared bytes occur once is dropped; one whose covered bytes occur twice is repeated as a whole, and
-    goes on only as one representative that others may still share windows with; the rest is cut again, down to single windows.
-    """
-    reach = length - length // 2
-    hot = materialize(hot.select(F.unhex(F.md5(F.concat("context", F.encode(F.concat(F.lit(" "), F.col("left").cast("string")), "utf-8")))).alias("ctx"), "left", "context", "held", "owners"), "hot")
-    # Joins below have a column more than the groups, so that both sides are dealt anew and a hot key is split.
-    left = hot.groupBy("ctx").agg(F.first("left").alias("left"), F.first("context").alias("context"), F.sum("held").alias("held"))
-    left = left.select("ctx", "left", "context", "held", F.lit(0).alias("lo"), F.lit(reach).alias("hi"))
-    settled, width = [], reach + 1
-    while True:
-        parts = left.mapInArrow(lambda it: _parts(it, length), "ctx binary, left int, context binary, held long, lo int, hi int, a int, b int, c1 long, c2 long, u1 long, u2 long")
-        parts = materialize(parts, "parts")
-        covers = materialize(parts.groupBy("u1", "u2").agg(F.sum("held").alias("total"), F.max("c1").alias("c1"), F.max("c2").alias("c2"), F.max("a").alias("ua"), F.first(F.struct("left", "context", "lo", "hi")).alias("one")), "covers")
-        cores = covers.groupBy("c1", "c2").agg(F.count("*").alias("kinds"), F.max(F.expr("c1 ^ c2")).alias("c3"), F.sum("total").alias("all")).where("all > 1")
-        covers = materialize(covers.withColumn("c3", F.expr("c1 ^ c2")).join(cores, ["c1", "c2", "c3"]).select("u1", "u2", F.col("ua").alias("a"), "total", "kinds", "one"), "live")
-        done = materialize(parts.join(covers.select("u1", "u2", "a", "total"), ["u1", "u2", "a"]), "counted")
-        settled.append(done.where("ctx is not null and total > 1").select("ctx", "a", "b"))
-        width = -(-width // PARTS)
-        if width == 1:
-            break
-        open_ = done.where("total = 1").select("ctx", "left", "context", "held", "lo", "hi")
-        left = open_.unionByName(covers.where("total > 1 and kinds > 1").select(F.lit(None).cast("binary").alias("ctx"), "one.left", "one.context", F.lit(2).cast("bigint").alias("held"), "one.lo", "one.hi"))
-    ranges = settled[0]
-    for x in settled[1:]:
-        ranges = ranges.unionByName(x)
-    # All windows of an anchor hold its gram, so those that repeat cover one interval.
-    ranges = ranges.groupBy("ctx").agg(F.min("a").alias("a"), F.max("b").alias("b")).withColumn("more", F.xxhash64("ctx"))
-    held = hot.select("ctx", F.xxhash64("ctx").alias("more"), F.explode("owners").alias("o")).join(ranges, ["ctx", "more"])
-    return held.select("o.rk", "o.doc", (F.col("o.pos") - F.col("b")).cast("bigint").alias("begin"), (F.col("o.pos") - F.col("a") + length).cast("bigint").alias("stop"))
+            yield packed(rows)
 
 
 def _resolved(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
-    """Repeated intervals of each owner, from contexts that come sorted by gram."""
-
-    def settle(rows: dict) -> pa.RecordBatch:
-        keys = list(rows)
-        held = np.array([rows[k][0] for k in keys], dtype=np.int64)
-        left = np.array([k[1] for k in keys], dtype=np.int64)
-        group = np.cumsum([0, *(a[0] != b[0] for a, b in zip(keys, keys[1:], strict=False))])
-        hit = repeated_windows(group, [k[2] for k in keys], left, held, length)
-        edge = np.diff(np.pad(hit, ((0, 0), (1, 1))).astype(np.int8), axis=1)
-        row, begin = np.nonzero(edge == 1)
-        _, stop = np.nonzero(edge == -1)
-        out: list[tuple[int, int, int, int]] = []
-        for i, a, b in zip(row.tolist(), begin.tolist(), stop.tolist(), strict=True):
-            out += [(rk, doc, pos - b + 1, pos - a + length) for rk, doc, pos in rows[keys[i]][1]]
-        cols = list(zip(*out, strict=True)) if out else [[]] * 4
-        return pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.int64()), pa.array(cols[3], pa.int64())], names=["rk", "doc", "begin", "stop"])
-
-    rows: dict[tuple, list] = {}
-    last, owned = None, 0
+    """The range of offsets whose windows repeat, of each context that has one; contexts come sorted by group, each once."""
+    groups: list[int] = []
+    rows: list[tuple[bytes, int, bytes, int]] = []
+
+    def settle() -> pa.RecordBatch:
+        left, held = (np.array([r[i] for r in rows], dtype=np.int64) for i in (1, 3))
+        size = np.array([len(r[2]) for r in rows], dtype=np.int64)
+        reach = length - length // 2
+        low, high = np.maximum(0, length - (size - left)), np.minimum(left, reach)
+        new = np.concatenate([[True], np.diff(np.array(groups)) != 0])
+        group = np.cumsum(new)
+        met = np.bincount(group)[group] > 1
+        hit = held > 1  # every window of a context that occurs twice repeats
+        asked = np.flatnonzero(met)
+        if len(asked) and not hit[asked].all():
+            seen = repeated_windows(group[asked], [rows[i][2] for i in asked.tolist()], left[asked], held[asked], length)
+            some = seen.any(axis=1)
+            low[asked] = np.where(some, seen.argmax(axis=1), low[asked])
+            high[asked] = np.where(some, reach - seen[:, ::-1].argmax(axis=1), high[asked])
+            hit[asked] |= some
+        hit &= low <= high
+        kept = np.flatnonzero(hit)
+        return pa.RecordBatch.from_arrays([pa.array([rows[i][0] for i in kept.tolist()], pa.binary()), pa.array(low[kept].astype(np.int32)), pa.array(high[kept].astype(np.int32))], names=["ctx", "a", "b"])
+
     for batch in batches:
-        cols = [batch.column(x).to_pylist() for x in ("gram", "left", "context", "held", "owners")]
-        for gram, left, context, held, owners in zip(*cols, strict=True):
-            if gram != last:
-                if len(rows) >= BLOCK or owned >= SHARE:
-                    yield settle(rows)
-                    rows, owned = {}, 0
-                last = gram
-            entry = rows.setdefault((gram, left, context), [0, []])
-            entry[0] += held
-            entry[1] += [(o["rk"], o["doc"], o["pos"]) for o in owners]
-            owned += len(owners)
+        for gram, *row in zip(*(batch.column(x).to_pylist() for x in ("gram", "ctx", "left", "context", "held")), strict=True):
+            if len(rows) >= BLOCK and gram != groups[-1]:
+                yield settle()
+                groups.clear()
+                rows.clear()
+            groups.append(gram)
+            rows.append(tuple(row))
     if rows:
-        yield settle(rows)
+        yield settle()
+
+
+def repeated_ranges(contexts: DataFrame, length: int) -> DataFrame:
+    """(gram, ctx, left, context, held), each context once -> ctx, a, b: windows that start a to b bytes before the anchor
+    cover exactly what repeats around it."""
+    columns = ["gram", "ctx", "left", "context", "held", "lo", "hi"]
+    level = contexts.withColumns({"lo": F.lit(0), "hi": F.lit(length - length // 2)})
+    ready, parents = [], []
+    while True:
+        large = materialize(level.groupBy("gram").agg(F.count("*").alias("n")).where(F.col("n") > MOST).select("gram"), "large")
+        if large.isEmpty():
+            ready.append(level)
+            break
+        ready.append(level.join(large, "gram", "left_anti"))
+        cut = level.join(large, "gram", "left_semi").select(columns).mapInArrow(lambda it: _parts(it, length), "parent binary, gram long, ctx binary, left int, context binary, held long, lo int, hi int")
+        cut = materialize(cut, "parts")
+        parents.append(cut.select("parent", "ctx").distinct())
+        level = materialize(cut.groupBy("gram", "ctx", "left", "context", "lo", "hi").agg(F.sum("held").alias("held")), "level")
+    rows = ready[0].select("gram", "ctx", "left", "context", "held")
+    for x in ready[1:]:
+        rows = rows.unionByName(x.select("gram", "ctx", "left", "context", "held"))
+    found = materialize(rows.repartition("gram").sortWithinPartitions("gram").mapInArrow(lambda it: _resolved(it, length), "ctx binary, a int, b int"), "ranges")
+    for links in reversed(parents):
+        up = links.join(found, "ctx").select(F.col("parent").alias("ctx"), "a", "b")
+        found = materialize(found.unionByName(up), "ranges")
+    return found.groupBy("ctx").agg(F.min("a").alias("a"), F.max("b").alias("b")) if parents else found
 
 
 def _cleaned(batches: Iterator[pa.RecordBatch], texts: bool) -> Iterator[pa.RecordBatch]:
@@ -328,26 +330,28 @@ def remove_repeats(docs: DataFrame, length: int = 400, id_col: str = "doc_id", t
     found = materialize(found, "anchors")
     # Grouped by the gram and joined on more bits too: the join deals rows anew, so that a hot gram is split.
     often = found.groupBy("gram").agg(F.count("*").alias("n"), F.max("more").alias("more")).where("n > 1")
-    live = found.join(often, ["gram", "more"]).select("rk", F.lit(0).alias("kind"), "pos", "gram", F.expr(f"cast(n > {MOST} as int)").alias("hot"))
+    live = found.join(often, ["gram", "more"]).select("rk", F.lit(0).alias("kind"), "pos", "gram")
     prints = materialize(long_.select("rk", "doc", F.xxhash64("text").alias("p"), F.crc32("text").alias("q"), F.octet_length("text").cast("bigint").alias("n")), "prints")
     classes = prints.groupBy("p", "q").agg(F.count("*").alias("held"), F.min("rk").alias("first"), F.max("n").alias("n")).where("held > 1")
     copies = materialize(prints.join(classes, ["p", "q", "n"]).select("rk", "doc", "n", F.when(F.col("rk") == F.col("first"), 2).otherwise(1).alias("kind")), "copies")
-    marks = live.unionByName(copies.select("rk", "kind", F.lit(0).alias("pos"), F.lit(0).cast("bigint").alias("gram"), F.lit(0).alias("hot")))
-    marks = materialize(marks.groupBy("rk").agg(F.collect_set(F.struct("kind", "pos", "gram", "hot")).alias("marks")), "marks")
-
-    # Both joins with the texts use the same exchange of them.
-    dealt = base.repartition("rk")
-    around = dealt.join(marks.hint("shuffle_merge"), "rk", "left").select("doc_id", "rk", "doc", "text", "marks")
-    schema = "gram long, left int, context binary, held long, owners array<struct<rk: long, doc: long, pos: int>>"
-    contexts = around.mapInArrow(lambda it: _contexts(it, length, 0), schema).repartition("gram").sortWithinPartitions("gram")
-    spans = contexts.mapInArrow(lambda it: _resolved(it, length), "rk long, doc long, begin long, stop long")
-    heated = marks.where(F.exists("marks", lambda m: m["hot"] == 1))
-    if not heated.isEmpty():
-        around = base.join(heated.hint("shuffle_merge"), "rk").select("rk", "doc", "text", "marks")
-        spans = spans.unionByName(_hot_spans(around.mapInArrow(lambda it: _contexts(it, length, 1), schema), length))
+    discard(prints)
+    marks = live.unionByName(copies.select("rk", "kind", F.lit(0).alias("pos"), F.lit(0).cast("bigint").alias("gram")))
+    marks = materialize(marks.groupBy("rk").agg(F.collect_set(F.struct("kind", "pos", "gram")).alias("marks")), "marks")
+    discard(found)
+
+    around = base.join(marks.hint("shuffle_merge"), "rk").select("rk", "doc", "text", "marks")
+    schema = "gram long, ctx binary, left int, context binary, held long, owners array<struct<rk: long, doc: long, pos: int>>"
+    contexts = materialize(around.mapInArrow(lambda it: _contexts(it, length), schema), "contexts")
+    discard(marks)
+    different = materialize(contexts.groupBy("gram", "ctx", "left", "context").agg(F.sum("held").alias("held")), "different")
+    ranges = repeated_ranges(different, length).withColumn("more", F.xxhash64("ctx"))
+    # Joined on a column more than ranges are grouped by, so that both sides are dealt anew and a hot passage is split.
+    owned = contexts.select("ctx", F.xxhash64("ctx").alias("more"), F.explode("owners").alias("o")).join(ranges, ["ctx", "more"])
+    spans = owned.select("o.rk", "o.doc", (F.col("o.pos") - F.col("b")).cast("bigint").alias("begin"), (F.col("o.pos") - F.col("a") + length).cast("bigint").alias("stop"))
     spans = spans.unionByName(copies.select("rk", "doc", F.lit(0).cast("bigint").alias("begin"), F.col("n").alias("stop")))
-    spans = spans.groupBy("rk").agg(F.collect_set(F.struct("doc", "begin", "stop")).alias("spans"))
-    cleaned = dealt.join(spans.hint("shuffle_merge"), "rk", "left").select("doc_id", "rk", "doc", "text", "spans")
+    spans = materialize(spans.groupBy("rk").agg(F.collect_set(F.struct("doc", "begin", "stop")).alias("spans")), "spans")
+    discard(contexts, different, copies)
+    cleaned = base.join(spans.hint("shuffle_merge"), "rk", "left").select("doc_id", "rk", "doc", "text", "spans")
     return cleaned.mapInArrow(lambda it: _cleaned(it, texts), f"doc_id {id_type}, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept_text string" * texts)
 
 

@@ -151,41 +151,41 @@ def test_repeats_equal_brute_force(spark, length):
     assert got == repeats([(i, (t or "").encode()) for i, t in rows], length)
 
 
-def test_repeats_of_hot_grams_equal_brute_force(spark, monkeypatch):
-    for name, value in (("BLOCK", 8), ("MOST", 4), ("SHARE", 3)):
+def test_repeats_of_large_groups_equal_brute_force(spark, monkeypatch):
+    for name, value in (("BLOCK", 8), ("MOST", 4)):
         monkeypatch.setattr(repeated_spans, name, value)
-    r = random.Random(1)
-    rows = [(i, "".join(r.choice("ab") for _ in range(9)) + "the hot passage that all share" + "".join(r.choice("ab") for _ in range(9))) for i in range(60)]
-    got = {x.doc_id: [(x.n_bytes, x.n_removed, x.n_spans, x.kept_sha256)] for x in repeated_spans.remove_repeats(frame(spark, rows), 16).collect()}
-    assert got == repeats([(i, t.encode()) for i, t in rows], 16)
-
-
-def test_hot_grams_are_counted_over_all_tasks(spark, monkeypatch):
-    for name, value in (("MOST", 4), ("SHARE", 3)):
-        monkeypatch.setattr(repeated_spans, name, value)
-    grams = []
-    inner = repeated_spans._hot_spans
-    monkeypatch.setattr(repeated_spans, "_hot_spans", lambda hot, length: grams.extend(hot.groupBy("gram").count().collect()) or inner(hot, length))
+    divided = []
+    ranges = repeated_spans.repeated_ranges
+    monkeypatch.setattr(repeated_spans, "repeated_ranges", lambda c, length: divided.append(max(r["count"] for r in c.groupBy("gram").count().collect())) or ranges(c, length))
     r = random.Random(2)
     cut = lambda: "".join(r.choice("abc") for _ in range(r.randrange(30)))
     hot = "the hot passage that all of them share, whole or in part"
-    rows = [(i, cut() + hot[r.choice([0, 0, 7, 20]) : r.choice([60, 60, 45, 33])] + cut()) for i in range(80)] + [(100 + i, hot[8:31] + cut() * 2) for i in range(20)] + [(200 + i, rows) for i, rows in enumerate(["small gram one " * 2, "small gram one " * 2, hot])]
+    rows = [(i, cut() + hot[r.choice([0, 0, 7, 20]) : r.choice([60, 60, 45, 33])] + cut()) for i in range(80)] + [(100 + i, hot[8:31] + cut() * 2) for i in range(20)] + [(200 + i, t) for i, t in enumerate(["small gram one " * 2, "small gram one " * 2, hot])]
     for length in (16, 24):
-        grams.clear()
         got = {x.doc_id: [(x.n_bytes, x.n_removed, x.n_spans, x.kept_sha256)] for x in repeated_spans.remove_repeats(frame(spark, rows), length).collect()}
         assert got == repeats([(i, t.encode()) for i, t in rows], length)
-        assert grams
+    assert min(divided) > 4
+
+
+def test_repeats_of_400_bytes_equal_brute_force(spark):
+    r = random.Random(4)
+    text = lambda n: "".join(r.choice("abcdefgh ") for _ in range(n))
+    passages = [text(n) for n in (399, 400, 401, 650, 1500)]
+    rows = [(i, text(r.randrange(300)) + r.choice(passages)[r.choice([0, 0, 1, 3]) :] + text(r.randrange(300))) for i in range(60)]
+    rows += [(100 + i, passages[4][: 700 + i] + "x" + passages[4][700 + i :]) for i in range(20)] + [(200, "ab" * 700), (201, passages[3] * 2), (202, text(5000)), (203, passages[1]), (204, passages[0])]
+    got = {x.doc_id: [(x.n_bytes, x.n_removed, x.n_spans, x.kept_sha256)] for x in repeated_spans.remove_repeats(frame(spark, rows)).collect()}
+    assert got == repeats([(i, t.encode()) for i, t in rows], 400)
 
 
-def test_a_task_holds_a_bounded_number_of_owners(monkeypatch):
-    monkeypatch.setattr(repeated_spans, "SHARE", 3)
+def test_a_task_sorts_bounded_blocks(monkeypatch):
+    monkeypatch.setattr(repeated_spans, "BLOCK", 3)
     sizes, inner = [], repeated_spans.repeated_windows
     monkeypatch.setattr(repeated_spans, "repeated_windows", lambda group, *a: sizes.append(len(group)) or inner(group, *a))
-    owner = [{"rk": i, "doc": i, "pos": 8} for i in range(5)]
-    rows = [{"gram": g, "left": 8, "context": b"%08d" % g + b"x" * 16, "held": 5, "owners": owner} for g in range(6)]
+    rows = [{"gram": g, "ctx": b"%d %d" % (g, i), "left": 8, "context": b"%d" % i + b"%07d" % g + b"x" * 16, "held": 1} for g in range(6) for i in range(2)]
     out = list(repeated_spans._resolved(iter([pa.RecordBatch.from_pylist(rows)]), 16))
-    assert sizes == [1] * 6
-    assert sum(len(b) for b in out) == 30
+    assert max(sizes) <= 4
+    assert sum(sizes) == 12
+    assert sum(len(b) for b in out) == 12
 
 
 def test_suffixes_survive_hash_collisions(monkeypatch):
