@@ -14,9 +14,16 @@ from ledgerlark.sources import writers
 from ledgerlark.streaming import patrol
 
 
+#: File names that are put to the ends of the pages' paths.
+FILES = ("", "/a.TXT", "/../b.md", "/c.exe", "/d.7z", "/e", "/f.tar.json")
+
+
 def _folder(spark) -> str:  # noqa: ANN001
-    """A new folder under the shared checkpoint folder, or a temporary one where none is set."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir") or f"file://{tempfile.mkdtemp(prefix='ledgerlark-')}"
+    """A new folder under the shared checkpoint folder. Only a local session may do without, as its tasks run in the driver."""
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not root and spark.sparkContext.master.split("[")[0] != "local":
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+    root = root or f"file://{tempfile.mkdtemp(prefix='ledgerlark-')}"
     return f"{root.rstrip('/')}/{uuid.uuid4().hex}"
 
 
@@ -63,10 +70,10 @@ def index_roundtrip(s, d):  # noqa: ANN001, ANN202
 
 QUERIES = {
     "t01_patrol_stream": patrol_stream,
-    "t05_ttl_idempotency": lambda s, d: patrol.first_in_ttl(runs(s, d).select("id", "user_id", "created"), "user_id", "created", 3600).select("id", "processed"),
+    "t05_ttl_idempotency": lambda s, d: patrol.first_in_ttl(runs(s, d).select("id", "user_id", "created"), "user_id", "created").select("id", "processed"),
     "t10_daily_window": daily_stream,
     "s03_violations": lambda s, d: writers.violations(table(s, d, "documents").select((F.col("doc_id") % 900).alias("id"), F.when(F.col("doc_id") % 50 == 0, " ").otherwise(F.col("source")).alias("source"), F.when(F.col("doc_id") % 70 == 0, None).otherwise(F.col("lang")).alias("lang")), ["source", "lang"], "id"),
-    "s06_ingest_errors": lambda s, d: table(s, d, "pages").select("page_id", F.array_join(writers.ingest_errors(F.regexp_extract("url", r"[^?#]*", 0), F.length("html")), ",").alias("errors")),
+    "s06_ingest_errors": lambda s, d: table(s, d, "pages").select("page_id", F.array_join(writers.ingest_errors(F.concat(F.regexp_extract("url", r"[^?#]*", 0), F.element_at(F.array(*map(F.lit, FILES)), (F.col("page_id") % len(FILES) + 1).cast("int"))), F.octet_length("html") * F.when(F.col("page_id") % 11 == 0, 5000).otherwise(1)), ",").alias("errors")),
     "s08_index_rollback": index_roundtrip,
     "s17_schema_evolution": lambda s, d: writers.with_columns(table(s, d, "nation"), s.read.parquet(f"{d}/nation.parquet").schema.add("n_comment", "string")).where("n_comment is null").select("n_nationkey", "n_name", "n_comment"),
 }
@@ -75,12 +82,15 @@ ORACLE_SQL = {
     "t01_patrol_stream": f"""WITH {ANA}, a AS (SELECT *, coalesce(label = 'negative', false) AS neg FROM ana)
         SELECT id AS analysis_id, 'negative_review' AS risk_type, 'high' AS risk_level, 'pending' AS status FROM a WHERE neg UNION ALL SELECT id, 'low_confidence', 'medium', 'pending' FROM a WHERE confidence < 0.6
         UNION ALL SELECT id, 'after_sales_risk', 'high', 'pending' FROM a WHERE negative_score >= 0.65 OR contains(text, 'clown') OR contains(text, 'hates') UNION ALL SELECT id, 'rating_conflict', 'medium', 'pending' FROM a WHERE rating <= 2 AND NOT neg""",
-    "t05_ttl_idempotency": f"WITH {RUN}, l AS (SELECT id, created, lag(created) OVER (PARTITION BY user_id ORDER BY created, id) AS b FROM run) SELECT id, b IS NULL OR (epoch_us(created) - epoch_us(b)) // 1000000 > 3600 AS processed FROM l",
+    "t05_ttl_idempotency": f"""WITH RECURSIVE {RUN}, u AS (SELECT user_id, created, min(id) AS id FROM run GROUP BY 1, 2),
+        nxt AS (SELECT a.id, arg_min(b.id, b.created) AS later FROM u a JOIN u b ON a.user_id = b.user_id AND b.created > a.created + INTERVAL 900 SECOND GROUP BY 1),
+        p(id) AS (SELECT arg_min(id, created) FROM u GROUP BY user_id UNION ALL SELECT nxt.later FROM p JOIN nxt USING (id)) SELECT id, id IN (SELECT id FROM p) AS processed FROM run""",
     "t10_daily_window": f"WITH {RUN} SELECT strftime(created, '%Y-%m-%d') AS day, count(*) AS total, count(*) FILTER (status = 'failed') AS failed FROM run GROUP BY 1",
     "s03_violations": """WITH d AS (SELECT CAST(doc_id % 900 AS VARCHAR) AS key, doc_id % 50 = 0 AS a, doc_id % 70 = 0 AS b FROM documents)
         SELECT key, 'missing source' AS problem FROM d WHERE a UNION ALL SELECT key, 'missing lang' FROM d WHERE b UNION ALL SELECT key, 'duplicate key' FROM d GROUP BY key HAVING count(*) > 1""",
-    "s06_ingest_errors": r"""WITH p AS (SELECT page_id, regexp_extract(url, '[^?#]*') AS u, length(html) AS n FROM pages)
-        SELECT page_id, concat_ws(',', CASE WHEN lower(regexp_extract(u, '\.([A-Za-z0-9]+)$', 1)) NOT IN ('txt', 'md', 'html', 'json', 'csv') THEN 'suffix' END, CASE WHEN contains(u, '..') THEN 'traversal' END, CASE WHEN n > 2097152 THEN 'size' END, CASE WHEN n = 0 THEN 'empty' END) AS errors FROM p""",
+    "s06_ingest_errors": f"""WITH p AS (SELECT page_id, regexp_extract(url, '[^?#]*') || {list(FILES)}[page_id % {len(FILES)} + 1] AS u, strlen(html) * CASE WHEN page_id % 11 = 0 THEN 5000 ELSE 1 END AS n FROM pages), x AS (SELECT *, lower(regexp_extract(u, '[^/.](\\.[^/.]*)$', 1)) AS e FROM p)
+        SELECT page_id, concat_ws(',', CASE WHEN list_contains(string_split(u, '/'), '..') THEN 'PATH_TRAVERSAL_BLOCKED' END, CASE WHEN e IN ('.exe', '.bat', '.cmd', '.ps1', '.sh', '.js', '.vbs', '.zip', '.rar', '.7z') THEN 'FORBIDDEN_FILE_TYPE' END,
+            CASE WHEN e NOT IN ('.txt', '.md', '.json', '.csv', '.pdf', '.docx') THEN 'UNSUPPORTED_FILE_TYPE' END, CASE WHEN n > 2000000 THEN 'FILE_TOO_LARGE' END, CASE WHEN e IN ('.exe', '.dll', '.com', '.bat', '.msi') THEN 'EXECUTABLE_MIME_BLOCKED' END) AS errors FROM x""",
     "s08_index_rollback": "SELECT source, lang, count(*) AS n FROM documents GROUP BY 1, 2",
     "s17_schema_evolution": "SELECT n_nationkey, n_name, CAST(NULL AS VARCHAR) AS n_comment FROM nation",
 }

@@ -8,10 +8,16 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from ledgerlark.functions.text import normal_lines
+
 #: Columns whose names hold one of these are never written to an event log.
 FORBIDDEN = ("text", "prompt", "chunk", "content", "tenant_id", "output", "secret", "password", "token")
-#: Suffixes that may be ingested, and the largest size.
-SUFFIXES, MOST_BYTES = ("txt", "md", "html", "json", "csv"), 2 << 20
+#: Suffixes that may be ingested, suffixes that are refused outright, and the largest size.
+ALLOWED_SUFFIXES = (".txt", ".md", ".json", ".csv", ".pdf", ".docx")
+FORBIDDEN_SUFFIXES = (".exe", ".bat", ".cmd", ".ps1", ".sh", ".js", ".vbs", ".zip", ".rar", ".7z")
+MOST_BYTES = 2_000_000
+#: Suffixes of Windows programs, which have an executable type.
+EXECUTABLE_SUFFIXES = (".exe", ".dll", ".com", ".bat", ".msi")
 
 
 def read_jsonl(spark: SparkSession, path: str, schema: StructType | str) -> DataFrame:
@@ -36,9 +42,20 @@ def load_validated(df: DataFrame, required: list[str], key: str) -> DataFrame:
 
 
 def ingest_errors(path: Column, size: Column) -> Column:
-    """Error codes of a file by name and size."""
-    suffix = F.lower(F.regexp_extract(path, r"\.([A-Za-z0-9]+)$", 1))
-    return F.array_compact(F.array(F.when(~suffix.isin(*SUFFIXES), "suffix"), F.when(path.contains(".."), "traversal"), F.when(size > MOST_BYTES, "size"), F.when(size == 0, "empty")))
+    """Error codes of a file by path and size, in order."""
+    suffix = F.lower(F.regexp_extract(path, r"[^/.](\.[^/.]*)$", 1))
+    return F.array_compact(F.array(
+        F.when(F.array_contains(F.split(path, "/"), ".."), "PATH_TRAVERSAL_BLOCKED"), F.when(suffix.isin(*FORBIDDEN_SUFFIXES), "FORBIDDEN_FILE_TYPE"),
+        F.when(~suffix.isin(*ALLOWED_SUFFIXES), "UNSUPPORTED_FILE_TYPE"), F.when(size > MOST_BYTES, "FILE_TOO_LARGE"), F.when(suffix.isin(*EXECUTABLE_SUFFIXES), "EXECUTABLE_MIME_BLOCKED"),
+    ))
+
+
+def ingest_files(spark: SparkSession, path: str) -> DataFrame:
+    """path, size, errors and, where there are none, the normalised text of the files under a folder. Sizes and names are
+    judged first; contents come from the same scan."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
+    judged = files.select("path", F.col("length").alias("size"), ingest_errors(F.col("path"), F.col("length")).alias("errors"), "content")
+    return judged.select("path", "size", "errors", F.when(F.size("errors") == 0, normal_lines(F.decode("content", "UTF-8"))).alias("text"))
 
 
 def append_events(df: DataFrame, path: str) -> None:

@@ -16,14 +16,33 @@ def once_each(stream: DataFrame, keys: list[str], ts: str, keep: str = "15 minut
     return stream.withWatermark(ts, keep).dropDuplicatesWithinWatermark(keys)
 
 
-def first_in_ttl(df: DataFrame, key: str, ts: str, seconds: int) -> DataFrame:
-    """The batch form for keys whose repeats come within one time to live of the one before: a row is processed when it
-    comes more than seconds after the row before of its key."""
+def first_in_ttl(df: DataFrame, key: str, ts: str, seconds: int = 900, order: str = "id") -> DataFrame:
+    """The batch form: a row is processed unless an earlier one of its key was processed at most seconds before, so a
+    steady series of repeats is processed again each time that the entry of the last processed row has expired.
+
+    Rows that come more than seconds after the one before start a chain of their own, so chains, not keys, are dealt to
+    tasks; each is passed through in order with one time kept. Rows of one time count in the order of `order`.
+    """
     from pyspark.sql import Window
 
-    before = F.lag(ts).over(Window.partitionBy(key).orderBy(ts, "id"))
-    fresh = before.isNull() | (F.expr(f"timestampdiff(SECOND, lag({ts}) over (partition by {key} order by {ts}, id), {ts})") > seconds)
-    return df.withColumn("processed", fresh)
+    w = Window.partitionBy(key).orderBy(ts, order)
+    at = F.unix_micros(F.col(ts).cast("timestamp"))
+    chained = df.withColumn("_at", at).withColumn("_new", F.coalesce(F.col("_at") - F.lag("_at").over(w) > seconds * 1_000_000, F.lit(True)).cast("int"))
+    chained = chained.withColumn("_chain", F.sum("_new").over(w)).drop("_new")
+
+    def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        chain, put = None, 0
+        for b in batches:
+            fresh = []
+            for k, c, at in zip(b[key], b["_chain"], b["_at"], strict=True):
+                new = (k, c) != chain or at - put > seconds * 1_000_000
+                if new:
+                    chain, put = (k, c), at
+                fresh.append(new)
+            yield b.drop(columns=["_at", "_chain"]).assign(processed=fresh)
+
+    dealt = chained.repartition(key, "_chain").sortWithinPartitions(key, "_chain", "_at", order)
+    return dealt.mapInPandas(fold, df.schema.add("processed", "boolean"))
 
 
 def daily(stream: DataFrame, ts: str, late: str = "1 day") -> DataFrame:
@@ -33,12 +52,21 @@ def daily(stream: DataFrame, ts: str, late: str = "1 day") -> DataFrame:
 
 def patrol(reviews: DataFrame, analyse: Callable[[DataFrame], DataFrame], out: str, checkpoint: str, keys: list[str], interval: str | None = None) -> StreamingQuery:
     """Micro-batches of reviews, each analysed once however often it arrives. Runs at an interval, or once over what is
-    there. A batch that is run again writes the same rows to the same folder."""
+    there. A batch that is run again writes the same rows to the same folder; what earlier batches have analysed is read
+    from the sink, so no state grows with the stream."""
 
     def write(batch: DataFrame, epoch: int) -> None:
-        analyse(batch.dropDuplicates(keys)).write.mode("overwrite").parquet(f"{out}/batch={epoch}")
-
-    writer = reviews.dropDuplicates(keys).writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
+        fresh = batch.dropDuplicates(keys)
+        spark = batch.sparkSession
+        root = spark._jvm.org.apache.hadoop.fs.Path(f"{out}-seen")
+        if root.getFileSystem(spark._jsc.hadoopConfiguration()).exists(root):
+            seen = spark.read.parquet(f"{out}-seen").where(F.col("batch") < epoch)
+            fresh = fresh.join(seen.select(keys), keys, "left_anti")
+        fresh.select(keys).write.mode("overwrite").parquet(f"{out}-seen/batch={epoch}")
+        mine = spark.read.schema(fresh.select(keys).schema).parquet(f"{out}-seen/batch={epoch}")
+        analyse(batch.dropDuplicates(keys).join(mine, keys, "left_semi")).write.mode("overwrite").parquet(f"{out}/batch={epoch}")
+
+    writer = reviews.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
     return (writer.trigger(processingTime=interval) if interval else writer.trigger(availableNow=True)).start()
 
 
