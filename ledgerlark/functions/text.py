@@ -83,8 +83,8 @@ def chunk_tokens(text: Column) -> Column:
 
 
 def char_grams(text: Column, sizes: tuple[int, ...] = (1, 2, 3)) -> Column:
-    """Character n-grams of the lower-cased text with runs of spaces made one."""
-    t = F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), r"\s+", " ")
+    """Character n-grams of the lower-cased text with runs of two or more spaces made one space."""
+    t = F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), r"\s{2,}", " ")
     chars = F.array_remove(F.split(t, ""), "")
     longer = lambda grams, n: F.zip_with(grams, F.slice(chars, n, F.greatest(F.size(chars), F.lit(1))), lambda a, c: F.concat(a, c))  # noqa: E731  null past the end
     each = [chars]

@@ -231,10 +231,15 @@ def members_joined(events: DataFrame, size: int) -> DataFrame:
 
 
 def histogram(values: DataFrame, by: str, value: str) -> DataFrame:
-    """Per key: count, min, max and the values at index round((n - 1) * p), half even, for p = .5 and .95."""
-    listed = values.groupBy(by).agg(F.count(value).alias("n"), F.min(value).alias("least"), F.max(value).alias("most"), F.sort_array(F.collect_list(value)).alias("_v"))
-    at = lambda p: F.element_at("_v", (F.bround((F.col("n") - 1) * F.lit(p), 0) + 1).cast("int"))
-    return listed.select(by, "n", "least", "most", at(0.5).alias("p50"), at(0.95).alias("p95"))
+    """Per key: count, min, max and the values at index round((n - 1) * p), half even, for p = .5 and .95.
+
+    Equal values are counted before they are moved; the running count over a key's different values tells which one
+    stands at an index."""
+    counted = values.where(F.col(value).isNotNull()).groupBy(by, value).agg(F.count("*").alias("_c"))
+    w = Window.partitionBy(by)
+    placed = counted.withColumns({"_n": F.sum("_c").over(w), "_upto": F.sum("_c").over(w.orderBy(value))})
+    at = lambda p: F.min(F.when(F.col("_upto") > F.bround((F.col("_n") - 1) * F.lit(p), 0), F.col(value)))
+    return placed.groupBy(by).agg(F.sum("_c").alias("n"), F.min(value).alias("least"), F.max(value).alias("most"), at(0.5).alias("p50"), at(0.95).alias("p95"))
 
 
 def nearest_rank(values: DataFrame, by: str, value: str, p: float = 0.95) -> DataFrame:

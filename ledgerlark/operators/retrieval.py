@@ -1,17 +1,25 @@
 """Retrieval over text and vectors: lexical scores, BM25, character tf-idf, hashed and dense vectors, fusion, reranking.
 
-Scores come from joins of postings with the terms of the queries, never from all pairs of queries and documents. Ties
-go to the smaller id.
+Sparse scores come from joins of postings with the terms of the queries. Scores that every pair has are computed in
+blocks of queries and documents, as matrix products of which each block keeps the k best. Ties go to the smaller id.
 """
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Callable, Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerlark.functions.numeric import clamp
 from ledgerlark.functions.text import char_grams, tokens
 
+Scores = Callable[[pa.Table, pa.Table], np.ndarray]
+
 
 def ranked(scored: DataFrame, k: int, score: str = "score", query: str = "query_id", doc: str = "id") -> DataFrame:
     """The k best documents of each query with ranks from 1; the limit is applied before the shuffle."""
@@ -19,6 +27,57 @@ def ranked(scored: DataFrame, k: int, score: str = "score", query: str = "query_
     return scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
+def blocked_topk(queries: DataFrame, docs: DataFrame, k: int, scores: Scores, least: float = -np.inf, query_rows: int = 256, doc_rows: int = 8192) -> DataFrame:
+    """The k best documents above least of each query: queries (query_id, features), docs (id, features).
+
+    Both are dealt into blocks, and each pair of blocks is one task: its scores are a matrix of bounded size, of which it
+    keeps k rows a query. So documents are moved once for every block of queries, and pairs that lose aren't moved.
+    """
+    q_blocks, d_blocks = queries.count() // query_rows + 1, docs.count() // doc_rows + 1
+    dealt = lambda df, key, own, n, other, m: df.withColumn(own, F.pmod(F.xxhash64(key), F.lit(n))).withColumn(other, F.explode(F.sequence(F.lit(0), F.lit(m - 1))))
+    q = dealt(queries, "query_id", "_q", q_blocks, "_d", d_blocks).groupBy("_q", "_d")
+    d = dealt(docs, "id", "_d", d_blocks, "_q", q_blocks).groupBy("_q", "_d")
+
+    def best(asked: pa.Table, there: pa.Table) -> pa.Table:
+        out: list[tuple[int, int, float]] = []
+        if len(asked) and len(there):
+            ids, found = there.column("id").to_numpy(), scores(asked, there)
+            shown = np.floor(found * 1e6 + 0.5) / 1e6
+            for query, row, exact in zip(asked.column("query_id").to_pylist(), shown, found, strict=True):
+                good = np.flatnonzero(row > least)
+                if len(good) > k:
+                    good = good[row[good] >= np.partition(row[good], len(good) - k)[len(good) - k]]
+                out += [(query, int(ids[i]), float(exact[i])) for i in good[np.lexsort((ids[good], -row[good]))][:k]]
+        cols = list(zip(*out, strict=True)) if out else [[]] * 3
+        return pa.table({"query_id": pa.array(cols[0], pa.int64()), "id": pa.array(cols[1], pa.int64()), "score": pa.array(cols[2], pa.float64())})
+
+    found = q.cogroup(d).applyInArrow(best, "query_id long, id long, score double")
+    return ranked(found.withColumn("score", F.round("score", 6)), k)
+
+
+def _matrix(column: pa.ChunkedArray) -> np.ndarray:
+    """Rows of a column of equally long arrays of numbers."""
+    values = column.combine_chunks()
+    return pc.list_flatten(values).to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(values), -1)
+
+
+def _members(asked: pa.ChunkedArray, there: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
+    """Two columns of sets of strings as 0/1 matrices over what the first holds."""
+    flat = pc.list_flatten(asked.combine_chunks())
+    names = pc.unique(flat)
+
+    def marks(column: pa.ChunkedArray) -> np.ndarray:
+        values = column.combine_chunks()
+        at = pc.index_in(pc.list_flatten(values), names)
+        rows = pc.list_parent_indices(values).to_numpy()
+        known = pc.is_valid(at).to_numpy(zero_copy_only=False)
+        out = np.zeros((len(values), len(names)), dtype=np.float32)
+        out[rows[known], at.filter(pc.is_valid(at)).to_numpy(zero_copy_only=False)] = 1
+        return out
+
+    return marks(asked), marks(there)
+
+
 def postings(docs: DataFrame, analyse=tokens, text: str = "text") -> DataFrame:  # noqa: ANN001
     """(id, text) -> id, term, tf, length."""
     listed = docs.select("id", analyse(F.col(text)).alias("_t")).withColumn("length", F.size("_t"))
@@ -54,15 +113,17 @@ def composite(keyword_hits: Column, same_product: Column, same_label: Column, ri
 def bm25(queries: DataFrame, docs: DataFrame, k1: float = 1.5, b: float = 0.75, where: Column | None = None) -> DataFrame:
     """BM25 of each query and matching document. Statistics are those of all docs; where narrows only what is scored.
     A token that a query repeats counts as often."""
-    listed = docs.select("id", *([where.alias("_in")] if where is not None else []), "text")
-    post = postings(listed)
-    stats = listed.agg(F.count("*").cast("double").alias("n_docs"), F.avg(F.size(tokens(F.col("text")))).alias("mean_length"))
+    listed = docs.select("id", *([where.alias("_in")] if where is not None else []), tokens(F.col("text")).alias("_t"))
+    stats = listed.agg(F.count("*").cast("double").alias("n_docs"), F.avg(F.size("_t")).alias("mean_length"))
     terms = queries.select("query_id", F.explode(tokens(F.col("text"))).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("times"))
     wanted = terms.select("term").distinct()
-    post = post.join(wanted, "term", "left_semi")
+    # Only what queries ask for is grouped and moved.
+    kept = ["id", "_length", *(["_in"] if where is not None else [])]
+    post = listed.withColumn("_length", F.size("_t")).select(*kept, F.explode("_t").alias("term")).join(wanted, "term", "left_semi")
+    post = post.groupBy(*kept, "term").agg(F.count("*").alias("tf")).withColumnRenamed("_length", "length")
     df = post.groupBy("term").agg(F.count("*").cast("double").alias("df"))
     if where is not None:
-        post = post.join(listed.where("_in").select("id"), "id", "left_semi")
+        post = post.where("_in")
     rows = terms.join(df, "term").join(post, "term").crossJoin(F.broadcast(stats))  # stats is one row
     idf = F.log1p((F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     part = F.col("times") * idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("length") / F.col("mean_length")))
@@ -84,18 +145,27 @@ def char_tfidf(queries: DataFrame, docs: DataFrame) -> DataFrame:
     return dots.join(norms, "id").join(q_norms, "query_id").select("query_id", "id", F.round(F.col("dot") / (F.col("norm") * F.col("norm_q")), 6).alias("score"))
 
 
-def hash_vectors(docs: DataFrame, dims: int = 64) -> DataFrame:
-    """Sparse unit vectors (id, slot, w): counts of tokens by the first byte of their SHA-256 modulo dims."""
-    slot = F.conv(F.substring(F.sha2("term", 256), 1, 2), 16, 10).cast("int") % dims
-    counted = postings(docs).groupBy("id", slot.alias("slot")).agg(F.sum("tf").alias("c"))
-    norm = F.sqrt(F.sum((F.col("c") * F.col("c")).cast("double")).over(Window.partitionBy("id")))
-    return counted.select("id", "slot", (F.col("c") / norm).alias("w"))
+def hash_vectors(docs: DataFrame, key: str = "id", dims: int = 64) -> DataFrame:
+    """(key, text) -> key, vector: unit vectors of counts of tokens by the first byte of their SHA-256 modulo dims; zero
+    for a text without tokens."""
 
+    def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            listed = b.column("tokens")
+            words = pc.list_flatten(listed).dictionary_encode()
+            slots = np.array([hashlib.sha256(w.encode()).digest()[0] % dims for w in words.dictionary.to_pylist()], dtype=np.int64)
+            cells = pc.list_parent_indices(listed).to_numpy() * dims + (slots[words.indices.to_numpy()] if len(words) else 0)
+            counts = np.bincount(cells, minlength=len(b) * dims).reshape(len(b), dims).astype(np.float64)
+            norm = np.sqrt((counts * counts).sum(axis=1, keepdims=True))
+            unit = np.divide(counts, norm, out=counts, where=norm > 0)
+            yield pa.RecordBatch.from_arrays([b.column(key), pa.ListArray.from_arrays(np.arange(len(b) + 1, dtype=np.int32) * dims, pa.array(unit.ravel()))], names=[key, "vector"])
 
-def hash_search(queries: DataFrame, docs: DataFrame, dims: int = 64) -> DataFrame:
-    """Dot products of hashed vectors. Queries are joined by slot, so a document's row meets each query at most dims times."""
-    q = hash_vectors(queries.select(F.col("query_id").alias("id"), "text"), dims).select(F.col("id").alias("query_id"), "slot", F.col("w").alias("wq"))
-    return q.join(hash_vectors(docs, dims), "slot").groupBy("query_id", "id").agg(F.round(F.sum(F.col("w") * F.col("wq")), 6).alias("score")).where("score > 0")
+    return docs.select(key, tokens(F.col("text")).alias("tokens")).mapInArrow(hashed, f"{key} long, vector array<double>")
+
+
+def hash_search(queries: DataFrame, docs: DataFrame, k: int, dims: int = 64) -> DataFrame:
+    """The k best documents by dot products of hashed vectors over 0."""
+    return blocked_topk(hash_vectors(queries, "query_id", dims), hash_vectors(docs, "id", dims), k, lambda q, d: _matrix(q["vector"]) @ _matrix(d["vector"]).T, least=0.0)
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -103,23 +173,86 @@ def dot(a: Column, b: Column) -> Column:
 
 
 def dense_search(queries: DataFrame, vectors: DataFrame, k: int, vector: str = "vector", block: int = 256) -> DataFrame:
-    """Exact cosine top-k of queries against all vectors. Queries are gathered in rows of about block of them, and every
-    vector meets each row. Vectors with a zero or missing norm are left out."""
-    unit = lambda df: df.withColumn("_n", F.sqrt(dot(F.col(vector), F.col(vector)))).where("_n > 0 and not isnan(_n)")
-    parts = queries.count() // block + 1
-    asked = unit(queries).groupBy(F.pmod(F.xxhash64("query_id"), F.lit(parts)).alias("_block")).agg(F.collect_list(F.struct("query_id", F.col(vector).alias("v"), F.col("_n").alias("n"))).alias("asked"))
-    rows = unit(vectors).crossJoin(asked).select("id", F.explode(F.transform("asked", lambda q: F.struct(q["query_id"].alias("query_id"), F.round(dot(F.col(vector), q["v"]) / (F.col("_n") * q["n"]), 6).alias("score")))).alias("x"))
-    return ranked(rows.select("x.query_id", "id", "x.score"), k)
+    """Exact cosine top-k of queries against all vectors. Vectors with a zero or missing norm are left out."""
+    norm = F.sqrt(dot(F.col(vector), F.col(vector)))
+    kept = lambda df, key: df.select(key, F.col(vector).alias("vector")).where((norm > 0) & ~F.isnan(norm))
+
+    def cosine(q: pa.Table, d: pa.Table) -> np.ndarray:
+        a, b = _matrix(q["vector"]), _matrix(d["vector"])
+        return a @ b.T / (np.linalg.norm(a, axis=1)[:, None] * np.linalg.norm(b, axis=1)[None, :])
+
+    return blocked_topk(kept(queries, "query_id"), kept(vectors, "id"), k, cosine, query_rows=block)
 
 
 def char_set_similarity(queries: DataFrame, docs: DataFrame, k: int = 3) -> DataFrame:
-    """.5 + .45 * root of the Jaccard similarity of character sets (an empty one: .5), the k best."""
-    chars = lambda df, i: df.select(i, F.array_distinct(F.split(F.coalesce("text", F.lit("")), "")).alias("s")).select(i, F.array_remove("s", "").alias("s"))
-    asked = chars(queries, "query_id").agg(F.collect_list(F.struct("query_id", "s")).alias("asked"))
-    rows = chars(docs, "id").crossJoin(F.broadcast(asked)).select("id", "s", F.explode("asked").alias("q"))
-    common, either = F.size(F.array_intersect("s", F.col("q.s"))), F.size(F.array_union("s", F.col("q.s")))
-    score = F.when(either > 0, F.round(0.5 + 0.45 * F.sqrt(common / F.greatest(either, F.lit(1))), 6)).otherwise(0.5)
-    return ranked(rows.select("q.query_id", "id", score.alias("score")), k)
+    """.5 + .45 * root of the Jaccard similarity of character sets (both empty: .5), the k best."""
+    chars = lambda df, i: df.select(i, F.array_remove(F.array_distinct(F.split(F.coalesce("text", F.lit("")), "")), "").alias("s")).withColumn("n", F.size("s"))
+
+    def similar(q: pa.Table, d: pa.Table) -> np.ndarray:
+        a, b = _members(q["s"], d["s"])
+        common = (a @ b.T).astype(np.float64)
+        either = q["n"].to_numpy()[:, None] + d["n"].to_numpy()[None, :] - common
+        return 0.5 + 0.45 * np.sqrt(common / np.maximum(either, 1))
+
+    return blocked_topk(chars(queries, "query_id"), chars(docs, "id"), k, similar, doc_rows=4096)
+
+
+#: Names of the retrieval strategies and what else they are called; any other name is the hybrid.
+STRATEGIES = {"keyword": "keyword", "risk_type": "risk_type", "risktype": "risk_type", "tfidf": "tfidf", "bm25-lite": "tfidf"}
+
+
+def strategy_search(requests: DataFrame, cases: DataFrame, strategy: str, k: int) -> DataFrame:
+    """The k best cases over 0 by one strategy: requests (query_id, text, product, label, risks), cases (id, text, product,
+    label, risks); risks are comma-separated.
+
+    keyword: .12 a shared token, at most .95. risk_type: .38 for each of the request's risks that the case's risks
+    contain, at most .95. tfidf: shared tokens over the root of both numbers of tokens, at most .95. hybrid: .08 a token,
+    .25 for the product, .18 for the label, .2 a risk, plus .35 of tfidf, at most .99.
+    """
+    mode = STRATEGIES.get(strategy.lower(), "hybrid")
+    words = F.array_distinct(tokens(F.col("text")))
+    risks = F.filter(F.transform(F.split(F.lower(F.coalesce("risks", F.lit(""))), ","), lambda x: F.trim(x)), lambda x: x != "")
+    q = requests.select("query_id", words.alias("t"), "product", "label", risks.alias("r")).withColumn("n", F.size("t"))
+    d = cases.select("id", words.alias("t"), "product", "label", F.lower(F.coalesce("risks", F.lit(""))).alias("r")).withColumn("n", F.size("t"))
+
+    def equal(q: pa.Table, d: pa.Table, name: str) -> np.ndarray:
+        values = pa.chunked_array([*q[name].chunks, *d[name].chunks]).combine_chunks().dictionary_encode().indices.fill_null(-1).to_numpy(zero_copy_only=False)
+        a, b = values[: len(q)], values[len(q) :]
+        return (a[:, None] == b[None, :]) & (a[:, None] >= 0)
+
+    def scored(q: pa.Table, d: pa.Table) -> np.ndarray:
+        a, b = _members(q["t"], d["t"])
+        shared = (a @ b.T).astype(np.float64)
+        tfidf = np.minimum(0.95, shared / np.sqrt(np.maximum(q["n"].to_numpy()[:, None] * d["n"].to_numpy()[None, :], 1)))
+        if mode == "keyword":
+            return np.minimum(0.95, shared * 0.12)
+        if mode == "tfidf":
+            return tfidf
+        has = {r: pc.match_substring(d["r"], r).to_numpy() for r in {x for row in q["r"].to_pylist() for x in row}}
+        risky = np.array([sum((has[r].astype(np.float64) for r in row), np.zeros(len(d))) for row in q["r"].to_pylist()])
+        if mode == "risk_type":
+            return np.minimum(0.95, risky * 0.38)
+        return np.minimum(0.99, np.minimum(0.99, 0.08 * shared + 0.25 * equal(q, d, "product") + 0.18 * equal(q, d, "label") + 0.2 * risky) + 0.35 * tfidf)
+
+    return blocked_topk(q, d, k, scored, least=0.0, doc_rows=4096)
+
+
+def retrieved(found: DataFrame, cases: DataFrame, strategy: str) -> DataFrame:
+    """Hits with their score to four digits, a reason and a snippet of 120 characters."""
+    hits = found.join(cases.select("id", "text", "product"), "id")
+    return hits.select("query_id", "id", "rank", F.round("score", 4).alias("score"), F.concat(F.lit(f"{STRATEGIES.get(strategy.lower(), 'hybrid')} match, product "), F.col("product").cast("string")).alias("reason"), F.substring("text", 1, 120).alias("snippet"))
+
+
+def retrieval_log(requests: DataFrame, found: DataFrame) -> DataFrame:
+    """One row a request: the retrieved ids in rank order (empty without hits) and their number."""
+    ids = found.groupBy("query_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", "id"))), lambda x: x["id"].cast("string")), ",").alias("ids"), F.count("*").alias("hits"))  # k rows a request at most
+    return requests.select("query_id").join(ids, "query_id", "left").select("query_id", F.coalesce("ids", F.lit("")).alias("ids"), F.coalesce("hits", F.lit(0)).cast("bigint").alias("hits"))
+
+
+def log_summary(log: DataFrame) -> DataFrame:
+    """Requests, those without a hit, their share, and the mean number of hits, measured rather than assumed."""
+    empty = F.count(F.when(F.col("ids") == "", 1))
+    return log.agg(F.count("*").alias("requests"), empty.alias("empty"), F.round(empty / F.count("*"), 6).alias("empty_rate"), F.round(F.avg("hits"), 6).alias("mean_hits"))
 
 
 def reciprocal_rank_fusion(a: DataFrame, b: DataFrame, k: int, c: int = 60) -> DataFrame:
@@ -137,13 +270,88 @@ def scaled(df: DataFrame, score: str) -> Column:
     return F.when(high <= low, F.when(F.col(score) > 0, 1.0).otherwise(0.0)).otherwise((F.col(score) - low) / F.nullif(high - low, F.lit(0.0)))
 
 
-def weighted_hybrid(lexical: DataFrame, dense: DataFrame, metadata: DataFrame, k: int, alpha: float = 0.3, beta: float = 0.4, gamma: float = 0.2, delta: float = 0.1) -> DataFrame:
-    """Weighted sum of min-max scaled lexical, dense and rerank scores and a metadata score; a missing one counts 0
-    before scaling."""
-    both = lexical.select("query_id", "id", F.col("score").alias("lex")).join(dense.select("query_id", "id", F.col("score").alias("den")), ["query_id", "id"], "full").fillna(0.0, ["lex", "den"])
-    both = both.join(metadata.select("query_id", "id", "meta"), ["query_id", "id"], "left").fillna(0.0, ["meta"]).withColumn("rer", F.round((F.col("lex") + F.col("den")) / 2, 6))
-    total = alpha * scaled(both, "lex") + beta * scaled(both, "den") + gamma * scaled(both, "rer") + delta * F.col("meta")
-    return ranked(both.withColumn("score", F.round(total, 6)).select("query_id", "id", "score"), k)
+def merged_candidates(lexical: DataFrame, dense: DataFrame) -> DataFrame:
+    """Candidates of either list with both scores, 0 where a list lacks one."""
+    both = lexical.select("query_id", "id", F.col("score").alias("lexical")).join(dense.select("query_id", "id", F.col("score").alias("dense")), ["query_id", "id"], "full")
+    return both.fillna(0.0, ["lexical", "dense"])
+
+
+def with_rule_scores(candidates: DataFrame, requests: DataFrame, cases: DataFrame) -> DataFrame:
+    """Adds rerank (rule score) and meta: requests (query_id, text, kind, level, category, keywords), cases (id, text, kind,
+    level, category). Only candidates' rows are joined."""
+    q = requests.select("query_id", F.array_distinct(tokens(F.col("text"))).alias("_q"), *(F.col(c).alias(f"_{c}") for c in ("kind", "level", "category", "keywords")))
+    d = cases.select("id", F.array_distinct(tokens(F.col("text"))).alias("_d"), "text", "kind", "level", "category")
+    rows = candidates.join(d, "id").join(q, "query_id")
+    same = {c: F.coalesce(F.col(f"_{c}") == F.col(c), F.lit(False)) for c in ("kind", "level", "category")}
+    overlap = F.size(F.array_intersect("_q", "_d")) / F.greatest(F.lit(1), F.size("_q"))
+    shown = F.size(F.filter("_keywords", lambda w: (w != "") & F.contains(F.col("text"), w)))
+    meta = sum((F.when(same[c], v).otherwise(0.0) for c, v in (("kind", 0.45), ("level", 0.3), ("category", 0.25))), F.lit(0.0))
+    return rows.select(*candidates.columns, rule_rerank(overlap, same["kind"], same["level"], same["category"], shown, F.lit(False)).alias("rerank"), meta.alias("meta"))
+
+
+def weighted_hybrid(rows: DataFrame, k: int, alpha: float = 0.3, beta: float = 0.4, gamma: float = 0.2, delta: float = 0.1) -> DataFrame:
+    """(query_id, id, lexical, dense, rerank, meta) -> the k best by the weighted sum of the min-max scaled scores, to six
+    digits each, and the metadata score."""
+    return ranked(rows.withColumn("score", _mixed(rows, (alpha, beta, gamma, delta))).select("query_id", "id", "score"), k)
+
+
+def _mixed(rows: DataFrame, weights: tuple[float, float, float, float]) -> Column:
+    """The weighted sum of scaled scores and metadata. Six-digit scores times such weights often end on a half, so they
+    are summed as decimals and rounded half up."""
+    exact = lambda c: c.cast("decimal(9,6)")
+    parts = [exact(F.round(scaled(rows, c), 6)) for c in ("lexical", "dense", "rerank")] + [exact(F.col("meta"))]
+    total = sum((F.lit(str(w)).cast("decimal(4,3)") * p for w, p in zip(weights, parts, strict=True)), F.lit(0).cast("decimal(9,6)"))
+    return F.round(total, 6).cast("double")
+
+
+def dispatched(requests: DataFrame, lexical: DataFrame, dense: DataFrame, cases: DataFrame, k: int) -> tuple[DataFrame, DataFrame]:
+    """Hits and a response row for each request (also strategy and dense_ok, whether its vector could be made).
+
+    tfidf and dense take one list; hybrid and hybrid_rerank merge both, and only the last reranks. Where the vector
+    failed, dense answers nothing and the hybrids go on with the lexical list; both say so. An empty query gets nothing.
+    """
+    r = requests.select("query_id", F.trim(F.coalesce("text", F.lit(""))).alias("_text"), F.coalesce("strategy", F.lit("hybrid_rerank")).alias("strategy"), F.coalesce("dense_ok", F.lit(True)).alias("dense_ok"))
+    asked = r.where("_text <> ''")
+    use_lexical = lexical.join(asked.where("strategy <> 'dense'").select("query_id"), "query_id", "left_semi")
+    use_dense = dense.join(asked.where("strategy <> 'tfidf' and dense_ok").select("query_id"), "query_id", "left_semi")
+    rows = with_rule_scores(merged_candidates(use_lexical, use_dense), requests, cases).join(r.select("query_id", "strategy"), "query_id")
+    rows = rows.withColumn("rerank", F.when(F.col("strategy") == "hybrid_rerank", F.col("rerank")).otherwise(0.0))
+    alone = lambda c: F.round(scaled(rows, c), 6)
+    score = F.when(F.col("strategy") == "tfidf", alone("lexical")).when(F.col("strategy") == "dense", alone("dense")).otherwise(_mixed(rows, (0.3, 0.4, 0.2, 0.1)))
+    scored = rows.withColumn("score", F.round(score, 6)).withColumn("_n", F.count("*").over(Window.partitionBy("query_id")))
+    hits = ranked(scored.select("query_id", "id", "score", "_n"), k)
+    told = hits.groupBy("query_id").agg(F.max("_n").alias("candidates"), F.count("*").alias("hits"), F.max("score").alias("top"))
+    failed = (F.col("_text") != "") & (F.col("strategy") != "tfidf") & ~F.col("dense_ok")
+    answers = r.join(told, "query_id", "left").select(
+        "query_id", "strategy", *(F.coalesce(c, F.lit(0)).cast("bigint").alias(c) for c in ("candidates", "hits")), F.coalesce("top", F.lit(0.0)).alias("top_score"),
+        F.when((F.col("strategy") == "hybrid_rerank") & (F.coalesce("candidates", F.lit(0)) > 0), "rule").otherwise("none").alias("reranker"), failed.alias("fallback_used"),
+    )
+    return hits.drop("_n"), answers
+
+
+def local_rerank(hits: DataFrame, requests: DataFrame, available: bool) -> DataFrame:
+    """hits (query_id, id, rank, score, trust, chunk) -> rank and status: verified first, then the score, then hits whose
+    chunk is a term of the query; without a reranker the order is as it was."""
+    if not available:
+        return hits.select("query_id", "id", "rank", F.lit("RERANKER_UNAVAILABLE").alias("status"))
+    terms = requests.select("query_id", F.split(F.lower("text"), r"\s+").alias("_terms"))
+    w = Window.partitionBy("query_id").orderBy((F.col("trust") == "internal_verified").desc(), F.desc("score"), F.array_contains("_terms", F.col("chunk")).desc(), "rank")
+    return hits.join(terms, "query_id").select("query_id", "id", F.row_number().over(w).alias("rank"), F.lit("PASS").alias("status"))
+
+
+def holders(items: DataFrame, docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
+    """(query_id, text), (id, text) -> pairs of which the document holds at least percent of the item's distinct word
+    windows of size, joined on the windows' hashes."""
+    def windows(df: DataFrame, key: str) -> DataFrame:
+        listed = df.select(key, tokens(F.col("text")).alias("_t")).where(F.size("_t") >= size)
+        hashed = F.slice("_t", 1, F.size("_t") - size + 1)
+        for i in range(1, size):
+            hashed = F.zip_with(hashed, F.slice("_t", i + 1, F.size("_t") - size + 1), lambda a, b: F.xxhash64(a, b))
+        return listed.select(key, F.array_distinct(hashed).alias("_h"))
+
+    asked = windows(items, "query_id").select("query_id", F.size("_h").alias("n"), F.explode("_h").alias("h"))
+    there = windows(docs, "id").select("id", F.explode("_h").alias("h"))
+    return there.join(asked, "h").groupBy("query_id", "id", "n").agg(F.count("*").alias("common")).where(F.col("common") * 100 >= F.col("n") * percent).select("query_id", "id")
 
 
 def rule_rerank(overlap: Column, same_type: Column, same_level: Column, same_category: Column, evidence: Column, hard_negative: Column) -> Column:

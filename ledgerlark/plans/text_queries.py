@@ -90,6 +90,35 @@ HASHED = f"""{POST}, hv AS (SELECT id, CAST('0x' || substr(sha256(term), 1, 2) A
     he AS (SELECT query_id, id, round(sum(hw.w * qw.w), 6) AS score FROM qw JOIN hw USING (slot) GROUP BY 1, 2 HAVING round(sum(hw.w * qw.w), 6) > 0)"""
 
 
+def _scaled(c: str) -> str:
+    return f"round(CASE WHEN max({c}) OVER (PARTITION BY query_id) <= min({c}) OVER (PARTITION BY query_id) THEN CASE WHEN {c} > 0 THEN 1.0 ELSE 0.0 END ELSE ({c} - min({c}) OVER (PARTITION BY query_id)) / (max({c}) OVER (PARTITION BY query_id) - min({c}) OVER (PARTITION BY query_id)) END, 6)"
+
+
+def _hybrid(where_a: str, where_b: str, reranks: str) -> str:
+    """Candidates of BM25 and hashed vectors with scaled scores, for requests that take the lists."""
+    return f"""{BM25}, {HASHED.removeprefix(POST + ', ')}, req AS (SELECT item_id AS query_id, ['en', 'de', 'es', 'fr'][item_id % 4 + 1] AS kind, 'src' || (item_id % 20) AS level, item_id % 5 AS category, ['hybrid_rerank', 'tfidf', 'dense', 'hybrid'][item_id % 4 + 1] AS strategy, item_id % 3 > 0 AS dense_ok FROM benchmark),
+    a AS (SELECT * FROM ({_top('bm', 10)}) JOIN req USING (query_id) WHERE {where_a}), b AS (SELECT * FROM ({_top('he', 10)}) JOIN req USING (query_id) WHERE {where_b}),
+    cand AS (SELECT coalesce(a.query_id, b.query_id) AS query_id, coalesce(a.id, b.id) AS id, coalesce(a.score, 0) AS lexical, coalesce(b.score, 0) AS dense FROM a FULL JOIN b ON a.query_id = b.query_id AND a.id = b.id),
+    tk AS (SELECT id, list_distinct(t) AS t FROM tl), qk AS (SELECT query_id, list(DISTINCT term) AS t FROM qt GROUP BY 1),
+    rul AS (SELECT c.*, strategy, CASE WHEN d.lang = kind THEN CAST(0.45 AS DOUBLE) ELSE 0 END + CASE WHEN d.source = level THEN CAST(0.3 AS DOUBLE) ELSE 0 END + CASE WHEN c.id % 5 = category THEN 0.25 ELSE 0 END AS meta,
+        CASE WHEN {reranks} THEN round(greatest(0, least(1, CAST(0.35 AS DOUBLE) * (len(list_intersect(qk.t, tk.t)) / greatest(1, len(qk.t))) + CASE WHEN d.lang = kind THEN 0.25 ELSE 0 END + CASE WHEN d.source = level THEN CAST(0.15 AS DOUBLE) ELSE 0 END
+            + CASE WHEN c.id % 5 = category THEN CAST(0.15 AS DOUBLE) ELSE 0 END + least(CAST(0.1 AS DOUBLE), CAST(0.05 AS DOUBLE) * (CAST(contains(d.text, 'the') AS INTEGER) + CAST(contains(d.text, 'que') AS INTEGER))))), 6) ELSE 0.0 END AS rerank
+        FROM cand c JOIN documents d ON d.doc_id = c.id JOIN req USING (query_id) JOIN tk USING (id) JOIN qk USING (query_id)),
+    sca AS (SELECT *, {_scaled('lexical')} AS l, {_scaled('dense')} AS e, {_scaled('rerank')} AS r FROM rul),
+    mix AS (SELECT *, CAST(round(0.3 * CAST(l AS DECIMAL(9,6)) + 0.4 * CAST(e AS DECIMAL(9,6)) + 0.2 * CAST(r AS DECIMAL(9,6)) + 0.1 * CAST(meta AS DECIMAL(9,6)), 6) AS DOUBLE) AS score FROM sca)"""
+
+
+_CASES = f"""{ANA}, qs AS (SELECT item_id AS query_id, item_id % 50 AS product, ['negative', 'positive', 'neutral'][item_id % 3 + 1] AS label, list_filter(list_transform(string_split(lower(['LOSER, trash', 'stupid', '', 'moron,worthless,trash'][item_id % 4 + 1]), ','), lambda x: trim(x)), lambda x: x <> '') AS risks,
+        list_distinct({TOK}) AS t FROM benchmark), cs AS (SELECT id, product_id, label, list_distinct({TOK}) AS t, array_to_string(list_filter({list(RISK + NEGATIVE)}, lambda w: contains(text, w)), ',') AS risks FROM ana),
+    pr AS (SELECT query_id, id, len(list_intersect(qs.t, cs.t)) AS n, least(CAST(0.95 AS DOUBLE), len(list_intersect(qs.t, cs.t)) / sqrt(greatest(len(qs.t) * len(cs.t), 1))) AS cosine, coalesce(product = product_id, false) AS same_product, coalesce(qs.label = cs.label, false) AS same_label, len(list_filter(qs.risks, lambda r: contains(cs.risks, r))) AS risky FROM qs, cs),
+    al AS (SELECT query_id, id, round(least(CAST(0.95 AS DOUBLE), CAST(0.12 AS DOUBLE) * n), 6) AS keyword, round(least(CAST(0.95 AS DOUBLE), CAST(0.38 AS DOUBLE) * risky), 6) AS risk_type, round(cosine, 6) AS tfidf,
+        round(least(CAST(0.99 AS DOUBLE), least(CAST(0.99 AS DOUBLE), CAST(0.08 AS DOUBLE) * n + CASE WHEN same_product THEN 0.25 ELSE 0 END + CASE WHEN same_label THEN CAST(0.18 AS DOUBLE) ELSE 0 END + CAST(0.2 AS DOUBLE) * risky) + CAST(0.35 AS DOUBLE) * cosine), 6) AS hybrid FROM pr)"""
+
+
+def _strategy_top(name: str, k: int) -> str:
+    return f"SELECT query_id, id, {name} AS score, CAST(row_number() OVER (PARTITION BY query_id ORDER BY {name} DESC, id) AS INTEGER) AS rank FROM al WHERE {name} > 0 QUALIFY rank <= {k}"
+
+
 def _top(source: str, k: int, extra: str = "") -> str:
     return f"SELECT query_id, id, score, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS INTEGER) AS rank{extra} FROM {source} QUALIFY rank <= {k}"
 
@@ -102,20 +131,59 @@ def _bm(s, d, k):  # noqa: ANN001, ANN202
     return R.ranked(R.bm25(_items(s, d), _docs(s, d)), k)
 
 
+def _hash(s, d, k):  # noqa: ANN001, ANN202
+    return R.hash_search(_items(s, d), _docs(s, d), k)
+
+
+def _requests(s, d):  # noqa: ANN001, ANN202
+    """Benchmark items as requests with attributes."""
+    i = F.col("item_id")
+    return table(s, d, "benchmark").select(
+        i.alias("query_id"), "text", _choice(("en", "de", "es", "fr"), i).alias("kind"), F.concat(F.lit("src"), i % 20).alias("level"), (i % 5).alias("category"), F.array(F.lit("the"), F.lit("que"), F.lit("")).alias("keywords"), _choice(("hybrid_rerank", "tfidf", "dense", "hybrid"), i).alias("strategy"), (i % 3 > 0).alias("dense_ok"),
+        (i % 50).alias("product"), _choice(("negative", "positive", "neutral"), i).alias("label"), _choice(("LOSER, trash", "stupid", "", "moron,worthless,trash"), i).alias("risks"),
+    )
+
+
+def _cases(s, d):  # noqa: ANN001, ANN202
+    """Reviews as cases with the request's attributes."""
+    risky = F.array_join(S.hits(F.col("text"), RISK + NEGATIVE), ",")
+    return analyses(s, d).select("id", "text", F.col("lang").alias("kind"), F.col("source").alias("level"), (F.col("id") % 5).alias("category"), F.col("product_id").alias("product"), "label", risky.alias("risks"))
+
+
+def _strategy(s, d, name, k=5):  # noqa: ANN001, ANN202
+    return R.strategy_search(_requests(s, d), _cases(s, d), name, k)
+
+
+def _compared(s, d):  # noqa: ANN001, ANN202
+    out = None
+    for name in ("keyword", "riskType", "bm25-lite", "hybrid"):
+        one = _strategy(s, d, name, 3).select(F.lit(R.STRATEGIES.get(name.lower(), "hybrid")).alias("strategy"), "query_id", "id", "score", "rank")
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+def _trusted(s, d):  # noqa: ANN001, ANN202
+    """Hits of BM25 with the trust and chunk name of their documents."""
+    kinds = F.when(F.col("id") % 3 == 0, "internal_verified").otherwise("external_untrusted")
+    return _bm(s, d, 10).withColumns({"trust": kinds, "chunk": F.when(F.col("id") % 2 == 0, "the").otherwise("no")})
+
+
 def _claims(s, d):  # noqa: ANN001, ANN202
-    return _docs(s, d).select("id", F.array(F.substring("text", 1, 12), F.lit("not in there"), F.substring("text", 5, 9)).alias("evidence"), F.when(F.col("id") % 3 == 0, "high").otherwise("low").alias("level"))
+    """For each document its first line, a sentence that it lacks and its last line as evidence."""
+    lines = F.split("text", "\n")
+    return _docs(s, d).select("id", F.array(lines[0], F.lit("not in there"), F.element_at(lines, -1)).alias("evidence"), F.when(F.col("id") % 3 == 0, "high").otherwise("low").alias("level"))
 
 
 def _wrapped(s, d):  # noqa: ANN001, ANN202
-    """Assistant turns as model outputs of several shapes."""
-    c = table(s, d, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("id"), "role", F.regexp_replace(F.substring("text", 1, 20), r'["\\\x00-\x1f{}\[\]`]', " ").alias("t"))
+    """Turns as model outputs of several shapes."""
+    c = table(s, d, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("id"), "role", F.regexp_replace("text", r'["\\\x00-\x1f{}\[\]`]', " ").alias("t"))
     body = F.concat(F.lit('{"riskType": "Negative_Review", "risk_level": "'), F.when(F.col("id") % 3 == 0, "HIGH").otherwise("low"), F.lit('", "need_human_review": "false", "route_reason": "'), "t", F.lit('"'))
     shape = F.col("id") % 5
     out = F.when(shape == 0, F.concat(body, F.lit("}"))).when(shape == 1, F.concat(F.lit("<think>x {</think>"), body, F.lit("}"))).when(shape == 2, F.concat(F.lit("```json\n"), body, F.lit(",}\n```"))).when(shape == 3, F.concat(F.lit("Here: "), body, F.lit("} done"))).otherwise(F.col("role"))
     return c.select("id", out.alias("output"))
 
 
-WRAPPED = r"""c AS (SELECT conv_id * 1000 + turn AS id, role, regexp_replace(substr(text, 1, 20), '["\\\x00-\x1f{}\[\]`]', ' ', 'g') AS t FROM conversations),
+WRAPPED = r"""c AS (SELECT conv_id * 1000 + turn AS id, role, regexp_replace(text, '["\\\x00-\x1f{}\[\]`]', ' ', 'g') AS t FROM conversations),
     b AS (SELECT id, role, '{"riskType": "Negative_Review", "risk_level": "' || CASE WHEN id % 3 = 0 THEN 'HIGH' ELSE 'low' END || '", "need_human_review": "false", "route_reason": "' || t || '"' AS body FROM c)"""
 
 QUERIES = {
@@ -155,22 +223,29 @@ QUERIES = {
     "r02_listed_risks": lambda s, d: _docs(s, d).select("id", R.listed_score(F.lit(",".join(RISK + NEGATIVE)), F.col("text"), 0.38, 0.95).alias("score")),
     "r03_token_cosine": lambda s, d: R.ranked(R.token_cosine(_items(s, d), _docs(s, d)), 5),
     "r04_composite": lambda s, d: analyses(s, d).select("id", R.composite(F.size(S.hits(F.col("text"), POSITIVE)), F.col("product_id") == 7, F.coalesce(F.col("label") == "negative", F.lit(False)), F.size(S.hits(F.col("text"), RISK))).alias("score")),
+    "r05_hybrid": lambda s, d: _strategy(s, d, "hybrid"),
+    "r06_retrieve": lambda s, d: R.retrieved(_strategy(s, d, "tfidf"), _cases(s, d), "tfidf"),
+    "r07_strategies": lambda s, d: _compared(s, d),
+    "r08_retrieval_failures": lambda s, d: R.log_summary(R.retrieval_log(_requests(s, d), _strategy(s, d, "risk_type"))),
     "r09_charset_sim": lambda s, d: R.char_set_similarity(_items(s, d), _docs(s, d)),
     "r10_bm25": lambda s, d: _bm(s, d, 5),
-    "r10_bm25_filtered": lambda s, d: R.ranked(R.bm25(_items(s, d), _docs(s, d), where=F.col("id") % 2 == 0), 3),
+    "r10_bm25_filtered": lambda s, d: R.ranked(R.bm25(_items(s, d), _docs(s, d), where=F.col("lang") == "en"), 3),
     "r11_char_tfidf": lambda s, d: R.ranked(R.char_tfidf(_items(s, d), _docs(s, d)), 3),
-    "r12_hash_embed": lambda s, d: R.ranked(R.hash_search(_items(s, d), _docs(s, d)), 5),
-    "r13_dense_topk": lambda s, d: R.dense_search(_vectors(s, d).where("id < 10").select(F.col("id").alias("query_id"), "vector"), _vectors(s, d), 5),
+    "r12_hash_embed": lambda s, d: _hash(s, d, 5),
+    "r13_dense_topk": lambda s, d: R.dense_search(_vectors(s, d).where("id % 50 = 0").select(F.col("id").alias("query_id"), "vector"), _vectors(s, d), 10),
     "r13_dense_corpus": lambda s, d: R.dense_search(_vectors(s, d).where("id % 50 = 0").select(F.col("id").alias("query_id"), "vector"), _vectors(s, d), 5),
-    "r14_rrf": lambda s, d: R.reciprocal_rank_fusion(_bm(s, d, 10), R.ranked(R.hash_search(_items(s, d), _docs(s, d)), 10), 5),
-    "r15_weighted_hybrid": lambda s, d: R.weighted_hybrid(_bm(s, d, 10), R.ranked(R.hash_search(_items(s, d), _docs(s, d)), 10), _bm(s, d, 10).select("query_id", "id", F.when(F.col("id") % 2 == 0, 0.45).otherwise(0.0).alias("meta")), 5),
+    "r14_rrf": lambda s, d: R.reciprocal_rank_fusion(_bm(s, d, 10), _hash(s, d, 10), 5),
+    "r15_weighted_hybrid": lambda s, d: R.weighted_hybrid(R.with_rule_scores(R.merged_candidates(_bm(s, d, 10), _hash(s, d, 10)), _requests(s, d), _cases(s, d)), 5),
+    "r17_dispatch": lambda s, d: R.dispatched(_requests(s, d), _bm(s, d, 10), _hash(s, d, 10), _cases(s, d), 5)[1],
+    "r18_no_reranker": lambda s, d: R.local_rerank(_trusted(s, d), _items(s, d), False),
+    "l08_rerank_order": lambda s, d: R.local_rerank(_trusted(s, d), _items(s, d), True),
     "r16_rule_rerank": lambda s, d: analyses(s, d).select("id", R.rule_rerank(F.size(S.hits(F.col("text"), POSITIVE)) / 4.0, F.col("rating") == 1, F.coalesce(F.col("label") == "negative", F.lit(False)), F.col("lang") == "en", F.size(S.hits(F.col("text"), NEGATIVE)), F.col("id") % 5 == 0).alias("score")),
     "r19_chunks": lambda s, d: D.chunks(_docs(s, d)),
-    "r22_evidence": lambda s, d: D.verify_evidence(_claims(s, d), _docs(s, d).where("id % 13 > 0").select("id", "text", (F.col("id") % 2 == 0).alias("trusted"))),
+    "r22_evidence": lambda s, d: D.verify_evidence(_claims(s, d), _docs(s, d).select("id", F.when(F.col("id") % 13 > 0, F.col("text")).alias("text"), (F.col("id") % 2 == 0).alias("trusted"))),
     "r24_extract": lambda s, d: _wrapped(s, d).select("id", *(c.alias(n) for c, n in zip(D.extract_json(F.col("output")), ("json", "steps"), strict=True))),
     "r25_normalise": lambda s, d: _wrapped(s, d).select("id", D.extract_json(F.col("output"))[0].alias("json")).select("id", *(c.alias(n) for n, c in D.normalise_decision(F.col("json")).items())),
     "r29_duplicate_rates": lambda s, d: _docs(s, d).select(F.sha2("text", 256).alias("x"), F.sha2(F.lower(F.regexp_replace("text", r"[^A-Za-z0-9]+", "")), 256).alias("y")).agg(F.count("*").alias("n"), F.countDistinct("x").alias("exact"), F.countDistinct("y").alias("normalised")),
-    "a41_retrieval_metrics": lambda s, d: R.retrieval_metrics(_bm(s, d, 5), table(s, d, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("t")).join(_docs(s, d), F.contains(F.col("text"), F.substring("t", 1, 40))).select("query_id", "id"), _items(s, d)),
+    "a41_retrieval_metrics": lambda s, d: R.retrieval_metrics(_bm(s, d, 5), R.holders(_items(s, d), _docs(s, d)), _items(s, d)),
     "a42_corpus_df": lambda s, d: R.corpus_statistics(_docs(s, d)),
 }
 
@@ -235,30 +310,44 @@ ORACLE_SQL = {
     "r03_token_cosine": f"""WITH {POST}, d AS (SELECT id, term, count(*) OVER (PARTITION BY id) AS nd FROM tfs), q AS (SELECT query_id, term, count(*) OVER (PARTITION BY query_id) AS nq FROM (SELECT DISTINCT * FROM qt)),
         k AS (SELECT query_id, id, round(least(0.95, count(*) / sqrt(any_value(nq) * any_value(nd))), 6) AS score FROM q JOIN d USING (term) GROUP BY 1, 2) {_top('k', 5)}""",
     "r04_composite": f"WITH {ANA} SELECT id, round(least(0.99, CAST(0.08 AS DOUBLE) * {_HITS.format(words=list(POSITIVE))} + CASE WHEN product_id = 7 THEN 0.25 ELSE 0 END + CASE WHEN label = 'negative' THEN CAST(0.18 AS DOUBLE) ELSE 0 END + CAST(0.2 AS DOUBLE) * {_HITS.format(words=list(RISK))}), 4) AS score FROM ana",
+    "r05_hybrid": f"WITH {_CASES} {_strategy_top('hybrid', 5)}",
+    "r06_retrieve": f"WITH {_CASES}, h AS ({_strategy_top('tfidf', 5)}) SELECT query_id, h.id, rank, round(score, 4) AS score, 'tfidf match, product ' || product_id AS reason, substr(text, 1, 120) AS snippet FROM h JOIN ana ON ana.id = h.id",
+    "r07_strategies": f"WITH {_CASES} " + " UNION ALL ".join(f"SELECT '{n}' AS strategy, * FROM ({_strategy_top(n, 3)})" for n in ("keyword", "risk_type", "tfidf", "hybrid")),
+    "r08_retrieval_failures": f"WITH {_CASES}, h AS ({_strategy_top('risk_type', 5)}), g AS (SELECT item_id, (SELECT count(*) FROM h WHERE query_id = item_id) AS n FROM benchmark) SELECT count(*) AS requests, count(*) FILTER (n = 0) AS empty, round(count(*) FILTER (n = 0) / count(*), 6) AS empty_rate, round(avg(n), 6) AS mean_hits FROM g",
     "r09_charset_sim": f"""WITH d AS (SELECT doc_id AS id, list_distinct(string_split(text, '')) AS s FROM documents), q AS (SELECT item_id AS query_id, list_distinct(string_split(text, '')) AS s FROM benchmark),
         k AS (SELECT query_id, id, round(0.5 + CAST(0.45 AS DOUBLE) * sqrt(len(list_intersect(d.s, q.s)) / len(list_distinct(list_concat(d.s, q.s)))), 6) AS score FROM q, d) {_top('k', 3)}""",
     "r10_bm25": f"WITH {BM25} {_top('bm', 5)}",
-    "r10_bm25_filtered": f"WITH {BM25}, f AS (SELECT * FROM bm WHERE id % 2 = 0) {_top('f', 3)}",
+    "r10_bm25_filtered": f"WITH {BM25}, f AS (SELECT * FROM bm WHERE id IN (SELECT doc_id FROM documents WHERE lang = 'en')) {_top('f', 3)}",
     "r12_hash_embed": f"WITH {HASHED} {_top('he', 5)}",
-    "r13_dense_topk": f"""WITH v AS (SELECT vec_id AS id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings), k AS (SELECT q.id AS query_id, v.id, round(list_dot_product(q.e, v.e) / (sqrt(list_dot_product(v.e, v.e)) * sqrt(list_dot_product(q.e, q.e))), 6) AS score FROM v q, v WHERE q.id < 10) {_top('k', 5)}""",
+    "r13_dense_topk": f"""WITH v AS (SELECT vec_id AS id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings), k AS (SELECT q.id AS query_id, v.id, round(list_dot_product(q.e, v.e) / (sqrt(list_dot_product(v.e, v.e)) * sqrt(list_dot_product(q.e, q.e))), 6) AS score FROM v q, v WHERE q.id % 50 = 0) {_top('k', 10)}""",
     "r13_dense_corpus": f"""WITH v AS (SELECT vec_id AS id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings), k AS (SELECT q.id AS query_id, v.id, round(list_dot_product(q.e, v.e) / (sqrt(list_dot_product(v.e, v.e)) * sqrt(list_dot_product(q.e, q.e))), 6) AS score FROM v q, v WHERE q.id % 50 = 0) {_top('k', 5)}""",
     "r14_rrf": f"""WITH {BM25}, {HASHED.removeprefix(POST + ', ')}, a AS ({_top('bm', 10)}), b AS ({_top('he', 10)}),
         k AS (SELECT coalesce(a.query_id, b.query_id) AS query_id, coalesce(a.id, b.id) AS id, round(coalesce(1 / (60 + a.rank), 0) + coalesce(1 / (60 + b.rank), 0), 8) AS score,
             CASE WHEN a.rank IS NULL THEN 'dense' WHEN b.rank IS NULL THEN 'sparse' ELSE 'both' END AS source FROM a FULL JOIN b ON a.query_id = b.query_id AND a.id = b.id) {_top('k', 5, ', source')}""",
+    "r11_char_tfidf": rf"""WITH x AS (SELECT 0 AS kind, doc_id AS id, list_filter(string_split(regexp_replace(lower(text), '\s{{2,}}', ' ', 'g'), ''), lambda c: c <> '') AS c FROM documents UNION ALL SELECT 1, item_id, list_filter(string_split(regexp_replace(lower(text), '\s{{2,}}', ' ', 'g'), ''), lambda c: c <> '') FROM benchmark),
+        g AS (SELECT kind, id, unnest(list_concat(c, list_concat(list_transform(range(1, greatest(len(c), 1)), lambda i: c[i] || c[i + 1]), list_transform(range(1, greatest(len(c) - 1, 1)), lambda i: c[i] || c[i + 1] || c[i + 2])))) AS term FROM x), t AS (SELECT kind, id, term, count(*) AS tf FROM g GROUP BY ALL),
+        i AS (SELECT term, ln((1 + (SELECT count(*) FROM documents)) / (1 + count(*))) + 1 AS idf FROM t WHERE kind = 0 GROUP BY 1), w AS (SELECT kind, id, term, (1 + ln(tf)) * idf AS w FROM t JOIN i USING (term)), n AS (SELECT kind, id, sqrt(sum(w * w)) AS norm FROM w GROUP BY 1, 2),
+        dt AS (SELECT q.id AS query_id, d.id, sum(q.w * d.w) AS dot FROM w q JOIN w d ON q.term = d.term AND q.kind = 1 AND d.kind = 0 GROUP BY 1, 2), k AS (SELECT query_id, dt.id, round(dot / (a.norm * b.norm), 6) AS score FROM dt JOIN n a ON a.kind = 1 AND a.id = query_id JOIN n b ON b.kind = 0 AND b.id = dt.id) {_top('k', 3)}""",
+    "r15_weighted_hybrid": f"WITH {_hybrid('true', 'true', 'true')} {_top('mix', 5)}",
+    "r17_dispatch": f"""WITH {_hybrid("strategy <> 'dense'", "strategy <> 'tfidf' AND dense_ok", "strategy = 'hybrid_rerank'")}, f AS (SELECT query_id, CASE strategy WHEN 'tfidf' THEN l WHEN 'dense' THEN e ELSE score END AS score FROM mix), g AS (SELECT query_id, count(*) AS n, max(score) AS top FROM f GROUP BY 1)
+        SELECT query_id, strategy, coalesce(n, 0) AS candidates, CAST(least(coalesce(n, 0), 5) AS BIGINT) AS hits, coalesce(top, 0.0) AS top_score, CASE WHEN strategy = 'hybrid_rerank' AND n > 0 THEN 'rule' ELSE 'none' END AS reranker, strategy <> 'tfidf' AND NOT dense_ok AS fallback_used FROM req LEFT JOIN g USING (query_id)""",
+    "r18_no_reranker": f"WITH {BM25} SELECT query_id, id, rank, 'RERANKER_UNAVAILABLE' AS status FROM ({_top('bm', 10)})",
+    "l08_rerank_order": f"WITH {BM25}, h AS ({_top('bm', 10)}) SELECT query_id, h.id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY h.id % 3 = 0 DESC, score DESC, h.id % 2 = 0 AND list_contains(string_split_regex(lower(text), '\\s+'), 'the') DESC, h.rank) AS INTEGER) AS rank, 'PASS' AS status FROM h JOIN benchmark ON item_id = query_id",
     "r16_rule_rerank": f"""WITH {ANA} SELECT id, round(greatest(0, least(1, CAST(0.35 AS DOUBLE) * ({_HITS.format(words=list(POSITIVE))} / 4) + CASE WHEN rating = 1 THEN 0.25 ELSE 0 END + CASE WHEN label = 'negative' THEN CAST(0.15 AS DOUBLE) ELSE 0 END + CASE WHEN lang = 'en' THEN CAST(0.15 AS DOUBLE) ELSE 0 END
         + least(CAST(0.1 AS DOUBLE), CAST(0.05 AS DOUBLE) * {_HITS.format(words=list(NEGATIVE))}) - CASE WHEN id % 5 = 0 THEN 0.25 ELSE 0 END)), 6) AS score FROM ana""",
     "r19_chunks": r"""WITH t AS (SELECT doc_id AS id, regexp_extract_all(text, '[\x{4e00}-\x{9fff}]|[A-Za-z0-9_]+|[^\s]') AS t FROM documents), w AS (SELECT id, t, unnest(range(0, greatest(len(t), 1), 172)) AS s FROM t),
         c AS (SELECT id, CAST(s // 172 AS INTEGER) AS nth, t[s + 1 : s + 220] AS x FROM w)
         SELECT id, nth, CAST(len(x) AS INTEGER) AS n_tokens, coalesce(array_to_string(x, ''), '') AS content, substr(sha256(concat_ws('|', id, nth, coalesce(array_to_string(x, ''), ''))), 1, 24) AS chunk_id FROM c""",
     "r22_evidence": """WITH c AS (SELECT doc_id AS id, doc_id % 13 > 0 AS there, doc_id % 2 = 0 AS trusted, doc_id % 3 = 0 AS high, 2 + CAST(contains(text, 'not in there') AS INTEGER) AS v FROM documents),
-        r AS (SELECT id, CASE WHEN there THEN v ELSE 0 END AS v, there, coalesce(trusted AND there, false) AS trusted, high FROM c),
+        r AS (SELECT id, CASE WHEN there THEN v ELSE 0 END AS v, there, trusted, high FROM c),
         x AS (SELECT *, concat_ws(',', CASE WHEN NOT there THEN 'EMPTY_RETRIEVAL' END, CASE WHEN v < 3 THEN 'EVIDENCE_NOT_FOUND' END, CASE WHEN high AND NOT trusted THEN 'LOW_TRUST_HIGH_RISK' END) AS codes, CASE WHEN there THEN round(v / 3, 6) ELSE 0.0 END AS coverage FROM r)
         SELECT id, CAST(v AS INTEGER) AS verified, CAST(3 - v AS INTEGER) AS rejected, coverage, codes, codes <> '' OR coverage < 1 AS review FROM x""",
     "r24_extract": f"""WITH {WRAPPED} SELECT id, CASE WHEN id % 5 < 4 THEN body || '}}' END AS json, ['', 'think_block_removed', 'markdown_fence_removed,trailing_comma_removed', 'extra_text_removed', 'json_object_not_found'][id % 5 + 1] AS steps FROM b""",
     "r25_normalise": f"""WITH {WRAPPED} SELECT b.id, CASE WHEN b.id % 5 < 4 THEN 'negative_review' END AS risk_type, CASE WHEN b.id % 5 < 4 THEN CASE WHEN b.id % 3 = 0 THEN 'high' ELSE 'low' END END AS risk_level,
         CASE WHEN b.id % 5 < 4 THEN false END AS need_human_review, CASE WHEN b.id % 5 < 4 THEN t END AS route_reason, b.id % 5 < 4 AND length(t) > 0 AS eligible FROM b JOIN c ON b.id = c.id""",
     "r29_duplicate_rates": "SELECT count(*) AS n, count(DISTINCT text) AS exact, count(DISTINCT lower(regexp_replace(text, '[^A-Za-z0-9]+', '', 'g'))) AS normalised FROM documents",
-    "a41_retrieval_metrics": f"""WITH {BM25}, h AS ({_top('bm', 5)}), gold AS (SELECT item_id AS query_id, doc_id AS id FROM benchmark b JOIN documents d ON contains(d.text, substr(b.text, 1, 40))),
+    "a41_retrieval_metrics": f"""WITH {BM25}, h AS ({_top('bm', 5)}), sh AS (SELECT 0 AS kind, id, unnest(list_distinct(list_transform(range(1, len(t) - 3), lambda i: array_to_string(t[i : i + 4], ' ')))) AS w FROM tl UNION ALL SELECT 1, item_id, unnest(list_distinct(list_transform(range(1, len({TOK}) - 3), lambda i: array_to_string(({TOK})[i : i + 4], ' ')))) FROM benchmark),
+        gold AS (SELECT q.id AS query_id, d.id FROM sh q JOIN sh d ON q.w = d.w AND q.kind = 1 AND d.kind = 0 JOIN (SELECT id, count(*) AS n FROM sh WHERE kind = 1 GROUP BY 1) c ON c.id = q.id GROUP BY 1, 2 HAVING count(*) * 100 >= any_value(c.n) * 80),
         r AS (SELECT query_id, min(rank) AS best, sum(CASE WHEN rank <= 5 THEN 1 / log2(rank + 1) ELSE 0 END) AS dcg FROM h JOIN gold USING (query_id, id) GROUP BY 1), g AS (SELECT query_id, count(*) AS n FROM gold GROUP BY 1),
         p AS (SELECT item_id, best, coalesce(dcg / list_sum(list_transform(range(1, greatest(1, least(coalesce(n, 0), 3)) + 1), lambda x: 1 / log2(x + 1))), 0) AS c, coalesce(dcg / list_sum(list_transform(range(1, greatest(1, least(coalesce(n, 0), 5)) + 1), lambda x: 1 / log2(x + 1))), 0) AS t,
             EXISTS (SELECT 1 FROM h WHERE h.query_id = item_id) AS hit FROM benchmark LEFT JOIN r ON r.query_id = item_id LEFT JOIN g ON g.query_id = item_id)
