@@ -205,7 +205,7 @@ def jaccard_join(docs: DataFrame, k: int = 3, percent: int = 90, id_col: str = "
         first = _opened(held, own, leaders, percent, False)
         comps = materialize(connected_components(first.select("a", "b")), "comps")
         own, asks = _left_asks(live, dealt, comps)
-        second = _opened(held, own, asks, percent, False, F.expr("chunk % 2 = 1"))
+        second = _opened(held, own, asks, percent, False, F.lit(False))
         comps = connected_components(comps.select(F.col("id").alias("a"), F.col("component").alias("b")).unionByName(second.select("a", "b")))
     out = classed.join(comps.withColumnRenamed("id", "rep"), "rep", "left")
     columns = [F.col("row").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("component", "rep").alias("component_id")]
@@ -219,11 +219,11 @@ def _cells(live: DataFrame) -> DataFrame:
     """(row, need, sig, leader) -> row, need, leader, cell, chunk of the rows that may have partners.
 
     A partner shares at least `need` parts. Documents with fewer shared parts have none; the others follow the smallest
-    document with which they share most parts, or start a cell. Cells whose leaders follow each other become one, so a
-    family of near copies fills few groups.
+    document with which they share most parts, or start a cell. Cells whose leaders follow each other become one. A
+    cell's followers of one leader are kept together in groups as far as these hold them.
     """
     shared = live.groupBy("row", "need", "leader").agg(F.count("*").alias("n"))
-    close = F.when((F.col("leader") < F.col("row")) & (F.col("n") >= F.col("need")), F.struct("n", -F.col("leader")))
+    close = F.when(F.col("leader") < F.col("row"), F.struct("n", -F.col("leader")))
     cells = shared.groupBy("row", "need").agg(F.sum("n").alias("n"), F.coalesce(F.max_by("leader", close), F.col("row")).alias("leader")).where("n >= need").drop("n")
     cells = materialize(cells, "cells")
     up = cells.select(F.col("leader").alias("head")).distinct().join(cells.select(F.col("row").alias("head"), F.col("leader").alias("up")), "head", "left").select("head", F.coalesce("up", "head").alias("up"))
@@ -231,8 +231,11 @@ def _cells(live: DataFrame) -> DataFrame:
         up = materialize(up, "heads")
         up = up.join(up.select(F.col("head").alias("up"), F.col("up").alias("upper")), "up", "left").select("head", F.coalesce("upper", "up").alias("up"))
     cells = cells.join(up.select(F.col("head").alias("leader"), F.col("up").alias("cell")), "leader")
-    sizes = cells.groupBy("cell").agg(F.count("*").alias("held"))
-    return cells.join(sizes, "cell").select("row", "need", "leader", "cell", F.expr(f"pmod(xxhash64(row), cast(ceil(held / {GROUP}) as bigint))").alias("chunk"))
+    followers = cells.groupBy("cell", "leader").agg(F.count("*").alias("held"))
+    small = followers.groupBy("cell").agg(F.expr(f"cast(ceil(coalesce(sum(case when held <= {GROUP} then held end), 0) / {GROUP}) as bigint)").alias("packs"))
+    followers = followers.join(small, "cell").select("leader", "held", "packs")  # a leader is in one cell
+    chunk = f"case when held > {GROUP} then xxhash64(leader, pmod(xxhash64(row), cast(ceil(held / {GROUP}) as bigint))) else pmod(xxhash64(leader), packs) end"
+    return cells.join(followers, "leader").select("row", "need", "leader", "cell", F.expr(chunk).alias("chunk"))
 
 
 def _all_asks(live: DataFrame, dealt: DataFrame) -> DataFrame:
@@ -245,25 +248,23 @@ def _all_asks(live: DataFrame, dealt: DataFrame) -> DataFrame:
 
 
 def _left_asks(live: DataFrame, dealt: DataFrame, comps: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """New groups of the cells, and the rows and groups to ask, for links between different components.
+    """The groups, each cut in two, and the rows and groups to ask, for links between different components.
 
-    In a cell, the rows of its most frequent component and the others (in groups of odd numbers, which are opened for
-    their own members again) are dealt into groups apart. In each part's bucket
-    the component of the largest group is left out of the asking side, so a linked family never meets itself.
+    The rows of a cell's most frequent component are cut from the others of their group. In each part's bucket the
+    component of the largest group is left out of the asking side, so a linked family never meets itself.
     """
     known = dealt.join(comps.select(F.col("id").alias("row"), "component"), "row", "left").withColumn("component", F.coalesce("component", "row"))
     main = known.groupBy("cell", "component").agg(F.count("*").alias("n")).groupBy("cell").agg(F.max_by("component", F.struct("n", "component")).alias("main"))
-    known = known.join(main, "cell").withColumn("odd", (F.col("component") != F.col("main")).cast("int"))
-    sizes = known.groupBy("cell", "odd").agg(F.count("*").alias("held"))
-    known = known.join(sizes, ["cell", "odd"]).select("row", "need", "component", "cell", F.expr(f"pmod(xxhash64(row), cast(ceil(held / {GROUP}) as bigint)) * 2 + odd").alias("chunk"))
-    known = materialize(known, "known")
-    placed = live.select("row", "sig").join(known, "row").groupBy("sig", "cell", "chunk")
+    cut = F.shiftleft("chunk", 1).bitwiseOR((F.col("component") != F.col("main")).cast("bigint"))
+    known = materialize(known.join(main, "cell").select("row", "need", "component", "cell", F.col("chunk").alias("met"), cut.alias("chunk")), "known")
+    placed = live.select("row", "sig").join(known, "row").groupBy("sig", "cell", "met", "chunk")
     placed = placed.agg(F.min("need").alias("need"), F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("rows"))
     placed = materialize(placed, "placed")
     mixed = placed.groupBy("sig").agg(F.min("low").alias("least"), F.max("high").alias("most"), F.max_by("low", F.struct(F.when(F.col("low") == F.col("high"), F.col("rows")).otherwise(0), "low")).alias("top"))
     placed = materialize(placed.join(mixed.where("least < most").select("sig", "top"), "sig").withColumn("is_top", F.expr("low = top and high = top")), "mixed")
-    to = placed.select("sig", *(F.col(x).alias(f"to_{x}") for x in ("cell", "chunk", "low", "high", "is_top")))
-    pairs = placed.where("not is_top").join(to, "sig").where("(to_is_top or struct(to_cell, to_chunk) < struct(cell, chunk)) and not (low = high and to_low = low and to_high = low)")
+    to = placed.select("sig", *(F.col(x).alias(f"to_{x}") for x in ("cell", "met", "chunk", "low", "high", "is_top")))
+    # Rows of one group have met already.
+    pairs = placed.where("not is_top").join(to, "sig").where("(to_is_top or struct(to_cell, to_chunk) < struct(cell, chunk)) and (to_cell <> cell or to_met <> met) and not (low = high and to_low = low and to_high = low)")
     pairs = pairs.groupBy("cell", "chunk", "to_cell", "to_chunk").agg(F.count("*").alias("shared"), F.min("need").alias("need"))
     # A pair may have met in both directions, by bucket: asked once, by the later group.
     turned = F.expr("struct(cell, chunk) < struct(to_cell, to_chunk)")
