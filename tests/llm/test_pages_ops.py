@@ -104,10 +104,67 @@ def warc_schema(names):
 def test_an_unfinished_write_is_not_read(spark, tmp_path):
     path = f"file://{tmp_path}/w"
     warc.archive(pages(spark, [(1, "a", "b")]), path)
-    (tmp_path / "w" / "part-lost.warc.gz").write_bytes(warc.member(warc.record(9, "u", b"x", "D", None, "2024-01-01T00:00:00Z"), 1))
+    (tmp_path / "w" / "_writing-1").mkdir()
+    (tmp_path / "w" / "_writing-1" / "part-lost.warc.gz").write_bytes(warc.member(warc.record(9, "u", b"x", "D", None, "2024-01-01T00:00:00Z"), 1))
     assert [r.page_id for r in warc.read_archive(spark, path).collect()] == [1]
 
 
+def ordinary(kind, url, body, more="", content="application/http; msgtype=response", version="1.0", ending="\r\n"):
+    head = f"WARC/{version}\r\nWARC-Type: {kind}\r\nwarc-record-id:<urn:uuid:{url}>\r\nWARC-Date: 2020-01-01T00:00:00Z\r\nWARC-Target-URI: {url}\r\n{more}Content-Type: {content}\r\nContent-Length: {len(body)}\r\n\r\n"
+    return head.replace("\r\n", ending).encode() + body + b"\r\n\r\n"
+
+
+HTTP = b"HTTP/1.1 200 OK\r\nServer: x\r\n\r\n"
+
+
+@pytest.mark.parametrize("form", ["plain", "by record", "whole"])
+def test_ordinary_archives(spark, tmp_path, form):
+    """Records of other writers: no private fields, folded headers, other types, chunks, an archive inside a payload."""
+    import gzip
+
+    inner = ordinary("response", "inner", HTTP + b"not to be seen")
+    digest = warc.digest(b"abc" * 500_000)
+    records = [
+        ordinary("warcinfo", "info", b"software: x\r\n", content="application/warc-fields"), ordinary("request", "a", b"GET / HTTP/1.1\r\n\r\n", content="application/http; msgtype=request"),
+        ordinary("response", "a", HTTP + b"abc" * 500_000, f"WARC-Payload-Digest: SHA1:{digest}\r\nX-Folded: one\r\n two\r\n"), ordinary("response", "b", HTTP + inner + gzip.compress(inner, mtime=0), version="1.1"),
+        ordinary("response", "c", b"HTTP/1.1 200 OK\r\nTransfer-Encoding: chunked\r\n\r\n4\r\nWiki\r\n5;x=1\r\npedia\r\n0\r\n\r\n"), ordinary("resource", "d", b"\n\nplain body\r\n\r\n", content="text/plain"),
+        ordinary("revisit", "a", HTTP, f"WARC-Payload-Digest: sha1:{digest}\r\n"), ordinary("response", "e", b"HTTP/1.0 204 No\r\n\r\n", ending="\n"),
+    ]
+    data = {"plain": b"".join(records), "by record": b"".join(map(gzip.compress, records)), "whole": gzip.compress(b"".join(records))}[form]
+    (tmp_path / ("x.warc" if form == "plain" else "x.warc.gz")).write_bytes(data)
+    (tmp_path / "notes.txt").write_text("no archive")
+    got = {(r.record_type, r.url): r for r in warc.read_archive(spark, f"file://{tmp_path}").collect()}
+    want = {("response", "a"): b"abc" * 500_000, ("response", "b"): inner + gzip.compress(inner, mtime=0), ("response", "c"): b"Wikipedia", ("resource", "d"): b"\n\nplain body\r\n\r\n", ("response", "e"): b"", ("revisit", "a"): None, ("warcinfo", "info"): b"software: x\r\n", ("request", "a"): b""}
+    assert {k: r.payload for k, r in got.items()} == want
+    assert got["response", "a"].payload_digest == got["revisit", "a"].payload_digest == digest
+    assert got["response", "b"].record_id == "urn:uuid:b"
+    assert got["response", "b"].page_id is None
+    lean = warc.read_archive(spark, f"file://{tmp_path}", payload=False).where("record_type = 'response' and url in ('a', 'e')")
+    assert sorted((r.url, r.payload_bytes) for r in lean.collect()) == [("a", 1_500_000), ("e", 0)]
+
+
+def test_damage_shows(spark, tmp_path):
+    (tmp_path / "x.warc").write_bytes(ordinary("response", "a", HTTP + b"abd", f"WARC-Payload-Digest: sha1:{warc.digest(b'abc')}\r\n"))
+    with pytest.raises(Exception, match="another digest"):
+        warc.read_archive(spark, f"file://{tmp_path}").collect()
+    assert warc.read_archive(spark, f"file://{tmp_path}", verify=False).first().payload == b"abd"
+    (tmp_path / "x.warc").write_bytes(ordinary("response", "a", HTTP + b"abc")[:-9])
+    with pytest.raises(Exception, match="ends within a record"):
+        warc.read_archive(spark, f"file://{tmp_path}").collect()
+
+
+def test_unwanted_members_are_not_inflated(monkeypatch, tmp_path):
+    members = [warc.member(warc.record(i, "u", bytes(900_000), warc.digest(bytes(900_000)), None, "2024-01-01T00:00:00Z"), 1) for i in range(5)]
+    (tmp_path / "x.warc.gz").write_bytes(b"".join(members))
+    reader = warc.WarcReader({"path": f"file://{tmp_path}"}, warc_schema(["page_id", "payload_bytes"]))
+    monkeypatch.setattr(warc, "CHUNK", 4096)
+    drops, inner = [], warc._Stream.drop
+    monkeypatch.setattr(warc._Stream, "drop", lambda self, n: drops.append(self.next_member is not None and self.inflate is not None) or inner(self, n))
+    rows = [r for p in reader.partitions() for r in reader.records(p)]
+    assert [(r["page_id"], r["payload_bytes"]) for r in rows] == [(i, 900_000) for i in range(5)]
+    assert drops == [True] * 5
+
+
 def test_empty_archive(spark, tmp_path):
     path = f"file://{tmp_path}/w"
     warc.archive(pages(spark, []).limit(0), path)
