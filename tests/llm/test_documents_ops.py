@@ -350,6 +350,49 @@ def test_forward_sums_all_segmentations():
         assert row == pytest.approx(np.log(total), rel=1e-6)
 
 
+def test_long_words_are_summed_whole():
+    """Every segmentation of words of up to 400 bytes, against sums of exact fractions."""
+    from fractions import Fraction
+
+    vocab = language_id.vocabulary(language_id.VOCABULARY)
+    r = np.random.default_rng(2)
+    probs = r.integers(1, 1000, (len(vocab.pieces), 2)) / 100000
+    at = {p: i for i, p in enumerate(vocab.pieces)}
+    longest = max(map(len, vocab.pieces))
+    assert longest > 12
+    words = [b"donaudampfschifffahrtsgesellschaftskapitaenswitwenrentenantrag", "文字の切れ目がない言葉は長くなるので分けずに全部を足す".encode(), b"x" * 400, b"a" * 31, b"b" * 32, max(vocab.pieces, key=len).strip() * 2]
+    text = b" ".join(words)
+    buf = np.frombuffer(text, dtype=np.uint8)
+    ends = np.cumsum([len(w) + 1 for w in words]) - 1
+    starts = ends - [len(w) for w in words]
+    got = language_id.log_likelihoods(vocab, probs, buf, starts, ends)
+    for word, row in zip(words, got, strict=True):
+        spaced = b" " + word
+        for k in range(2):
+            sums = [Fraction(1)]
+            for j in range(1, len(spaced) + 1):
+                sums.append(sum((sums[i] * Fraction(float(probs[at[spaced[i:j]], k])) for i in range(max(0, j - longest), j) if spaced[i:j] in at), Fraction(0)))
+            want = sums[-1].numerator
+            assert row[k] == pytest.approx(np.log(want / (1 << want.bit_length())) + (want.bit_length() - sums[-1].denominator.bit_length()) * np.log(2) - np.log(sums[-1].denominator / (1 << sums[-1].denominator.bit_length())), rel=1e-9)
+
+
+def test_long_and_short_words_have_the_same_expected_counts(monkeypatch):
+    vocab = language_id.Vocabulary({b" a", b"ab", b"abc", b"bc", b"cab"})
+    probs = np.random.default_rng(3).random((len(vocab.pieces), 1)) / 10
+    batch = pa.RecordBatch.from_pydict({"lang": ["x", "x"], "word": ["abcab", "cabbc"], "n": [2, 3]})
+
+    class Sent:
+        def __init__(self, value):
+            self.value = value
+
+    each = []
+    for limit in (32, 1):
+        monkeypatch.setattr(language_id, "LONG", limit)
+        out = next(language_id._expected(iter([batch]), Sent(vocab), ["x"], Sent(probs)))
+        each.append(dict(zip(out["piece"].to_pylist(), out["count"].to_pylist(), strict=True)))
+    assert each[0] == pytest.approx(each[1])
+
+
 def test_language_id(spark):
     docs = table(spark, "/root/testdata/sf0.01", "documents")
     model = language_id.fit(docs, sample=60)
