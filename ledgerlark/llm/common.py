@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 #: What parts words: space and the five ASCII control characters from tab to carriage return.
 SPACES = r"[\x20\x09-\x0D]+"
 #: Bytes of text that a Python task turns into arrays at a time; a longer document is taken whole.
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 1 << 19
 
 
 _own: dict[str, str] = {}

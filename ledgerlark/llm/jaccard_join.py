@@ -25,7 +25,7 @@ from ledgerlark.llm.components import connected_components
 from ledgerlark.session import table
 
 #: Members of a group and queries opened with it in one task; a larger family takes more groups.
-GROUP, QUERIES_A_TASK = 256, 4096
+GROUP, QUERIES_A_TASK = 256, 1024
 
 
 @functools.lru_cache
