@@ -339,18 +339,30 @@ def local_rerank(hits: DataFrame, requests: DataFrame, available: bool) -> DataF
     return hits.join(terms, "query_id").select("query_id", "id", F.row_number().over(w).alias("rank"), F.lit("PASS").alias("status"))
 
 
+def _windows(df: DataFrame, key: str, size: int) -> DataFrame:
+    """(key, text) -> key and the hashes of the text's distinct windows of size tokens; a shorter text has none."""
+    listed = df.select(key, tokens(F.col("text")).alias("_t")).where(F.size("_t") >= size)
+    hashed = F.slice("_t", 1, F.size("_t") - size + 1)
+    for i in range(1, size):
+        hashed = F.zip_with(hashed, F.slice("_t", i + 1, F.size("_t") - size + 1), lambda a, b: F.xxhash64(a, b))
+    return listed.select(key, F.array_distinct(hashed).alias("_h"))
+
+
+def window_overlap(items: DataFrame, docs: DataFrame, size: int) -> DataFrame:
+    """For each item (query_id, text) the number of its distinct token windows, of those that some document (id, text)
+    holds, and their share, 0 for an item without a window."""
+    asked = _windows(items, "query_id", size).select("query_id", F.explode("_h").alias("h"))
+    there = _windows(docs, "id", size).select(F.explode("_h").alias("h")).join(asked.select("h").distinct(), "h", "left_semi").distinct()
+    told = asked.join(there.withColumn("_in", F.lit(1)), "h", "left").groupBy("query_id").agg(F.count("*").alias("windows"), F.count("_in").alias("shared"))
+    out = items.select("query_id").join(told, "query_id", "left").fillna(0, ["windows", "shared"])
+    return out.select("query_id", "windows", "shared", F.round(F.coalesce(F.try_divide("shared", "windows"), F.lit(0.0)), 6).alias("overlap"))
+
+
 def holders(items: DataFrame, docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
     """(query_id, text), (id, text) -> pairs of which the document holds at least percent of the item's distinct word
     windows of size, joined on the windows' hashes."""
-    def windows(df: DataFrame, key: str) -> DataFrame:
-        listed = df.select(key, tokens(F.col("text")).alias("_t")).where(F.size("_t") >= size)
-        hashed = F.slice("_t", 1, F.size("_t") - size + 1)
-        for i in range(1, size):
-            hashed = F.zip_with(hashed, F.slice("_t", i + 1, F.size("_t") - size + 1), lambda a, b: F.xxhash64(a, b))
-        return listed.select(key, F.array_distinct(hashed).alias("_h"))
-
-    asked = windows(items, "query_id").select("query_id", F.size("_h").alias("n"), F.explode("_h").alias("h"))
-    there = windows(docs, "id").select("id", F.explode("_h").alias("h"))
+    asked = _windows(items, "query_id", size).select("query_id", F.size("_h").alias("n"), F.explode("_h").alias("h"))
+    there = _windows(docs, "id", size).select("id", F.explode("_h").alias("h"))
     return there.join(asked, "h").groupBy("query_id", "id", "n").agg(F.count("*").alias("common")).where(F.col("common") * 100 >= F.col("n") * percent).select("query_id", "id")
 
 

@@ -49,7 +49,7 @@ def image_risk(score: Column, urls: Column) -> Column:
 
 def rating_signal(rating: Column) -> tuple[Column, Column]:
     """A rating's score, .6 without one, and its label."""
-    score = F.coalesce(clamp(rating / 5.0, 0.05, 0.95), F.lit(0.6))
+    score = F.when(rating.isNotNull(), clamp(rating / 5.0, 0.05, 0.95)).otherwise(0.6)
     return F.round(score, 4), F.when(score >= 0.7, "positive").when(score <= 0.4, "negative").otherwise("neutral")
 
 

@@ -25,6 +25,14 @@ def read_jsonl(spark: SparkSession, path: str, schema: StructType | str) -> Data
     return spark.read.schema(schema).option("mode", "FAILFAST").json(path)
 
 
+def read_json_array(spark: SparkSession, path: str, schema: StructType | str) -> DataFrame:
+    """A file that holds a JSON array of objects, with or without a byte-order mark; a missing file gives no rows."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if not at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at):
+        return spark.createDataFrame([], schema)
+    return spark.read.schema(schema).option("multiLine", True).option("mode", "FAILFAST").json(path)
+
+
 def violations(df: DataFrame, required: list[str], key: str) -> DataFrame:
     """(key, problem) rows of a load: required fields that are null or blank, and keys seen more than once."""
     blank = F.array_compact(F.array(*(F.when(F.coalesce(F.trim(F.col(c).cast("string")), F.lit("")) == "", F.lit(f"missing {c}")) for c in required)))
@@ -131,6 +139,27 @@ class VersionedIndex:
         return past[-2]
 
 
+def write_dense_index(vectors: DataFrame, path: str, about: dict[str, str]) -> None:
+    """(id, vector) as Parquet of unit vectors and a JSON line about them. Zero, broken or uneven vectors are refused before
+    anything is written."""
+    norm = F.sqrt(F.aggregate("vector", F.lit(0.0), lambda t, x: t + x * x))
+    seen = vectors.agg(F.count("*").alias("rows"), F.min(F.size("vector")).alias("least"), F.max(F.size("vector")).alias("dim"), F.count(F.when(F.coalesce((norm > 0) & ~F.isnan(norm) & (norm < float("inf")), F.lit(False)), 1)).alias("good")).first()
+    if seen["good"] < seen["rows"] or seen["least"] != seen["dim"]:
+        raise ValueError(f"{seen['rows'] - seen['good']} zero or broken vectors; sizes {seen['least']} to {seen['dim']}")
+    vectors.select("id", F.transform("vector", lambda x: x / norm).alias("vector")).write.parquet(f"{path}/vectors")
+    told = about | {"rows": str(seen["rows"]), "dim": str(seen["dim"])}
+    vectors.sparkSession.createDataFrame([(json.dumps(told, sort_keys=True),)], "value string").coalesce(1).write.text(f"{path}/about")
+
+
+def load_dense_index(spark: SparkSession, path: str) -> tuple[DataFrame, dict]:
+    """The vectors and what is known about them; another number of rows than was written is an error."""
+    told = json.loads(spark.read.text(f"{path}/about").first()["value"])
+    vectors = spark.read.parquet(f"{path}/vectors")
+    if vectors.count() != int(told["rows"]):
+        raise ValueError(f"{path} doesn't hold the {told['rows']} vectors that were written")
+    return vectors, told | {"rows": int(told["rows"]), "dim": int(told["dim"])}
+
+
 def snapshot(tables: dict[str, DataFrame], path: str) -> dict[str, int]:
     """Writes tables as Parquet and tells their row counts."""
     out = {}
@@ -140,6 +169,19 @@ def snapshot(tables: dict[str, DataFrame], path: str) -> dict[str, int]:
     return out
 
 
+def restore(spark: SparkSession, path: str) -> dict[str, DataFrame]:
+    """The tables of a snapshot by name."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    names = sorted(x.getPath().getName() for x in at.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(at) if x.isDirectory())
+    return {name: spark.read.parquet(f"{path}/{name}") for name in names}
+
+
+def dual_export(df: DataFrame, path: str) -> None:
+    """The rows as CSV with a header and as JSON lines, side by side."""
+    df.write.option("header", True).csv(f"{path}/csv")
+    df.write.json(f"{path}/json")
+
+
 def export_csv(df: DataFrame, path: str) -> None:
     df.write.option("header", True).csv(path)
 

@@ -308,3 +308,48 @@ def test_char_tfidf_equals_brute_force(spark, tmp_path):
         want |= {(k, i): x for i, x in sorted(((i, x) for i, x in scores.items() if x), key=lambda y: (-y[1], y[0]))[:3]}
     got = {(r.query_id, r.id): r.score for r in registry.QUERIES["r11_char_tfidf"](spark, str(tmp_path)).collect()}
     assert got == pytest.approx(want, abs=1e-6)
+
+
+def test_breaker_opens_lets_one_through_and_closes(spark):
+    import datetime
+
+    from ledgerlark.operators import workflow as W
+
+    start = datetime.datetime(2024, 1, 1)
+    story = [(0, True), (1, False), (2, False), (3, False), (4, True), (32, True), (33, True), (40, False), (41, True), (42, False), (43, False), (44, True), (73, False), (74, True), (103, True), (104, True)]
+    rows = [(i, k, start + datetime.timedelta(seconds=t), ok) for k in (1, 2) for i, (t, ok) in enumerate(story)]
+    got = W.breaker_states(spark.createDataFrame(rows, "id long, k int, t timestamp_ntz, ok boolean"), "k", "t", "ok").where("k = 2").orderBy("id").collect()
+    assert [r.allowed for r in got] == [True, True, True, True, False, False, True, True, True, True, True, False, True, False, True, True]
+    assert [r.state for r in got][3:7] == ["OPEN", "OPEN", "OPEN", "CLOSED"]
+    assert [r.state for r in got][-4:] == ["OPEN", "OPEN", "CLOSED", "CLOSED"]
+
+
+def test_missing_rating_is_six_tenths(spark):
+    score, label = S.rating_signal(F.lit(None).cast("int"))
+    assert tuple(one(spark, F.struct(score.alias("s"), label.alias("l")))) == (0.6, "neutral")
+
+
+def test_files_are_judged_before_they_are_read(spark, tmp_path):
+    from ledgerlark.sources import writers
+
+    (tmp_path / "a.txt").write_text("x  \r\ny\n")
+    (tmp_path / "b.exe").write_bytes(b"MZ")
+    got = {r.path.rsplit("/", 1)[1]: (r.errors, r.text) for r in writers.ingest_files(spark, str(tmp_path)).collect()}
+    assert got == {"a.txt": ([], "x\ny"), "b.exe": (["FORBIDDEN_FILE_TYPE", "UNSUPPORTED_FILE_TYPE", "EXECUTABLE_MIME_BLOCKED"], None)}
+
+
+def test_sources_and_indexes_round_trip(spark, tmp_path):
+    from ledgerlark.sources import writers
+
+    (tmp_path / "cases.json").write_bytes(b"\xef\xbb\xbf" + b'[{"id": 1, "t": "a"}, {"id": 2}]')
+    assert sorted((r.id, r.t) for r in writers.read_json_array(spark, str(tmp_path / "cases.json"), "id long, t string").collect()) == [(1, "a"), (2, None)]
+    assert writers.read_json_array(spark, str(tmp_path / "none.json"), "id long").count() == 0
+    vectors = spark.createDataFrame([(1, [1.0, 0.0]), (2, [0.0, 2.0])], "id long, vector array<double>")
+    writers.write_dense_index(vectors, f"file://{tmp_path}/dense", {"model": "x"})
+    back, told = writers.load_dense_index(spark, f"file://{tmp_path}/dense")
+    assert (told["dim"], told["rows"], told["model"]) == (2, 2, "x")
+    assert sorted(tuple(r.vector) for r in back.collect()) == [(0.0, 1.0), (1.0, 0.0)]
+    with pytest.raises(ValueError, match="zero or broken"):
+        writers.write_dense_index(spark.createDataFrame([(1, [0.0, 0.0])], "id long, vector array<double>"), f"file://{tmp_path}/bad", {})
+    writers.snapshot({"v": vectors}, f"file://{tmp_path}/dump")
+    assert {k: v.count() for k, v in writers.restore(spark, f"file://{tmp_path}/dump").items()} == {"v": 2}
