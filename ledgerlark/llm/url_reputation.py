@@ -30,6 +30,22 @@ def host_and_path(url: Column) -> tuple[Column, Column]:
     return host, F.regexp_extract(rest, r"^[^/?#]*([^?#]*)", 1)
 
 
+#: Suffixes of two labels under which domains are registered; others can be given.
+TWO_LABELS = (
+    "ac.uk", "co.uk", "gov.uk", "org.uk", "com.au", "net.au", "org.au", "co.jp", "ne.jp", "or.jp", "co.nz", "com.br", "com.cn", "com.hk", "com.mx", "com.sg", "com.tr", "com.tw", "co.in", "co.kr", "co.za",
+)
+
+
+def site_of(host: Column, two_labels: Sequence[str] = TWO_LABELS) -> tuple[Column, Column, Column]:
+    """The name that a host's reputation belongs to (without user, port and a dot at its end), its registered domain and its
+    suffix. An address of numbers is its own domain and suffix, as is a name of one label."""
+    name = F.regexp_replace(F.regexp_replace(F.regexp_replace(host, "^.*@", ""), r":[0-9]*$", ""), r"\.$", "")
+    suffix = "(?:" + "|".join(x.replace(".", r"\.") for x in two_labels) + r"|[^.]*)$"
+    address = name.rlike(r"^[0-9]{1,3}(\.[0-9]{1,3}){3}$|^\[")
+    pick = lambda pattern: F.when(address, name).otherwise(F.regexp_extract(name, pattern, 0))
+    return name, pick(rf"(?:[^.]*\.)?(?<![^.]){suffix}"), pick(rf"(?<![^.]){suffix}")
+
+
 def matching_rule(host: Column, path: Column, rules: Sequence[tuple[str, str]]) -> tuple[Column, Column]:
     """The longest rule that fits and its verdict, else nulls. The list is a parameter, so it is bounded."""
     rule, verdict = F.lit(None).cast("string"), F.lit(None).cast("string")
@@ -57,8 +73,9 @@ def _strength(counts: DataFrame, parent_rate: str, group: list[str]) -> float:
 def _levels(outcomes: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, float, float]:
     """Hosts with their posteriors (host, domain, a, b), domain rates, suffix rates, the overall rate, and the strength
     with which a host's prior counts."""
-    counted = outcomes.where("host is not null and good is not null").groupBy("host").agg(F.count("*").cast("double").alias("n"), F.sum("good").cast("double").alias("k"))
-    hosts = materialize(counted.select("host", F.regexp_extract("host", r"([^.]*\.)?[^.]*$", 0).alias("domain"), F.regexp_extract("host", r"[^.]*$", 0).alias("suffix"), "n", "k"), "hosts")
+    name, domain, suffix = site_of(F.col("host"))
+    counted = outcomes.where("host is not null and good is not null").groupBy(name.alias("host")).agg(F.count("*").cast("double").alias("n"), F.sum("good").cast("double").alias("k"))
+    hosts = materialize(counted.select("host", domain.alias("domain"), suffix.alias("suffix"), "n", "k"), "hosts")
     domains = hosts.groupBy("domain", "suffix").agg(F.sum("n").alias("n"), F.sum("k").alias("k"))
     suffixes = domains.groupBy("suffix").agg(F.sum("n").alias("n"), F.sum("k").alias("k"))
     total = suffixes.agg(F.sum("n").alias("n"), F.sum("k").alias("k")).first()
@@ -77,8 +94,8 @@ def _levels(outcomes: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, float
 def host_reputation(outcomes: DataFrame) -> DataFrame:
     """(host, good 0/1) -> host, domain, a, b: the posterior Beta(a, b) of each labelled host's good rate.
 
-    The registered domain is the last two labels, the suffix the last. Null hosts or outcomes are left out; an empty
-    table gives no row.
+    The registered domain is the suffix and the label before it, the suffix the last label or one of TWO_LABELS; users and
+    ports are not part of a host here. Null hosts or outcomes are left out; an empty table gives no row.
     """
     return _levels(outcomes)[0]
 
@@ -93,18 +110,18 @@ def judge_urls(pages: DataFrame, outcomes: DataFrame, rules: Sequence[tuple[str,
     """
     host, path = host_and_path(F.col(url_col))
     parsed = pages.select(F.col(id_col), host.alias("host"), path.alias("path"))
-    parsed = parsed.withColumn("domain", F.regexp_extract("host", r"([^.]*\.)?[^.]*$", 0))
+    parsed = parsed.withColumns(dict(zip(("name", "domain", "suffix"), site_of(F.col("host")), strict=True)))
     hosts, domains, suffixes, overall, s = _levels(outcomes)
-    asked = parsed.select("host", "domain", F.regexp_extract("host", r"[^.]*$", 0).alias("suffix")).distinct()
-    known = asked.join(hosts, ["host", "domain"], "left").join(domains, ["domain", "suffix"], "left").join(suffixes, "suffix", "left")
+    asked = parsed.select("name", "domain", "suffix").distinct()
+    known = asked.join(hosts.withColumnRenamed("host", "name"), ["name", "domain"], "left").join(domains, ["domain", "suffix"], "left").join(suffixes, "suffix", "left")
     prior = F.coalesce("domain_rate", "suffix_rate", F.lit(overall))
-    known = known.select("host", "domain", (F.col("a").isNotNull() | (F.col("host") != "")).alias("judged"), F.coalesce("a", s * prior).alias("a"), F.coalesce("b", s * (1 - prior)).alias("b"))
+    known = known.select("name", "domain", (F.col("a").isNotNull() | (F.col("name") != "")).alias("judged"), F.coalesce("a", s * prior).alias("a"), F.coalesce("b", s * (1 - prior)).alias("b"))
     mean = F.col("a") / (F.col("a") + F.col("b"))
     upper = mean + z * F.sqrt(mean * (1 - mean) / (F.col("a") + F.col("b") + 1))
-    reputation = known.select("host", "domain", (F.col("judged") & (upper < floor)).alias("bad"))
+    reputation = known.select("name", "domain", (F.col("judged") & (upper < floor)).alias("bad"))
     rule, verdict = matching_rule(F.col("host"), F.col("path"), rules)
     # Joined on the domain too, so that both sides are dealt anew and a hot host is split.
-    judged = parsed.join(reputation, ["host", "domain"], "left")
+    judged = parsed.join(reputation, ["name", "domain"], "left")
     return judged.select(id_col, "host", "path", rule.alias("rule"), F.coalesce(verdict, F.when(F.col("bad"), "block").otherwise("allow")).alias("verdict"))
 
 

@@ -109,6 +109,13 @@ def test_an_unfinished_write_is_not_read(spark, tmp_path):
     assert [r.page_id for r in warc.read_archive(spark, path).collect()] == [1]
 
 
+def test_sites_have_registered_domains(spark):
+    want = {"a.b.co.uk": ("a.b.co.uk", "b.co.uk", "co.uk"), "b.co.uk:8080": ("b.co.uk", "b.co.uk", "co.uk"), "co.uk": ("co.uk", "co.uk", "co.uk"), "me:pw@x.example.com:80": ("x.example.com", "example.com", "com"), "localhost": ("localhost",) * 3, "10.0.0.1:99": ("10.0.0.1",) * 3, "": ("",) * 3, "notco.uk": ("notco.uk", "notco.uk", "uk"), "w.example.org.": ("w.example.org", "example.org", "org")}
+    df = spark.createDataFrame([(h,) for h in want], "h string")
+    got = df.select("h", F.struct(*(c.alias(n) for c, n in zip(url_reputation.site_of(F.col("h")), "nds", strict=True))).alias("s")).collect()
+    assert {r.h: tuple(r.s) for r in got} == want
+
+
 def ordinary(kind, url, body, more="", content="application/http; msgtype=response", version="1.0", ending="\r\n"):
     head = f"WARC/{version}\r\nWARC-Type: {kind}\r\nwarc-record-id:<urn:uuid:{url}>\r\nWARC-Date: 2020-01-01T00:00:00Z\r\nWARC-Target-URI: {url}\r\n{more}Content-Type: {content}\r\nContent-Length: {len(body)}\r\n\r\n"
     return head.replace("\r\n", ending).encode() + body + b"\r\n\r\n"
