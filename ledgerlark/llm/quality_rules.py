@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ledgerlark.llm.common import SPACES, materialize, words_of
+from ledgerlark.llm.common import SPACES, discard, materialize, words_of
 from ledgerlark.session import table
 
 #: Character classes in the order in which they are taken out of a text.
@@ -73,35 +73,40 @@ def shares(counts: Column, total: Column) -> Column:
     return F.transform(counts, lambda x: x / F.greatest(total, F.lit(1.0)))
 
 
-def references(docs: DataFrame, common: int = 32) -> DataFrame:
-    """(lang, text) -> lang, chars, words, word_shares: of all text of each language (a null one is '') the shares of
-    character classes, the most common words and their shares, the rest last. Ties go to the smaller word."""
+#: Different common words of all languages together up to which they are looked up as one set.
+MOST_LISTED = 4096
+
+
+def common_words(docs: DataFrame, common: int = 32) -> DataFrame:
+    """(lang, text) -> lang, top (rank, word, n): the most common words of each language. Ties go to the smaller word."""
     docs = docs.select(F.coalesce("lang", F.lit("")).alias("lang"), "text").where("text is not null")
-    classed = with_classes(docs, "text").withColumn("n_words", F.size(words_of(F.col("text"))))
+    counted = docs.select("lang", F.explode(words_of(F.lower("text"))).alias("word")).groupBy("lang", "word").agg(F.count("*").alias("n"))
+    top = counted.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "word"))).where(F.col("rank") <= common)
+    return top.groupBy("lang").agg(F.sort_array(F.collect_list(F.struct("rank", "word", "n"))).alias("top"))
+
+
+def _referred(top: DataFrame, classed: DataFrame) -> DataFrame:
+    """Common words and classed texts (lang, counts, n_words) -> lang, chars, words, word_shares."""
     summed = classed.groupBy("lang").agg(F.sum("n_words").alias("n_words"), *(F.sum(F.col("counts")[i]).alias(f"c{i}") for i in range(len(CLASSES) + 1)))
     chars = F.array(*(F.col(f"c{i}") for i in range(len(CLASSES) + 1)))
     summed = summed.select("lang", "n_words", shares(chars, F.aggregate(chars, F.lit(0.0), lambda t, x: t + x)).alias("chars"))
-    counted = docs.select("lang", F.explode(words_of(F.lower("text"))).alias("word")).groupBy("lang", "word").agg(F.count("*").alias("n"))
-    top = counted.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "word"))).where(F.col("rank") <= common)
-    top = top.groupBy("lang").agg(F.sort_array(F.collect_list(F.struct("rank", "word", "n"))).alias("top"))
     both = summed.join(top, "lang").withColumn("n", F.transform("top", lambda x: x["n"].cast("double")))
     rest = F.array(F.col("n_words") - F.aggregate("n", F.lit(0.0), lambda t, x: t + x))
     return both.select("lang", "chars", F.transform("top", lambda x: x["word"]).alias("words"), shares(F.concat("n", rest), F.col("n_words").cast("double")).alias("word_shares"))
 
 
-def judge(docs: DataFrame, reference: DataFrame | None = None, least_words: int = 80, most_chars: float = 0.28, most_words: float = 0.37) -> DataFrame:
-    """One row per row of docs (doc_id, text, lang): doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
-    base_failed, kept.
+def references(docs: DataFrame, common: int = 32) -> DataFrame:
+    """(lang, text) -> lang, chars, words, word_shares: of all text of each language (a null one is '') the shares of
+    character classes, the most common words and their shares, the rest last. Ties go to the smaller word."""
+    rows = docs.select(F.coalesce("lang", F.lit("")).alias("lang"), "text").where("text is not null")
+    return _referred(common_words(docs, common), with_classes(rows, "text").withColumn("n_words", F.size(words_of(F.col("text")))))
 
-    The reference is that of docs themselves unless given. A document of least_words words or more goes when its
-    distance to its language is over most_chars for character classes or most_words for common words; shorter ones,
-    and those whose language has no reference, only have the base rules. A null text has no words and fails the base
-    rules; a null lang is a language of its own. Windows are compared by 64-bit hashes. Repeated rows are judged each by
-    itself; an empty table gives an empty result.
-    """
-    refs = materialize(reference if reference is not None else references(docs), "references")
-    listed = sorted({w for r in refs.select("words").collect() for w in r[0]})  # a few words for each language
-    rows = docs.select("doc_id", F.coalesce("lang", F.lit("")).alias("lang"), F.coalesce("text", F.lit("")).alias("text"))
+
+def _measured(docs: DataFrame, words: DataFrame) -> DataFrame:
+    """All that a text tells, in one pass over it: words (lang, words) are the common words that are counted in it."""
+    listed = words.select(F.explode("words").alias("w")).distinct().limit(MOST_LISTED + 1).collect()
+    rows = docs.select("doc_id", F.coalesce("lang", F.lit("")).alias("lang"), F.col("text").isNotNull().alias("there"), F.coalesce("text", F.lit("")).alias("text"))
+    rows = rows.join(words, "lang", "left")  # a row per language: Spark broadcasts it as long as it is small
     rows = rows.withColumn("n_chars", F.char_length("text"))
     rows = with_classes(rows, "text")
     rows = rows.withColumn("_lines", F.filter(F.split("text", "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]")))
@@ -110,12 +115,35 @@ def judge(docs: DataFrame, reference: DataFrame | None = None, least_words: int
     rows = rows.withColumn("n_words", F.size("_words").cast("bigint"))
     rows = with_window_hashes(rows, "_words", "_windows").drop("_words")
     rows = with_repeated_words(rows, "_windows", "n_repeat_words").drop("_windows")
-    in_list = (lambda w: w.isin(listed)) if listed else (lambda _: F.lit(False))
+    # One set for all languages is looked up at once; past its bound each word is compared with its language's own.
+    few = [r[0] for r in listed] if len(listed) <= MOST_LISTED else None
+    in_list = (lambda w: F.array_contains("words", w)) if few is None else (lambda w: w.isin(few)) if few else (lambda _: F.lit(False))
     rows = rows.withColumn("_hits", F.filter(words_of(F.lower("text")), in_list)).drop("text")
-    rows = rows.join(F.broadcast(refs), "lang", "left")  # one row per language
-    rows = rows.withColumn("_found", F.transform("words", lambda c: (F.size("_hits") - F.size(F.array_remove("_hits", c))).cast("double")))
-    rows = rows.withColumn("_rest", F.col("n_words") - F.aggregate("_found", F.lit(0.0), lambda t, x: t + x))
-    far_words = distance(shares(F.concat("_found", F.array("_rest")), F.col("n_words").cast("double")), F.col("word_shares"))
+    rows = rows.withColumn("found", F.transform("words", lambda c: (F.size("_hits") - F.size(F.array_remove("_hits", c))).cast("double")))
+    return rows.select("doc_id", "lang", "there", "n_chars", "counts", "n_dup_lines", "n_words", "n_repeat_words", "found")
+
+
+def judge(docs: DataFrame, reference: DataFrame | None = None, least_words: int = 80, most_chars: float = 0.28, most_words: float = 0.37) -> DataFrame:
+    """One row per row of docs (doc_id, text, lang): doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
+    base_failed, kept.
+
+    The reference is that of docs themselves unless given. A document of least_words words or more goes when its
+    distance to its language is over most_chars for character classes or most_words for common words; shorter ones,
+    and those whose language has no reference, only have the base rules. A null text has no words and fails the base
+    rules; a null lang is a language of its own. Windows are compared by 64-bit hashes. Repeated rows are judged each by
+    itself; an empty table gives an empty result.
+    """
+    if reference is None:
+        top = materialize(common_words(docs), "common-words")
+        rows = materialize(_measured(docs, top.select("lang", F.transform("top", lambda x: x["word"]).alias("words"))), "measured")
+        refs = materialize(_referred(top, rows.where("there")), "references")
+        discard(top)
+    else:
+        refs = materialize(reference, "references")
+        rows = _measured(docs, refs.select("lang", "words"))
+    rows = rows.join(refs.select("lang", "chars", "word_shares"), "lang", "left")
+    rows = rows.withColumn("_rest", F.col("n_words") - F.aggregate("found", F.lit(0.0), lambda t, x: t + x))
+    far_words = distance(shares(F.concat("found", F.array("_rest")), F.col("n_words").cast("double")), F.col("word_shares"))
     far_chars = distance(shares(F.col("counts"), F.col("n_chars").cast("double")), F.col("chars"))
     names = [name for name, _ in CLASSES]
     rows = rows.select(
