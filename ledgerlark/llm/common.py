@@ -13,8 +13,8 @@ from pyspark.sql import functions as F
 
 #: What parts words: space and the five ASCII control characters from tab to carriage return.
 SPACES = r"[\x20\x09-\x0D]+"
-#: Bytes of text that a Python task turns into arrays at a time; a longer document is taken whole.
-SLICE_BYTES = 1 << 19
+#: Bytes and rows of text that a Python task turns into arrays at a time; a longer document is taken whole.
+SLICE_BYTES, SLICE_ROWS = 1 << 19, 4096
 
 
 _own: dict[str, str] = {}
@@ -108,7 +108,7 @@ def prefix_hash(buf: np.ndarray) -> np.ndarray:
     return out
 
 
-def buffers(column: pa.Array, slice_bytes: int = SLICE_BYTES) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+def buffers(column: pa.Array, slice_bytes: int = SLICE_BYTES, slice_rows: int = SLICE_ROWS) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """Cuts a string column into (first row, end row, bytes, offsets); a null is empty."""
     if column.null_count:
         column = column.fill_null("")
@@ -120,7 +120,7 @@ def buffers(column: pa.Array, slice_bytes: int = SLICE_BYTES) -> Iterator[tuple[
     data = np.frombuffer(data, dtype=np.uint8) if data is not None else np.zeros(0, dtype=np.uint8)
     lo = 0
     while lo < len(column):
-        hi = max(lo + 1, int(np.searchsorted(offs, offs[lo] + slice_bytes, "right")) - 1)
+        hi = min(lo + slice_rows, max(lo + 1, int(np.searchsorted(offs, offs[lo] + slice_bytes, "right")) - 1), len(column))
         yield lo, hi, data[offs[lo] : offs[hi]], offs[lo : hi + 1] - offs[lo]
         lo = hi
 

@@ -2,9 +2,10 @@
 
 An item of n shingles contained by share c in a document shares at least one of any n - ceil(c * n) + 1 of them. An
 item's sketch is that many of its smallest shingle hashes, a bottom-k MinHash whose k follows the item's size, so a
-short item is found inside a document of any length. Items are partitioned by size: a document looks up only its own
-hashes under the largest of the sketches, and only sizes that fit into it. Candidates are verified by their shingles'
-words. Everything is DataFrame functions.
+short item is found inside a document of any length. Items are partitioned by size into powers of two: in each partition
+that fits into a document, it looks up its hashes under the largest of that partition's sketches, so the many hashes
+that short items need are not looked up among long ones. Candidates are verified by their shingles' words. Everything
+is DataFrame functions.
 """
 
 from __future__ import annotations
@@ -68,16 +69,17 @@ def contained_items(docs: DataFrame, items: DataFrame, percent: int = 80) -> Dat
     # The size class is the smallest document that can hold so much of an item of its class, as a power of two.
     hashes = hashes.withColumn("least", F.expr(f"shiftleft(1, cast(floor(log2(ceil(size(h) * {percent} / 100))) as int))"))
     sketches = materialize(hashes.select(F.explode(F.slice("h", 1, F.col("kept"))).alias("h"), "item_id", "least"), "sketches")
-    bounds = sketches.agg(F.max("h"), F.min("least")).first()
-    if bounds[0] is None:
+    bounds = [(r["least"], r["most"]) for r in sketches.groupBy("least").agg(F.max("h").alias("most")).orderBy("least").collect()]  # a row for each power of two
+    if not bounds:
         return docs.select("doc_id", F.lit(0).cast("bigint").alias("item_id"), F.lit(0).cast("bigint").alias("n_item"), F.lit(0).cast("bigint").alias("n_common"), F.lit(0.0).alias("containment")).where("false")
 
     rows = docs.where("doc_id is not null and text is not null").select("doc_id", "text")
     # No condition on h itself: it would be pushed below the steps that make h, and so repeat them.
-    hashed = with_shingle_hashes(rows.select("doc_id", plain_words(F.col("text")).alias("words")), "words", "h")
-    low = F.transform(F.filter("h", lambda x: x <= bounds[0]), lambda x: F.struct(x.alias("h"), F.size("h").alias("held")))
-    low = hashed.select("doc_id", F.explode(low).alias("low")).select("doc_id", "low.h", "low.held")
-    near = low.join(sketches, "h").where("held >= least").select("doc_id").distinct()
+    hashed = with_shingle_hashes(rows.select("doc_id", plain_words(F.col("text")).alias("words")), "words", "h").withColumn("held", F.size("h"))
+    under = lambda least, most: F.when(F.col("held") >= least, F.transform(F.filter("h", lambda x: x <= most), lambda x: F.struct(F.lit(least).alias("least"), x.alias("h"))))
+    parts = F.flatten(F.array_compact(F.array(*(under(least, most) for least, most in bounds))))
+    low = hashed.select("doc_id", F.explode(parts).alias("low")).select("doc_id", "low.least", "low.h")
+    near = low.join(sketches.select("least", "h").distinct(), ["least", "h"], "left_semi").select("doc_id").distinct()
     near = materialize(near, "near")
 
     texts = rows.join(near, "doc_id", "left_semi").select("doc_id", plain_words(F.col("text")).alias("words"))

@@ -21,6 +21,8 @@ from ledgerlark.session import table
 
 #: Scores from here on are accepted.
 ACCEPTED = 0.7
+#: Documents whose vectors are compared with the labelled ones in one product.
+SLICE = 512
 
 
 @dataclass(frozen=True)
@@ -59,7 +61,7 @@ def unit(x: np.ndarray) -> np.ndarray:
 
 def _counted(batches: Iterator[pa.RecordBatch], buckets: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for lo, hi, buf, offs in buffers(batch.column("text")):
+        for lo, hi, buf, offs in buffers(batch.column("text"), slice_rows=SLICE):
             rows = hashed_counts(buf, offs, buckets)
             yield pa.RecordBatch.from_arrays([*(batch.column(x).slice(lo, hi - lo) for x in ("place", "quality")), pa.array([r.tobytes() for r in rows], pa.binary())], names=["place", "quality", "counts"])
 
@@ -112,7 +114,7 @@ def votes(model: Model, vectors: np.ndarray) -> np.ndarray:
 def _scored(batches: Iterator[pa.RecordBatch], model, text: str, kept: list[str], out: str) -> Iterator[pa.RecordBatch]:  # noqa: ANN001
     m: Model = model.value
     for batch in batches:
-        for lo, hi, buf, offs in buffers(batch.column(text), 1 << 20):
+        for lo, hi, buf, offs in buffers(batch.column(text), slice_rows=SLICE):
             x = np.log1p(hashed_counts(buf, offs, len(m.idf))) * m.idf
             score = votes(m, unit(unit(x) @ m.axes))
             yield pa.RecordBatch.from_arrays([*(batch.column(n).slice(lo, hi - lo) for n in kept), pa.array(score)], names=[*kept, out])

@@ -1,8 +1,9 @@
-"""Sharding by sampled splitters: near-equal bytes, equal texts together as far as a shard holds them.
+"""Sharding by sampled splitters: near-equal bytes, equal texts together but for those at a shard's boundary.
 
 A key sample weighted by size gives quantile boundaries; rows are dealt into the ranges between them by a hash of the
-text, so equal texts share a range. A range that a large group of equal texts overfills is subdivided by document.
-Ranges in key order then fill the shards by their exact bytes.
+text, so equal texts share a range. A range that a large group of equal texts overfills is subdivided by document, and
+its pieces follow each other. Ranges and pieces in key order then fill the shards by their exact bytes, so a group is
+divided only where it crosses a boundary, and no more shards hold parts of it than its size needs, and one.
 """
 
 from __future__ import annotations
@@ -17,8 +18,9 @@ from pyspark.sql import functions as F
 from ledgerlark.llm.common import materialize
 from ledgerlark.session import table
 
-#: Ranges for each shard and sampled keys for each range.
-RANGES, SAMPLED = 64, 16
+#: Least and most ranges for each shard, text bytes for each range between these, and sampled keys for each range. The
+#: sample grows with the table up to some million keys.
+RANGES, MOST_RANGES, RANGE_BYTES, SAMPLED = 64, 8192, 256 << 20, 16
 
 
 def _ranges(cuts: np.ndarray):  # noqa: ANN202
@@ -44,14 +46,15 @@ def shard(docs: DataFrame, shards: int = 8, id_col: str = "doc_id", text_col: st
     )
     rows = materialize(rows, "sizes")
     total = rows.agg(F.sum("size")).first()[0] or 0
-    wanted = shards * RANGES * SAMPLED
+    ranges = max(RANGES, min(MOST_RANGES, total // (shards * RANGE_BYTES)))
+    wanted = shards * ranges * SAMPLED
     # A row is drawn with a probability in proportion to its size; the draw is a hash, so a lost task draws the same rows.
     drawn = rows.where(F.shiftrightunsigned(F.xxhash64("key", "draw", F.lit("draw")), 11) / float(1 << 53) < F.col("size") * (wanted / max(total, 1))).select("key")
-    keys = np.sort(np.array([r[0] for r in drawn.collect()], dtype=np.int64))  # about `wanted` keys, whatever the table's size
+    keys = np.sort(drawn.toArrow()["key"].to_numpy())  # about `wanted` keys
     cuts = np.unique(keys[SAMPLED - 1 :: SAMPLED]) if len(keys) else keys
     ranged = rows.withColumn("range", _ranges(cuts)("key"))
 
-    fill = max(1, total // (shards * RANGES))
+    fill = max(1, total // (shards * ranges))
     held = ranged.groupBy("range").agg(F.sum("size").alias("bytes"), F.count("*").alias("n"))
     # A range twice too full is cut again by document.
     held = held.select("range", F.expr(f"case when bytes > {2 * fill} then least(n, bytes div {fill}) else 1 end").alias("pieces"))
