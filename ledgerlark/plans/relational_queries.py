@@ -97,7 +97,7 @@ LEGAL = [(101, "pay", 201), (101, "cancel", 102), (201, "ship", 301), (301, "con
 QUERIES = {
     "f10_filtered_list": lambda s, d: L.list_entity(_goods(s, d), P.criteria([P.given(("brand", "like", "Brand#1%"), ("size", ">=", None), ("name", "like", "  "))]), ["id", "name", "brand"], sort="id", order="desc", page=2, limit=20),
     "f01_typed_criteria": lambda s, d: _goods(s, d).where(P.criteria([[("size", "between", (5, 15)), ("brand", "<>", "Brand#11")], [("size", "in", [30, 40]), ("category", "is not null")], [("size", "not between", (1, 48)), ("name", "not like", "%e%")], []])).select("id", "size"),
-    "f07_column_compare": lambda s, d: orders(s, d).where(P.criterion("status", "<", F.col("user_id"))).agg(F.count("*").alias("n")),
+    "f07_column_compare": lambda s, d: orders(s, d).agg(*(F.count(F.when(P.criterion("status", op, F.col("user_id")), 1)).alias(name) for name, op in (("equal", "="), ("other", "<>"), ("less", "<"), ("at_most", "<="), ("more", ">"), ("at_least", ">=")))),
     "f11_keyword_or": lambda s, d: P.active(_goods(s, d)).where(P.criteria([[("name", "like", "%blue%"), ("size", ">", 10)], [("category", "like", "%blue%"), ("size", ">", 10)]]) | P.criterion("brand", "=", "BRAND#12", fold=True)).select("id", "name"),
     "f12_any_contains": lambda s, d: _goods(s, d).where(P.any_contains(["name", "brand", "category"], "1")).select("id"),
     "f13_range_bounds": lambda s, d: orders(s, d).agg(
@@ -123,7 +123,7 @@ QUERIES = {
     "l07_union_topk": lambda s, d: L.union_first_k(runs(s, d).where("status = 'failed'").select("id", "created", F.lit("run").alias("kind")), runs(s, d).where("is_replay").select("id", "created", F.lit("replay").alias("kind")), 10, F.desc("created"), F.desc("id"), F.asc("kind")),
     "u02_set_operations": lambda s, d: lines(s, d).groupBy("order_id").agg(F.collect_set("flag").alias("a"), F.collect_set("state").alias("b")).select("order_id", F.size(F.array_intersect("a", F.array(F.lit("N"), F.lit("R")))).alias("both"), F.size(F.array_union("a", "b")).alias("either"), F.size(F.array_except("a", "b")).alias("only")),
     "j01_order_page": lambda s, d: C.order_ids(orders(s, d), _users(s, d), lines(s, d), F.col("segment") == "BUILDING"),
-    "j02_order_detail": lambda s, d: C.order_details(orders(s, d).where("id % 10 = 3").select("id"), orders(s, d), _users(s, d), lines(s, d)).select("id", "user_name", F.explode("goods").alias("g")).select("id", "user_name", "g.line_no", "g.goods_id", "g.number"),
+    "j02_order_detail": lambda s, d: C.order_details(C.order_ids(orders(s, d), _users(s, d), lines(s, d), F.col("segment") == "BUILDING"), orders(s, d), _users(s, d), lines(s, d)).select("id", "user_name", F.explode("goods").alias("g")).select("id", "user_name", "g.line_no", "g.goods_id", "g.number"),
     "j04_case_build": lambda s, d: analyses(s, d).where("label = 'negative' and not deleted").join(runs(s, d).groupBy((F.col("id") % 1000).alias("id")).agg(F.max("tool").alias("feedback")), "id", "left").select("id", F.concat(F.lit("Risk case #"), F.col("id").cast("string")).alias("title"), F.concat_ws(",", F.lit("negative"), F.col("feedback"), F.col("lang")).alias("tags")),
     "j05_pending_anti": lambda s, d: C.pending(orders(s, d).select("id", "created"), table(s, d, "lineitem").where("l_returnflag = 'R'").select(F.col("l_orderkey").alias("id")), "id", 15, F.desc("created"), F.desc("id")).select("id"),
     "j06_unreceived_anti": lambda s, d: _goods(s, d).join(lines(s, d).where("number > 40").select(F.col("goods_id").alias("id")), "id", "left_anti").select("id"),
@@ -167,7 +167,7 @@ QUERIES = {
 ORACLE_SQL = {
     "f10_filtered_list": f"WITH {GOODS} SELECT id, name, brand FROM goods WHERE NOT deleted AND brand LIKE 'Brand#1%' ORDER BY id DESC LIMIT 20 OFFSET 20",
     "f01_typed_criteria": f"WITH {GOODS} SELECT id, size FROM goods WHERE (size BETWEEN 5 AND 15 AND brand <> 'Brand#11') OR (size IN (30, 40) AND category IS NOT NULL) OR (size NOT BETWEEN 1 AND 48 AND name NOT LIKE '%e%')",
-    "f07_column_compare": f"WITH {ORD} SELECT count(*) AS n FROM ord WHERE status < user_id",
+    "f07_column_compare": f"WITH {ORD} SELECT count(*) FILTER (status = user_id) AS equal, count(*) FILTER (status <> user_id) AS other, count(*) FILTER (status < user_id) AS less, count(*) FILTER (status <= user_id) AS at_most, count(*) FILTER (status > user_id) AS more, count(*) FILTER (status >= user_id) AS at_least FROM ord",
     "f11_keyword_or": f"WITH {GOODS} SELECT id, name FROM goods WHERE NOT deleted AND ((size > 10 AND (name LIKE '%blue%' OR category LIKE '%blue%')) OR lower(brand) = 'brand#12')",
     "f12_any_contains": f"WITH {GOODS} SELECT id FROM goods WHERE contains(name, '1') OR contains(brand, '1') OR contains(category, '1')",
     "f13_range_bounds": f"WITH {ORD} SELECT count(*) FILTER (day BETWEEN '1995-01-01' AND '1995-03-31') AS inclusive, count(*) FILTER (day >= '1995-01-01' AND day < '1995-03-31') AS exclusive FROM ord",
@@ -192,7 +192,7 @@ ORACLE_SQL = {
     "u02_set_operations": f"""WITH {LIN}, g AS (SELECT order_id, list_distinct(list(flag)) AS a, list_distinct(list(state)) AS b FROM lin GROUP BY 1)
         SELECT order_id, CAST(len(list_intersect(a, ['N', 'R'])) AS INTEGER) AS both, CAST(len(list_distinct(list_concat(a, b))) AS INTEGER) AS either, CAST(len(list_filter(a, lambda x: NOT list_contains(b, x))) AS INTEGER) AS "only" FROM g""",
     "j01_order_page": f"WITH {ORD}, {LIN}, {USERS} SELECT DISTINCT ord.id FROM ord LEFT JOIN users USING (user_id) LEFT JOIN lin ON order_id = ord.id WHERE NOT lin.deleted AND segment = 'BUILDING'",
-    "j02_order_detail": f"WITH {ORD}, {LIN}, {USERS} SELECT ord.id, user_name, line_no, goods_id, number FROM ord LEFT JOIN users USING (user_id) JOIN lin ON order_id = ord.id WHERE NOT lin.deleted AND ord.id % 10 = 3",
+    "j02_order_detail": f"WITH {ORD}, {LIN}, {USERS} SELECT ord.id, user_name, line_no, goods_id, number FROM ord LEFT JOIN users USING (user_id) JOIN lin ON order_id = ord.id WHERE NOT lin.deleted AND segment = 'BUILDING'",
     "j04_case_build": f"""WITH {ANA}, {RUN}, f AS (SELECT id % 1000 AS id, max(tool) AS feedback FROM run GROUP BY 1)
         SELECT ana.id, 'Risk case #' || ana.id AS title, concat_ws(',', 'negative', feedback, lang) AS tags FROM ana LEFT JOIN f ON f.id = ana.id WHERE label = 'negative' AND NOT deleted""",
     "j05_pending_anti": f"""WITH {ORD}, t AS (SELECT id, created FROM ord ORDER BY created DESC, id DESC LIMIT 75)
