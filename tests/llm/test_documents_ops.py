@@ -405,3 +405,44 @@ def test_language_id(spark):
     assert edge[4].lang_pred in model[0]
     none = language_id.fit(docs.limit(0))
     assert {r.lang_pred for r in language_id.identify(frame(spark, [(1, "abc")]), none).collect()} == {"und"}
+
+
+def test_placement_equals_brute_force(spark):
+    """Draws, cuts, ranges, pieces, shards and slots recomputed row by row."""
+    import xxhash
+
+    signed = lambda x: x - (1 << 64) if x >> 63 else x
+    whole = lambda v, seed: xxhash.xxh64_intdigest(int(v).to_bytes(8, "little", signed=True), seed & (2**64 - 1))
+    rows = family(200, 12) + [(600 + i, "the same copy of a text " * 9) for i in range(150)] + [(None, "x"), (7, "again")]
+    got = Counter((r.doc_id, r["size"], r.text_crc32, r.shard, r.slot) for r in sharding.shard(frame(spark, rows)).collect())
+    made = []
+    for i, t in rows:
+        data = (t or "").encode()
+        key = signed(xxhash.xxh64_intdigest(data, 42))
+        # A null leaves the seed as it is, which is what hashing nothing but a null gives.
+        draw = signed(whole(i, 42)) if i is not None else 42
+        u = xxhash.xxh64_intdigest(b"draw", whole(draw, whole(key, 42)))
+        made.append({"id": i, "size": len(data) + 1, "crc": zlib.crc32(data), "key": key, "draw": draw, "u": (u >> 11) / 2.0**53})
+    total = sum(m["size"] for m in made)
+    keys = np.sort(np.array([m["key"] for m in made if m["u"] < m["size"] * (8 * 64 * 16 / total)], dtype=np.int64))
+    cuts = np.unique(keys[15::16])
+    fill = max(1, total // 512)
+    ranges = {}
+    for m in made:
+        ranges.setdefault(int(np.searchsorted(cuts, m["key"], "right")), []).append(m)
+    pieces = {}
+    for at, members in ranges.items():
+        held = sum(m["size"] for m in members)
+        n = min(len(members), held // fill) if held > 2 * fill else 1
+        for m in members:
+            pieces.setdefault((at, signed(xxhash.xxh64_intdigest((m["draw"] & (2**64 - 1)).to_bytes(8, "little"), 42)) % n), []).append(m)
+    want, ahead, offset = Counter(), 0, Counter()
+    for at in sorted(pieces):
+        members = sorted(pieces[at], key=lambda m: (m["key"], m["id"] is not None, m["id"] or 0))
+        held = sum(m["size"] for m in members)
+        shard = min(int((ahead + held / 2) / (total / 8)), 7)
+        for m in members:
+            want[m["id"], m["size"], m["crc"], shard, offset[shard]] += 1
+            offset[shard] += 1
+        ahead += held
+    assert got == want
