@@ -56,6 +56,17 @@ def daily_stream(s, d):  # noqa: ANN001, ANN202
     return patrol.run_to_end(patrol.daily(events, "ts"), f"daily_{uuid.uuid4().hex}", f"{_folder(s)}/state", "complete")
 
 
+def unpaid_stream(s, d):  # noqa: ANN001, ANN202
+    """Orders as creation events, and as payment events some minutes later, streamed through the timers."""
+    o = F.col("o_orderkey")
+    paid = F.struct(F.lit("paid").alias("kind"), F.expr("cast(o_orderdate as timestamp) + make_dt_interval(0, 0, cast(o_orderkey % 60 as int))").alias("ts"))
+    created = F.struct(F.lit("created").alias("kind"), F.col("o_orderdate").cast("timestamp").alias("ts"))
+    both = F.when(F.col("o_orderstatus") == "O", F.array(created)).otherwise(F.array(created, paid))
+    events = _stream(s, d, "orders").select(o.alias("order_id"), F.explode(both).alias("e")).select("order_id", "e.kind", "e.ts")
+    out = patrol.run_to_end(patrol.unpaid_timeouts(events, 30), f"unpaid_{uuid.uuid4().hex}", f"{_folder(s)}/state")
+    return out.select("order_id", F.date_format("cancelled_at", "yyyy-MM-dd HH:mm").alias("cancelled_at"))
+
+
 def index_roundtrip(s, d):  # noqa: ANN001, ANN202
     """Two published versions and a rollback: the first is active again."""
     index = writers.VersionedIndex(s, _folder(s))
@@ -70,6 +81,7 @@ def index_roundtrip(s, d):  # noqa: ANN001, ANN202
 
 QUERIES = {
     "t01_patrol_stream": patrol_stream,
+    "t04_unpaid_stream": unpaid_stream,
     "t05_ttl_idempotency": lambda s, d: patrol.first_in_ttl(runs(s, d).select("id", "user_id", "created"), "user_id", "created").select("id", "processed"),
     "t10_daily_window": daily_stream,
     "s03_violations": lambda s, d: writers.violations(table(s, d, "documents").select((F.col("doc_id") % 900).alias("id"), F.when(F.col("doc_id") % 50 == 0, " ").otherwise(F.col("source")).alias("source"), F.when(F.col("doc_id") % 70 == 0, None).otherwise(F.col("lang")).alias("lang")), ["source", "lang"], "id"),
@@ -82,6 +94,8 @@ ORACLE_SQL = {
     "t01_patrol_stream": f"""WITH {ANA}, a AS (SELECT *, coalesce(label = 'negative', false) AS neg FROM ana)
         SELECT id AS analysis_id, 'negative_review' AS risk_type, 'high' AS risk_level, 'pending' AS status FROM a WHERE neg UNION ALL SELECT id, 'low_confidence', 'medium', 'pending' FROM a WHERE confidence < 0.6
         UNION ALL SELECT id, 'after_sales_risk', 'high', 'pending' FROM a WHERE negative_score >= 0.65 OR contains(text, 'clown') OR contains(text, 'hates') UNION ALL SELECT id, 'rating_conflict', 'medium', 'pending' FROM a WHERE rating <= 2 AND NOT neg""",
+    "t04_unpaid_stream": """WITH o AS (SELECT o_orderkey AS order_id, o_orderdate AS created, CASE WHEN o_orderstatus <> 'O' THEN o_orderdate + to_minutes(o_orderkey % 60) END AS paid FROM orders), m AS (SELECT max(greatest(created, coalesce(paid, created))) AS m FROM o)
+        SELECT order_id, strftime(created + INTERVAL 30 MINUTE, '%Y-%m-%d %H:%M') AS cancelled_at FROM o, m WHERE (paid IS NULL AND created + INTERVAL 30 MINUTE <= m) OR paid > created + INTERVAL 30 MINUTE""",
     "t05_ttl_idempotency": f"""WITH RECURSIVE {RUN}, u AS (SELECT user_id, created, min(id) AS id FROM run GROUP BY 1, 2),
         nxt AS (SELECT a.id, arg_min(b.id, b.created) AS later FROM u a JOIN u b ON a.user_id = b.user_id AND b.created > a.created + INTERVAL 900 SECOND GROUP BY 1),
         p(id) AS (SELECT arg_min(id, created) FROM u GROUP BY user_id UNION ALL SELECT nxt.later FROM p JOIN nxt USING (id)) SELECT id, id IN (SELECT id FROM p) AS processed FROM run""",

@@ -72,23 +72,33 @@ def patrol(reviews: DataFrame, analyse: Callable[[DataFrame], DataFrame], out: s
 
 def unpaid_timeouts(events: DataFrame, minutes: int) -> DataFrame:
     """(order_id, kind created or paid, ts) -> order_id and when it was cancelled: minutes after creation unless paid by
-    then. State is one timestamp per open order and goes with the order."""
+    then. State is one timestamp per open order and goes with the order; events of one batch may come in any order."""
 
     def handle(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        gone = lambda due: pd.DataFrame({"order_id": [key[0]], "cancelled_at": [pd.Timestamp(due, unit="ms")]})
         if state.hasTimedOut:
             (due,) = state.get
             state.remove()
-            yield pd.DataFrame({"order_id": [key[0]], "cancelled_at": [pd.Timestamp(due, unit="ms")]})
+            yield gone(due)
             return
+        due, paid = state.get[0] if state.exists else None, None
         for b in batches:
-            if (b["kind"] == "paid").any():
-                if state.exists:
-                    state.remove()
-                return
-            due = int(b["ts"].min().timestamp() * 1000) + minutes * 60_000
-            if not state.exists:
-                state.update((due,))
-                state.setTimeoutTimestamp(max(due, state.getCurrentWatermarkMs() + 1))
+            ms = b["ts"].astype("datetime64[ms]").astype("int64")
+            for kind, first in ms.groupby(b["kind"]).min().items():
+                if kind == "paid":
+                    paid = first if paid is None else min(paid, first)
+                elif due is None:
+                    due = int(first) + minutes * 60_000
+        if due is None:
+            return
+        if paid is not None:
+            if state.exists:
+                state.remove()
+            if paid > due:
+                yield gone(due)
+            return
+        state.update((due,))
+        state.setTimeoutTimestamp(max(due, state.getCurrentWatermarkMs() + 1))
 
     return events.withWatermark("ts", "0 seconds").groupBy("order_id").applyInPandasWithState(handle, "order_id long, cancelled_at timestamp", "due long", "append", GroupStateTimeout.EventTimeTimeout)
 
