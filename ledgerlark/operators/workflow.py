@@ -184,7 +184,9 @@ def bigram_tokens(text: Column) -> Column:
     """The set of words of two or more characters and of pairs of neighbouring characters without a space, lower-cased."""
     t = F.coalesce(text, F.lit(""))
     words = F.filter(F.split(F.regexp_replace(F.lower(t), r"[^a-z0-9\x{4e00}-\x{9fa5}]+", " "), r"\s+"), lambda w: F.length(w) >= 2)
-    pairs = F.when(F.length(t) >= 2, F.transform(F.sequence(F.lit(1), F.greatest(F.length(t) - 1, F.lit(1))), lambda i: F.lower(F.trim(F.substring(t, i, F.lit(2)))))).otherwise(F.array().cast("array<string>"))
+    chars = F.array_remove(F.split(t, ""), "")
+    n = F.greatest(F.size(chars) - 1, F.lit(0))
+    pairs = F.zip_with(F.slice(chars, F.lit(1), n), F.slice(chars, F.lit(2), n), lambda a, b: F.lower(F.trim(F.concat(a, b))))
     return F.array_distinct(F.concat(words, F.filter(pairs, lambda p: F.length(p) == 2)))
 
 

@@ -190,7 +190,7 @@ QUERIES = {
     "c08_tokens": lambda s, d: _docs(s, d).groupBy("source").agg(F.sum(F.size(T.tokens(F.col("text")))).alias("tokens")),
     "c07_tenant_ids": lambda s, d: _docs(s, d).select("id", T.tenant_id(F.concat(F.lit(" "), F.upper("source"), F.when(F.col("id") % 9 == 0, "/x").otherwise("\t"))).alias("tenant")),
     "c13_scrub": lambda s, d: table(s, d, "pages").select("page_id", T.scrub(F.concat(F.lit("failed at C:\\work\\x.py with api_key=abc "), "url")).alias("message")),
-    "c14_pii": lambda s, d: _docs(s, d).select("id", "text", T.redact(F.col("text")).alias("clean")).select("id", F.md5("clean").alias("clean_md5"), T.redactions(F.col("text"), F.col("clean")).cast("bigint").alias("found")),
+    "c14_pii": lambda s, d: _docs(s, d).select("id", F.regexp_replace("text", r"[^\x00-\x7F]", "x").alias("text")).select("id", "text", T.redact(F.col("text")).alias("clean")).select("id", F.md5("clean").alias("clean_md5"), T.redactions(F.col("text"), F.col("clean")).cast("bigint").alias("found")),
     "c15_injection": lambda s, d: table(s, d, "conversations").select("conv_id", "turn", F.array_join(T.injections(F.concat("text", F.lit(" "), F.coalesce(_choice((*ATTACKS, ""), F.col("conv_id") + F.col("turn")), F.lit("")))).cast("array<string>"), ",").alias("matched")),
     "c16_scan": lambda s, d: _docs(s, d).select("id", F.array_join(T.scan(F.concat("text", _choice(LEAKS, F.col("id")))), ",").alias("codes")),
     "c17_guardrail": lambda s, d: _asked(s, d).select("id", *(c.alias(n) for c, n in zip(T.guardrail(F.col("text")), ("events", "allowed"), strict=True))).withColumn("events", F.array_join("events", ",")),
@@ -265,7 +265,8 @@ ORACLE_SQL = {
     "c08_tokens": f"SELECT source, CAST(sum(len({TOK})) AS BIGINT) AS tokens FROM documents GROUP BY 1",
     "c07_tenant_ids": "SELECT doc_id AS id, CASE WHEN doc_id % 9 = 0 THEN NULL ELSE source END AS tenant FROM documents",
     "c13_scrub": "SELECT page_id, substr('failed at [local-path] with api_key=[hidden] ' || url, 1, 240) AS message FROM pages",
-    "c14_pii": "WITH t0 AS (SELECT doc_id AS id, text AS t, 0 AS n FROM documents), " + ", ".join(f"t{i + 1} AS (SELECT id, regexp_replace(t, '{p}', '[REDACTED]', 'g') AS t, n + len(regexp_extract_all(t, '{p}')) AS n FROM t{i})" for i, p in enumerate(T.PII)) + f" SELECT id, md5(t) AS clean_md5, CAST(n AS BIGINT) AS found FROM t{len(T.PII)}",
+    # The word boundaries of DuckDB's patterns know ASCII only, so both sides take other characters as an x.
+    "c14_pii": "WITH t0 AS (SELECT doc_id AS id, regexp_replace(text, '[^\\x00-\\x7F]', 'x', 'g') AS t, 0 AS n FROM documents), " + ", ".join(f"t{i + 1} AS (SELECT id, regexp_replace(t, '{p}', '[REDACTED]', 'g') AS t, n + len(regexp_extract_all(t, '{p}')) AS n FROM t{i})" for i, p in enumerate(T.PII)) + f" SELECT id, md5(t) AS clean_md5, CAST(n AS BIGINT) AS found FROM t{len(T.PII)}",
     "c15_injection": f"WITH c AS (SELECT conv_id, turn, text || ' ' || {_pick((*ATTACKS, ''), '(conv_id + turn)')} AS t FROM conversations) SELECT conv_id, turn, concat_ws(',', " + ", ".join(f"CASE WHEN regexp_matches(t, '{p}') THEN '{i}' END" for i, p in enumerate(T.INJECTION)) + ") AS matched FROM c",
     "c16_scan": f"""WITH c AS (SELECT doc_id AS id, lower(text || {_pick(LEAKS, 'doc_id')}) AS t FROM documents) SELECT id, concat_ws(',', CASE WHEN contains(t, 'ignore previous instructions') OR contains(t, 'system prompt') THEN 'PROMPT_INJECTION_DETECTED' END,
         CASE WHEN contains(t, 'api_key=') OR contains(t, 'bearer ') THEN 'SECRET_LIKE_CONTENT_DETECTED' END) AS codes FROM c""",

@@ -83,12 +83,11 @@ def unpaid_timeouts(events: DataFrame, minutes: int) -> DataFrame:
             return
         due, paid = state.get[0] if state.exists else None, None
         for b in batches:
-            ms = b["ts"].astype("datetime64[ms]").astype("int64")
-            for kind, first in ms.groupby(b["kind"]).min().items():
+            for kind, at in sorted(zip(b["kind"].to_numpy(), b["ts"].to_numpy().astype("datetime64[ms]").astype("int64").tolist(), strict=True)):
                 if kind == "paid":
-                    paid = first if paid is None else min(paid, first)
+                    paid = at if paid is None else min(paid, at)
                 elif due is None:
-                    due = int(first) + minutes * 60_000
+                    due = at + minutes * 60_000
         if due is None:
             return
         if paid is not None:
