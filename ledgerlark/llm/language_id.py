@@ -199,10 +199,10 @@ def fit(docs: DataFrame, path: str = VOCABULARY, sample: int = 400, rounds: int
     known = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
     ids = known.select("doc_id", "lang").withColumn("h", F.xxhash64("doc_id"))
     # The smallest hashes of a language lie under a bound that its number of documents tells, with room to spare; so few
-    # rows are ranked, however many a language has.
+    # rows are moved and ranked, however many a language has. Counts have a row per language, as the model has a column.
     counts = known.groupBy("lang").agg(F.count("*").alias("n"))
     bound = F.lit(-float(1 << 63)) + F.lit(float(1 << 63)) * 2 * F.least(F.lit(1.0), F.lit(4.0 * sample + 100) / F.col("n"))
-    near = ids.join(counts, "lang").where(F.col("h").cast("double") <= bound)
+    near = ids.join(F.broadcast(counts), "lang").where(F.col("h").cast("double") <= bound)
     rank = F.row_number().over(Window.partitionBy("lang").orderBy("h", "doc_id"))
     chosen = materialize(near.select("doc_id", "lang", "h").distinct().withColumn("rank", rank).where(F.col("rank") <= sample).select("doc_id", "lang"), "sample")
     lower = F.translate("text", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
