@@ -22,8 +22,8 @@ def safe_div(n: Column, d: Column) -> Column:
 
 
 def whole_mean(total: Column, n: Column) -> Column:
-    """Whole mean of integers, half up."""
-    return F.floor((2 * total + n) / (2 * n)).cast("bigint")
+    """Whole mean of integers, half up; null for none."""
+    return F.floor(F.try_divide(2 * total + n, 2 * n)).cast("bigint")
 
 
 def count_if(condition: Column) -> Column:

@@ -105,6 +105,45 @@ def run_trend(runs: DataFrame, as_of: str, days: int = 7) -> DataFrame:
     return grouped.withColumn("hit_rate", rate(F.col("success"), F.col("total")))
 
 
+def eval_trend(runs: DataFrame, as_of: str, days: int = 7) -> DataFrame:
+    """Per day since as_of less days: runs, successful and failed ones."""
+    kept = runs.where(F.to_date("created") >= F.date_sub(F.to_date(F.lit(as_of)), days))
+    return kept.groupBy(F.date_format("created", "yyyy-MM-dd").alias("day")).agg(F.count("*").alias("total"), count_if(F.col("status") == "success").alias("success"), count_if(F.col("status") == "failed").alias("failed"))
+
+
+def search_trend(log: DataFrame, as_of: str, days: int = 7) -> DataFrame:
+    """Per day since as_of less days: searches (created, duration_ms, found), those with a hit, their share in percent to two
+    places and the mean duration (whole, half up)."""
+    kept = log.where(F.to_date("created") >= F.date_sub(F.to_date(F.lit(as_of)), days))
+    grouped = kept.groupBy(F.date_format("created", "yyyy-MM-dd").alias("day")).agg(F.count("*").alias("queries"), count_if(F.col("found") > 0).alias("hits"), F.sum("duration_ms").alias("ms"))
+    return grouped.select("day", "queries", "hits", whole_mean(F.col("ms"), F.col("queries")).alias("mean_ms"), percent(F.col("hits"), F.col("queries")).alias("hit_rate"))
+
+
+def feedback_stats(feedback: DataFrame) -> DataFrame:
+    """Feedback rows by type."""
+    return feedback.groupBy(F.col("feedback_type").alias("name")).agg(F.count("*").alias("value"))
+
+
+def evaluation_scalars(runs: DataFrame, steps: DataFrame, feedback: DataFrame, analyses: DataFrame, tasks: DataFrame) -> DataFrame:
+    """The ten figures of the evaluation page as (name, value) rows: each table is aggregated once, and a duplicate group is a
+    source with more than one analysis; rows without a source aren't in one."""
+    def told(df: DataFrame, **figures: Column) -> DataFrame:
+        one = df.agg(*(F.coalesce(c, F.lit(0)).cast("bigint").alias(n) for n, c in figures.items()))
+        return one.select(F.explode(F.array(*(F.struct(F.lit(n).alias("name"), F.col(n).alias("value")) for n in figures))).alias("f")).select("f.*")
+
+    mean = whole_mean(F.sum("duration_ms"), F.count("duration_ms"))
+    groups = analyses.where("source_type is not null and source_id is not null").groupBy("source_type", "source_id").agg(F.count("*").alias("c")).where("c > 1")
+    kind = F.col("feedback_type")
+    frames = [
+        told(runs, total_runs=F.count("*"), success_runs=count_if(F.col("status") == "success"), failed_runs=count_if(F.col("status") == "failed"), mean_ms=mean), told(steps, tool_failures=count_if(F.col("status") == "failed")),
+        told(feedback, feedback=F.count("*"), accepted=count_if(kind == "accept"), false_positive=count_if(kind == "false_positive")), told(groups, duplicate_groups=F.count("*")), told(tasks, pending_tasks=count_if(F.col("status") == "pending")),
+    ]
+    out = frames[0]
+    for f in frames[1:]:
+        out = out.unionByName(f)
+    return out
+
+
 def tool_stats(runs: DataFrame) -> DataFrame:
     """Per tool: calls, success, failures and mean duration (whole, half up)."""
     grouped = runs.groupBy("tool").agg(F.count("*").alias("total"), count_if(F.col("status") == "success").alias("success"), count_if(F.col("status") == "failed").alias("failed"), F.sum("duration_ms").alias("ms"))

@@ -17,6 +17,16 @@ def _log(s, d):  # noqa: ANN001, ANN202
     return runs(s, d).where("tool = 'view'").select("id", "duration_ms", "created", found.alias("found"))
 
 
+def _feedback(s, d):  # noqa: ANN001, ANN202
+    """Feedback on labelled documents."""
+    return table(s, d, "labels").select("doc_id", F.when(F.col("toxic") == 1, "false_positive").when(F.col("quality") == 1, "accept").otherwise("reject").alias("feedback_type"))
+
+
+def _tasks(s, d):  # noqa: ANN001, ANN202
+    return orders(s, d).select("id", F.when(F.col("status") == 101, "pending").otherwise("closed").alias("status"))
+
+
+FEED = "feed AS (SELECT CASE WHEN toxic = 1 THEN 'false_positive' WHEN quality = 1 THEN 'accept' ELSE 'reject' END AS kind FROM labels)"
 LOG = "log AS (SELECT id, duration_ms, created, CAST(regexp_extract(props, '\"k\": (\\d+)', 1) AS INTEGER) % 4 AS found FROM run WHERE tool = 'view')"
 
 
@@ -43,6 +53,10 @@ QUERIES = {
     "a11_retrieval_summary": lambda s, d: R.retrieval_summary(_log(s, d)),
     "a12_eval_summary": lambda s, d: R.evaluation_summary(runs(s, d)),
     "a12_duplicate_groups": lambda s, d: R.repeated_groups(runs(s, d).where("status = 'success'"), ["user_id", "tool"]),
+    "a12_feedback_stats": lambda s, d: R.feedback_stats(_feedback(s, d)),
+    "a12_eval_scalars": lambda s, d: R.evaluation_scalars(runs(s, d).where("not is_replay"), runs(s, d), _feedback(s, d), analyses(s, d).select(F.col("label").alias("source_type"), (F.col("id") % 90).alias("source_id")), _tasks(s, d)),
+    "a13_eval_trend": lambda s, d: R.eval_trend(runs(s, d), AS_OF_EVENTS),
+    "a13_search_trend": lambda s, d: R.search_trend(_log(s, d), AS_OF_EVENTS),
     "a13_ops_trend": lambda s, d: R.run_trend(runs(s, d), AS_OF_EVENTS),
     "a14_tool_stats": lambda s, d: R.tool_stats(runs(s, d)),
     "a15_steps_by_role": lambda s, d: R.steps_by_role(runs(s, d)),
@@ -100,6 +114,12 @@ ORACLE_SQL = {
     "a12_eval_summary": f"""WITH {RUN} SELECT count(*) AS runs, count(*) FILTER (status = 'success') AS success, count(*) FILTER (status = 'failed') AS failed, count(*) FILTER (is_replay) AS replays,
         count(*) FILTER (duration_ms > 100) AS slow, count(DISTINCT user_id) AS users, count(DISTINCT tool) AS tools, min(duration_ms) AS fastest, max(duration_ms) AS slowest, CAST(sum(duration_ms) AS BIGINT) AS busy_ms FROM run""",
     "a12_duplicate_groups": f"WITH {RUN} SELECT count(*) AS groups, CAST(coalesce(sum(n), 0) AS BIGINT) AS rows FROM (SELECT count(*) AS n FROM run WHERE status = 'success' GROUP BY user_id, tool HAVING count(*) > 1)",
+    "a12_feedback_stats": f"WITH {FEED} SELECT kind AS name, count(*) AS value FROM feed GROUP BY 1",
+    "a12_eval_scalars": f"""WITH {RUN}, {FEED}, {ANA}, n AS (SELECT * FROM run WHERE NOT is_replay) SELECT 'total_runs' AS name, count(*) AS value FROM n UNION ALL SELECT 'success_runs', count(*) FILTER (status = 'success') FROM n UNION ALL SELECT 'failed_runs', count(*) FILTER (status = 'failed') FROM n
+        UNION ALL SELECT 'mean_ms', CAST((2 * sum(duration_ms) + count(*)) // (2 * count(*)) AS BIGINT) FROM n UNION ALL SELECT 'tool_failures', count(*) FILTER (status = 'failed') FROM run UNION ALL SELECT 'feedback', count(*) FROM feed UNION ALL SELECT 'accepted', count(*) FILTER (kind = 'accept') FROM feed
+        UNION ALL SELECT 'false_positive', count(*) FILTER (kind = 'false_positive') FROM feed UNION ALL SELECT 'duplicate_groups', count(*) FROM (SELECT 1 FROM ana WHERE label IS NOT NULL GROUP BY label, id % 90 HAVING count(*) > 1) UNION ALL SELECT 'pending_tasks', count(*) FILTER (o_orderstatus NOT IN ('F', 'P')) FROM orders""",
+    "a13_eval_trend": f"WITH {RUN} SELECT strftime(created, '%Y-%m-%d') AS day, count(*) AS total, count(*) FILTER (status = 'success') AS success, count(*) FILTER (status = 'failed') AS failed FROM run WHERE CAST(created AS DATE) >= DATE '{AS_OF_EVENTS}' - 7 GROUP BY 1",
+    "a13_search_trend": f"""WITH {RUN}, {LOG} SELECT strftime(created, '%Y-%m-%d') AS day, count(*) AS queries, count(*) FILTER (found > 0) AS hits, CAST((2 * sum(duration_ms) + count(*)) // (2 * count(*)) AS BIGINT) AS mean_ms, round(100.0 * count(*) FILTER (found > 0) / count(*), 2) AS hit_rate FROM log WHERE CAST(created AS DATE) >= DATE '{AS_OF_EVENTS}' - 7 GROUP BY 1""",
     "a13_ops_trend": f"""WITH {RUN}, t AS (SELECT strftime(created, '%Y-%m-%d') AS day, count(*) AS total, count(*) FILTER (status = 'success') AS success FROM run WHERE CAST(created AS DATE) >= DATE '{AS_OF_EVENTS}' - 7 GROUP BY 1)
         SELECT *, {_RATE.format(n='success', d='total')} AS hit_rate FROM t""",
     "a14_tool_stats": f"""WITH {RUN} SELECT tool, count(*) AS total, count(*) FILTER (status = 'success') AS success, count(*) FILTER (status = 'failed') AS failed,
