@@ -360,3 +360,22 @@ def op10_suffix_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"op10_suffix_repeats": op10_suffix_repeats}
+
+#: Every window by its digest, over the bytes as hexadecimal digits.
+ORACLE_SQL = {
+    "op10_suffix_repeats": r"""
+        WITH d AS (SELECT row_number() OVER () AS r, doc_id, hex(encode(coalesce(text, ''))) AS x FROM documents
+        ), l AS (SELECT r, doc_id, x, length(x) // 2 AS n FROM d
+        ), w AS MATERIALIZED (SELECT r, i, md5(substr(x, 2 * i + 1, 800)) AS h FROM (SELECT r, x, unnest(range(n - 399)) AS i FROM l WHERE n >= 400)
+        ), c AS (SELECT r, i FROM w QUALIFY count(*) OVER (PARTITION BY h) > 1
+        ), e AS (SELECT r, i, CASE WHEN i > 400 + lag(i, 1, -1000) OVER (PARTITION BY r ORDER BY i) THEN 1 ELSE 0 END AS fresh FROM c
+        ), s AS (SELECT r, i, sum(fresh) OVER (PARTITION BY r ORDER BY i) AS k FROM e
+        ), runs AS (SELECT r, k, min(i) AS a, max(i) + 400 AS b FROM s GROUP BY 1, 2
+        ), keep AS (SELECT r, coalesce(lag(b) OVER (PARTITION BY r ORDER BY a), 0) AS a, a AS b FROM runs UNION ALL SELECT r, max(b), NULL FROM runs GROUP BY 1
+        ), rest AS (SELECT keep.r, string_agg(substr(x, 2 * a + 1, 2 * (coalesce(b, n) - a)), '' ORDER BY a) AS x FROM keep JOIN l USING (r) GROUP BY 1
+        ), gone AS (SELECT r, CAST(sum(b - a) AS BIGINT) AS removed, count(*) AS spans FROM runs GROUP BY 1
+        )
+        SELECT doc_id, n AS n_bytes, coalesce(removed, 0) AS n_removed, coalesce(spans, 0) AS n_spans, sha256(unhex(CASE WHEN rest.r IS NULL THEN l.x ELSE coalesce(rest.x, '') END)) AS kept_sha256
+        FROM l LEFT JOIN gone USING (r) LEFT JOIN rest USING (r)
+    """,
+}

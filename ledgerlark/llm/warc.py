@@ -403,3 +403,15 @@ def op9_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"op9_warc_revisits": op9_warc_revisits}
+
+#: Base32 takes five bits a character: five hexadecimal digits are four of them.
+ORACLE_SQL = {
+    "op9_warc_revisits": """
+        WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS b FROM pages
+        ), h AS (SELECT page_id, CAST(octet_length(b) AS BIGINT) AS payload_bytes, sha1(b) AS sha, min(page_id) OVER (PARTITION BY sha1(b)) AS first FROM p
+        )
+        SELECT page_id, payload_bytes, array_to_string(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + ((CAST('0x' || substr(sha, 1 + 5 * (i // 4), 5) AS INTEGER) >> (15 - 5 * (i % 4))) & 31), 1)), '') AS payload_digest,
+               CASE WHEN page_id <> first THEN 'revisit' ELSE 'response' END AS record_type, CASE WHEN page_id <> first THEN first END AS refers_to
+        FROM h
+    """,
+}
