@@ -8,7 +8,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: What parts words: space and the five ASCII control characters from tab to carriage return.
@@ -59,6 +59,25 @@ def discard(*written: DataFrame) -> None:
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def numbered(rows: DataFrame, key: str, by: list[str], name: str) -> DataFrame:
+    """rows, written, with pos: the place of each in its key, from 0, ascending by the columns `by` (nulls first).
+
+    Rows are dealt by ranges of (key, by), so a hot key takes many tasks; rows that are equal in all of these are told
+    apart by an added number, so they take many tasks too. Only a row per key and range is summed in key order.
+    """
+    order = [F.col(key).asc_nulls_first(), *(F.col(c).asc_nulls_first() for c in by), F.col("row_no")]
+    ranged = rows.withColumn("row_no", F.monotonically_increasing_id()).repartitionByRange(*order)
+    ranged = materialize(ranged.withColumn("range_no", F.spark_partition_id()), name)
+    held = ranged.groupBy(key, "range_no").agg(F.count("*").alias("held"))
+    before = Window.partitionBy(key).orderBy("range_no").rowsBetween(Window.unboundedPreceding, -1)
+    starts = held.select(F.col(key).alias("of_key"), F.col("range_no").alias("of_range"), F.coalesce(F.sum("held").over(before), F.lit(0)).alias("start"))
+    placed = ranged.withColumn("pos", F.row_number().over(Window.partitionBy(key, "range_no").orderBy(*order[1:])) - 1)
+    placed = placed.join(starts, F.col(key).eqNullSafe(F.col("of_key")) & (F.col("range_no") == F.col("of_range")))
+    out = materialize(placed.withColumn("pos", F.col("start") + F.col("pos")).drop("of_key", "of_range", "range_no", "start", "row_no"), name)
+    discard(ranged)
+    return out
+
+
 def words_of(text: Column) -> Column:
     """The words of a text as an array; null for a null text."""
     return F.array_remove(F.split(text, SPACES), "")

@@ -10,6 +10,7 @@ from ledgerlark.llm import (
     decontamination,
     jaccard_join,
     language_id,
+    merkle_manifest,
     mixing,
     quality_classifier,
     quality_rules,
@@ -30,6 +31,7 @@ MODULES = (
     mixing,
     warc,
     repeated_spans,
+    merkle_manifest,
 )
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {k: v for m in MODULES for k, v in m.QUERIES.items()}
