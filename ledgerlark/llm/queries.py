@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from ledgerlark.llm import (
     decontamination,
+    grid_join,
     jaccard_join,
     language_id,
     merkle_manifest,
@@ -32,6 +33,7 @@ MODULES = (
     warc,
     repeated_spans,
     merkle_manifest,
+    grid_join,
 )
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {k: v for m in MODULES for k, v in m.QUERIES.items()}
