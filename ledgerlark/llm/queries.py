@@ -17,6 +17,7 @@ from ledgerlark.llm import (
     quality_rules,
     repeated_spans,
     sharding,
+    spelling_variants,
     url_reputation,
     warc,
 )
@@ -34,6 +35,7 @@ MODULES = (
     repeated_spans,
     merkle_manifest,
     grid_join,
+    spelling_variants,
 )
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {k: v for m in MODULES for k, v in m.QUERIES.items()}
