@@ -12,7 +12,7 @@ from __future__ import annotations
 
 import re
 import zlib
-from collections import Counter, defaultdict
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,8 +28,8 @@ LETTERS = "a-zÀ-ÿ"
 #: Groups of letters, the first of which are the top of the trie; words of a chunk and queries sent to it at a time;
 #: words that a task counts before it passes them on.
 GROUPS, TOP, CHUNK, QUERIES_A_TASK, HELD = 14, 4, 8192, 32768, 400_000
-#: Nodes with at most this many words are searched as one.
-LEAF = 24
+#: Nodes with at most this many words are searched as one; longer words than this are compared one by one.
+LEAF, LONG = 16, 48
 
 
 def _counted(batches: Iterator[pa.RecordBatch], thin: int) -> Iterator[pa.RecordBatch]:
@@ -139,6 +139,7 @@ def search(words: np.ndarray, queries: np.ndarray) -> Iterator[tuple[np.ndarray,
     depth_end = words.shape[1]
     ones = np.ones(len(queries), dtype=np.int8)
     todo = [(0, len(words), 0, np.arange(len(queries)), ones, ones)]
+    words, queries = words.astype(np.int32), queries.astype(np.int32)
     while todo:
         lo, hi, depth, asked, surplus, deficit = todo.pop()
         if hi - lo <= LEAF or depth == depth_end:
@@ -158,30 +159,57 @@ def search(words: np.ndarray, queries: np.ndarray) -> Iterator[tuple[np.ndarray,
                 todo.append((lo + s, lo + e, depth + 1, asked[go], left_s[go].astype(np.int8), left_d[go].astype(np.int8)))
 
 
+class _Letters:
+    """The words of a task as rows of letters, once from the left and once from the right, to compare many pairs at once."""
+
+    def __init__(self, words: list[str]):
+        self.words, self.lens = words, np.fromiter(map(len, words), np.int64, len(words))
+        width = min(LONG, int(self.lens.max(initial=0))) + 1
+        self.left, self.right = (np.frombuffer("".join(x).encode("latin-1"), dtype=np.uint8).reshape(-1, width) for x in ([w[:width].ljust(width, "\0") for w in words], [w[-width:].rjust(width, "\0") for w in words]))
+
+    def near(self, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        """For which of the pairs (x, y) exactly one edit leads from word to word."""
+        out = np.zeros(len(x), dtype=bool)
+        for at in range(0, len(x), 1 << 16):
+            a, b = x[at : at + (1 << 16)], y[at : at + (1 << 16)]
+            la, lb = self.lens[a], self.lens[b]
+            differ = self.left[a] != self.left[b]
+            shorter = np.minimum(la, lb)
+            from_right = self.right[a] != self.right[b]
+            # Letters that agree from the left and from the right must cover the shorter word.
+            covered = np.where(differ.any(axis=1), differ.argmax(axis=1), shorter) + np.where(from_right.any(axis=1), from_right[:, ::-1].argmax(axis=1), shorter)
+            out[at : at + (1 << 16)] = np.where(la == lb, differ.sum(axis=1) == 1, covered >= shorter)
+            for i in np.flatnonzero(np.maximum(la, lb) > LONG).tolist():
+                out[at + i] = near(self.words[a[i]], self.words[b[i]])
+        return out
+
+
 def _searched(t: pa.Table, group_of: dict[str, int]) -> pa.Table:
     """Near words met in one chunk of a subtrie: for each word their number, and the best of them."""
     roles = t.column("role").to_numpy()
-    names, counts = t.column("word").to_pylist(), t.column("n").to_pylist()
+    names, counts = t.column("word").to_pylist(), t.column("n").to_numpy()
     ours, theirs = np.flatnonzero(roles == 0), np.flatnonzero(roles != 0)
-    best: dict[int, tuple[int, str]] = {}
-    found: dict[int, int] = defaultdict(int)
+    found, best = np.zeros(len(names), dtype=np.int64), np.full(len(names), len(names))
+    ranked = np.array(sorted(range(len(names)), key=lambda i: (-counts[i], names[i])), dtype=np.int64)
+    rank = np.empty(len(names), dtype=np.int64)
+    rank[ranked] = np.arange(len(names))
     if len(ours) and len(theirs):
-        of = vectors(names, group_of)
+        of, letters = vectors(names, group_of).astype(np.int32), _Letters(names)
         ours = ours[np.lexsort(of[ours].T[::-1])]
         home = roles[theirs] == 2
+        # At home both words ask each other: there the one of lower rank speaks.
         for q, w in search(of[ours], of[theirs]):
-            for x, y, at_home in zip(theirs[q].tolist(), ours[w].tolist(), home[q].tolist(), strict=True):
-                a, b = names[x], names[y]
-                # At home both words ask each other.
-                if at_home and a >= b or not near(a, b):
-                    continue
-                for i, j in ((x, y), (y, x)):
-                    found[i] += 1
-                    mark = (-counts[j], names[j])
-                    if i not in best or mark < best[i]:
-                        best[i] = mark
-    at = list(found)
-    return pa.table({"word": pa.array([names[i] for i in at], pa.string()), "n_near": pa.array([found[i] for i in at], pa.int64()), "best_n": pa.array([-best[i][0] for i in at], pa.int64()), "best": pa.array([best[i][1] for i in at], pa.string())})
+            x, y = theirs[q], ours[w]
+            go = ~home[q] | (rank[x] < rank[y])
+            x, y = x[go], y[go]
+            go = letters.near(x, y)
+            x, y = x[go], y[go]
+            for i, j in ((x, y), (y, x)):
+                np.add.at(found, i, 1)
+                np.minimum.at(best, i, rank[j])
+    at = np.flatnonzero(found)
+    chosen = ranked[best[at]]
+    return pa.table({"word": t.column("word").take(pa.array(at)), "n_near": pa.array(found[at]), "best_n": pa.array(counts[chosen]), "best": t.column("word").take(pa.array(chosen))})
 
 
 def near_words(words: DataFrame) -> DataFrame:
