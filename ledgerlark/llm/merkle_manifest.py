@@ -193,14 +193,12 @@ def manifest(docs: DataFrame, columns: tuple[str, ...] = ("doc_id", "source", "l
     leaves = materialize(leaves, "leaves")
     placed = numbered(leaves, "key", ["id", "digest"], "placed")
     discard(leaves)
-    heights = placed.groupBy("key").agg(_height(F.count("*")).alias("height"))
-    placed = placed.join(heights, "key")
+    placed = placed.withColumn("height", _height(F.col("key_rows")))
     layers = _built_up(placed.select("key", "height", F.lit(0).alias("level"), F.col("pos").alias("idx"), "digest"))
 
     tops = _all([x.where("level = height") for x in layers]).select(F.lit("").alias("all"), F.col("key").alias("group"), "height", "digest")
     tops = numbered(tops, "all", ["group"], "subroots")
-    over = tops.join(tops.groupBy("all").agg(_height(F.count("*")).alias("h")), "all")
-    subroots = over.select(F.col("all").alias("key"), F.col("h").alias("height"), F.lit(0).alias("level"), F.col("pos").alias("idx"), "digest")
+    subroots = tops.select(F.col("all").alias("key"), _height(F.col("key_rows")).alias("height"), F.lit(0).alias("level"), F.col("pos").alias("idx"), "digest")
     above = _built_up(subroots)
     root = _all([x.where("level = height") for x in above])
     nothing = F.array().cast("array<string>")
