@@ -83,13 +83,13 @@ def _celled(batches: Iterator[pa.RecordBatch], mean: np.ndarray, directions: np.
         yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("cls", "rep", "weight", "vec")), *(pa.array(cells[:, i]) for i in range(cells.shape[1])), pa.array(spots[:, 0])], names=["cls", "rep", "weight", "vec", *(f"c{i}" for i in range(cells.shape[1])), "first"])
 
 
-def _tiled(t: pa.Table, mean: np.ndarray, directions: np.ndarray) -> pa.Table:
+def _tiled(t: pa.Table, mean: np.ndarray, directions: np.ndarray, rows: int) -> pa.Table:
     """One row for a tile, with the box of its leading coordinates."""
     t = t.sort_by("pos")
     spots = np.concatenate([projected(unit(v), mean, directions) for _, v in _rows(t.column("vec"))])
     box = {f"{side}{i}": pa.array([float(x)]) for side, f in (("lo", np.min), ("hi", np.max)) for i, x in enumerate(f(spots, axis=0))}
     packed = {c: pa.array([t.column(c).to_pylist()], pa.list_(t.column(c).type)) for c in ("cls", "weight", "vec")}
-    return pa.table({"tile": pa.array([t.column("pos")[0].as_py() // TILE], pa.int64()), **packed, **box})
+    return pa.table({"tile": pa.array([t.column("pos")[0].as_py() // rows], pa.int64()), **packed, **box})
 
 
 class _Tile:
@@ -123,7 +123,7 @@ def _forest(near: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         rows = new
 
 
-def join_tiles(a: _Tile, b: _Tile, least: float) -> tuple[np.ndarray, np.ndarray, list[tuple[int, int]]]:
+def join_tiles(a: _Tile, b: _Tile, least: float, leaf: int = LEAF) -> tuple[np.ndarray, np.ndarray, list[tuple[int, int]]]:
     """Weights linked with each row of a and of b, and links (place, place) that join what is linked; places of b come
     after those of a. A tile joined with itself counts each pair once for either row."""
     same, n = a is b, len(a.cls)
@@ -149,7 +149,7 @@ def join_tiles(a: _Tile, b: _Tile, least: float) -> tuple[np.ndarray, np.ndarray
                 counts[1][j0:j1] += a.weight[i0:i1].sum()
             links.update((i0, j + shift) for j in range(j0, j1))
             links.update((i, j0 + shift) for i in range(i0, i1))
-        elif max(i1 - i0, j1 - j0) <= LEAF:
+        elif max(i1 - i0, j1 - j0) <= leaf:
             near = a.unit[i0:i1] @ b.unit[j0:j1].T >= least
             if own:
                 np.fill_diagonal(near, False)
@@ -162,15 +162,15 @@ def join_tiles(a: _Tile, b: _Tile, least: float) -> tuple[np.ndarray, np.ndarray
                 links.update((i0 + int(x), j0 + j + shift) for j, x in enumerate(cols.tolist()) if x >= 0)
         else:
             i, j = (i0 + i1) // 2, (j0 + j1) // 2
-            cut_a = [(i0, i), (i, i1)] if i1 - i0 > LEAF else [(i0, i1)]
-            cut_b = [(j0, j), (j, j1)] if j1 - j0 > LEAF else [(j0, j1)]
+            cut_a = [(i0, i), (i, i1)] if i1 - i0 > leaf else [(i0, i1)]
+            cut_b = [(j0, j), (j, j1)] if j1 - j0 > leaf else [(j0, j1)]
             todo += [(*x, *y) for x in cut_a for y in cut_b if not (same and y[1] <= x[0])]
     if same:
         counts = counts[0] + counts[1], counts[1]
     return *counts, sorted((x, y) for x, y in links if x != y)
 
 
-def _opened(t: pa.Table, mean: np.ndarray, directions: np.ndarray, least: float) -> pa.Table:
+def _opened(t: pa.Table, mean: np.ndarray, directions: np.ndarray, least: float, leaf: int) -> pa.Table:
     """Of a pair of tiles: (a, null, linked weight) for each vector with links, and links (a, b, 0) that join them."""
     sides = []
     for k in range(t.num_rows):
@@ -182,7 +182,7 @@ def _opened(t: pa.Table, mean: np.ndarray, directions: np.ndarray, least: float)
         if n not in sides[-1]:
             continue
         one, two = sides[0][n], sides[-1][n]
-        left, right, links = join_tiles(one, two, least)
+        left, right, links = join_tiles(one, two, least, leaf)
         counted = [(one, left)] if one is two else [(one, left), (two, right)]
         for tile, counts in counted:
             some = np.flatnonzero(counts)
@@ -248,6 +248,7 @@ def grid_join(vectors: DataFrame, least: float = 0.95, id_col: str = "vec_id", v
     classes = materialize(classes.withColumn("cls", F.monotonically_increasing_id()), "classes")
     mean, directions = principal(classes)
     dims, reach = directions.shape[1], float(np.sqrt(2 - 2 * least))
+    tile_rows, leaf = TILE, LEAF
 
     cells = ", ".join(f"c{i} int" for i in range(dims))
     kind = base.schema["vec"].dataType.simpleString()
@@ -255,13 +256,13 @@ def grid_join(vectors: DataFrame, least: float = 0.95, id_col: str = "vec_id", v
     placed = numbered(celled.drop("rep"), "all", [*(f"c{i}" for i in range(dims)), "first"], "sequence")
     boxes = [T.StructField(f"{s}{i}", T.DoubleType()) for s in ("lo", "hi") for i in range(dims)]
     packed = [T.StructField(c, T.ArrayType(placed.schema[c].dataType)) for c in ("cls", "weight", "vec")]
-    tiles = placed.groupBy(F.expr(f"pos div {TILE}").alias("t")).applyInArrow(lambda t: _tiled(t, mean, directions), T.StructType([T.StructField("tile", T.LongType()), *packed, *boxes]))
+    tiles = placed.groupBy(F.expr(f"pos div {tile_rows}").alias("t")).applyInArrow(lambda t: _tiled(t, mean, directions, tile_rows), T.StructType([T.StructField("tile", T.LongType()), *packed, *boxes]))
     tiles = materialize(tiles, "tiles")
     discard(placed)
 
     pairs = _near_tiles(tiles, dims, reach)
     asked = pairs.select("x", "y", F.explode(F.array_distinct(F.array("x", "y"))).alias("tile"))
-    opened = asked.join(tiles.select("tile", "cls", "weight", "vec"), "tile").groupBy("x", "y").applyInArrow(lambda t: _opened(t, mean, directions, least), "a long, b long, degree long")
+    opened = asked.join(tiles.select("tile", "cls", "weight", "vec"), "tile").groupBy("x", "y").applyInArrow(lambda t: _opened(t, mean, directions, least, leaf), "a long, b long, degree long")
     found = materialize(opened, "found")
     discard(tiles, pairs)
     degrees = found.where("b is null").groupBy(F.col("a").alias("cls")).agg(F.sum("degree").alias("degree"))

@@ -133,7 +133,7 @@ def near(a: str, b: str) -> bool:
     return a[i:] == b[i + 1 :] if len(b) > n else i < n and a[i + 1 :] == b[i + 1 :]
 
 
-def search(words: np.ndarray, queries: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def search(words: np.ndarray, queries: np.ndarray, leaf: int = LEAF) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """(queries, words) whose vectors differ by at most one surplus and one deficit: a depth-first search of the trie of
     `words`, whose rows are sorted, for all queries at once. A query leaves the search where it has spent more."""
     depth_end = words.shape[1]
@@ -142,7 +142,7 @@ def search(words: np.ndarray, queries: np.ndarray) -> Iterator[tuple[np.ndarray,
     words, queries = words.astype(np.int32), queries.astype(np.int32)
     while todo:
         lo, hi, depth, asked, surplus, deficit = todo.pop()
-        if hi - lo <= LEAF or depth == depth_end:
+        if hi - lo <= leaf or depth == depth_end:
             diff = queries[asked, None, depth:] - words[None, lo:hi, depth:]
             fits = (np.maximum(diff, 0).sum(axis=2) <= surplus[:, None]) & (np.maximum(-diff, 0).sum(axis=2) <= deficit[:, None])
             q, w = np.nonzero(fits)
