@@ -59,9 +59,9 @@ def discard(*written: DataFrame) -> None:
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def numbered(rows: DataFrame, key: str, by: list[str], name: str) -> DataFrame:
+def numbered(rows: DataFrame, key: str, by: list[str], name: str, size: str | None = None) -> DataFrame:
     """rows, written, with pos, the place of each in its key, from 0, ascending by the columns `by` (nulls first), and
-    key_rows, the rows of its key.
+    key_rows, the rows of its key; with a column of sizes these are sums of sizes in place of rows.
 
     Rows are dealt by ranges of (key, by), so a hot key takes many tasks; rows that are equal in all of these are told
     apart by an added number, so they take many tasks too. Only a row per key and range is summed in key order.
@@ -69,10 +69,13 @@ def numbered(rows: DataFrame, key: str, by: list[str], name: str) -> DataFrame:
     order = [F.col(key).asc_nulls_first(), *(F.col(c).asc_nulls_first() for c in by), F.col("row_no")]
     ranged = rows.withColumn("row_no", F.monotonically_increasing_id()).repartitionByRange(*order)
     ranged = materialize(ranged.withColumn("range_no", F.spark_partition_id()), name)
-    held = ranged.groupBy(key, "range_no").agg(F.count("*").alias("held"))
-    before = Window.partitionBy(key).orderBy("range_no").rowsBetween(Window.unboundedPreceding, -1)
+    amount = F.lit(1).cast("bigint") if size is None else F.col(size)
+    ahead = (Window.unboundedPreceding, -1)
+    held = ranged.groupBy(key, "range_no").agg(F.sum(amount).alias("held"))
+    before = Window.partitionBy(key).orderBy("range_no").rowsBetween(*ahead)
     starts = held.select(F.col(key).alias("of_key"), F.col("range_no").alias("of_range"), F.coalesce(F.sum("held").over(before), F.lit(0)).alias("start"), F.sum("held").over(Window.partitionBy(key)).alias("key_rows"))
-    placed = ranged.withColumn("pos", F.row_number().over(Window.partitionBy(key, "range_no").orderBy(*order[1:])) - 1)
+    within = Window.partitionBy(key, "range_no").orderBy(*order[1:]).rowsBetween(*ahead)
+    placed = ranged.withColumn("pos", F.coalesce(F.sum(amount).over(within), F.lit(0)))
     placed = placed.join(starts, F.col(key).eqNullSafe(F.col("of_key")) & (F.col("range_no") == F.col("of_range")))
     out = materialize(placed.withColumn("pos", F.col("start") + F.col("pos")).drop("of_key", "of_range", "range_no", "start", "row_no"), name)
     discard(ranged)

@@ -1,8 +1,8 @@
 """Mixing sources to target weights: whole epochs, then Efraimidis-Spirakis sampling of the rest.
 
 Every document draws an exponential key scaled by its quality weight. Within a source, documents in key order fill what
-the target leaves after whole epochs. Keys are dealt into slices whose sums give each slice its start, so a hot source
-is never summed in one task.
+the target leaves after whole epochs. Keys are dealt by sampled ranges, whatever their distribution, and a range starts at
+the sum of those before it, so a hot source is never summed in one task.
 """
 
 from __future__ import annotations
@@ -10,13 +10,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ledgerlark.llm.common import SPACES, materialize
+from ledgerlark.llm.common import SPACES, discard, materialize, numbered
 from ledgerlark.session import table
 
 #: Weights of the sources in order of their names, repeating.
 WEIGHTS = (5, 2, 1)
-#: Rows of a source in a slice of keys, about.
-SLICE = 20_000
 
 
 def word_count(text: Column) -> Column:
@@ -57,31 +55,25 @@ def mix(docs: DataFrame, quality: DataFrame | None = None, weights: tuple[int, .
     size. u is a hash of seed and id, so reruns agree; quality (id_col, weight > 0) scales the keys, by the
     largest weight of an id, 1 where it has none.
     A null source is a source, last in order; a null text has size 0 and copies of whole epochs only. Rows that repeat an
-    id draw the same key and are told apart by size alone; an empty table gives an empty result.
+    id draw the same key and are told apart by size and by what they carry; of rows equal in all of these any may come
+    first. An empty table gives an empty result.
     """
     draw = (F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col(id_col).cast("string"), F.lit("")))), 1, 12), 16, 10).cast("bigint") + 1) / float((1 << 48) + 1)
     rows = docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size"), draw.alias("u"), F.struct(F.lit(0).alias("none"), *carry).alias("carried"))
-    rows = materialize(rows, "words")
+    rows = words = materialize(rows, "words")
     if quality is not None:
         rows = rows.join(quality.select(F.col(id_col).alias("id"), F.col("weight").cast("double").alias("quality")).where("quality > 0").groupBy("id").agg(F.max("quality").alias("quality")), "id", "left")
     else:
         rows = rows.withColumn("quality", F.lit(1.0))
     rows = rows.withColumn("key", -F.ln("u") / F.coalesce("quality", F.lit(1.0))).drop("u", "quality")
 
-    totals = rows.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("n"))
-    goals = targets(totals.select("source", "source_size"), weights, most).join(totals.select(F.col("source").alias("s"), "n"), F.col("source").eqNullSafe(F.col("s"))).drop("s")
-    goals = goals.withColumns({"epochs": F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0), "slices": F.expr(f"n div {SLICE} + 1")})
+    placed = numbered(rows.withColumnRenamed("source", "of"), "of", ["key", "id", "size", "carried"], "mixed", size="size")
+    discard(words)
+    goals = targets(placed.groupBy(F.col("of").alias("source")).agg(F.sum("size").alias("source_size")), weights, most)
+    goals = goals.withColumn("epochs", F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0))
     goals = materialize(goals.withColumn("rest", F.col("target") - F.col("epochs") * F.col("source_size")), "goals")
-    # Keys are exponential, so their distribution function cuts them into slices of about equal numbers, in key order.
-    sliced = rows.join(goals, rows["source"].eqNullSafe(goals["source"])).drop(goals["source"])
-    sliced = materialize(sliced.withColumn("slice", F.floor((1 - F.exp(-F.col("key"))) * F.col("slices")).cast("bigint")), "sliced")
-    sums = sliced.groupBy("source", "slice").agg(F.sum("size").alias("held"))
-    sums = sums.select("source", "slice", F.coalesce(F.sum("held").over(Window.partitionBy("source").orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("ahead"))
-    order = Window.partitionBy("source", "slice").orderBy("key", "id", "size").rowsBetween(Window.unboundedPreceding, -1)
-    within = sliced.withColumn("run", F.coalesce(F.sum("size").over(order), F.lit(0)))
-    sums = sums.withColumnsRenamed({"source": "s", "slice": "at"})
-    within = within.join(sums, F.col("source").eqNullSafe(F.col("s")) & (F.col("slice") == F.col("at")))
-    middle = F.col("ahead") + F.col("run") + F.col("size") / 2
+    within = placed.join(goals, F.col("of").eqNullSafe(F.col("source")))
+    middle = F.col("pos") + F.col("size") / 2
     more = ((middle <= F.col("rest")) & (F.col("size") > 0) & (F.col("epochs") < most)).cast("bigint")
     copies = (F.col("epochs") + more).cast("bigint")
     return within.select(F.col("id").alias(id_col), "size", "source_size", "target", copies.alias("copies"), (copies * F.col("size")).alias("taken"), *(F.col(f"carried.{c}").alias(c) for c in carry))
