@@ -192,15 +192,21 @@ def _expected(batches: Iterator[pa.RecordBatch], shared, langs: list[str], probs
     yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(piece.astype(np.int32)), pa.array(total[at, piece])], names=["lang", "piece", "count"])
 
 
-def fit(docs: DataFrame, path: str = VOCABULARY, sample: int = 400, rounds: int = 3, smoothing: float = 0.02) -> tuple[list[str], np.ndarray]:
+def fit(docs: DataFrame, path: str = VOCABULARY, sample: int = 400, rounds: int = 3, smoothing: float = 0.02, most_languages: int = 256) -> tuple[list[str], np.ndarray]:
     """Languages and pieces x languages, learnt from at most sample documents of each language outside the held-out fold
-    (those of the smallest id hashes), by rounds of expectation maximisation from uniform probabilities."""
+    (those of the smallest id hashes), by rounds of expectation maximisation from uniform probabilities.
+
+    Documents are told apart by id: rows that repeat one are one document with several texts. The model has a column for
+    each language; more than most_languages of them raise a ValueError, so what is broadcast here is bounded.
+    """
     spark = docs.sparkSession
     known = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
     ids = known.select("doc_id", "lang").withColumn("h", F.xxhash64("doc_id"))
-    # The smallest hashes of a language lie under a bound that its number of documents tells, with room to spare; so few
-    # rows are moved and ranked, however many a language has. Counts have a row per language, as the model has a column.
-    counts = known.groupBy("lang").agg(F.count("*").alias("n"))
+    # The smallest hashes of a language lie under a bound that its number of different ids tells, with room to spare; so
+    # few rows are moved and ranked, however many a language has.
+    counts = materialize(known.groupBy("lang").agg(F.approx_count_distinct("doc_id").alias("n")), "counts")
+    if counts.count() > most_languages:
+        raise ValueError(f"more than {most_languages} languages to learn")
     bound = F.lit(-float(1 << 63)) + F.lit(float(1 << 63)) * 2 * F.least(F.lit(1.0), F.lit(4.0 * sample + 100) / F.col("n"))
     near = ids.join(F.broadcast(counts), "lang").where(F.col("h").cast("double") <= bound)
     rank = F.row_number().over(Window.partitionBy("lang").orderBy("h", "doc_id"))
@@ -220,7 +226,7 @@ def fit(docs: DataFrame, path: str = VOCABULARY, sample: int = 400, rounds: int
         summed = np.full((len(langs), len(probs)), smoothing)
         summed[told["lang"].to_numpy(), told["piece"].to_numpy()] += told["count"].to_numpy()
         probs = (summed / summed.sum(axis=1, keepdims=True)).T.copy()
-    discard(words, chosen)
+    discard(words, chosen, counts)
     return langs, probs
 
 
