@@ -160,7 +160,7 @@ def _group_links(table_: pa.Table, percent: int, degrees: bool) -> pa.Table:
     return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64()), "degree": pa.array([0] * len(links) + list(degree.values()), pa.int64())})
 
 
-def jaccard_join(docs: DataFrame, k: int = 3, percent: int = 90, id_col: str = "doc_id", text_col: str = "text", links: bool = True) -> DataFrame:
+def jaccard_join(docs: DataFrame, k: int = 3, percent: int = 90, id_col: str = "doc_id", text_col: str = "text", links: bool = False) -> DataFrame:
     """One row per row of docs: id_col, n_shingles, component_id, and n_links where links are asked for.
 
     Shingles are of k words of the text in which A-Z is lower-cased; with fewer words the whole sequence is one. Two
@@ -311,7 +311,6 @@ ORACLE_SQL = {
         ), r(id, root) AS (
             SELECT doc_id, doc_id FROM documents UNION SELECT l.b, r.root FROM r JOIN l ON r.id = l.a
         )
-        SELECT s.doc_id, CAST(len(s.sh) AS BIGINT) AS n_shingles, q.root AS component_id, coalesce(d.k, 0) AS n_links
-        FROM s JOIN (SELECT id, min(root) AS root FROM r GROUP BY id) q ON q.id = s.doc_id LEFT JOIN (SELECT a, count(*) AS k FROM l GROUP BY a) d ON d.a = s.doc_id
+        SELECT s.doc_id, CAST(len(s.sh) AS BIGINT) AS n_shingles, q.root AS component_id FROM s JOIN (SELECT id, min(root) AS root FROM r GROUP BY id) q ON q.id = s.doc_id
     """,
 }

@@ -14,7 +14,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from ledgerlark.llm import decontamination, jaccard_join, language_id, mixing, quality_classifier, quality_rules, repeated_spans, sharding
+from ledgerlark.llm import common, decontamination, jaccard_join, language_id, mixing, quality_classifier, quality_rules, repeated_spans, sharding
 from ledgerlark.session import table
 
 SCHEMA = "doc_id long, text string, lang string, source string, sig string"
@@ -63,7 +63,7 @@ def test_jaccard_join_equals_brute_force(spark, k, percent):
                 todo += near[x]
     alone = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard_join.jaccard_join(frame(spark, rows), k, percent, links=False).collect()}
     assert alone == {i: (len(sets[i]), comp[i]) for i in sets}
-    got = {r.doc_id: r for r in jaccard_join.jaccard_join(frame(spark, rows), k, percent).collect()}
+    got = {r.doc_id: r for r in jaccard_join.jaccard_join(frame(spark, rows), k, percent, links=True).collect()}
     assert {i: (r.n_shingles, r.component_id, r.n_links) for i, r in got.items()} == {i: (len(sets[i]), comp[i], len(near[i])) for i in sets}
 
 
@@ -79,7 +79,7 @@ def test_large_groups_are_split_without_losing_links(spark, monkeypatch):
     monkeypatch.setattr(jaccard_join, "GROUP", 4)
     monkeypatch.setattr(jaccard_join, "QUERIES_A_TASK", 8)
     rows = [(i, " ".join(f"w{j}" if j != i else "x" for j in range(200))) for i in range(40)]
-    got = jaccard_join.jaccard_join(frame(spark, rows), 3, 90).collect()
+    got = jaccard_join.jaccard_join(frame(spark, rows), 3, 90, links=True).collect()
     assert {r.component_id for r in got} == {0}
     assert all(r.n_links == 39 for r in got)
 
@@ -279,6 +279,40 @@ def test_shards_of_a_whole_table_are_near_equal(spark):
     assert all(abs(r.b * 8 / total - 1) < 0.03 for r in got)
 
 
+def test_ranges_of_the_mix_hold_few_rows_whatever_the_weights(spark):
+    """Nearly all rows of one source and of a small weight: no range of keys holds many times its share."""
+    docs = spark.range(40_000).select(F.col("id").alias("doc_id"), F.lit("s").alias("source"), F.lit("two words").alias("text"))
+    before = spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled", "true"), spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    spark.conf.set("spark.sql.shuffle.partitions", "40")
+    try:
+        seen, real = [], common.discard
+
+        def watch(*frames):
+            for f in frames:
+                if "range_no" in f.columns:
+                    seen.append(f.groupBy("range_no").count().agg(F.max("count")).first()[0])
+            real(*frames)
+
+        common.discard = watch
+        out = mixing.mix(docs, docs.where("doc_id % 50 > 0").select("doc_id", F.lit(0.25).alias("weight"))).agg(F.count("*"), F.sum("taken"), F.min("taken")).first()
+    finally:
+        common.discard = real
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", before[0])
+        spark.conf.set("spark.sql.shuffle.partitions", before[1])
+    assert out[0] == 40_000 and out[1] == 80_000 and out[2] == 2
+    assert seen and seen[0] < 3 * 1000
+
+
+def test_a_language_of_few_repeated_ids_is_learnt(spark):
+    rows = spark.range(20_000).select(F.lit(8).cast("bigint").alias("doc_id"), F.lit("hola que tal").alias("text"), F.lit("es").alias("lang"))
+    other = spark.range(300).select("id", F.lit("the house of words").alias("text"), F.lit("en").alias("lang"))
+    langs, _ = language_id.fit(rows.unionAll(other), rounds=1)
+    assert langs == ["en", "es"]
+    with pytest.raises(ValueError, match="more than 1 languages"):
+        language_id.fit(rows.unionAll(other), most_languages=1)
+
+
 def test_mix(spark):
     rows = [(i, "w " * (5 + i % 9), "en", f"s{min(i % 11, 4)}" if i % 13 else None, "") for i in range(400)] + [(900, None, "en", "s0", ""), (901, "", "en", "tiny", ""), (902, "one", "en", "tiny", "")]
     docs = spark.createDataFrame(rows, SCHEMA)
