@@ -37,9 +37,8 @@ def _stream(s, d, name):  # noqa: ANN001, ANN202
     return reader.option("pathGlobFilter", f"{name}.parquet").option("recursiveFileLookup", "true").parquet(d)
 
 
-def patrol_stream(s, d):  # noqa: ANN001, ANN202
-    """Reviews streamed through the risk rules; the result is read back from the sink."""
-    folder = _folder(s)
+def _analysed(s, d):  # noqa: ANN001, ANN202
+    """The risk rules over a batch of documents."""
     labels = table(s, d, "labels")
 
     def analyse(batch):  # noqa: ANN001, ANN202
@@ -47,23 +46,58 @@ def patrol_stream(s, d):  # noqa: ANN001, ANN202
         ready = batch.join(labels, "doc_id", "left").select(F.col("doc_id").alias("id"), "text", label.alias("label"), (F.col("doc_id") % 5 + 1).cast("int").alias("rating"), (F.col("doc_id") % 100 / 100).cast("decimal(6,4)").alias("confidence"), (F.col("doc_id") * 7 % 100 / 100).cast("decimal(6,4)").alias("negative_score"))
         return S.risk_tasks(ready, ("clown", "hates"))
 
-    patrol.patrol(_stream(s, d, "documents"), analyse, f"{folder}/out", f"{folder}/state", ["doc_id"]).awaitTermination()
+    return analyse
+
+
+def patrol_stream(s, d):  # noqa: ANN001, ANN202
+    """Reviews streamed through the risk rules; the result is read back from the sink."""
+    folder = _folder(s)
+    patrol.patrol(_stream(s, d, "documents"), _analysed(s, d), f"{folder}/out", f"{folder}/state", ["doc_id"], buckets=16).awaitTermination()
     return s.read.parquet(f"{folder}/out").select("analysis_id", "risk_type", "risk_level", "status")
 
 
+#: Rows that a tick of the patrol query admits.
+TICK_ROWS = 400
+
+
+def patrol_ticks(s, d):  # noqa: ANN001, ANN202
+    """The patrol polled until nothing is pending. Each text comes twice, the second time after all others, and is analysed
+    the first time only."""
+    docs = table(s, d, "documents").withColumn("round", F.explode(F.array(F.lit(0), F.lit(1))))
+    ticks = patrol.PatrolTicks(s, _folder(s), ["doc_id"], ["round", "doc_id"], TICK_ROWS, buckets=16)
+    analyse = _analysed(s, d)
+    while ticks.tick(docs, analyse)["status"] == "success":
+        pass
+    return ticks.results().select("analysis_id", "risk_type", "risk_level", F.col("tick").cast("int").alias("tick"))
+
+
 def daily_stream(s, d):  # noqa: ANN001, ANN202
     events = _stream(s, d, "events").select(F.col("ts").cast("timestamp").alias("ts"), F.when(F.col("event_type") == "error", "failed").otherwise("success").alias("status"))
     return patrol.run_to_end(patrol.daily(events, "ts"), f"daily_{uuid.uuid4().hex}", f"{_folder(s)}/state", "complete")
 
 
+#: When the streams of order events are run, what has arrived by then is a batch; the last run takes the rest.
+ARRIVALS = ("1997-01-01", "1999-01-01", "9999-01-01")
+
+
 def unpaid_stream(s, d):  # noqa: ANN001, ANN202
-    """Orders as creation events, and as payment events some minutes later, streamed through the timers."""
+    """Orders as creation events, and as payment events some minutes later, streamed through the timers in three runs.
+
+    Every seventh creation arrives 20 days late, so after its payment and perhaps in a later run; every fiftieth payment
+    arrives years late, behind the watermark of 30 days.
+    """
     o = F.col("o_orderkey")
-    paid = F.struct(F.lit("paid").alias("kind"), F.expr("cast(o_orderdate as timestamp) + make_dt_interval(0, 0, cast(o_orderkey % 60 as int))").alias("ts"))
-    created = F.struct(F.lit("created").alias("kind"), F.col("o_orderdate").cast("timestamp").alias("ts"))
+    created = F.struct(F.lit("created").alias("kind"), F.col("o_orderdate").cast("timestamp").alias("ts"), F.expr("cast(o_orderdate as timestamp) + make_dt_interval(if(o_orderkey % 7 = 0, 20, 0))").alias("arrives"))
+    at = "cast(o_orderdate as timestamp) + make_dt_interval(0, 0, cast(o_orderkey % 60 as int))"
+    paid = F.struct(F.lit("paid").alias("kind"), F.expr(at).alias("ts"), F.expr(f"{at} + make_dt_interval(if(o_orderkey % 50 = 0, 1500, 0))").alias("arrives"))
     both = F.when(F.col("o_orderstatus") == "O", F.array(created)).otherwise(F.array(created, paid))
-    events = _stream(s, d, "orders").select(o.alias("order_id"), F.explode(both).alias("e")).select("order_id", "e.kind", "e.ts")
-    out = patrol.run_to_end(patrol.unpaid_timeouts(events, 30), f"unpaid_{uuid.uuid4().hex}", f"{_folder(s)}/state")
+    events = table(s, d, "orders").select(o.alias("order_id"), F.explode(both).alias("e")).select("order_id", "e.*")
+    folder, before, out = _folder(s), "0001-01-01", None
+    for until in ARRIVALS:
+        arrived = events.where((F.col("arrives") >= F.lit(before).cast("timestamp")) & (F.col("arrives") < F.lit(until).cast("timestamp"))).drop("arrives")
+        arrived.write.mode("append").parquet(f"{folder}/in")
+        stream = s.readStream.schema(arrived.schema).parquet(f"{folder}/in")
+        out, before = patrol.run_into(patrol.unpaid_timeouts(stream, 30, "30 days"), f"{folder}/out", f"{folder}/state"), until
     return out.select("order_id", F.date_format("cancelled_at", "yyyy-MM-dd HH:mm").alias("cancelled_at"))
 
 
@@ -81,6 +115,7 @@ def index_roundtrip(s, d):  # noqa: ANN001, ANN202
 
 QUERIES = {
     "t01_patrol_stream": patrol_stream,
+    "t01_patrol_ticks": patrol_ticks,
     "t04_unpaid_stream": unpaid_stream,
     "t05_ttl_idempotency": lambda s, d: patrol.first_in_ttl(runs(s, d).select("id", "user_id", "created"), "user_id", "created").select("id", "processed"),
     "t10_daily_window": daily_stream,
@@ -94,8 +129,16 @@ ORACLE_SQL = {
     "t01_patrol_stream": f"""WITH {ANA}, a AS (SELECT *, coalesce(label = 'negative', false) AS neg FROM ana)
         SELECT id AS analysis_id, 'negative_review' AS risk_type, 'high' AS risk_level, 'pending' AS status FROM a WHERE neg UNION ALL SELECT id, 'low_confidence', 'medium', 'pending' FROM a WHERE confidence < 0.6
         UNION ALL SELECT id, 'after_sales_risk', 'high', 'pending' FROM a WHERE negative_score >= 0.65 OR contains(text, 'clown') OR contains(text, 'hates') UNION ALL SELECT id, 'rating_conflict', 'medium', 'pending' FROM a WHERE rating <= 2 AND NOT neg""",
-    "t04_unpaid_stream": """WITH o AS (SELECT o_orderkey AS order_id, o_orderdate AS created, CASE WHEN o_orderstatus <> 'O' THEN o_orderdate + to_minutes(o_orderkey % 60) END AS paid FROM orders), m AS (SELECT max(greatest(created, coalesce(paid, created))) AS m FROM o)
-        SELECT order_id, strftime(created + INTERVAL 30 MINUTE, '%Y-%m-%d %H:%M') AS cancelled_at FROM o, m WHERE (paid IS NULL AND created + INTERVAL 30 MINUTE <= m) OR paid > created + INTERVAL 30 MINUTE""",
+    "t01_patrol_ticks": f"""WITH {ANA}, a AS (SELECT *, coalesce(label = 'negative', false) AS neg, (row_number() OVER (ORDER BY id) - 1) // 400 + 1 AS tick FROM ana), r AS (
+        SELECT id AS analysis_id, 'negative_review' AS risk_type, 'high' AS risk_level, tick FROM a WHERE neg UNION ALL SELECT id, 'low_confidence', 'medium', tick FROM a WHERE confidence < 0.6
+        UNION ALL SELECT id, 'after_sales_risk', 'high', tick FROM a WHERE negative_score >= 0.65 OR contains(text, 'clown') OR contains(text, 'hates') UNION ALL SELECT id, 'rating_conflict', 'medium', tick FROM a WHERE rating <= 2 AND NOT neg)
+        SELECT analysis_id, risk_type, risk_level, CAST(tick AS INTEGER) AS tick FROM r""",
+    "t04_unpaid_stream": """WITH o AS (SELECT o_orderkey AS order_id, o_orderdate AS created, CASE WHEN o_orderstatus <> 'O' THEN o_orderdate + to_minutes(o_orderkey % 60) END AS paid FROM orders),
+        e AS (SELECT order_id, 'created' AS kind, created AS ts, created + to_days(CASE WHEN order_id % 7 = 0 THEN 20 ELSE 0 END) AS arrives FROM o UNION ALL SELECT order_id, 'paid', paid, paid + to_days(CASE WHEN order_id % 50 = 0 THEN 1500 ELSE 0 END) FROM o WHERE paid IS NOT NULL),
+        r AS (SELECT *, CASE WHEN arrives < TIMESTAMP '1997-01-01' THEN 1 WHEN arrives < TIMESTAMP '1999-01-01' THEN 2 ELSE 3 END AS run FROM e),
+        w AS (SELECT n.run, coalesce(max(r.ts) - INTERVAL 30 DAY, TIMESTAMP '0001-01-01') AS mark FROM (SELECT unnest([1, 2, 3, 4]) AS run) n LEFT JOIN r ON r.run < n.run GROUP BY 1),
+        k AS (SELECT r.order_id, min(ts) FILTER (kind = 'created') + INTERVAL 30 MINUTE AS due, min(ts) FILTER (kind = 'paid') AS paid FROM r JOIN w USING (run) WHERE ts >= mark GROUP BY 1)
+        SELECT order_id, strftime(due, '%Y-%m-%d %H:%M') AS cancelled_at FROM k WHERE (paid IS NULL OR paid > due) AND due < (SELECT mark FROM w WHERE run = 4)""",
     "t05_ttl_idempotency": f"""WITH RECURSIVE {RUN}, u AS (SELECT user_id, created, min(id) AS id FROM run GROUP BY 1, 2),
         nxt AS (SELECT a.id, arg_min(b.id, b.created) AS later FROM u a JOIN u b ON a.user_id = b.user_id AND b.created > a.created + INTERVAL 900 SECOND GROUP BY 1),
         p(id) AS (SELECT arg_min(id, created) FROM u GROUP BY user_id UNION ALL SELECT nxt.later FROM p JOIN nxt USING (id)) SELECT id, id IN (SELECT id FROM p) AS processed FROM run""",

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import time
+import uuid
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
@@ -50,56 +52,187 @@ def daily(stream: DataFrame, ts: str, late: str = "1 day") -> DataFrame:
     return stream.withWatermark(ts, late).groupBy(F.window(ts, "1 day").alias("w")).agg(F.count("*").alias("total"), F.count(F.when(F.col("status") == "failed", 1)).alias("failed")).select(F.date_format("w.start", "yyyy-MM-dd").alias("day"), "total", "failed")
 
 
-def patrol(reviews: DataFrame, analyse: Callable[[DataFrame], DataFrame], out: str, checkpoint: str, keys: list[str], interval: str | None = None) -> StreamingQuery:
+class SeenKeys:
+    """Keys that are done, in buckets by hash. A batch reads and rewrites only the buckets of its own keys, each one file
+    set of its newest version, so the files that it reads don't grow in number with what came before.
+
+    A version is committed by its pointer table, one row a bucket; one that was written but not committed is written anew.
+    """
+
+    def __init__(self, spark: SparkSession, root: str, keys: list[str], buckets: int = 256) -> None:
+        self.spark, self.root, self.keys, self.buckets = spark, root.rstrip("/"), keys, buckets
+
+    def _exists(self, path: str) -> bool:
+        at = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+        return at.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(at)
+
+    def _versions(self) -> list[int]:
+        at = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.root}/pointers")
+        fs = at.getFileSystem(self.spark._jsc.hadoopConfiguration())
+        names = [s.getPath().getName() for s in fs.listStatus(at)] if fs.exists(at) else []
+        return sorted(int(n) for n in names if self._exists(f"{self.root}/pointers/{n}/_SUCCESS"))
+
+    def pointers(self, before: int | None = None) -> dict[int, int]:
+        """Newest version of each bucket, at most one row a bucket."""
+        there = [v for v in self._versions() if before is None or v < before]
+        return {r.bucket: r.version for r in self.spark.read.parquet(f"{self.root}/pointers/{there[-1]}").collect()} if there else {}
+
+    def bucketed(self, df: DataFrame) -> DataFrame:
+        return df.withColumn("bucket", F.pmod(F.xxhash64(*self.keys), F.lit(self.buckets)).cast("int"))
+
+    def files_for(self, rows: DataFrame, before: int | None = None) -> tuple[list[int], list[str]]:
+        """The buckets of the rows' keys, at most `buckets`, and the folders that hold them."""
+        wanted = sorted(r.bucket for r in self.bucketed(rows).select("bucket").distinct().collect())
+        known = self.pointers(before)
+        return wanted, [f"{self.root}/keys/{known[b]}/bucket={b}" for b in wanted if b in known]
+
+    def unseen(self, rows: DataFrame, before: int | None = None) -> DataFrame:
+        """The rows whose keys no version before the given one holds."""
+        _, paths = self.files_for(rows, before)
+        if not paths:
+            return rows
+        return rows.join(self.spark.read.parquet(*paths).select(*self.keys), self.keys, "left_anti")
+
+    def add(self, rows: DataFrame, version: int) -> None:
+        """Adds the rows' keys as a version; adding a version again replaces it."""
+        wanted, paths = self.files_for(rows, version)
+        held = self.bucketed(rows.select(*self.keys).distinct())
+        if paths:
+            held = held.unionByName(self.bucketed(self.spark.read.parquet(*paths).select(*self.keys)))
+        held.repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(f"{self.root}/keys/{version}")
+        now = self.pointers(version) | dict.fromkeys(wanted, version)
+        self.spark.createDataFrame(sorted(now.items()), "bucket int, version long").coalesce(1).write.mode("overwrite").parquet(f"{self.root}/pointers/{version}")
+
+
+def patrol(reviews: DataFrame, analyse: Callable[[DataFrame], DataFrame], out: str, checkpoint: str, keys: list[str], interval: str | None = None, buckets: int = 64) -> StreamingQuery:
     """Micro-batches of reviews, each analysed once however often it arrives. Runs at an interval, or once over what is
-    there. A batch that is run again writes the same rows to the same folder; what earlier batches have analysed is read
-    from the sink, so no state grows with the stream."""
+    there. A batch that is run again writes the same rows to the same folder; of what earlier batches have analysed it
+    reads the buckets of its own keys, so no state grows with the stream."""
 
     def write(batch: DataFrame, epoch: int) -> None:
-        fresh = batch.dropDuplicates(keys)
-        spark = batch.sparkSession
-        root = spark._jvm.org.apache.hadoop.fs.Path(f"{out}-seen")
-        if root.getFileSystem(spark._jsc.hadoopConfiguration()).exists(root):
-            seen = spark.read.parquet(f"{out}-seen").where(F.col("batch") < epoch)
-            fresh = fresh.join(seen.select(keys), keys, "left_anti")
-        fresh.select(keys).write.mode("overwrite").parquet(f"{out}-seen/batch={epoch}")
-        mine = spark.read.schema(fresh.select(keys).schema).parquet(f"{out}-seen/batch={epoch}")
-        analyse(batch.dropDuplicates(keys).join(mine, keys, "left_semi")).write.mode("overwrite").parquet(f"{out}/batch={epoch}")
+        seen = SeenKeys(batch.sparkSession, f"{out}-seen", keys, buckets)
+        fresh = seen.unseen(batch.dropDuplicates(keys), epoch)
+        mine = f"{out}-batch/{epoch}"
+        fresh.write.mode("overwrite").parquet(mine)
+        fresh = batch.sparkSession.read.schema(batch.schema).parquet(mine)
+        analyse(fresh).write.mode("overwrite").parquet(f"{out}/batch={epoch}")
+        seen.add(fresh, epoch)
 
     writer = reviews.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
     return (writer.trigger(processingTime=interval) if interval else writer.trigger(availableNow=True)).start()
 
 
-def unpaid_timeouts(events: DataFrame, minutes: int) -> DataFrame:
-    """(order_id, kind created or paid, ts) -> order_id and when it was cancelled: minutes after creation unless paid by
-    then. State is one timestamp per open order and goes with the order; events of one batch may come in any order."""
+class Lease:
+    """A file that one runner holds at a time. Creating it is atomic in the file system; one that is older than `seconds` is
+    moved away, which also only one runner can do."""
+
+    def __init__(self, spark: SparkSession, path: str, seconds: int = 3600) -> None:
+        self._path, self._fs_path, self.seconds = path, spark._jvm.org.apache.hadoop.fs.Path, seconds
+        self._fs = self._fs_path(path).getFileSystem(spark._jsc.hadoopConfiguration())
+
+    def take(self) -> bool:
+        at = self._fs_path(self._path)
+        if self._fs.exists(at):
+            age = time.time() - self._fs.getFileStatus(at).getModificationTime() / 1000
+            if age <= self.seconds or not self._fs.rename(at, self._fs_path(f"{self._path}-{uuid.uuid4().hex}")):
+                return False
+        return bool(self._fs.createNewFile(at))
+
+    def give_back(self) -> None:
+        self._fs.delete(self._fs_path(self._path), False)
+
+
+class PatrolTicks:
+    """The polled form: each tick admits at most `rows` pending reviews, oldest first, analyses those not seen before and
+    logs what it did. Only one runner ticks at a time; a second one is told that the first is running.
+
+    `order` are columns in which reviews arrive, their last one unique; where the last tick stopped is pushed down to the
+    scan. A tick that failed before its log was written is done again with the same rows.
+    """
+
+    def __init__(self, spark: SparkSession, root: str, keys: list[str], order: list[str], rows: int = 20, lease_seconds: int = 3600, buckets: int = 256) -> None:
+        self.spark, self.root, self.keys, self.order, self.rows = spark, root.rstrip("/"), keys, order, rows
+        self.seen, self.lease = SeenKeys(spark, f"{self.root}/seen", keys, buckets), Lease(spark, f"{self.root}/lease", lease_seconds)
+
+    def _last(self) -> dict:
+        """Number of the last finished tick and where it stopped."""
+        n = 0
+        while self.seen._exists(f"{self.root}/log/tick={n + 1}/_SUCCESS"):
+            n += 1
+        return {"tick": n} | (self.spark.read.parquet(f"{self.root}/log/tick={n}").first().asDict() if n else {})
+
+    def pending(self, reviews: DataFrame, last: dict) -> DataFrame:
+        if "stopped_at" not in last:
+            return reviews
+        past = F.lit(False)
+        for c in reversed(self.order):
+            at = F.lit(last["stopped_at"][c])
+            past = (F.col(c) > at) | ((F.col(c) == at) & past)
+        return reviews.where(F.col(self.order[0]) >= F.lit(last["stopped_at"][self.order[0]])).where(past)
+
+    def tick(self, reviews: DataFrame, analyse: Callable[[DataFrame], DataFrame], high_risk: Column | None = None) -> dict:
+        """status (success, idle, running), tick, scanned, fresh, high_risk."""
+        if not self.lease.take():
+            return {"status": "running"}
+        try:
+            last = self._last()
+            n = last["tick"] + 1
+            admitted = f"{self.root}/admitted/tick={n}"
+            self.pending(reviews, last).orderBy(*self.order).limit(self.rows).write.mode("overwrite").parquet(admitted)
+            rows = self.spark.read.schema(reviews.schema).parquet(admitted)
+            stop = rows.agg(F.count("*").alias("n"), F.max(F.struct(*self.order)).alias("at")).first()
+            if not stop.n:
+                return {"status": "idle", "tick": last["tick"]}
+            fresh = self.seen.unseen(rows.dropDuplicates(self.keys), n)
+            made = f"{self.root}/out/tick={n}"
+            analyse(fresh).write.mode("overwrite").parquet(made)
+            high = self.spark.read.parquet(made).where(F.lit(False) if high_risk is None else high_risk).count()
+            counts = {"status": "success", "scanned": stop.n, "fresh": fresh.count(), "high_risk": high}
+            self.seen.add(rows, n)
+            log = rows.agg(F.max(F.struct(*self.order)).alias("stopped_at"), *(F.lit(v).alias(k) for k, v in counts.items()))
+            log.coalesce(1).write.mode("overwrite").parquet(f"{self.root}/log/tick={n}")
+            return counts | {"tick": n}
+        finally:
+            self.lease.give_back()
+
+    def results(self) -> DataFrame:
+        return self.spark.read.parquet(f"{self.root}/out")
+
+
+def unpaid_timeouts(events: DataFrame, minutes: int, late: str = "0 seconds") -> DataFrame:
+    """(order_id, kind created or paid, ts) -> order_id and when it was cancelled: `minutes` after creation unless it was
+    paid by then, once the watermark, which stays `late` behind the newest event, has passed that time.
+
+    Both kinds of event have state: creation and payment may come in any order and in different batches, and repeats
+    change nothing. State is two times per order and goes when the order is decided; a payment without its order goes
+    `minutes` after it, as an order that comes later than that is another one's. Events behind the watermark are dropped.
+    """
 
     def handle(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        gone = lambda due: pd.DataFrame({"order_id": [key[0]], "cancelled_at": [pd.Timestamp(due, unit="ms")]})
+        due, paid = state.get if state.exists else (None, None)
         if state.hasTimedOut:
-            (due,) = state.get
             state.remove()
-            yield gone(due)
+            if due is not None and (paid is None or paid > due):
+                yield pd.DataFrame({"order_id": [key[0]], "cancelled_at": [pd.Timestamp(due, unit="ms")]})
             return
-        due, paid = state.get[0] if state.exists else None, None
         for b in batches:
-            for kind, at in sorted(zip(b["kind"].to_numpy(), b["ts"].to_numpy().astype("datetime64[ms]").astype("int64").tolist(), strict=True)):
+            for kind, at in zip(b["kind"].to_numpy(), b["ts"].to_numpy().astype("datetime64[ms]").astype("int64").tolist(), strict=True):
                 if kind == "paid":
                     paid = at if paid is None else min(paid, at)
-                elif due is None:
-                    due = at + minutes * 60_000
-        if due is None:
-            return
-        if paid is not None:
-            if state.exists:
-                state.remove()
-            if paid > due:
-                yield gone(due)
-            return
-        state.update((due,))
-        state.setTimeoutTimestamp(max(due, state.getCurrentWatermarkMs() + 1))
+                else:
+                    due = at + minutes * 60_000 if due is None else min(due, at + minutes * 60_000)
+        state.update((due, paid))
+        ends = paid + minutes * 60_000 if due is None else due
+        state.setTimeoutTimestamp(max(ends, state.getCurrentWatermarkMs() + 1))
+
+    return events.withWatermark("ts", late).groupBy("order_id").applyInPandasWithState(handle, "order_id long, cancelled_at timestamp", "due long, paid long", "append", GroupStateTimeout.EventTimeTimeout)
 
-    return events.withWatermark("ts", "0 seconds").groupBy("order_id").applyInPandasWithState(handle, "order_id long, cancelled_at timestamp", "due long", "append", GroupStateTimeout.EventTimeTimeout)
+
+def run_into(df: DataFrame, path: str, checkpoint: str) -> DataFrame:
+    """Runs a stream over what is there into Parquet files, from where it stopped the last time, and reads them."""
+    query = df.writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint).outputMode("append").trigger(availableNow=True).start()
+    query.awaitTermination()
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def run_to_end(df: DataFrame, name: str, checkpoint: str, mode: str = "append") -> DataFrame:

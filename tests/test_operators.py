@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import time
 from datetime import datetime, timedelta
 
 import pytest
@@ -234,14 +235,52 @@ def test_patrol_runs_twice_with_the_same_result(spark, tmp_path):
     assert sorted(r.id for r in spark.read.parquet(f"file://{tmp_path}/out").collect()) == [1, 2]
 
 
-def test_unpaid_orders_time_out(spark, tmp_path):
+def ticked(spark, tmp_path, batches, late):
+    """What the timers say after one-file batches of (order, kind, minute)."""
     at = datetime.fromisoformat("2024-01-01 00:00:00")
-    rows = [(1, "created", at), (2, "created", at), (2, "paid", at + timedelta(minutes=5)), (3, "created", at + timedelta(hours=9))]
-    spark.createDataFrame(rows[:3], "order_id long, kind string, ts timestamp").coalesce(1).write.parquet(f"file://{tmp_path}/in/a")
-    spark.createDataFrame(rows[3:], "order_id long, kind string, ts timestamp").coalesce(1).write.parquet(f"file://{tmp_path}/in/b")
-    stream = spark.readStream.schema("order_id long, kind string, ts timestamp").option("maxFilesPerTrigger", 1).option("recursiveFileLookup", "true").parquet(f"file://{tmp_path}/in")
-    out = patrol.run_to_end(patrol.unpaid_timeouts(stream, 30), "timeouts", f"file://{tmp_path}/state")
-    assert [r.order_id for r in out.collect()] == [1]
+    schema = "order_id long, kind string, ts timestamp"
+    for rows in batches:
+        spark.createDataFrame([(i, kind, at + timedelta(minutes=m)) for i, kind, m in rows], schema).coalesce(1).write.mode("append").parquet(f"file://{tmp_path}/in")
+        time.sleep(1.1)  # files are taken by their times
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"file://{tmp_path}/in")
+    out = patrol.run_into(patrol.unpaid_timeouts(stream, 30, late), f"file://{tmp_path}/out", f"file://{tmp_path}/state")
+    return sorted((r.order_id, r.cancelled_at.hour * 60 + r.cancelled_at.minute) for r in out.collect())
+
+
+def test_unpaid_orders_time_out(spark, tmp_path):
+    batches = [
+        [(1, "paid", 5), (2, "created", 0), (7, "paid", 50)],  # order 1 is paid before its creation is heard of
+        [(1, "created", 0), (2, "created", 0), (3, "created", 10), (4, "created", 0), (7, "created", 15), (9, "created", 20)],
+        [(4, "paid", 29), (9, "paid", 60), (5, "created", 300)],
+        [(6, "created", 400), (6, "paid", 401)],
+        [(3, "paid", 12)],  # its order was cancelled in the batch before
+    ]
+    assert ticked(spark, tmp_path, batches, "60 minutes") == [(2, 30), (3, 40), (5, 330), (7, 45), (9, 50)]
+
+
+def test_ticks_admit_so_many_rows_once_and_one_at_a_time(spark, tmp_path):
+    rows = spark.createDataFrame([(i, i % 45) for i in range(70)], "id long, k int")
+    ticks = patrol.PatrolTicks(spark, f"file://{tmp_path}/p", ["k"], ["id"], 20)
+    said, files = [], []
+    while (told := ticks.tick(rows, lambda df: df.select("id", "k"), F.col("k") > 40))["status"] == "success":
+        said.append((told["tick"], told["scanned"], told["fresh"], told["high_risk"]))
+        files.append(len(ticks.seen.files_for(rows.where("id < 20"))[1]))
+    assert said == [(1, 20, 20, 0), (2, 20, 20, 0), (3, 20, 5, 4), (4, 10, 0, 0)]
+    assert told["status"] == "idle" and sorted(r.id for r in ticks.results().collect()) == list(range(45))
+    assert len(set(files)) == 1 and files[0] <= 20
+    assert ticks.lease.take()
+    assert patrol.PatrolTicks(spark, f"file://{tmp_path}/p", ["k"], ["id"], 20).tick(rows, lambda df: df) == {"status": "running"}
+    old = patrol.Lease(spark, f"file://{tmp_path}/p/lease", -1)
+    assert old.take() and not ticks.lease.take()
+
+
+def test_seen_keys_of_a_repeated_version(spark, tmp_path):
+    seen = patrol.SeenKeys(spark, f"file://{tmp_path}/s", ["k"], 4)
+    seen.add(spark.range(10).select(F.col("id").alias("k")), 1)
+    for _ in range(2):
+        seen.add(spark.range(5, 15).select(F.col("id").alias("k")), 2)
+    assert seen.unseen(spark.range(20).select(F.col("id").alias("k"))).count() == 5
+    assert seen.unseen(spark.range(20).select(F.col("id").alias("k")), 2).count() == 10
 
 
 def test_guard_of_the_optional_part():
