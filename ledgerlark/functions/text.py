@@ -11,6 +11,9 @@ from pyspark.sql.types import StringType
 
 #: One CJK character, or a run of word characters.
 WORD_OR_CJK = r"[\x{4e00}-\x{9fff}]|[A-Za-z0-9_]+"
+#: The characters that count as space, and what ends a line.
+SPACES = "\t\n\v\f\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+LINE_END = "\r\n|[\n\v\f\r\x1c\x1d\x1e\x85\u2028\u2029]"
 #: Patterns replaced in this order; each works on what the ones before have left.
 PII = (
     r"1[3-9]\d{9}",
@@ -79,7 +82,7 @@ def tokens(text: Column) -> Column:
 
 def chunk_tokens(text: Column) -> Column:
     """Tokens with every other symbol that isn't a space as one of its own; case is kept."""
-    return F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(WORD_OR_CJK + r"|[^\s]"), F.lit(0))
+    return F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(f"{WORD_OR_CJK}|[^{SPACES}]"), F.lit(0))
 
 
 def char_grams(text: Column, sizes: tuple[int, ...] = (1, 2, 3)) -> Column:

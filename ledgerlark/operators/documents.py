@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ledgerlark.functions.text import chunk_tokens, content_id
+from ledgerlark.functions.text import LINE_END, SPACES, chunk_tokens, content_id
 
 
 def chunks(docs: DataFrame, size: int = 220, overlap: int = 48, joiner: str = "") -> DataFrame:
@@ -20,6 +20,47 @@ def chunks(docs: DataFrame, size: int = 220, overlap: int = 48, joiner: str = ""
     return out.withColumn("chunk_id", content_id(F.col("id").cast("string"), F.col("nth").cast("string"), F.col("content")))
 
 
+def sectioned(docs: DataFrame) -> DataFrame:
+    """(id, version, text) -> id, version, sections: array of (heading, lines). A line that starts with # after spaces opens a
+    section under its own words, or "root" where it has none; lines before the first heading are under "root" too. A heading
+    without lines gives no section; a text of which nothing is left (empty, null, headings only) is one section, whole.
+    The work stays in the row: headings are positions in the array of lines, sections the slices between two of them."""
+    text = F.coalesce("text", F.lit(""))
+    lines = docs.select("id", "version", text.alias("_text"), F.split(F.regexp_replace(text, LINE_END, "\n"), "\n").alias("_l"))
+    lines = lines.withColumn("_l", F.when(F.element_at("_l", -1) == "", F.slice("_l", 1, F.size("_l") - 1)).otherwise(F.col("_l")))
+    opens = F.transform("_l", lambda line, i: F.when(F.startswith(F.ltrim(line, F.lit(SPACES)), F.lit("#")), i))
+    marked = lines.withColumn("_h", F.filter(opens, lambda i: i.isNotNull()))
+    words = lambda i: F.btrim(F.btrim(F.get("_l", i), F.lit("# ")), F.lit(SPACES))  # noqa: E731  null before the first heading
+    between = F.zip_with(
+        F.concat(F.array(F.lit(-1)), "_h"), F.concat("_h", F.array(F.size("_l"))),
+        lambda a, b: F.struct(F.coalesce(F.nullif(words(a), F.lit("")), F.lit("root")).alias("heading"), F.slice("_l", a + 2, b - a - 1).alias("lines")),
+    )
+    kept = marked.withColumn("_s", F.filter(between, lambda s: F.size(s["lines"]) > 0))
+    whole = F.array(F.struct(F.lit("root").alias("heading"), F.array("_text").alias("lines")))
+    return kept.select("id", "version", F.when(F.size("_s") > 0, F.col("_s")).otherwise(whole).alias("sections"))
+
+
+def hierarchical_chunks(docs: DataFrame, parent: int = 700, child: int = 220, overlap: int = 48, joiner: str = "") -> DataFrame:
+    """(id, version, text) -> id, nth, heading, n_tokens, content, parent_id, parent_content, chunk_id: sections are cut into
+    parents of so many tokens, parents into children that overlap; neither crosses a heading. nth runs through the document;
+    a parent's id hashes its text and the nth of its first child, a child's id its own nth and the hash of its text. A
+    section without tokens is one empty child of one empty parent. Rows don't shuffle."""
+    if child <= overlap:
+        raise ValueError("a child must be longer than the overlap")
+    starts = lambda t, step: F.sequence(F.lit(0), F.greatest(F.size(t) - 1, F.lit(0)), F.lit(step))
+    windows = lambda t, size, step: F.transform(starts(t, step), lambda i: F.slice(t, i + 1, F.lit(size)))
+    tokens = F.transform("sections", lambda s: F.struct(s["heading"].alias("heading"), chunk_tokens(F.array_join(s["lines"], "\n")).alias("tokens")))
+    parents = F.flatten(F.transform(tokens, lambda s: F.transform(windows(s["tokens"], parent, parent), lambda w: F.struct(s["heading"].alias("heading"), F.array_join(w, joiner).alias("text"), w.alias("tokens")))))
+    children = F.flatten(F.transform(parents, lambda p: F.transform(windows(p["tokens"], child, child - overlap), lambda w, i: F.struct(p["heading"].alias("heading"), p["text"].alias("text"), i.alias("i"), F.size(w).alias("n"), F.array_join(w, joiner).alias("content")))))
+    out = sectioned(docs).select("id", "version", F.posexplode(children).alias("nth", "_c"))
+    digest = lambda *parts: F.substring(F.sha2(F.concat_ws(":", "id", "version", *parts), 256), 1, 24)
+    return out.select(
+        "id", "nth", F.col("_c.heading").alias("heading"), F.col("_c.n").alias("n_tokens"), F.col("_c.content").alias("content"),
+        digest(F.lit("parent"), F.col("nth") - F.col("_c.i"), F.col("_c.text")).alias("parent_id"), F.col("_c.text").alias("parent_content"),
+        digest(F.col("nth"), F.sha2("_c.content", 256)).alias("chunk_id"),
+    )
+
+
 def verify_evidence(claims: DataFrame, texts: DataFrame) -> DataFrame:
     """claims (id, evidence array, level), texts (id, text, trusted) -> verified and rejected pieces, coverage, codes and
     whether a review is needed. Without evidence coverage is 0, which asks for a review."""

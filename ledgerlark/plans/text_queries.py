@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ledgerlark.functions import text as T
+from ledgerlark.functions.text import LINE_END, SPACES, WORD_OR_CJK
 from ledgerlark.operators import documents as D
 from ledgerlark.operators import retrieval as R
 from ledgerlark.operators import scoring as S
@@ -34,6 +35,22 @@ def _docs(s, d):  # noqa: ANN001, ANN202
     return table(s, d, "documents").select(F.col("doc_id").alias("id"), "text", "source", "lang")
 
 
+def _headed(s, d):  # noqa: ANN001, ANN202
+    """Documents whose short lines are headings."""
+    lines = F.transform(F.split("text", "\n"), lambda x: F.when(F.length(x).between(1, 80), F.concat(F.lit("## "), x)).otherwise(x))
+    return table(s, d, "documents").select(F.col("doc_id").alias("id"), F.lit("1.0").alias("version"), F.array_join(lines, "\n").alias("text"))
+
+
+HEADED = f"""headed AS (SELECT doc_id AS id, coalesce(array_to_string(list_transform(string_split(text, chr(10)), lambda x: CASE WHEN length(x) BETWEEN 1 AND 80 THEN '## ' || x ELSE x END), chr(10)), '') AS text FROM documents),
+    cut AS (SELECT id, string_split(regexp_replace(text, '{LINE_END}', chr(10), 'g'), chr(10)) AS a FROM headed), line AS (SELECT id, len(a) AS last, unnest(a) AS line, generate_subscripts(a, 1) AS n FROM cut),
+    head AS (SELECT *, starts_with(ltrim(line, '{SPACES}'), '#') AS head FROM line WHERE n < last OR line <> ''), run AS (SELECT *, sum(CAST(head AS INTEGER)) OVER (PARTITION BY id ORDER BY n) AS sec FROM head),
+    sec AS (SELECT id, sec, coalesce(nullif(trim(trim(max(line) FILTER (head), '# '), '{SPACES}'), ''), 'root') AS heading, string_agg(line, chr(10) ORDER BY n) FILTER (NOT head) AS body FROM run GROUP BY 1, 2 HAVING count(*) FILTER (NOT head) > 0),
+    tok AS (SELECT id, sec, heading, regexp_extract_all(body, '{WORD_OR_CJK}|[^{SPACES}]') AS t FROM (FROM sec UNION ALL SELECT id, 0, 'root', text FROM headed ANTI JOIN sec USING (id))),
+    par AS (SELECT id, sec, heading, s, t[s + 1 : s + 700] AS t FROM (SELECT *, unnest(range(0, greatest(len(t), 1), 700)) AS s FROM tok)),
+    kid AS (SELECT id, sec, heading, s, o, t, t[o + 1 : o + 220] AS x FROM (SELECT *, unnest(range(0, greatest(len(t), 1), 172)) AS o FROM par)),
+    kids AS (SELECT id, CAST(row_number() OVER (PARTITION BY id ORDER BY sec, s, o) - 1 AS INTEGER) AS nth, heading, o // 172 AS i, CAST(len(x) AS INTEGER) AS n_tokens, coalesce(array_to_string(x, ''), '') AS content, coalesce(array_to_string(t, ''), '') AS parent_content FROM kid)"""
+
+
 def _items(s, d):  # noqa: ANN001, ANN202
     return table(s, d, "benchmark").select(F.col("item_id").alias("query_id"), "text")
 
@@ -241,6 +258,7 @@ QUERIES = {
     "l08_rerank_order": lambda s, d: R.local_rerank(_trusted(s, d), _items(s, d), True),
     "r16_rule_rerank": lambda s, d: analyses(s, d).select("id", R.rule_rerank(F.size(S.hits(F.col("text"), POSITIVE)) / 4.0, F.col("rating") == 1, F.coalesce(F.col("label") == "negative", F.lit(False)), F.col("lang") == "en", F.size(S.hits(F.col("text"), NEGATIVE)), F.col("id") % 5 == 0).alias("score")),
     "r19_chunks": lambda s, d: D.chunks(_docs(s, d)),
+    "r19_hierarchy": lambda s, d: D.hierarchical_chunks(_headed(s, d)),
     "r22_evidence": lambda s, d: D.verify_evidence(_claims(s, d), _docs(s, d).select("id", F.when(F.col("id") % 13 > 0, F.col("text")).alias("text"), (F.col("id") % 2 == 0).alias("trusted"))),
     "r24_extract": lambda s, d: _wrapped(s, d).select("id", *(c.alias(n) for c, n in zip(D.extract_json(F.col("output")), ("json", "steps"), strict=True))),
     "r25_normalise": lambda s, d: _wrapped(s, d).select("id", D.extract_json(F.col("output"))[0].alias("json")).select("id", *(c.alias(n) for n, c in D.normalise_decision(F.col("json")).items())),
@@ -339,6 +357,8 @@ ORACLE_SQL = {
     "r19_chunks": r"""WITH t AS (SELECT doc_id AS id, regexp_extract_all(text, '[\x{4e00}-\x{9fff}]|[A-Za-z0-9_]+|[^\s]') AS t FROM documents), w AS (SELECT id, t, unnest(range(0, greatest(len(t), 1), 172)) AS s FROM t),
         c AS (SELECT id, CAST(s // 172 AS INTEGER) AS nth, t[s + 1 : s + 220] AS x FROM w)
         SELECT id, nth, CAST(len(x) AS INTEGER) AS n_tokens, coalesce(array_to_string(x, ''), '') AS content, substr(sha256(concat_ws('|', id, nth, coalesce(array_to_string(x, ''), ''))), 1, 24) AS chunk_id FROM c""",
+    "r19_hierarchy": f"""WITH {HEADED} SELECT id, nth, heading, n_tokens, content, parent_content, substr(sha256(concat_ws(':', id, '1.0', 'parent', nth - i, parent_content)), 1, 24) AS parent_id,
+        substr(sha256(concat_ws(':', id, '1.0', nth, sha256(content))), 1, 24) AS chunk_id FROM kids""",
     "r22_evidence": """WITH c AS (SELECT doc_id AS id, doc_id % 13 > 0 AS there, doc_id % 2 = 0 AS trusted, doc_id % 3 = 0 AS high, 2 + CAST(contains(text, 'not in there') AS INTEGER) AS v FROM documents),
         r AS (SELECT id, CASE WHEN there THEN v ELSE 0 END AS v, there, trusted, high FROM c),
         x AS (SELECT *, concat_ws(',', CASE WHEN NOT there THEN 'EMPTY_RETRIEVAL' END, CASE WHEN v < 3 THEN 'EVIDENCE_NOT_FOUND' END, CASE WHEN high AND NOT trusted THEN 'LOW_TRUST_HIGH_RISK' END) AS codes, CASE WHEN there THEN round(v / 3, 6) ELSE 0.0 END AS coverage FROM r)

@@ -129,6 +129,49 @@ def test_chunks_cover_all_tokens_and_keep_an_empty_text(spark):
     assert [(r.id, r.nth, r.n_tokens) for r in got] == [(1, 0, 220), (1, 1, 220), (1, 2, 156), (2, 0, 0), (3, 0, 0)]
 
 
+def hierarchy(key, version, text):
+    """The chunks of one text by a loop over its lines: (nth, heading, tokens, text, parent's id, id)."""
+    import hashlib
+    import re
+
+    digest = lambda *parts: hashlib.sha256(":".join(map(str, parts)).encode()).hexdigest()
+    found, heading, held = [], "root", []
+    for line in [*text.splitlines(), None]:
+        if line is not None and not line.strip().startswith("#"):
+            held.append(line)
+            continue
+        if held:
+            found.append((heading, "\n".join(held)))
+        if line is not None:
+            heading, held = line.strip("# ").strip() or "root", []
+    out = []
+    for heading, body in found or [("root", text)]:
+        tokens = re.findall(r"[\u4e00-\u9fff]|[A-Za-z0-9_]+|\S", body)
+        for a in range(0, max(len(tokens), 1), 700):
+            own = tokens[a : a + 700]
+            parent = digest(key, version, "parent", len(out), "".join(own))[:24]
+            for b in range(0, max(len(own), 1), 172):
+                piece = own[b : b + 220]
+                out.append((len(out), heading, len(piece), "".join(piece), parent, digest(key, version, len(out), digest("".join(piece)))[:24]))
+    return out
+
+
+def test_hierarchical_chunks_equal_a_loop_over_lines(spark):
+    import random
+
+    rng = random.Random(4)
+    pieces = ["# ", "##", "\t# tab", "\u3000# wide", "word ", "评论", "!", " ", "\u00a0", "\n", "\r\n", "\r", "\u2028", "\x85", "\x1c", "\x1f", "\n\n", "\n# A #\n", "é", "𝄞", "_x9", "\u200b"]
+    texts = ["", "\n", "# only\n## headings", "no heading at all", "#", " # a\nb", "a\n#\nb", "x " * 1500 + "\n# long\n" + "y " * 701 + "\n# end\n\n", None]
+    texts += ["".join(rng.choice(pieces) for _ in range(rng.randrange(60))) for _ in range(300)]
+    docs = spark.createDataFrame([(i, "2.1", t) for i, t in enumerate(texts)], "id long, version string, text string")
+    got = {}
+    for r in D.hierarchical_chunks(docs).orderBy("id", "nth").collect():
+        got.setdefault(r.id, []).append((r.nth, r.heading, r.n_tokens, r.content, r.parent_id, r.chunk_id))
+    assert got == {i: hierarchy(i, "2.1", t or "") for i, t in enumerate(texts)}
+    with pytest.raises(ValueError):
+        D.hierarchical_chunks(docs, child=48, overlap=48)
+
+
 def test_json_extraction(spark):
     text = "﻿<think>{no}</think>```json\n{\"risk_type\": \"NORMAL_REVIEW\", \"risk_level\": \"Low\", \"need_human_review\": \"false\", \"route_reason\": \"ok\",}\n```"
     df = spark.createDataFrame([(text,), ("no object",), ('{"risk_level": "low"}',)], "t string")
