@@ -8,7 +8,8 @@ import uuid
 from pyspark.sql import functions as F
 
 from ledgerlark.operators import scoring as S
-from ledgerlark.plans.views import ANA, RUN, runs
+from ledgerlark.operators import stock as stock_moves
+from ledgerlark.plans.views import ANA, LIN, RUN, lines, runs
 from ledgerlark.session import table
 from ledgerlark.sources import writers
 from ledgerlark.streaming import patrol
@@ -113,6 +114,14 @@ def index_roundtrip(s, d):  # noqa: ANN001, ANN202
     return index.load()
 
 
+def stock_guard(s, d):  # noqa: ANN001, ANN201
+    """Every order line takes its pieces on the day of shipping, or brings them back where it was returned."""
+    stock = table(s, d, "part").select(F.col("p_partkey").alias("goods_id"), (F.col("p_size") * 8).alias("number"))
+    delta = F.when(F.col("flag") == "R", F.col("number")).otherwise(-F.col("number"))
+    moves = lines(s, d).select("goods_id", F.col("shipped").alias("at"), (F.col("order_id") * 10 + F.col("line_no")).alias("id"), delta.alias("delta"))
+    return stock_moves.allocate(stock, moves, f"{_folder(s)}/stock").select("goods_id", "id", "delta", "accepted", "stock_left")
+
+
 QUERIES = {
     "t01_patrol_stream": patrol_stream,
     "t01_patrol_ticks": patrol_ticks,
@@ -120,12 +129,17 @@ QUERIES = {
     "t05_ttl_idempotency": lambda s, d: patrol.first_in_ttl(runs(s, d).select("id", "user_id", "created"), "user_id", "created").select("id", "processed"),
     "t10_daily_window": daily_stream,
     "s03_violations": lambda s, d: writers.violations(table(s, d, "documents").select((F.col("doc_id") % 900).alias("id"), F.when(F.col("doc_id") % 50 == 0, " ").otherwise(F.col("source")).alias("source"), F.when(F.col("doc_id") % 70 == 0, None).otherwise(F.col("lang")).alias("lang")), ["source", "lang"], "id"),
+    "f20_stock_guard": stock_guard,
     "s06_ingest_errors": lambda s, d: table(s, d, "pages").select("page_id", F.array_join(writers.ingest_errors(F.concat(F.regexp_extract("url", r"[^?#]*", 0), F.element_at(F.array(*map(F.lit, FILES)), (F.col("page_id") % len(FILES) + 1).cast("int"))), F.octet_length("html") * F.when(F.col("page_id") % 11 == 0, 5000).otherwise(1)), ",").alias("errors")),
     "s08_index_rollback": index_roundtrip,
     "s17_schema_evolution": lambda s, d: writers.with_columns(table(s, d, "nation"), s.read.parquet(f"{d}/nation.parquet").schema.add("n_comment", "string")).where("n_comment is null").select("n_nationkey", "n_name", "n_comment"),
 }
 
 ORACLE_SQL = {
+    "f20_stock_guard": f"""WITH RECURSIVE {LIN}, m AS (SELECT goods_id, order_id * 10 + line_no AS id, CAST(CASE WHEN flag = 'R' THEN number ELSE -number END AS BIGINT) AS delta, row_number() OVER (PARTITION BY goods_id ORDER BY shipped, order_id * 10 + line_no) AS nth FROM lin),
+        f AS (SELECT p_partkey AS goods_id, CAST(0 AS BIGINT) AS nth, CAST(NULL AS BIGINT) AS id, CAST(NULL AS BIGINT) AS delta, CAST(p_size * 8 AS BIGINT) AS stock_left, true AS accepted FROM part
+            UNION ALL SELECT m.goods_id, m.nth, m.id, m.delta, CASE WHEN stock_left + m.delta >= 0 THEN stock_left + m.delta ELSE stock_left END, stock_left + m.delta >= 0 FROM f JOIN m ON m.goods_id = f.goods_id AND m.nth = f.nth + 1)
+        SELECT goods_id, id, delta, accepted, stock_left FROM f WHERE nth > 0""",
     "t01_patrol_stream": f"""WITH {ANA}, a AS (SELECT *, coalesce(label = 'negative', false) AS neg FROM ana)
         SELECT id AS analysis_id, 'negative_review' AS risk_type, 'high' AS risk_level, 'pending' AS status FROM a WHERE neg UNION ALL SELECT id, 'low_confidence', 'medium', 'pending' FROM a WHERE confidence < 0.6
         UNION ALL SELECT id, 'after_sales_risk', 'high', 'pending' FROM a WHERE negative_score >= 0.65 OR contains(text, 'clown') OR contains(text, 'hates') UNION ALL SELECT id, 'rating_conflict', 'medium', 'pending' FROM a WHERE rating <= 2 AND NOT neg""",

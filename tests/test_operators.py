@@ -172,6 +172,30 @@ def test_hierarchical_chunks_equal_a_loop_over_lines(spark):
         D.hierarchical_chunks(docs, child=48, overlap=48)
 
 
+def test_stock_is_served_in_order_and_in_pieces(spark, tmp_path):
+    import random
+
+    from ledgerlark.operators import stock
+
+    rng = random.Random(7)
+    moves = [(1 if rng.random() < 0.4 else rng.choice([2, 3, 4, 5, 99, None]), rng.randrange(300) or None, i, rng.choice([None, 0, 3, *range(-9, 0)])) for i in range(3000)]
+    held = {1: 400, 2: 0, 3: 5000, 4: 60, 5: -3}
+    want, left = {}, dict(held)
+    for goods, at, i, delta in sorted(moves, key=lambda m: (m[1] or -1, m[2])):
+        fits = goods in left and delta is not None and (delta >= 0 or left[goods] + delta >= 0)
+        if fits:
+            left[goods] += delta
+        want[i] = (fits, left.get(goods) if delta is not None else None)
+    table = spark.createDataFrame(moves, "goods_id long, at int, id long, delta int")
+    number = spark.createDataFrame([*held.items(), (4, 0)], "goods_id long, number long")
+    got = stock.allocate(number, table, str(tmp_path / "small"), block_rows=250)
+    assert {r.id: (r.accepted, r.stock_left) for r in got.collect()} == want and got.count() == 3000
+    assert len(list((tmp_path / "small" / "served").glob("turn=*"))) > 3  # the hot product's pieces
+    got = stock.allocate(number, table, str(tmp_path / "one"))
+    assert {r.id: (r.accepted, r.stock_left) for r in got.collect()} == want
+    assert stock.allocate(number, table.limit(0), str(tmp_path / "none")).count() == 0
+
+
 def test_json_extraction(spark):
     text = "﻿<think>{no}</think>```json\n{\"risk_type\": \"NORMAL_REVIEW\", \"risk_level\": \"Low\", \"need_human_review\": \"false\", \"route_reason\": \"ok\",}\n```"
     df = spark.createDataFrame([(text,), ("no object",), ('{"risk_level": "low"}',)], "t string")
