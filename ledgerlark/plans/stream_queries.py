@@ -9,9 +9,11 @@ from pyspark.sql import functions as F
 
 from ledgerlark.operators import scoring as S
 from ledgerlark.operators import stock as stock_moves
+from ledgerlark.plans.text_queries import SECTIONED
 from ledgerlark.plans.views import ANA, LIN, RUN, lines, runs
 from ledgerlark.session import table
 from ledgerlark.sources import writers
+from ledgerlark.sources.increments import DocumentIndex
 from ledgerlark.streaming import patrol
 
 
@@ -114,6 +116,47 @@ def index_roundtrip(s, d):  # noqa: ANN001, ANN202
     return index.load()
 
 
+def _updated_index(s, d):  # noqa: ANN001, ANN202
+    """All documents indexed, then updated with a set in which a quarter is revised, another has spaces at line ends only, some
+    hold a key, some are gone, and a fifth comes again under new ids."""
+    i = F.col("doc_id")
+    docs = table(s, d, "documents").select(i.alias("id"), F.when(i % 3 == 0, "v2").otherwise("9").alias("version"), "text")
+    text = F.when(F.col("id") % 4 == 1, F.concat("text", F.lit("\n# revised\nonce"))).when(F.col("id") % 4 == 2, F.concat(F.regexp_replace("text", "\n", " \n"), F.lit("\r\n"))).otherwise(F.col("text"))
+    kept = docs.where("id % 9 > 0").select("id", "version", F.concat(text, F.when(F.col("id") % 7 == 3, "\nAPI_KEY=x").otherwise("")).alias("text"))
+    index = DocumentIndex(s, f"{_folder(s)}/index")
+    index.update(docs)
+    index.update(kept.unionByName(docs.where("id % 5 = 0").withColumn("id", -1 - F.col("id"))))
+    return index
+
+
+def index_update(s, d):  # noqa: ANN001, ANN202
+    """Every document that the updated index holds or that the update was about."""
+    index = _updated_index(s, d)
+    both = index.documents().join(index.changes(), "id", "full")
+    return both.select("id", F.coalesce("change", F.lit("same")).alias("change"), F.array_join("errors", ",").alias("errors"), "version", "index_version", "n_chunks")
+
+
+def index_hash(s, d):  # noqa: ANN001, ANN202
+    """Counts and sums of the updated index, carried over from state to state."""
+    return _updated_index(s, d).summary()
+
+
+_NORMAL = r"regexp_replace(regexp_replace(regexp_replace({}, '\r\n?', chr(10), 'g'), '(?m)[ \t]+$', '', 'g'), '^\s+|\s+$', '', 'g')"
+#: The documents after the update: what is new, what stays from before, and what is about neither.
+UPDATED = f"""one AS (SELECT doc_id AS id, CASE WHEN doc_id % 3 = 0 THEN 'v2' ELSE '9' END AS version, coalesce(text, '') AS raw FROM documents),
+    two AS (SELECT id, version, raw || CASE WHEN id % 4 = 1 THEN chr(10) || '# revised' || chr(10) || 'once' ELSE '' END || CASE WHEN id % 7 = 3 THEN chr(10) || 'API_KEY=x' ELSE '' END AS raw FROM one WHERE id % 9 > 0 UNION ALL SELECT -1 - id, version, raw FROM one WHERE id % 5 = 0),
+    a AS (SELECT id, version, {_NORMAL.format('raw')} AS text FROM one), b AS (SELECT id, version, {_NORMAL.format('raw')} AS text FROM two),
+    judged AS (SELECT *, concat_ws(',', CASE WHEN contains(lower(text), 'ignore previous instructions') OR contains(lower(text), 'system prompt') THEN 'PROMPT_INJECTION_DETECTED' END, CASE WHEN contains(lower(text), 'api_key=') OR contains(lower(text), 'bearer ') THEN 'SECRET_LIKE_CONTENT_DETECTED' END) AS errors
+        FROM (SELECT id, version, text, 1 AS run FROM a UNION ALL SELECT id, version, text, 2 FROM b)),
+    old AS (SELECT id, version, text FROM judged WHERE run = 1 AND errors = ''), new AS (SELECT id, version, text, errors FROM judged WHERE run = 2),
+    mixed AS (SELECT coalesce(new.id, old.id) AS id, new.errors, CASE WHEN new.id IS NULL THEN 'gone' WHEN errors <> '' THEN 'blocked' WHEN old.id IS NULL THEN 'added' WHEN old.text = new.text THEN 'same' ELSE 'changed' END AS change,
+        old.version AS was, new.version AS now, old.text AS was_text, new.text AS now_text FROM new FULL JOIN old ON new.id = old.id),
+    held AS (SELECT id, change, errors, CASE change WHEN 'added' THEN now WHEN 'changed' THEN CASE was WHEN '9' THEN '10' ELSE was || '.1' END WHEN 'gone' THEN NULL ELSE was END AS version, CASE WHEN change IN ('added', 'changed') THEN now_text WHEN change <> 'gone' THEN was_text END AS text FROM mixed),
+    headed AS (SELECT id, text FROM held WHERE version IS NOT NULL), {SECTIONED},
+    ids AS (SELECT id, list(substr(sha256(concat_ws(':', id, version, nth, sha256(content))), 1, 24) ORDER BY nth) AS c FROM kids JOIN held USING (id) GROUP BY id),
+    indexed AS (SELECT held.*, CAST(len(c) AS BIGINT) AS n_chunks, substr(sha256('{{"chunks":["' || array_to_string(c, '","') || '"],"document_id":"' || held.id || '","version":"' || version || '"}}'), 1, 24) AS index_version FROM held LEFT JOIN ids USING (id))"""
+
+
 def stock_guard(s, d):  # noqa: ANN001, ANN201
     """Every order line takes its pieces on the day of shipping, or brings them back where it was returned."""
     stock = table(s, d, "part").select(F.col("p_partkey").alias("goods_id"), (F.col("p_size") * 8).alias("number"))
@@ -130,12 +173,18 @@ QUERIES = {
     "t10_daily_window": daily_stream,
     "s03_violations": lambda s, d: writers.violations(table(s, d, "documents").select((F.col("doc_id") % 900).alias("id"), F.when(F.col("doc_id") % 50 == 0, " ").otherwise(F.col("source")).alias("source"), F.when(F.col("doc_id") % 70 == 0, None).otherwise(F.col("lang")).alias("lang")), ["source", "lang"], "id"),
     "f20_stock_guard": stock_guard,
+    "r20_index_hash": index_hash,
+    "r21_update": index_update,
     "s06_ingest_errors": lambda s, d: table(s, d, "pages").select("page_id", F.array_join(writers.ingest_errors(F.concat(F.regexp_extract("url", r"[^?#]*", 0), F.element_at(F.array(*map(F.lit, FILES)), (F.col("page_id") % len(FILES) + 1).cast("int"))), F.octet_length("html") * F.when(F.col("page_id") % 11 == 0, 5000).otherwise(1)), ",").alias("errors")),
     "s08_index_rollback": index_roundtrip,
     "s17_schema_evolution": lambda s, d: writers.with_columns(table(s, d, "nation"), s.read.parquet(f"{d}/nation.parquet").schema.add("n_comment", "string")).where("n_comment is null").select("n_nationkey", "n_name", "n_comment"),
 }
 
 ORACLE_SQL = {
+    "r20_index_hash": f"""WITH {UPDATED}, x AS (SELECT n_chunks, sha256(concat_ws(':', id, version, index_version)) AS h FROM indexed WHERE version IS NOT NULL),
+        s AS (SELECT count(*) AS documents, CAST(sum(n_chunks) AS BIGINT) AS chunks, {', '.join(f"CAST(sum(CAST('0x' || substr(h, {1 + 15 * i}, 15) AS BIGINT)) AS VARCHAR) AS s{i}" for i in range(4))} FROM x)
+        SELECT documents, chunks, sha256(concat_ws(':', documents, s0, s1, s2, s3)) AS fingerprint FROM s""",
+    "r21_update": f"WITH {UPDATED} SELECT id, change, CASE WHEN change IN ('same', 'gone') THEN NULL ELSE errors END AS errors, version, index_version, n_chunks FROM indexed",
     "f20_stock_guard": f"""WITH RECURSIVE {LIN}, m AS (SELECT goods_id, order_id * 10 + line_no AS id, CAST(CASE WHEN flag = 'R' THEN number ELSE -number END AS BIGINT) AS delta, row_number() OVER (PARTITION BY goods_id ORDER BY shipped, order_id * 10 + line_no) AS nth FROM lin),
         f AS (SELECT p_partkey AS goods_id, CAST(0 AS BIGINT) AS nth, CAST(NULL AS BIGINT) AS id, CAST(NULL AS BIGINT) AS delta, CAST(p_size * 8 AS BIGINT) AS stock_left, true AS accepted FROM part
             UNION ALL SELECT m.goods_id, m.nth, m.id, m.delta, CASE WHEN stock_left + m.delta >= 0 THEN stock_left + m.delta ELSE stock_left END, stock_left + m.delta >= 0 FROM f JOIN m ON m.goods_id = f.goods_id AND m.nth = f.nth + 1)

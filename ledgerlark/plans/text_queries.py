@@ -41,14 +41,16 @@ def _headed(s, d):  # noqa: ANN001, ANN202
     return table(s, d, "documents").select(F.col("doc_id").alias("id"), F.lit("1.0").alias("version"), F.array_join(lines, "\n").alias("text"))
 
 
-HEADED = f"""headed AS (SELECT doc_id AS id, coalesce(array_to_string(list_transform(string_split(text, chr(10)), lambda x: CASE WHEN length(x) BETWEEN 1 AND 80 THEN '## ' || x ELSE x END), chr(10)), '') AS text FROM documents),
-    cut AS (SELECT id, string_split(regexp_replace(text, '{LINE_END}', chr(10), 'g'), chr(10)) AS a FROM headed), line AS (SELECT id, len(a) AS last, unnest(a) AS line, generate_subscripts(a, 1) AS n FROM cut),
+#: What cuts the rows (id, text) of headed into the rows of kids.
+SECTIONED = f"""cut AS (SELECT id, string_split(regexp_replace(text, '{LINE_END}', chr(10), 'g'), chr(10)) AS a FROM headed), line AS (SELECT id, len(a) AS last, unnest(a) AS line, generate_subscripts(a, 1) AS n FROM cut),
     head AS (SELECT *, starts_with(ltrim(line, '{SPACES}'), '#') AS head FROM line WHERE n < last OR line <> ''), run AS (SELECT *, sum(CAST(head AS INTEGER)) OVER (PARTITION BY id ORDER BY n) AS sec FROM head),
     sec AS (SELECT id, sec, coalesce(nullif(trim(trim(max(line) FILTER (head), '# '), '{SPACES}'), ''), 'root') AS heading, string_agg(line, chr(10) ORDER BY n) FILTER (NOT head) AS body FROM run GROUP BY 1, 2 HAVING count(*) FILTER (NOT head) > 0),
     tok AS (SELECT id, sec, heading, regexp_extract_all(body, '{WORD_OR_CJK}|[^{SPACES}]') AS t FROM (FROM sec UNION ALL SELECT id, 0, 'root', text FROM headed ANTI JOIN sec USING (id))),
     par AS (SELECT id, sec, heading, s, t[s + 1 : s + 700] AS t FROM (SELECT *, unnest(range(0, greatest(len(t), 1), 700)) AS s FROM tok)),
     kid AS (SELECT id, sec, heading, s, o, t, t[o + 1 : o + 220] AS x FROM (SELECT *, unnest(range(0, greatest(len(t), 1), 172)) AS o FROM par)),
     kids AS (SELECT id, CAST(row_number() OVER (PARTITION BY id ORDER BY sec, s, o) - 1 AS INTEGER) AS nth, heading, o // 172 AS i, CAST(len(x) AS INTEGER) AS n_tokens, coalesce(array_to_string(x, ''), '') AS content, coalesce(array_to_string(t, ''), '') AS parent_content FROM kid)"""
+HEADED = f"""headed AS (SELECT doc_id AS id, coalesce(array_to_string(list_transform(string_split(text, chr(10)), lambda x: CASE WHEN length(x) BETWEEN 1 AND 80 THEN '## ' || x ELSE x END), chr(10)), '') AS text FROM documents),
+    {SECTIONED}"""
 
 
 def _items(s, d):  # noqa: ANN001, ANN202
