@@ -7,10 +7,11 @@ import uuid
 
 from pyspark.sql import functions as F
 
+from ledgerlark.operators import order_moves
 from ledgerlark.operators import scoring as S
 from ledgerlark.operators import stock as stock_moves
 from ledgerlark.plans.text_queries import SECTIONED
-from ledgerlark.plans.views import ANA, LIN, RUN, lines, runs
+from ledgerlark.plans.views import ANA, LIN, ORD, RUN, lines, orders, runs
 from ledgerlark.session import table
 from ledgerlark.sources import writers
 from ledgerlark.sources.increments import DocumentIndex
@@ -165,7 +166,52 @@ def stock_guard(s, d):  # noqa: ANN001, ANN201
     return stock_moves.allocate(stock, moves, f"{_folder(s)}/stock").select("goods_id", "id", "delta", "accepted", "stock_left")
 
 
+#: What the first, second, third and further lines of an order ask for, by turns.
+ASKED = (("pay", "cancel", "pay", "auto_cancel", "pay_offline"), ("ship", "refund", "pay"), ("confirm", "refund_confirm", "auto_confirm", "cancel"), ("comment", "submit", "confirm"))
+
+
+def _order_history(s, d):  # noqa: ANN001, ANN202
+    """Each order is submitted, but for every fifth, which is there with its status; then each of its lines asks for an action,
+    in a third of the orders in the order of shipping, else in that of the lines."""
+    o, n = F.col("order_id"), F.col("line_no")
+    turn = F.floor(o / 5).cast("bigint")
+    asked = F.coalesce(*(F.when(F.least(n, F.lit(len(ASKED))) == k + 1, F.element_at(F.array(*map(F.lit, each)), (turn % len(each) + 1).cast("int"))) for k, each in enumerate(ASKED)))
+    at = F.when(o % 3 == 0, F.col("shipped")).otherwise(F.lit("1990-01-01").cast("timestamp_ntz"))
+    submitted = orders(s, d).select(F.col("id").alias("order_id"), F.lit("1989-01-01").cast("timestamp_ntz").alias("at"), (F.col("id") * 10).alias("id"), F.lit("submit").alias("action"))
+    moves = submitted.unionByName(lines(s, d).select("order_id", at.cast("timestamp_ntz").alias("at"), (o * 10 + n).alias("id"), asked.alias("action")))
+    there = orders(s, d).where("id % 5 = 0").select(F.col("id").alias("order_id"), "status")
+    return order_moves.moved(there, moves, f"{_folder(s)}/moves")
+
+
+def order_stock(s, d):  # noqa: ANN001, ANN202
+    """Pieces that the orders' lives took from and brought back to each product's stock."""
+    moves = order_moves.stock_moves(_order_history(s, d), lines(s, d))
+    return moves.groupBy("goods_id").agg(F.sum(F.when(F.col("delta") < 0, -F.col("delta")).otherwise(0)).alias("taken"), F.sum(F.when(F.col("delta") > 0, F.col("delta")).otherwise(0)).alias("returned"))
+
+
+def order_coupons(s, d):  # noqa: ANN001, ANN202
+    """A coupon for every order, after the order's life."""
+    return order_moves.coupon_states(_order_history(s, d), orders(s, d).select((F.col("id") + 7).alias("coupon_id"), F.col("id").alias("order_id")))
+
+
+def _legal(action: str, state: str) -> str:
+    """The state that follows, null where the move isn't legal, as SQL."""
+    return "CASE " + " ".join(f"WHEN {state} = {a} AND {action} = '{x}' THEN {b}" for a, x, b in order_moves.LEGAL) + " END"
+
+
+HISTORY = f"""{ORD}, {LIN}, ask AS (SELECT id AS order_id, TIMESTAMP '1989-01-01' AS ts, id * 10 AS id, 'submit' AS action FROM ord UNION ALL
+        SELECT order_id, CASE WHEN order_id % 3 = 0 THEN shipped ELSE TIMESTAMP '1990-01-01' END, order_id * 10 + line_no, CASE least(line_no, {len(ASKED)}) {' '.join(f"WHEN {k + 1} THEN {list(each)}[order_id // 5 % {len(each)} + 1]" for k, each in enumerate(ASKED))} END FROM lin),
+    nth AS (SELECT *, row_number() OVER (PARTITION BY order_id ORDER BY ts, id) AS nth FROM ask),
+    fold AS (SELECT order_id, CAST(0 AS BIGINT) AS nth, ts, id, action, 0 AS before, CASE WHEN order_id % 5 = 0 THEN (SELECT status FROM ord WHERE ord.id = order_id) ELSE 0 END AS after, false AS accepted FROM nth WHERE nth = 1
+        UNION ALL SELECT n.order_id, n.nth, n.ts, n.id, n.action, f.after, coalesce({_legal('n.action', 'f.after')}, f.after), {_legal('n.action', 'f.after')} IS NOT NULL FROM fold f JOIN nth n ON n.order_id = f.order_id AND n.nth = f.nth + 1),
+    done AS (SELECT * FROM fold WHERE nth > 0)"""
+_EFFECT = "CASE WHEN action = 'submit' THEN -1 WHEN action IN ('cancel', 'auto_cancel', 'refund_confirm') THEN 1 END"
+
+
 QUERIES = {
+    "m05_order_history": lambda s, d: _order_history(s, d).select("order_id", "id", "action", "before", "after", "accepted"),
+    "m05_order_stock": order_stock,
+    "m05_order_coupons": order_coupons,
     "t01_patrol_stream": patrol_stream,
     "t01_patrol_ticks": patrol_ticks,
     "t04_unpaid_stream": unpaid_stream,
@@ -181,6 +227,11 @@ QUERIES = {
 }
 
 ORACLE_SQL = {
+    "m05_order_history": f"WITH RECURSIVE {HISTORY} SELECT order_id, id, action, CAST(before AS INTEGER) AS before, CAST(after AS INTEGER) AS after, accepted FROM done",
+    "m05_order_stock": f"""WITH RECURSIVE {HISTORY}, e AS (SELECT goods_id, {_EFFECT} * number AS delta FROM done JOIN lin USING (order_id) WHERE accepted AND {_EFFECT} IS NOT NULL)
+        SELECT goods_id, CAST(sum(greatest(-delta, 0)) AS BIGINT) AS taken, CAST(sum(greatest(delta, 0)) AS BIGINT) AS returned FROM e GROUP BY 1""",
+    "m05_order_coupons": f"""WITH RECURSIVE {HISTORY}, e AS (SELECT order_id, nth, {_EFFECT} AS e FROM done WHERE accepted AND {_EFFECT} IS NOT NULL), l AS (SELECT order_id, arg_max(e, nth) AS last, count(*) FILTER (e = -1) AS n FROM e GROUP BY 1)
+        SELECT ord.id + 7 AS coupon_id, ord.id AS order_id, CASE WHEN last = -1 THEN 'used' ELSE 'usable' END AS status, coalesce(n, 0) AS times_used FROM ord LEFT JOIN l ON l.order_id = ord.id""",
     "r20_index_hash": f"""WITH {UPDATED}, x AS (SELECT n_chunks, sha256(concat_ws(':', id, version, index_version)) AS h FROM indexed WHERE version IS NOT NULL),
         s AS (SELECT count(*) AS documents, CAST(sum(n_chunks) AS BIGINT) AS chunks, {', '.join(f"CAST(sum(CAST('0x' || substr(h, {1 + 15 * i}, 15) AS BIGINT)) AS VARCHAR) AS s{i}" for i in range(4))} FROM x)
         SELECT documents, chunks, sha256(concat_ws(':', documents, s0, s1, s2, s3)) AS fingerprint FROM s""",
