@@ -40,11 +40,12 @@ def sectioned(docs: DataFrame) -> DataFrame:
     return kept.select("id", "version", F.when(F.size("_s") > 0, F.col("_s")).otherwise(whole).alias("sections"))
 
 
-def hierarchical_chunks(docs: DataFrame, parent: int = 700, child: int = 220, overlap: int = 48, joiner: str = "") -> DataFrame:
+def hierarchical_chunks(docs: DataFrame, parent: int = 700, child: int = 220, overlap: int = 48, joiner: str = "", repeat_parents: bool = True) -> DataFrame:
     """(id, version, text) -> id, nth, heading, n_tokens, content, parent_id, parent_content, chunk_id: sections are cut into
     parents of so many tokens, parents into children that overlap; neither crosses a heading. nth runs through the document;
     a parent's id hashes its text and the nth of its first child, a child's id its own nth and the hash of its text. A
-    section without tokens is one empty child of one empty parent. Rows don't shuffle."""
+    section without tokens is one empty child of one empty parent. With repeat_parents off only a parent's first child has
+    parent_content. Rows don't shuffle."""
     if child <= overlap:
         raise ValueError("a child must be longer than the overlap")
     starts = lambda t, step: F.sequence(F.lit(0), F.greatest(F.size(t) - 1, F.lit(0)), F.lit(step))
@@ -56,7 +57,7 @@ def hierarchical_chunks(docs: DataFrame, parent: int = 700, child: int = 220, ov
     digest = lambda *parts: F.substring(F.sha2(F.concat_ws(":", "id", "version", *parts), 256), 1, 24)
     return out.select(
         "id", "nth", F.col("_c.heading").alias("heading"), F.col("_c.n").alias("n_tokens"), F.col("_c.content").alias("content"),
-        digest(F.lit("parent"), F.col("nth") - F.col("_c.i"), F.col("_c.text")).alias("parent_id"), F.col("_c.text").alias("parent_content"),
+        digest(F.lit("parent"), F.col("nth") - F.col("_c.i"), F.col("_c.text")).alias("parent_id"), (F.col("_c.text") if repeat_parents else F.when(F.col("_c.i") == 0, F.col("_c.text"))).alias("parent_content"),
         digest(F.col("nth"), F.sha2("_c.content", 256)).alias("chunk_id"),
     )
 

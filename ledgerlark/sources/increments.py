@@ -117,7 +117,7 @@ class DocumentIndex:
         return self._documents(self._layers(number)).where("not gone").drop("gone", "layer")
 
     def chunks(self, number: int | None = None) -> DataFrame:
-        """The chunks of a state, as hierarchical_chunks gives them."""
+        """The chunks of a state, as hierarchical_chunks gives them; a parent's text is with its first child only."""
         layers = self._layers(number)
         live = self._documents(layers).where("not gone").select("id", "layer")
         return self._read("c", layers).join(live, ["id", "layer"], "left_semi").drop("layer")
@@ -143,15 +143,18 @@ class DocumentIndex:
         """docs (id, text, perhaps version for new documents, else 1) -> id, change (added, changed, same, gone, blocked),
         version, hash, errors and was_*, what the index holds. Unless docs are the whole, missing documents stay."""
         told = self._texts(docs).select("id", "first", F.sha2("text", 256).alias("told"), scan(F.col("text")).alias("errors"))
-        layers = self.state()["layers"]
-        if layers:
-            there = self._documents(layers).drop("layer")
-        else:
-            there = self.spark.createDataFrame([], "version string, hash string, index_version string, n_chunks long, gone boolean").select(F.lit(None).cast(docs.schema["id"].dataType).alias("id"), "*")
+        layers, bad = self.state()["layers"], F.size("errors") > 0
+        if not layers:  # a first load needs no join
+            none = F.lit(None).cast("string")
+            return told.where("id is not null").select(
+                "id", F.when(bad, "blocked").otherwise("added").alias("change"), F.when(~bad, F.coalesce("first", F.lit("1"))).alias("version"), F.col("told").alias("hash"), "errors",
+                none.alias("was_version"), none.alias("was_index_version"), F.lit(None).cast("bigint").alias("was_n_chunks"),
+            )
+        there = self._documents(layers).drop("layer")
         both = told.join(there.select("id", *(F.col(c).alias(f"was_{c}") for c in _OF_DOCUMENT)), "id", "full")
         live = F.coalesce(~F.col("was_gone"), F.lit(False))
         missing = F.when(live & F.lit(whole), "gone")
-        change = F.when(F.col("told").isNull(), missing).when(F.size("errors") > 0, "blocked").when(~live, "added").when(F.col("told") == F.col("was_hash"), "same").otherwise("changed")
+        change = F.when(F.col("told").isNull(), missing).when(bad, "blocked").when(~live, "added").when(F.col("told") == F.col("was_hash"), "same").otherwise("changed")
         version = F.when(~F.col("change").isin("added", "changed"), F.col("was_version")).when(F.col("was_version").isNotNull(), next_version(F.col("was_version"))).otherwise(F.coalesce("first", F.lit("1")))
         return both.withColumn("change", change).where("change is not null").select(
             "id", "change", version.alias("version"), F.coalesce("told", "was_hash").alias("hash"), "errors",
@@ -159,8 +162,12 @@ class DocumentIndex:
         )
 
     def _pieces(self, docs: DataFrame, plan: DataFrame) -> DataFrame:
-        new = plan.where(F.col("change").isin("added", "changed")).select("id", "version")
-        return hierarchical_chunks(self._texts(docs).join(new, "id").select("id", "version", "text"), **self._sizes)
+        texts = self._texts(docs)
+        if self.state()["layers"]:
+            new = texts.join(plan.where(F.col("change").isin("added", "changed")).select("id", "version"), "id")
+        else:  # what isn't blocked is new, so texts needn't move
+            new = texts.where(F.size(scan(F.col("text"))) == 0).withColumn("version", F.coalesce("first", F.lit("1")))
+        return hierarchical_chunks(new.select("id", "version", "text"), **self._sizes, repeat_parents=False)
 
     @staticmethod
     def _chunk_ids() -> Column:
