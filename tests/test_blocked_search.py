@@ -2,6 +2,7 @@ from __future__ import annotations
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from ledgerlark.operators import retrieval as V
 
@@ -19,3 +20,25 @@ def test_blocks_of_queries_and_documents_meet_in_one_partition(spark, uncoalesce
     near = lambda q, d: -np.abs(q["x"].to_numpy()[:, None] - d["x"].to_numpy()[None, :])
     got = V.blocked_topk(made("query_id"), made("id"), 1, near, query_rows=8, doc_rows=8).collect()
     assert sorted((r.query_id, r.id) for r in got) == [(i, i) for i in range(40)]
+
+
+def test_searches_by_blocks_equal_joined_scores(spark):
+    docs = spark.createDataFrame([(i, " ".join(f"w{i * j % 13}" for j in range(i % 9))) for i in range(60)] + [(60, None), (61, "W1 w1  w2")], "id long, text string")
+    asked = spark.createDataFrame([(0, "w1 w2 w2 w7"), (1, "w12"), (2, ""), (3, "nowhere w0 w0")], "query_id long, text string")
+    rows = lambda df: sorted((r.query_id, r.id, r.score, r.rank) for r in df.collect())
+    for search, score in ((V.keyword_search, V.keyword_score), (V.cosine_search, V.token_cosine), (V.bm25_search, V.bm25), (V.char_tfidf_search, V.char_tfidf)):
+        want = rows(V.ranked(score(asked, docs), 5))
+        assert want
+        assert rows(search(asked, docs, 5)) == want
+    odd = F.col("id") % 2 == 1
+    assert rows(V.bm25_search(asked, docs, 3, where=odd)) == rows(V.ranked(V.bm25(asked, docs, where=odd), 3))
+    assert rows(V.char_tfidf_search(asked, docs, 5, most_grams=2)) == rows(V.char_tfidf_search(asked, docs, 5))
+
+
+def test_searches_join_no_pairs(spark, sf):
+    from ledgerlark.plans import registry
+
+    for name in ("r01_keyword", "r03_token_cosine", "r10_bm25", "r10_bm25_filtered", "r11_char_tfidf"):
+        plan = registry.QUERIES[name](spark, sf)._jdf.queryExecution().optimizedPlan().toString()
+        top = plan[: plan.index("CoGroup")]
+        assert "Join" not in top, name
