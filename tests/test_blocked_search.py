@@ -42,3 +42,21 @@ def test_searches_join_no_pairs(spark, sf):
         plan = registry.QUERIES[name](spark, sf)._jdf.queryExecution().optimizedPlan().toString()
         top = plan[: plan.index("CoGroup")]
         assert "Join" not in top, name
+
+
+def test_windows_of_a_batch_stay_within_their_texts(spark):
+    docs = spark.createDataFrame([(1, "a b c d"), (2, None), (3, "e f"), (4, "g a b c a b c")], "id long, text string").coalesce(1)
+    asked = spark.createDataFrame([(0, "a b c x a b c"), (1, "d e f"), (2, ""), (3, "c b a"), (4, "g a b")], "query_id long, text string").coalesce(1)
+    got = {r.query_id: (r.windows, r.shared, r.overlap) for r in V.window_overlap(asked, docs, 3).collect()}
+    assert got == {0: (4, 1, 0.25), 1: (1, 0, 0.0), 2: (0, 0, 0.0), 3: (1, 0, 0.0), 4: (1, 1, 1.0)}
+    assert {(r.query_id, r.id) for r in V.holders(asked, docs, 3, 100).collect()} == {(4, 4)}
+    assert "zip_with" not in V.window_overlap(asked, docs, 3)._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_pairs_of_characters_are_distinct_before_they_are_trimmed(spark):
+    from ledgerlark.operators import workflow as W
+
+    df = spark.createDataFrame([("Ab aB b",), ("x",), (None,)], "text string").select(W.bigram_tokens(F.col("text")).alias("t"))
+    assert [sorted(r.t) for r in df.collect()] == [["ab"], [], []]
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("array_distinct") == 2
