@@ -186,8 +186,9 @@ def bigram_tokens(text: Column) -> Column:
     words = F.filter(F.split(F.regexp_replace(F.lower(t), r"[^a-z0-9\x{4e00}-\x{9fa5}]+", " "), r"\s+"), lambda w: F.length(w) >= 2)
     chars = F.array_remove(F.split(t, ""), "")
     n = F.greatest(F.size(chars) - 1, F.lit(0))
-    pairs = F.zip_with(F.slice(chars, F.lit(1), n), F.slice(chars, F.lit(2), n), lambda a, b: F.lower(F.trim(F.concat(a, b))))
-    return F.array_distinct(F.concat(words, F.filter(pairs, lambda p: F.length(p) == 2)))
+    pairs = F.zip_with(F.slice(chars, F.lit(1), n), F.slice(chars, F.lit(2), n), lambda a, b: F.concat(a, b))
+    each = F.transform(F.array_distinct(pairs), lambda p: F.lower(F.trim(p)))  # a text has few different pairs
+    return F.array_distinct(F.concat(words, F.filter(each, lambda p: F.length(p) == 2)))
 
 
 def with_query_plan(df: DataFrame, injected: Column, text: str = "text") -> DataFrame:
