@@ -60,3 +60,12 @@ def test_pairs_of_characters_are_distinct_before_they_are_trimmed(spark):
     assert [sorted(r.t) for r in df.collect()] == [["ab"], [], []]
     plan = df._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("array_distinct") == 2
+
+
+def test_scores_of_hits_are_rounded_half_up_by_both_sides(spark):
+    import duckdb
+
+    hits = spark.createDataFrame([(0, 1, 1, 0.33945)], "query_id long, id long, rank int, score double")
+    cases = spark.createDataFrame([(1, "x", 7)], "id long, text string, product long")
+    told = V.retrieved(hits, cases, "tfidf").first().score
+    assert told == duckdb.sql("SELECT CAST(round(CAST(CAST(0.33945 AS DOUBLE) AS DECIMAL(9,6)), 4) AS DOUBLE)").fetchall()[0][0] == 0.3395
