@@ -141,8 +141,9 @@ def high_risk(label: Column, confidence: Column, negative: Column, rating: Colum
     return F.coalesce(label == "negative", F.lit(False)) | F.coalesce(confidence < 0.6, F.lit(False)) | F.coalesce(negative >= 0.65, F.lit(False)) | F.coalesce(rating <= 2, F.lit(False))
 
 
-def risk_tasks(analyses: DataFrame, after_sales: Sequence[str]) -> DataFrame:
-    """One task per analysis and risk type, the first rule of a type winning; running it again gives the same tasks."""
+def risk_tasks(analyses: DataFrame, after_sales: Sequence[str], kept: Sequence[str] = ()) -> DataFrame:
+    """One task per analysis and risk type, the first rule of a type winning; running it again gives the same tasks. Columns
+    kept follow."""
     def task(kind: str, level: str) -> Column:
         return F.struct(F.lit(kind).alias("risk_type"), F.lit(level).alias("risk_level"))
 
@@ -154,7 +155,7 @@ def risk_tasks(analyses: DataFrame, after_sales: Sequence[str]) -> DataFrame:
         F.when(negative, task("negative_review", "high")), F.when(F.col("confidence").isNull() | (F.col("confidence") < 0.6), task("low_confidence", "medium")),
         F.when(F.col("negative_score") >= 0.65, task("after_sales_risk", "high")), F.when((F.col("rating") <= 2) & ~negative, task("rating_conflict", "medium")), F.when(contains, task("after_sales_risk", "high")),
     ))
-    return analyses.select(F.col("id").alias("analysis_id"), F.explode(F.array_distinct(rules)).alias("t")).select("analysis_id", "t.risk_type", "t.risk_level", F.lit("pending").alias("status"))
+    return analyses.select(F.col("id").alias("analysis_id"), *kept, F.explode(F.array_distinct(rules)).alias("t")).select("analysis_id", "t.risk_type", "t.risk_level", F.lit("pending").alias("status"), *kept)
 
 
 #: Reason codes of a human review in order; each but HIGH_RISK and LOW_CONFIDENCE is a flag of its name.

@@ -41,14 +41,14 @@ def _stream(s, d, name):  # noqa: ANN001, ANN202
     return reader.option("pathGlobFilter", f"{name}.parquet").option("recursiveFileLookup", "true").parquet(d)
 
 
-def _analysed(s, d):  # noqa: ANN001, ANN202
-    """The risk rules over a batch of documents."""
+def _analysed(s, d, *kept):  # noqa: ANN001, ANN002, ANN202
+    """The risk rules over a batch of documents, whose columns kept are handed on."""
     labels = table(s, d, "labels")
 
     def analyse(batch):  # noqa: ANN001, ANN202
         label = F.when(F.col("toxic") == 1, "negative").when(F.col("quality") == 1, "positive").when(F.col("quality") == 0, "neutral")
-        ready = batch.join(labels, "doc_id", "left").select(F.col("doc_id").alias("id"), "text", label.alias("label"), (F.col("doc_id") % 5 + 1).cast("int").alias("rating"), (F.col("doc_id") % 100 / 100).cast("decimal(6,4)").alias("confidence"), (F.col("doc_id") * 7 % 100 / 100).cast("decimal(6,4)").alias("negative_score"))
-        return S.risk_tasks(ready, ("clown", "hates"))
+        ready = batch.join(labels, "doc_id", "left").select(F.col("doc_id").alias("id"), "text", label.alias("label"), (F.col("doc_id") % 5 + 1).cast("int").alias("rating"), (F.col("doc_id") % 100 / 100).cast("decimal(6,4)").alias("confidence"), (F.col("doc_id") * 7 % 100 / 100).cast("decimal(6,4)").alias("negative_score"), *kept)
+        return S.risk_tasks(ready, ("clown", "hates"), kept)
 
     return analyse
 
@@ -65,13 +65,11 @@ TICK_ROWS = 400
 
 
 def patrol_ticks(s, d):  # noqa: ANN001, ANN202
-    """The patrol polled until nothing is pending. Each text comes twice, the second time after all others, and is analysed
-    the first time only."""
+    """The patrol's ticks until nothing is pending, made up in one pass. Each text comes twice, the second time after all
+    others, and is analysed the first time only."""
     docs = table(s, d, "documents").withColumn("round", F.explode(F.array(F.lit(0), F.lit(1))))
     ticks = patrol.PatrolTicks(s, _folder(s), ["doc_id"], ["round", "doc_id"], TICK_ROWS, buckets=16)
-    analyse = _analysed(s, d)
-    while ticks.tick(docs, analyse)["status"] == "success":
-        pass
+    ticks.catch_up(docs, _analysed(s, d, "tick"))
     return ticks.results().select("analysis_id", "risk_type", "risk_level", F.col("tick").cast("int").alias("tick"))
 
 

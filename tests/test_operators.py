@@ -341,6 +341,35 @@ def test_ticks_admit_so_many_rows_once_and_one_at_a_time(spark, tmp_path):
     assert old.take() and not ticks.lease.take()
 
 
+def test_a_backlog_in_one_pass_equals_its_ticks(spark, tmp_path):
+    rows = spark.createDataFrame([(i, None if i % 11 == 0 else i * 7 % 45) for i in range(90)], "id long, k int").repartition(3)
+    late = rows.unionByName(spark.createDataFrame([(i, i - 60) for i in range(90, 123)], "id long, k int"))
+    polled, passed = (patrol.PatrolTicks(spark, f"file://{tmp_path}/{x}", ["k"], ["id"], 8) for x in "ab")
+    plain, risky = lambda df: df.select("id", "k"), F.col("k") > 40
+    assert passed.tick(rows, plain, risky) == polled.tick(rows, plain, risky)
+    for reviews in (rows, late):
+        said = []
+        while (told := polled.tick(reviews, plain, risky))["status"] == "success":
+            said.append(told)
+        whole = passed.catch_up(reviews, lambda df: df.select("id", "k", "tick"), risky)
+        assert whole == {"status": "success", "tick": said[-1]["tick"], "ticks": len(said)} | {c: sum(x[c] for x in said) for c in ("scanned", "fresh", "high_risk")}
+    assert passed.catch_up(late, lambda df: df.select("id", "k", "tick")) == {"status": "idle", "tick": whole["tick"]}
+    first = [{(r.k, r.tick) for r in x.results().collect()} for x in (polled, passed)]
+    assert first[0] == first[1] and passed.results().count() == polled.results().count()
+    logs = [sorted(map(tuple, spark.read.parquet(x.root + "/log").select("tick", "stopped_at", "scanned", "fresh", "high_risk").collect())) for x in (polled, passed)]
+    assert logs[0] == logs[1]
+
+
+def test_jobs_of_a_backlog_do_not_grow_with_its_ticks(spark, tmp_path):
+    rows, jobs = spark.range(200), []
+    for size in (100, 5):
+        spark.sparkContext.setJobGroup(f"ticks-{size}", "")
+        patrol.PatrolTicks(spark, f"file://{tmp_path}/{size}", ["id"], ["id"], size).catch_up(rows, lambda df: df)
+        jobs.append(len(spark.sparkContext.statusTracker().getJobIdsForGroup(f"ticks-{size}")))
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert jobs[0] == jobs[1] > 0
+
+
 def test_seen_keys_of_a_repeated_version(spark, tmp_path):
     seen = patrol.SeenKeys(spark, f"file://{tmp_path}/s", ["k"], 4)
     seen.add(spark.range(10).select(F.col("id").alias("k")), 1)
