@@ -2,24 +2,29 @@
 
 from __future__ import annotations
 
-import pandas as pd
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def _served(piece: pd.DataFrame) -> pd.DataFrame:
-    """Moves of one product in order, from the stock that the piece starts with."""
-    piece = piece.sort_values(["at", "id"], na_position="first", kind="stable")
-    start = piece["number"].iloc[0]
-    accepted, lefts = [False] * len(piece), [None] * len(piece)
-    if not pd.isna(start):
-        left = int(start)
-        for i, delta in enumerate(piece["delta"].tolist()):
-            if delta >= 0 or left + delta >= 0:
+def _served(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Moves sorted by product and order, from the stock that each product starts with. Products follow each other in the
+    batches, so that one costs no call of its own."""
+    product = left = None
+    for b in batches:
+        accepted, lefts = [], []
+        for goods, start, delta in zip(*(b.column(c).to_pylist() for c in ("goods_id", "number", "delta")), strict=True):
+            if goods != product:
+                product, left = goods, start
+            fits = left is not None and (delta >= 0 or left + delta >= 0)
+            if fits:
                 left += delta
-                accepted[i] = True
-            lefts[i] = left
-    return piece.drop(columns="number").assign(accepted=accepted, stock_left=pd.array(lefts, dtype="Int64"))
+            accepted.append(fits)
+            lefts.append(left)
+        rest = {c: b.column(c) for c in b.schema.names if c != "number"}
+        yield pa.RecordBatch.from_pydict(rest | {"accepted": pa.array(accepted, pa.bool_()), "stock_left": pa.array(lefts, pa.int64())})
 
 
 def allocate(stock: DataFrame, moves: DataFrame, folder: str, block_rows: int = 500_000) -> DataFrame:
@@ -49,7 +54,7 @@ def allocate(stock: DataFrame, moves: DataFrame, folder: str, block_rows: int =
     state = stock.groupBy("goods_id").agg(F.sum("number").cast("bigint").alias("number"))
     for turn in range(turns):
         piece = pieces.where(F.col("turn") == turn).drop("turn").join(state, "goods_id", "left")
-        piece.groupBy("goods_id").applyInPandas(_served, schema).write.parquet(f"{folder}/served/turn={turn}")
+        piece.repartition("goods_id").sortWithinPartitions("goods_id", "at", "id").mapInArrow(_served, schema).write.parquet(f"{folder}/served/turn={turn}")
         done = spark.read.parquet(f"{folder}/served/turn={turn}")
         state = done.groupBy("goods_id").agg(F.max_by("stock_left", F.struct("at", "id")).alias("number"))
     refused = moves.where(void).select(*columns, F.lit(False).alias("accepted"), F.lit(None).cast("bigint").alias("stock_left"))

@@ -196,6 +196,20 @@ def test_stock_is_served_in_order_and_in_pieces(spark, tmp_path):
     assert stock.allocate(number, table.limit(0), str(tmp_path / "none")).count() == 0
 
 
+def test_products_of_the_stock_guard_share_batches(spark, tmp_path, monkeypatch):
+    from ledgerlark.operators import stock
+
+    kind, calls = type(spark.range(1)), []
+    kept = kind.mapInArrow
+    monkeypatch.setattr(kind, "mapInArrow", lambda df, *args: calls.append(df) or kept(df, *args))
+    number = spark.range(300).selectExpr("id as goods_id", "if(id % 10 = 0, null, 5) as number")
+    moves = spark.range(900).selectExpr("id % 301 as goods_id", "cast(null as timestamp) as at", "id", "if(id < 301, -4, if(id < 602, -2, 9)) as delta")
+    got = {r.id: (r.accepted, r.stock_left) for r in stock.allocate(number, moves, str(tmp_path / "s")).collect()}
+    want = lambda i: (False, None) if i % 301 % 10 == 0 else ((True, 1), (False, 1), (True, 10))[i // 301]  # noqa: E731  product 300 has no stock
+    assert got == {i: want(i) for i in range(900)}
+    assert calls  # no call for each product
+
+
 def test_json_extraction(spark):
     text = "﻿<think>{no}</think>```json\n{\"risk_type\": \"NORMAL_REVIEW\", \"risk_level\": \"Low\", \"need_human_review\": \"false\", \"route_reason\": \"ok\",}\n```"
     df = spark.createDataFrame([(text,), ("no object",), ('{"risk_level": "low"}',)], "t string")
