@@ -2,23 +2,41 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerlark.functions.numeric import count_if
 
 
-def order_ids(orders: DataFrame, users: DataFrame, lines: DataFrame, user: Column | None = None) -> DataFrame:
+#: Order lines that one task sorts and nests at most, roughly.
+LINES_A_TASK = 500_000
+
+
+def _dealt(lines: DataFrame, rows: int) -> Callable[[DataFrame, str], DataFrame]:
+    """Deals rows by order into so many tasks that none has many more than `rows` lines, however many there are in all."""
+    spark = lines.sparkSession
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-lines.count() // rows))
+    return lambda df, key: df.repartition(tasks, key)
+
+
+def order_ids(orders: DataFrame, users: DataFrame, lines: DataFrame, user: Column | None = None, rows: int = LINES_A_TASK) -> DataFrame:
     """Orders with a live line, once each: the test on the lines makes the outer joins inner."""
-    joined = orders.join(users, "user_id", "left").join(lines.where(~F.col("deleted")).select(F.col("order_id").alias("id")), "id", "left_semi")
-    return (joined.where(user) if user is not None else joined).select("id").distinct()
+    dealt = _dealt(lines, rows)
+    joined = orders.join(users, "user_id", "left")
+    joined = (joined.where(user) if user is not None else joined).select("id")
+    return dealt(joined, "id").join(dealt(lines.where(~F.col("deleted")).select(F.col("order_id").alias("id")), "id"), "id", "left_semi").distinct()
 
 
-def order_details(page: DataFrame, orders: DataFrame, users: DataFrame, lines: DataFrame) -> DataFrame:
+def order_details(page: DataFrame, orders: DataFrame, users: DataFrame, lines: DataFrame, rows: int = LINES_A_TASK) -> DataFrame:
     """The orders of a page of ids with their user and live lines in order, as nested rows."""
-    nested = lines.where(~F.col("deleted")).join(page.select(F.col("id").alias("order_id")), "order_id", "left_semi").groupBy(F.col("order_id").alias("id"))
+    dealt = _dealt(lines, rows)
+    page = dealt(page, "id")
+    nested = dealt(lines.where(~F.col("deleted")).withColumnRenamed("order_id", "id"), "id").join(page, "id", "left_semi").groupBy("id")
     goods = nested.agg(F.sort_array(F.collect_list(F.struct("line_no", "goods_id", "number", "price"))).alias("goods"))
-    return orders.join(page, "id", "left_semi").join(users, "user_id", "left").join(goods, "id", "left")
+    named = dealt(orders, "id").join(page, "id", "left_semi").join(users, "user_id", "left")
+    return dealt(named, "id").join(goods, "id", "left")
 
 
 def pending(latest: DataFrame, done: DataFrame, key: str, n: int, *sort: Column, over_fetch: int = 5) -> DataFrame:

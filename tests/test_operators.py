@@ -210,6 +210,19 @@ def test_products_of_the_stock_guard_share_batches(spark, tmp_path, monkeypatch)
     assert calls  # no call for each product
 
 
+def test_tasks_of_order_details_grow_with_the_lines(spark):
+    orders = spark.range(60).selectExpr("id", "id % 7 as user_id")
+    users = spark.range(6).selectExpr("id as user_id", "concat('u', id) as user_name")
+    lines = spark.range(180).selectExpr("id % 60 as order_id", "id as line_no", "id as goods_id", "1 as number", "1.0 as price", "id % 5 = 0 as deleted")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    got = [C.order_details(C.order_ids(orders, users, lines, F.col("user_name").isNotNull(), n), orders, users, lines, n) for n in (180, 10)]
+    assert [x.rdd.getNumPartitions() for x in got] == [4, 18]
+    spark.conf.set("spark.sql.adaptive.enabled", "true")
+    rows = [sorted((r.id, r.user_name, [g.line_no for g in r.goods]) for r in x.collect()) for x in got]
+    live = {i: [j for j in range(i, 180, 60) if j % 5] for i in range(60) if i % 7 < 6}
+    assert rows[0] == rows[1] == [(i, f"u{i % 7}", n) for i, n in live.items() if n]
+
+
 def test_json_extraction(spark):
     text = "﻿<think>{no}</think>```json\n{\"risk_type\": \"NORMAL_REVIEW\", \"risk_level\": \"Low\", \"need_human_review\": \"false\", \"route_reason\": \"ok\",}\n```"
     df = spark.createDataFrame([(text,), ("no object",), ('{"risk_level": "low"}',)], "t string")
