@@ -118,8 +118,9 @@ def open_group(members: list[np.ndarray], queries: list[np.ndarray], percent: in
 
 
 def _group_links(table_: pa.Table, percent: int, degrees: bool) -> pa.Table:
-    """Links of one group with the queries dealt to this task: (a, b) with the smallest member of each linked subset, and
-    where degrees are asked for (a, null, the weight of all that a links with). Roles: 0 member, 1 query, 2 both."""
+    """Links of one group with the queries dealt to this task, enough to connect what is linked: (a, b) with the smallest
+    member of each subset that is linked so far, fewer than there are rows, and where degrees are asked for (a, null, the
+    weight of all that a links with). Roles: 0 member, 1 query, 2 both."""
     row, weight, role = (table_.column(x).to_numpy() for x in ("row", "weight", "role"))
     sets = [np.frombuffer(x.as_py(), dtype=np.uint64) for x in table_.column("tokens")]
     mine, asked = np.flatnonzero(role != 1), np.flatnonzero(role != 0)
@@ -153,8 +154,11 @@ def _group_links(table_: pa.Table, percent: int, degrees: bool) -> pa.Table:
                     a, b = find(own), find(j)
                     root[max(a, b)] = min(a, b)
         links |= {(int(ids[i]), int(ids[find(i)])) for i in range(len(ids)) if find(i) != i}
-        for q, others in later:
-            links |= {(q, int(ids[x])) for x in {find(j) for j in others.tolist()} | ({int(others[0])} if len(others) else set())}
+        for q, others in later:  # what a query links is one subset for the queries after it, so links are fewer than rows
+            found = {find(j) for j in others.tolist()}
+            links |= {(q, int(ids[x])) for x in found}
+            for x in found:
+                root[x] = min(found)
     a = [x for x, _ in links] + list(degree)
     b = [y for _, y in links] + [None] * len(degree)
     return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64()), "degree": pa.array([0] * len(links) + list(degree.values()), pa.int64())})

@@ -67,6 +67,29 @@ def test_jaccard_join_equals_brute_force(spark, k, percent):
     assert {i: (r.n_shingles, r.component_id, r.n_links) for i, r in got.items()} == {i: (len(sets[i]), comp[i], len(near[i])) for i in sets}
 
 
+@pytest.mark.parametrize("inside", [0, 2])
+def test_links_of_a_group_are_fewer_than_its_rows_and_connect_the_same(inside):
+    import pyarrow as pa
+
+    rng = np.random.default_rng(5)
+    whole = [np.unique(rng.integers(1, 1 << 60, 60, dtype=np.uint64)) for _ in range(3)]
+    sets = [np.delete(whole[i % 3], rng.choice(60, rng.integers(0, 4), replace=False)) for i in range(120)]
+    role = [inside if i < 60 else 1 for i in range(120)]
+    got = jaccard_join._group_links(pa.table({"row": list(range(120)), "weight": [1] * 120, "role": role, "tokens": pa.array([s.tobytes() for s in sets], pa.binary())}), 90, False).to_pylist()
+
+    def components(pairs):
+        root = list(range(120))
+        for a, b in pairs:
+            x, y = sorted((root[a], root[b]))
+            root = [x if r == y else r for r in root]
+        return root
+
+    close = lambda a, b: 100 * len(np.intersect1d(sets[a], sets[b])) >= 90 * len(np.union1d(sets[a], sets[b]))
+    want = [(a, b) for a in range(120) for b in range(60) if a != b and (role[a] == 1 or inside) and close(a, b)]
+    assert len(want) > 1000 and len(got) < 120
+    assert components((r["a"], r["b"]) for r in got) == components(want)
+
+
 def test_jaccard_join_edges(spark):
     empty = frame(spark, []).limit(0)
     assert jaccard_join.jaccard_join(empty).count() == 0
