@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ledgerlark.functions.text import LINE_END, SPACES, chunk_tokens, content_id
+from ledgerlark.functions.text import LINE_END, SPACES, chunk_tokens, content_id, token_windows, without_spaces
 
 
 def chunks(docs: DataFrame, size: int = 220, overlap: int = 48, joiner: str = "") -> DataFrame:
@@ -21,12 +21,13 @@ def chunks(docs: DataFrame, size: int = 220, overlap: int = 48, joiner: str = ""
 
 
 def sectioned(docs: DataFrame) -> DataFrame:
-    """(id, version, text) -> id, version, sections: array of (heading, lines). A line that starts with # after spaces opens a
+    """(id, version, text) -> id, version, sections: array of (heading, body). A line that starts with # after spaces opens a
     section under its own words, or "root" where it has none; lines before the first heading are under "root" too. A heading
-    without lines gives no section; a text of which nothing is left (empty, null, headings only) is one section, whole.
+    without lines gives no section; a text of which nothing is left (empty, null, headings only) is one section, whole, and
+    so is one without any #, of which no lines are made.
     The work stays in the row: headings are positions in the array of lines, sections the slices between two of them."""
     text = F.coalesce("text", F.lit(""))
-    lines = docs.select("id", "version", text.alias("_text"), F.split(F.regexp_replace(text, LINE_END, "\n"), "\n").alias("_l"))
+    lines = docs.select("id", "version", text.alias("_text"), F.when(F.contains(text, F.lit("#")), F.split(text, LINE_END)).alias("_l"))
     lines = lines.withColumn("_l", F.when(F.element_at("_l", -1) == "", F.slice("_l", 1, F.size("_l") - 1)).otherwise(F.col("_l")))
     opens = F.transform("_l", lambda line, i: F.when(F.startswith(F.ltrim(line, F.lit(SPACES)), F.lit("#")), i))
     marked = lines.withColumn("_h", F.filter(opens, lambda i: i.isNotNull()))
@@ -36,8 +37,9 @@ def sectioned(docs: DataFrame) -> DataFrame:
         lambda a, b: F.struct(F.coalesce(F.nullif(words(a), F.lit("")), F.lit("root")).alias("heading"), F.slice("_l", a + 2, b - a - 1).alias("lines")),
     )
     kept = marked.withColumn("_s", F.filter(between, lambda s: F.size(s["lines"]) > 0))
-    whole = F.array(F.struct(F.lit("root").alias("heading"), F.array("_text").alias("lines")))
-    return kept.select("id", "version", F.when(F.size("_s") > 0, F.col("_s")).otherwise(whole).alias("sections"))
+    joined = F.transform("_s", lambda s: F.struct(s["heading"].alias("heading"), F.array_join(s["lines"], "\n").alias("body")))
+    whole = F.array(F.struct(F.lit("root").alias("heading"), F.col("_text").alias("body")))
+    return kept.select("id", "version", F.when(F.size("_s") > 0, joined).otherwise(whole).alias("sections"))
 
 
 def hierarchical_chunks(docs: DataFrame, parent: int = 700, child: int = 220, overlap: int = 48, joiner: str = "", repeat_parents: bool = True) -> DataFrame:
@@ -48,11 +50,12 @@ def hierarchical_chunks(docs: DataFrame, parent: int = 700, child: int = 220, ov
     parent_content. Rows don't shuffle."""
     if child <= overlap:
         raise ValueError("a child must be longer than the overlap")
-    starts = lambda t, step: F.sequence(F.lit(0), F.greatest(F.size(t) - 1, F.lit(0)), F.lit(step))
-    windows = lambda t, size, step: F.transform(starts(t, step), lambda i: F.slice(t, i + 1, F.lit(size)))
-    tokens = F.transform("sections", lambda s: F.struct(s["heading"].alias("heading"), chunk_tokens(F.array_join(s["lines"], "\n")).alias("tokens")))
-    parents = F.flatten(F.transform(tokens, lambda s: F.transform(windows(s["tokens"], parent, parent), lambda w: F.struct(s["heading"].alias("heading"), F.array_join(w, joiner).alias("text"), w.alias("tokens")))))
-    children = F.flatten(F.transform(parents, lambda p: F.transform(windows(p["tokens"], child, child - overlap), lambda w, i: F.struct(p["heading"].alias("heading"), p["text"].alias("text"), i.alias("i"), F.size(w).alias("n"), F.array_join(w, joiner).alias("content")))))
+    step = child - overlap
+    joined = lambda t: F.array_join(chunk_tokens(t), joiner) if joiner else without_spaces(t)
+    parents = F.flatten(F.transform("sections", lambda s: F.transform(token_windows(s["body"], parent, parent), lambda w: F.struct(s["heading"].alias("heading"), joined(w).alias("text"), token_windows(w, child, step).alias("windows")))))
+    # Only the last window of a parent is counted; what the others hold follows from it.
+    counted = F.transform(parents, lambda p: F.struct(p["heading"].alias("heading"), p["text"].alias("text"), p["windows"].alias("windows"), ((F.size(p["windows"]) - 1) * step + F.size(chunk_tokens(F.element_at(p["windows"], -1)))).alias("n")))
+    children = F.flatten(F.transform(counted, lambda p: F.transform(p["windows"], lambda w, i: F.struct(p["heading"].alias("heading"), p["text"].alias("text"), i.alias("i"), F.least(F.lit(child), p["n"] - i * step).alias("n"), joined(w).alias("content")))))
     out = sectioned(docs).select("id", "version", F.posexplode(children).alias("nth", "_c"))
     digest = lambda *parts: F.substring(F.sha2(F.concat_ws(":", "id", "version", *parts), 256), 1, 24)
     return out.select(

@@ -102,6 +102,16 @@ def test_one_changed_document_rewrites_only_its_chunks(spark, tmp_path):
     assert other.update(frame.repartition(7))["fingerprint"] == told["fingerprint"]  # same documents, another way there
 
 
+def test_a_first_load_works_on_each_text_a_few_times_only(spark, tmp_path):
+    index = DocumentIndex(spark, str(tmp_path / "index"))
+    docs = spark.createDataFrame([(1, "x", "a \n# b\nc")], FORM)
+    text = lambda df: df._jdf.queryExecution().optimizedPlan().toString()
+    plan = index.plan(docs)
+    for told, times in ((text(plan), 2), (text(index._pieces(docs, plan)), 2)):  # for the hash or the chunks, and for the scan
+        assert 1 <= told.count("(?m)[ \\t]+$") <= times and told.count("lower(") == 1
+    assert [r.content for r in index._pieces(docs, plan).orderBy("nth").collect()] == ["a", "c"]
+
+
 def test_edges_of_an_index(spark, tmp_path):
     index = DocumentIndex(spark, str(tmp_path / "index"))
     docs = spark.createDataFrame([(1, "x", "a")], FORM)

@@ -172,6 +172,35 @@ def test_hierarchical_chunks_equal_a_loop_over_lines(spark):
         D.hierarchical_chunks(docs, child=48, overlap=48)
 
 
+def test_windows_are_slices_of_tokens_as_they_stand_in_the_text(spark):
+    import random
+    import re
+
+    rng = random.Random(6)
+    pieces = ["word ", "_x9", "评论", "é", "𝄞", "!", " ", "  ", "\n", "\u00a0", "\u3000", "\x85", "\x1f", "\u200b", "\u180e", "\ud7ff"]
+    texts = ["", " ", "x" * 70000, " " * 30000, "x" + " " * 30000 + "y", "! " * 20000]
+    texts += ["".join(rng.choice(pieces) for _ in range(rng.randrange(40))) for _ in range(300)]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "id long, text string").repartition(4)
+    for size, step in ((700, 700), (220, 172), (1, 1), (5, 2), (3, 1)):
+        windows = T.token_windows(F.col("text"), size, step)
+        got = docs.select("id", T.chunk_tokens(F.col("text")).alias("t"), F.transform(windows, T.chunk_tokens).alias("w"), F.transform(windows, T.without_spaces).alias("s")).collect()
+        for r in got:
+            assert r.t == re.findall(r"[\u4e00-\u9fff]|[A-Za-z0-9_]+|\S", texts[r.id])
+            want = [r.t[i : i + size] for i in range(0, max(len(r.t), 1), step)]
+            assert r.w == want and r.s == ["".join(w) for w in want]
+
+
+def test_normal_lines_equal_the_patterns(spark):
+    import random
+
+    rng = random.Random(8)
+    pieces = ["a", "b c", " ", "\t", "\n", "\r\n", "\r", "\v", "\f", "\x1c", "\x85", "\u00a0", "\u2028", "\u2029", " \n", "评"]
+    texts = [None, "", " ", "\n", *("".join(rng.choice(pieces) for _ in range(rng.randrange(12))) for _ in range(2000))]
+    t = F.regexp_replace(F.regexp_replace("text", r"\r\n?", "\n"), r"(?m)[ \t]+$", "")
+    docs = spark.createDataFrame([(x,) for x in texts], "text string")
+    assert docs.where(~T.normal_lines(F.col("text")).eqNullSafe(F.regexp_replace(t, r"^\s+|\s+$", ""))).count() == 0
+
+
 def test_stock_is_served_in_order_and_in_pieces(spark, tmp_path):
     import random
 
