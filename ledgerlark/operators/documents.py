@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ledgerlark.functions.text import LINE_END, SPACES, chunk_tokens, content_id, token_windows, without_spaces
+from ledgerlark.functions.text import LINE_END, SPACES, chunk_tokens, content_id, plain_spaces, token_count, token_windows
 
 
 def chunks(docs: DataFrame, size: int = 220, overlap: int = 48, joiner: str = "") -> DataFrame:
@@ -51,10 +51,10 @@ def hierarchical_chunks(docs: DataFrame, parent: int = 700, child: int = 220, ov
     if child <= overlap:
         raise ValueError("a child must be longer than the overlap")
     step = child - overlap
-    joined = lambda t: F.array_join(chunk_tokens(t), joiner) if joiner else without_spaces(t)
-    parents = F.flatten(F.transform("sections", lambda s: F.transform(token_windows(s["body"], parent, parent), lambda w: F.struct(s["heading"].alias("heading"), joined(w).alias("text"), token_windows(w, child, step).alias("windows")))))
+    joined = lambda t: F.array_join(chunk_tokens(t), joiner) if joiner else F.replace(t, F.lit(" "), F.lit(""))
+    parents = F.flatten(F.transform("sections", lambda s: F.transform(token_windows(plain_spaces(s["body"]), parent, parent), lambda w: F.struct(s["heading"].alias("heading"), joined(w).alias("text"), token_windows(w, child, step).alias("windows")))))
     # Only the last window of a parent is counted; what the others hold follows from it.
-    counted = F.transform(parents, lambda p: F.struct(p["heading"].alias("heading"), p["text"].alias("text"), p["windows"].alias("windows"), ((F.size(p["windows"]) - 1) * step + F.size(chunk_tokens(F.element_at(p["windows"], -1)))).alias("n")))
+    counted = F.transform(parents, lambda p: F.struct(p["heading"].alias("heading"), p["text"].alias("text"), p["windows"].alias("windows"), ((F.size(p["windows"]) - 1) * step + token_count(F.element_at(p["windows"], -1))).alias("n")))
     children = F.flatten(F.transform(counted, lambda p: F.transform(p["windows"], lambda w, i: F.struct(p["heading"].alias("heading"), p["text"].alias("text"), i.alias("i"), F.least(F.lit(child), p["n"] - i * step).alias("n"), joined(w).alias("content")))))
     out = sectioned(docs).select("id", "version", F.posexplode(children).alias("nth", "_c"))
     digest = lambda *parts: F.substring(F.sha2(F.concat_ws(":", "id", "version", *parts), 256), 1, 24)

@@ -162,11 +162,12 @@ class DocumentIndex:
         )
 
     def _pieces(self, docs: DataFrame, plan: DataFrame) -> DataFrame:
-        texts = self._texts(docs)
-        if self.state()["layers"]:
-            new = texts.join(plan.where(F.col("change").isin("added", "changed")).select("id", "version"), "id")
-        else:  # what isn't blocked is new, so texts needn't move
-            new = texts.where(F.size(scan(F.col("text"))) == 0).withColumn("version", F.coalesce("first", F.lit("1")))
+        if self.state()["layers"]:  # only what has changed is normalised again
+            changed = plan.where(F.col("change").isin("added", "changed")).select("id", "version")
+            new = self._texts(docs.select("id", "text").join(changed, "id")).withColumnRenamed("first", "version")
+        else:  # what isn't blocked is new, so texts needn't move; a filter of rows would be pushed down and normalise texts again
+            allowed = F.filter(F.array("text"), lambda t: F.size(scan(t)) == 0)
+            new = self._texts(docs).select("id", F.coalesce("first", F.lit("1")).alias("version"), F.explode(allowed).alias("text"))
         return hierarchical_chunks(new.select("id", "version", "text"), **self._sizes, repeat_parents=False)
 
     @staticmethod

@@ -107,9 +107,13 @@ def test_a_first_load_works_on_each_text_a_few_times_only(spark, tmp_path):
     docs = spark.createDataFrame([(1, "x", "a \n# b\nc")], FORM)
     text = lambda df: df._jdf.queryExecution().optimizedPlan().toString()
     plan = index.plan(docs)
-    for told, times in ((text(plan), 2), (text(index._pieces(docs, plan)), 2)):  # for the hash or the chunks, and for the scan
+    for told, times in ((text(plan), 2), (text(index._pieces(docs, plan)), 1)):  # for hash and scan; once for the chunks
         assert 1 <= told.count("(?m)[ \\t]+$") <= times and told.count("lower(") == 1
     assert [r.content for r in index._pieces(docs, plan).orderBy("nth").collect()] == ["a", "c"]
+    index.update(docs)
+    changed = spark.createDataFrame([(1, "changed", "x.1")], "id long, change string, version string")
+    again = index._pieces(docs, changed)
+    assert text(again).count("(?m)[ \\t]+$") == 1 and [r.content for r in again.orderBy("nth").collect()] == ["a", "c"]
 
 
 def test_edges_of_an_index(spark, tmp_path):

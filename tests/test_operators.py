@@ -182,12 +182,12 @@ def test_windows_are_slices_of_tokens_as_they_stand_in_the_text(spark):
     texts += ["".join(rng.choice(pieces) for _ in range(rng.randrange(40))) for _ in range(300)]
     docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "id long, text string").repartition(4)
     for size, step in ((700, 700), (220, 172), (1, 1), (5, 2), (3, 1)):
-        windows = T.token_windows(F.col("text"), size, step)
-        got = docs.select("id", T.chunk_tokens(F.col("text")).alias("t"), F.transform(windows, T.chunk_tokens).alias("w"), F.transform(windows, T.without_spaces).alias("s")).collect()
+        windows = T.token_windows(T.plain_spaces(F.col("text")), size, step)
+        got = docs.select("id", T.chunk_tokens(F.col("text")).alias("t"), F.transform(windows, T.chunk_tokens).alias("w"), F.transform(windows, lambda w: F.replace(w, F.lit(" "), F.lit(""))).alias("s"), F.transform(windows, lambda w: T.token_count(w)).alias("n")).collect()
         for r in got:
             assert r.t == re.findall(r"[\u4e00-\u9fff]|[A-Za-z0-9_]+|\S", texts[r.id])
             want = [r.t[i : i + size] for i in range(0, max(len(r.t), 1), step)]
-            assert r.w == want and r.s == ["".join(w) for w in want]
+            assert r.w == want and r.s == ["".join(w) for w in want] and r.n == [len(w) for w in want]
 
 
 def test_normal_lines_equal_the_patterns(spark):
